@@ -18,6 +18,41 @@ def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(_table(spark, sf_dir, "embeddings"), spark)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import crc_mod
+    from .toxicity import fit, score
+
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = fit(docs, labels.where(crc_mod("doc_id", 5) != 0))
+    scored = score(docs, model)
+    return scored.select(
+        "doc_id",
+        F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        F.size("sentences").cast("long").alias("n_offending"),
+    )
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import KINDS, extract
+
+    def told(spans: str):
+        names = F.array(*[F.lit(k) for k in KINDS])
+        one = lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))
+        return F.array_join(F.transform(spans, one), ",")
+
+    found = extract(_table(spark, sf_dir, "documents"), spark)
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(told("base"), 256).alias("base_sha256"),
+        told("spans").alias("spans"),
+        (F.size("spans") - F.size("base")).cast("long").alias("n_added"),
+    )
+
+
 def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
