@@ -12,6 +12,24 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import crc_mod
+    from .lm import score, train
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(crc_mod("doc_id", 7) == 2, F.lit(False))
+    model = train(docs.where(~held_out), spark)
+    return score(docs, model).select(
+        "doc_id",
+        held_out.alias("held_out"),
+        "n_tokens",
+        "n_known",
+        F.lit(model.tokens).cast("long").alias("train_tokens"),
+        "base_score",
+        "score",
+    )
+
+
 def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .topk import top_k
 
