@@ -12,6 +12,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neardup import groups
+
+    return groups(_table(spark, sf_dir, "documents"), spark)
+
+
 def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .passages import cut_repeats
 
