@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, components, union_all
+from .common import Scratch, link_buckets
 from .words import mix, slices, windows, word_hashes
 
 WORDS = 5
@@ -191,41 +191,20 @@ def groups(
     scratch.drop(marks)
     keys = reps.select("rep", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
-    members = scratch.keep(keys.join(shared.select("key", "low"), "key"))
+    members = scratch.keep(keys.join(shared.select("key"), "key"))
     scratch.sweep()
-    bits = reps.select("rep", "bits")
     involved = members.select(F.col("rep").alias("id")).distinct()
-    sets = scratch.keep(_sets(docs.join(involved, "id", "left_semi").dropDuplicates(["id"]) if _repeats(docs) else docs.join(involved, "id", "left_semi"), n))
+    texts = docs.join(involved, "id", "left_semi")
+    sets = scratch.keep(_sets(texts.dropDuplicates(["id"]) if _repeats(docs) else texts, n))
     scratch.sweep()
-    least = F.lit(similarity - MARGIN)
-
-    def likely(pairs: DataFrame) -> DataFrame:
-        x, y = (bits.select(F.col("rep").alias(c), F.col("bits").alias(f"bits_{c}")) for c in ("a", "b"))
-        return pairs.join(x, "a").join(y, "b").where(estimate("bits_a", "bits_b") >= least).select("a", "b")
-
-    links = []
-    now = members.select("key", "rep", F.col("rep").alias("root"), F.col("low").alias("hub"), F.col("low").alias("hub_root"))
-    for turn in range(hub_rounds + 1):
-        if turn < hub_rounds:
-            pairs = likely(now.where("root <> hub_root").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct())
-        else:
-            side = now.select("key", "rep", "root").join(bits, "rep")
-            a, b = (side.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "root", "bits"))) for s in ("a", "b"))
-            close = (F.col("root_a") < F.col("root_b")) & (estimate("bits_a", "bits_b") >= least)
-            pairs = a.join(b, (a.key == b.key) & close).select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct()
-        links.append(scratch.keep(confirmed(pairs, sets, similarity)))
-        if turn == hub_rounds:
-            break
-        roots = components(union_all(links), scratch)
-        at = members.select("key", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-        at = at.select("key", "rep", F.coalesce("root", "rep").alias("root"))
-        # Buckets that lie in one component are done; the others get another hub.
-        pick = F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), "rep", "root")).alias("pick")
-        left = at.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), pick).where("x < y")
-        now = scratch.keep(at.join(left.select("key", F.col("pick.rep").alias("hub"), F.col("pick.root").alias("hub_root")), "key"))
-        if not now.limit(1).count():
-            break
-    roots = components(union_all(links), scratch).withColumnRenamed("node", "rep")
+    roots = link_buckets(
+        members,
+        reps.select("rep", F.col("bits").alias("trait")),
+        lambda a, b: estimate(a, b) >= similarity - MARGIN,
+        lambda pairs: confirmed(pairs, sets, similarity),
+        scratch,
+        hub_rounds,
+    ).withColumnRenamed("node", "rep")
     out = classed.select("id", "n_shingles", F.coalesce("rep", "id").alias("rep")).join(roots, "rep", "left")
     component = F.coalesce("root", "rep")
     return out.select(
