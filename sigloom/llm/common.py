@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterable
 
@@ -53,9 +54,14 @@ class Scratch:
         at.getFileSystem(conf).delete(at, True)
 
     def sweep(self) -> None:
-        """Let Spark's cleaner delete the shuffle files of stages that nothing refers to any more."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        """Let Spark's cleaner delete the shuffle files of stages that nothing refers to any more.
+
+        One collection frees the plans, the next one the shuffles that they held.
+        """
+        for _ in range(2):
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+            time.sleep(0.3)
 
 
 def crc_mod(column: str, n: int):
