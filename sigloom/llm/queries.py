@@ -19,6 +19,13 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(docs, spark).select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    mixed = mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), spark)
+    return mixed.select("doc_id", F.col("▁tokens").alias("n_words"), F.round("▁p", 6).alias("probability"), F.col("▁drawn").alias("drawn"))
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .neardup import groups
 
@@ -118,7 +125,47 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_top_k": OP6_SQL}
+    return {"op2_mix_sources": mixing_sql(), "op6_exact_top_k": OP6_SQL}
+
+
+def mixing_sql(rounds: int = 30, fills: int = 12) -> str:
+    """Raking and sampling with the rounds written out."""
+    from .mixing import AXES, POWERS, SHARE
+
+    steps = []
+    for axis in AXES:
+        steps.append(f"""t_{axis} AS MATERIALIZED (
+  SELECT {axis}, pow(CAST(sum(tokens) AS DOUBLE), {POWERS[axis]}) / sum(pow(CAST(sum(tokens) AS DOUBLE), {POWERS[axis]})) OVER () AS target
+  FROM cells GROUP BY {axis} HAVING sum(tokens) > 0)""")
+    steps.append("w_0 AS MATERIALIZED (SELECT source, lang, topic, tokens, tokens / (SELECT CAST(sum(tokens) AS DOUBLE) FROM cells) AS weight FROM cells WHERE tokens > 0)")
+    last = 0
+    for _ in range(rounds):
+        for axis in AXES:
+            steps.append(f"""w_{last + 1} AS MATERIALIZED (
+  SELECT w.source, w.lang, w.topic, w.tokens, w.weight * t.target / sum(w.weight) OVER (PARTITION BY w.{axis}) AS weight
+  FROM w_{last} w JOIN t_{axis} t USING ({axis}))""")
+            last += 1
+    steps.append(f"f_0 AS MATERIALIZED (SELECT {SHARE} * (SELECT sum(tokens) FROM cells) AS wanted, {SHARE} * (SELECT sum(tokens) FROM cells) AS scale)")
+    for k in range(fills):
+        steps.append(f"""f_{k + 1} AS MATERIALIZED (
+  SELECT max(wanted) AS wanted, greatest(max(scale), coalesce((max(wanted) - coalesce(sum(tokens) FILTER (tokens <= weight * scale), 0))
+         / nullif(sum(weight) FILTER (tokens > weight * scale), 0), 0)) AS scale
+  FROM w_{last}, f_{k})""")
+    return f"""
+WITH d AS MATERIALIZED (
+  SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang,
+         CASE WHEN text LIKE '% | %' THEN 'table' WHEN coalesce(length(text), 0) < 400 THEN 'note'
+              WHEN length(text) < 4000 THEN 'article' ELSE 'essay' END AS topic,
+         CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS n_words
+  FROM documents
+), cells AS MATERIALIZED (SELECT source, lang, topic, sum(n_words) AS tokens FROM d GROUP BY ALL),
+{", ".join(steps)},
+p AS (SELECT source, lang, topic, least(1.0, weight / tokens * scale) AS p FROM w_{last}, f_{fills})
+SELECT doc_id, n_words, round(CASE WHEN n_words > 0 THEN coalesce(p, 0) ELSE 0 END, 6) AS probability,
+       CAST('0x' || substr(md5('mix' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) / 4294967296.0
+         < CASE WHEN n_words > 0 THEN coalesce(p, 0) ELSE 0 END AS drawn
+FROM d LEFT JOIN p USING (source, lang, topic)
+"""
 
 
 OP6_SQL = """
