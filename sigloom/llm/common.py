@@ -115,7 +115,8 @@ def link_buckets(
     close: Callable[[str, str], Column],
     confirm: Callable[[DataFrame], DataFrame],
     scratch: Scratch,
-    hub_rounds: int = 2,
+    last: Callable[[DataFrame], DataFrame] | None = None,
+    hub_rounds: int = 1,
 ) -> DataFrame:
     """(node, root) of the components of confirmed links between members of one bucket.
 
@@ -123,31 +124,30 @@ def link_buckets(
     condition on two trait columns, ``confirm`` keeps the pairs (a, b) that are links.  Hubs first: a
     bucket's hub is compared with its members, one pair a member, and buckets that then lie in one
     component are done.  After that, members of different components are compared, so that no link
-    that would join two components is missed.
+    that would join two components is missed: by ``last``, which gets (key, rep, root) and returns
+    links, or else by a join on the key.
     """
     low = members.groupBy("key").agg(F.min("rep").alias("hub"))
     now = members.join(low, "key").select("key", "rep", F.col("rep").alias("root"), "hub", F.col("hub").alias("hub_root"))
     ends = F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")
     x, y = (traits.select(F.col("rep").alias(c), F.col("trait").alias(f"trait_{c}")) for c in ("a", "b"))
     links: list[DataFrame] = []
-    for turn in range(hub_rounds + 1):
-        if turn < hub_rounds:
-            pairs = now.where("root <> hub_root").select(*ends).distinct()
-            pairs = pairs.join(x, "a").join(y, "b").where(close("trait_a", "trait_b")).select("a", "b")
-        else:
-            side = now.select("key", "rep", "root").join(traits, "rep")
-            a, b = (side.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "root", "trait"))) for s in "ab")
-            apart = (a.key == b.key) & (F.col("root_a") < F.col("root_b")) & close("trait_a", "trait_b")
-            pairs = a.join(b, apart).select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct()
+    for turn in range(hub_rounds):
+        pairs = now.where("root <> hub_root").select(*ends).distinct()
+        pairs = pairs.join(x, "a").join(y, "b").where(close("trait_a", "trait_b")).select("a", "b")
         links.append(scratch.keep(confirm(pairs)))
-        if turn == hub_rounds:
-            break
         roots = components(union_all(links), scratch)
         at = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
         at = at.select("key", "rep", F.coalesce("root", "rep").alias("root"))
         pick = F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), "rep", "root")).alias("pick")
         left = at.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), pick).where("low < high")
         now = scratch.keep(at.join(left.select("key", F.col("pick.rep").alias("hub"), F.col("pick.root").alias("hub_root")), "key"))
-        if not now.limit(1).count():
-            break
+    if last is None:
+        side = now.select("key", "rep", "root").join(traits, "rep")
+        a, b = (side.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "root", "trait"))) for s in "ab")
+        apart = (a.key == b.key) & (F.col("root_a") < F.col("root_b")) & close("trait_a", "trait_b")
+        ends = F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")
+        links.append(scratch.keep(confirm(a.join(b, apart).select(*ends).distinct())))
+    else:
+        links.append(scratch.keep(last(now.select("key", "rep", "root"))))
     return components(union_all(links), scratch)

@@ -6,8 +6,8 @@ packed values, corrected for chance collisions, estimates the similarity before
 
 Equal shingle sets are one class from the start.  Within a bucket a hub is compared with all members, so
 a large group of near copies takes one link a member; what lies in one component then needs no more pairs.
-Members of different components are finally compared with each other, so no link between components is
-lost to the hubs.
+Members of different components are finally compared with each other, block by block, so no link
+between components is lost to the hubs.
 """
 
 from __future__ import annotations
@@ -32,8 +32,8 @@ BANDS, ROWS = 32, 4
 BITS = 4
 #: Estimates this much below the wanted similarity are still checked: over six standard deviations.
 MARGIN = 0.25
-#: Rounds of one hub a bucket before the members of different components are compared.
-HUB_ROUNDS = 2
+#: Members of a bucket that meet at once when those of different components are compared.
+BLOCK = 512
 
 _MULTIPLIERS = (np.random.default_rng(20240501).integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
@@ -163,6 +163,59 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return with_a.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _between(now: DataFrame, bits: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between members of one bucket that lie in different components.
+
+    Members that the estimate pairs with none of another component go first.  Buckets are cut into
+    blocks, and every two blocks of a bucket meet in a group of their own, with full sets; a group
+    tells only links that join what its other links haven't joined yet.
+    """
+    percent = round(similarity * 100)
+    side = now.join(bits, "rep")
+    other = side.select(F.col("key").alias("key_"), F.col("root").alias("root_"), F.col("bits").alias("bits_"))
+    could = (F.col("key") == F.col("key_")) & (F.col("root") != F.col("root_")) & (estimate("bits", "bits_") >= similarity - MARGIN)
+    some = side.join(other, could, "left_semi")
+    cut = some.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("n"))
+    block = F.pmod(F.xxhash64("rep"), F.col("n"))
+    some = some.join(cut, "key").withColumn("own", block).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    some = some.withColumn("i", F.least("own", "with")).withColumn("j", F.greatest("own", "with"))
+    some = some.join(sets.select(F.col("id").alias("rep"), "hashes"), "rep").select("key", "i", "j", "own", "rep", "root", "bits", "hashes")
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        rep, root, own = (t.column(c).to_pylist() for c in ("rep", "root", "own"))
+        low = t.column("bits").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(rep), -1)
+        full = [np.frombuffer(x, np.uint64) for x in t.column("hashes").to_pylist()]
+        size = np.array([len(x) for x in full])
+        name, group = np.unique(np.array(root), return_inverse=True)
+        owns, chance, ones = np.array(own), 1 / (1 << BITS), np.uint64(sum(1 << k for k in range(0, 64, BITS)))
+        links = []
+        same = t.column("i")[0].as_py() == t.column("j")[0].as_py()
+        for a in range(len(rep)):
+            apart = group != group[a]
+            apart[: a + 1] = False
+            if not same:
+                apart &= owns != owns[a]
+            apart &= 100 * np.minimum(size, size[a]) >= percent * np.maximum(size, size[a])
+            near = np.flatnonzero(apart)
+            x = low[near] ^ low[a]
+            spread = x.copy()
+            for s in range(1, BITS):
+                spread |= x >> np.uint64(s)
+            differ = np.bitwise_count(spread & ones).sum(1)
+            for b in near[(1 - differ / (BANDS * ROWS) - chance) / (1 - chance) >= similarity - MARGIN]:
+                if group[b] == group[a]:
+                    continue
+                few, many = (full[a], full[b]) if size[a] < size[b] else (full[b], full[a])
+                both = int((many[np.minimum(np.searchsorted(many, few), len(many) - 1)] == few).sum())
+                if 100 * both >= percent * (int(size[a]) + int(size[b]) - both):
+                    links.append((min(rep[a], rep[b]), max(rep[a], rep[b])))
+                    group[group == group[b]] = group[a]
+        return pa.table([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["a", "b"])
+
+    return some.groupBy("key", "i", "j").applyInArrow(run, "a long, b long").distinct()
+
+
 def groups(
     df: DataFrame,
     spark: SparkSession,
@@ -170,7 +223,6 @@ def groups(
     text: str = "text",
     similarity: float = SIMILARITY,
     n: int = WORDS,
-    hub_rounds: int = HUB_ROUNDS,
     scratch: Scratch | None = None,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row.
@@ -203,7 +255,7 @@ def groups(
         lambda a, b: estimate(a, b) >= similarity - MARGIN,
         lambda pairs: confirmed(pairs, sets, similarity),
         scratch,
-        hub_rounds,
+        lambda now: _between(now, reps.select("rep", "bits"), sets, similarity),
     ).withColumnRenamed("node", "rep")
     out = classed.select("id", "n_shingles", F.coalesce("rep", "id").alias("rep")).join(roots, "rep", "left")
     component = F.coalesce("root", "rep")
