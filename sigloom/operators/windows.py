@@ -47,7 +47,7 @@ def n_windows(tokens: Column, n: int) -> Column:
 
 
 def explode_windows(df: DataFrame, n: int, tokens: str = "tokens", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """(keep, pos, gram, first_eos-ready size): every window of n tokens; none for shorter sequences."""
+    """(keep, pos, gram): every window of n tokens; none for shorter sequences."""
     t = F.col(tokens)
     all_ = F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(0), F.size(t) - n), lambda i: F.slice(t, i + 1, n)))
     return df.select(*keep, F.posexplode(all_).alias("pos", "gram"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .functions.text import content_words, seed64, seed_payload, sha256, shard, tokens
 from .operators import align, corpus, intervals, score, spans, windows
-from .plans import calibrate, evaluate, infer
+from .plans import calibrate, evaluate, infer, reports
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -42,7 +42,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def tokenized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", tokens(F.col("text")).alias("tokens"))
+    # Behind a generator: as a plain column the tokens would be made anew at every use.
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(tokens(F.col("text")))).alias("tokens"))
 
 
 # --- tokens, windows, signals ------------------------------------------------------------------------
@@ -637,6 +638,86 @@ def saturation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.saturation(li, ("l_suppkey",), "l_linenumber", "g", "c")
 
 
+# --- reports -----------------------------------------------------------------------------------------
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, concat_ws(',', CASE WHEN l_tax > 0.03 THEN 'WORDS' END, CASE WHEN l_discount > 0.015 THEN 'CHARACTERS' END,
+CASE WHEN NOT (1 + l_tax - l_discount BETWEEN 0.97 AND 1.03) THEN 'LENGTH' END) AS reasons FROM lineitem""")
+def visible_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reasons = reports.visible_cost("STRICT", F.col("l_tax"), F.col("l_discount"), 1 + F.col("l_tax") - F.col("l_discount"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.concat_ws(",", reasons).alias("reasons"))
+
+
+@query("SELECT doc_id, substr(text, 1, 3) || 'X' || substr(text, 6, 4) || substr(text, 12) AS output FROM documents WHERE length(text) >= 20")
+def replayed_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ops = F.array(*[F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"), F.lit(r).alias("replacement")) for a, b, r in ((3, 5, "X"), (9, 11, ""))])
+    d = table(spark, sf_dir, "documents").where(F.length("text") >= 20)
+    return d.select("doc_id", reports.replayed(F.col("text"), ops).alias("output"))
+
+
+@query("""SELECT o_orderpriority, o_orderstatus, a AS first, b AS second, b - a AS delta, CASE WHEN b IS NULL THEN 'ONLY_FIRST' WHEN a IS NULL THEN 'ONLY_SECOND' END AS problem
+FROM (SELECT o_orderpriority, o_orderstatus, count(*) AS a FROM orders WHERE o_orderkey % 2 = 0 GROUP BY ALL)
+FULL JOIN (SELECT o_orderpriority, o_orderstatus, count(*) AS b FROM orders WHERE o_orderkey % 2 = 1 GROUP BY ALL) USING (o_orderpriority, o_orderstatus)""")
+def replication_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = ("o_orderpriority", "o_orderstatus")
+    a, b = (table(spark, sf_dir, "orders").where(F.col("o_orderkey") % 2 == k).groupBy(*keys).agg(F.count("*").alias("n")) for k in (0, 1))
+    return reports.replication(a, b, keys, "n")
+
+
+@query("""SELECT count(*) AS n, count(*) FILTER (sign(l_discount - 0.05) = sign(l_tax - 0.04)) AS agree, round(avg(l_discount - 0.05), 9) AS mean_a, round(avg(l_tax - 0.04), 9) AS mean_b,
+round(corr(l_discount - 0.05, l_tax - 0.04), 6) AS correlation FROM lineitem""")
+def adapter_transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem").select((F.col("l_discount") - 0.05).alias("a"), (F.col("l_tax") - 0.04).alias("b"))
+    t = reports.transfer(li, "a", "b")
+    return t.select("n", "agree", F.round("mean_a", 9).alias("mean_a"), F.round("mean_b", 9).alias("mean_b"), F.round("correlation", 6).alias("correlation"))
+
+
+@query("""WITH c AS (SELECT l_suppkey, l_linenumber, count(*) AS controls, avg(l_discount) AS m FROM lineitem WHERE l_returnflag = 'N' GROUP BY ALL HAVING count(*) >= 8)
+SELECT l_suppkey, l_linenumber, count(*) AS n, round(avg(l_discount - m), 9) AS advantage FROM lineitem JOIN c USING (l_suppkey, l_linenumber) WHERE l_returnflag = 'R' GROUP BY ALL""")
+def matched_cost_advantage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li, keys = table(spark, sf_dir, "lineitem"), ("l_suppkey", "l_linenumber")
+    told = reports.matched_cost(li.where("l_returnflag = 'R'"), li.where("l_returnflag = 'N'"), keys, "l_discount")
+    return told.groupBy(*keys).agg(F.count("*").alias("n"), F.round(F.avg("advantage"), 9).alias("advantage"))
+
+
+@query("""SELECT l_returnflag, count(*) AS pairs, count(*) FILTER (l_discount > 0.05) AS gained, count(*) FILTER (l_discount > 0.05 AND l_quantity > 25) AS gained_and_dropped,
+round(avg(l_quantity - 25) FILTER (l_discount > 0.05), 6) AS mean_drop FROM lineitem GROUP BY 1""")
+def post_selection_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem").select("l_returnflag", (F.round(F.col("l_discount") * 100) - 5).alias("gain"), (F.col("l_quantity") - 25).alias("drop"))
+    r = reports.post_selection(li, "l_returnflag", "gain", "drop")
+    return r.select("l_returnflag", "pairs", "gained", "gained_and_dropped", F.round("mean_drop", 6).alias("mean_drop"))
+
+
+@query("""SELECT pair, 2 AS tokenizers, least(a, b) AS least, greatest(a, b) AS most, least(a, b) > 0 AS changed_by_all, a <> b AS metrics_differ
+FROM (SELECT p_partkey AS pair, CAST(levenshtein(p_name, p_brand) AS INT) AS a, CAST(levenshtein(lower(p_name), lower(p_brand)) AS INT) AS b FROM part)""")
+def tokenizer_differential(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    rows = [p.select(F.col("p_partkey").alias("pair"), F.lit(name).alias("tokenizer"), F.levenshtein(f("p_name"), f("p_brand")).alias("d"), F.length("p_name").alias("a"), F.length("p_brand").alias("b")) for name, f in (("exact", F.col), ("lower", F.lower))]
+    told = reports.differential(rows[0].unionByName(rows[1]), "pair", "tokenizer", "d", "a", "b")
+    return told.select("pair", F.col("tokenizers").cast("int").alias("tokenizers"), "least", "most", "changed_by_all", "metrics_differ")
+
+
+@query()
+def blind_fidelity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem").withColumn("good", F.col("l_discount") <= 0.08)
+    return reports.favourable(li, ("l_returnflag", "l_linestatus"), "good")
+
+
+@query()
+def single_edit_mechanism(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One substitution in the middle of every document of 20 tokens and more."""
+    t = tokenized(spark, sf_dir).where(F.size("tokens") >= 20)
+    at = F.floor(F.size("tokens") / 2).cast("int")
+    pairs = t.select(F.col("doc_id").alias("pair"), F.col("tokens").alias("a"), F.transform("tokens", lambda x, i: F.when(i == at, F.lit(-1).cast("long")).otherwise(x)).alias("b"), at.alias("pos"))
+    diffs = align.window_diffs(align.aligned(pairs), 5)
+    return reports.mechanism(diffs, pairs, 5)
+
+
+@query()
+def step_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.registry(spark).withColumn("needs", F.concat_ws(",", "needs"))
+
+
 # --- inference ---------------------------------------------------------------------------------------
 
 

@@ -147,3 +147,25 @@ def test_stream_scores_equal_batch_scores(spark, tmp_path):
     stream = spark.readStream.schema(docs.schema).parquet(str(tmp_path / "in"))
     score_stream(spark, stream, signal, lambda df, _: df.write.mode("append").parquet(out), str(tmp_path / "cp")).awaitTermination(120)
     assert sorted(spark.read.parquet(out).collect()) == sorted(score_batch(spark, docs, signal).collect())
+
+
+def test_reports(spark):
+    from sigloom.plans import reports
+
+    df = spark.createDataFrame([("abcdef", [(1, 2, "XY"), (4, 6, "")], "aXYcd"), ("", [], ""), ("ab", [(0, 1, "b")], "wrong")], "t string, ops array<struct<start:int,end:int,replacement:string>>, out string")
+    assert [r.t for r in reports.broken_traces(df, "t", "ops", "out").collect()] == ["ab"]
+    rows = lambda *r: spark.createDataFrame(r, "s string, b int, g double, ok boolean, win boolean")
+    gate = lambda df: reports.paired_gate(df, "s", "b", "g", "ok", "win").first().verdict
+    assert gate(rows(("x", 4, 1.0, True, True), ("x", 6, 1.0, True, True))) == "PASS"
+    assert gate(rows(("x", 4, 1.0, True, False), ("x", 6, 1.0, True, True))) == "K1"
+    assert gate(rows(("x", 4, 0.0, True, True), ("x", 6, 1.0, True, True))) == "K2"
+    assert gate(rows(("x", 4, 1.0, True, True), ("y", 6, 1.0, True, True))) == "INCOMPLETE"
+    use = reports.rule_usage(spark.createDataFrame([("a", ["r", "r", "q"]), ("a", ["r"])], "arm string, rules array<string>"), "rules", "arm")
+    assert {(r.rule, r.traces, r.uses) for r in use.collect()} == {("r", 2, 3), ("q", 1, 1)}
+    with pytest.raises(ValueError):
+        reports.registry(spark, {"a": ("b",), "b": ("a",)})
+    rules, kinds = spark.createDataFrame([("r",)], "rule string"), spark.createDataFrame([("k",), ("l",)], "kind string")
+    seen = spark.createDataFrame([("r", "k", True, False)], "rule string, kind string, overlaps boolean, violated boolean")
+    assert {(r.kind, r.overlap) for r in reports.stress_matrix(rules, kinds, seen).collect()} == {("k", 1), ("l", 0)}
+    ready = reports.readiness(rules, spark.createDataFrame([("r", "READY")], "rule string, status string"), spark.createDataFrame([("r",)] * 5, "rule string"))
+    assert ready.first().status == "READY"
