@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -20,7 +22,9 @@ def keep(df: DataFrame) -> DataFrame:
     app = spark.sparkContext.applicationId
     if not root:
         if app not in _LOCAL:
-            _LOCAL[app] = f"file://{tempfile.mkdtemp(prefix='sigloom-')}"
+            folder = tempfile.mkdtemp(prefix="sigloom-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            _LOCAL[app] = f"file://{folder}"
         root = _LOCAL[app]
     path = f"{root.rstrip('/')}/{app}-{uuid.uuid4().hex}"
     df.write.parquet(path)
