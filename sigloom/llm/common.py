@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
+import shutil
 import tempfile
 import time
 import uuid
@@ -25,6 +27,7 @@ def shared_dir(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
         _LOCAL[app] = tempfile.mkdtemp(prefix="sigloom-")
+        atexit.register(shutil.rmtree, _LOCAL[app], ignore_errors=True)
     return f"file://{_LOCAL[app]}"
 
 
@@ -111,7 +114,6 @@ def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -
 
 def link_buckets(
     members: DataFrame,
-    traits: DataFrame,
     close: Callable[[str, str], Column],
     confirm: Callable[[DataFrame], DataFrame],
     scratch: Scratch,
@@ -120,34 +122,34 @@ def link_buckets(
 ) -> DataFrame:
     """(node, root) of the components of confirmed links between members of one bucket.
 
-    ``members`` is (key, rep), ``traits`` (rep, trait) a small value of each; ``close`` is a necessary
+    ``members`` is (key, rep, trait), the trait a small value of the rep; ``close`` is a necessary
     condition on two trait columns, ``confirm`` keeps the pairs (a, b) that are links.  Hubs first: a
     bucket's hub is compared with its members, one pair a member, and buckets that then lie in one
     component are done.  After that, members of different components are compared, so that no link
-    that would join two components is missed: by ``last``, which gets (key, rep, root) and returns
-    links, or else by a join on the key.
+    that would join two components is missed: by ``last``, which gets (key, rep, root, trait) and
+    returns links, or else by a join on the key.
     """
-    low = members.groupBy("key").agg(F.min("rep").alias("hub"))
-    now = members.join(low, "key").select("key", "rep", F.col("rep").alias("root"), "hub", F.col("hub").alias("hub_root"))
-    ends = F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")
-    x, y = (traits.select(F.col("rep").alias(c), F.col("trait").alias(f"trait_{c}")) for c in ("a", "b"))
+    low = members.groupBy("key").agg(F.min_by("trait", "rep").alias("hub_trait"), F.min("rep").alias("hub"))
+    now = members.withColumn("root", F.col("rep")).join(low.withColumn("hub_root", F.col("hub")), "key")
     links: list[DataFrame] = []
     for turn in range(hub_rounds):
-        pairs = now.where("root <> hub_root").select(*ends).distinct()
-        pairs = pairs.join(x, "a").join(y, "b").where(close("trait_a", "trait_b")).select("a", "b")
-        links.append(scratch.keep(confirm(pairs)))
+        pairs = now.where((F.col("root") != F.col("hub_root")) & close("trait", "hub_trait"))
+        links.append(scratch.keep(confirm(pairs.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct())))
         roots = components(union_all(links), scratch)
         at = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-        at = at.select("key", "rep", F.coalesce("root", "rep").alias("root"))
-        pick = F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), "rep", "root")).alias("pick")
-        left = at.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), pick).where("low < high")
-        now = scratch.keep(at.join(left.select("key", F.col("pick.rep").alias("hub"), F.col("pick.root").alias("hub_root")), "key"))
+        at = at.select("key", "rep", "trait", F.coalesce("root", "rep").alias("root"))
+        order = F.xxhash64("rep", F.lit(turn))
+        left = at.groupBy("key").agg(
+            F.min("root").alias("low"), F.max("root").alias("high"), F.min_by(F.struct("rep", "root", "trait"), order).alias("pick")
+        ).where("low < high")
+        hub = left.select("key", *(F.col(f"pick.{c}").alias(n) for c, n in (("rep", "hub"), ("root", "hub_root"), ("trait", "hub_trait"))))
+        now = scratch.keep(at.join(hub, "key"))
     if last is None:
-        side = now.select("key", "rep", "root").join(traits, "rep")
+        side = now.select("key", "rep", "root", "trait")
         a, b = (side.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "root", "trait"))) for s in "ab")
         apart = (a.key == b.key) & (F.col("root_a") < F.col("root_b")) & close("trait_a", "trait_b")
         ends = F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")
         links.append(scratch.keep(confirm(a.join(b, apart).select(*ends).distinct())))
     else:
-        links.append(scratch.keep(last(now.select("key", "rep", "root"))))
+        links.append(scratch.keep(last(now.select("key", "rep", "root", "trait"))))
     return components(union_all(links), scratch)

@@ -1,6 +1,6 @@
 """Fuzzy line deduplication with DataFrame functions only.
 
-Normalised lines get a 63-bit SimHash of their words.  Two lines are near if their hashes differ in at
+Normalised lines get a 60-bit SimHash of their words.  Two lines are near if their hashes differ in at
 most three bits and their word sequences have an edit similarity of at least 0.8.  Hashes are cut into
 blocks; lines that near each other agree on some choice of whole blocks, whose bits make a bucket key.
 Of each connected group of equal or near lines the first occurrence stays.
@@ -20,48 +20,78 @@ from .common import Scratch, link_buckets
 DIFFER, SIMILARITY = 3, 0.8
 #: Lines of fewer words always stay.
 MIN_WORDS = 3
-BITS = 63
-#: Lanes of 21 bits in a long: counts of up to two million words a line.
-_LANE = 21
-_ONES = 1 | 1 << _LANE | 1 << 2 * _LANE
+BITS = 60
+#: Four counters of 15 bits in a long; words are counted in chunks that can't overflow them.
+_LANE, _LANES = 15, 4
+_ONES = sum(1 << k * _LANE for k in range(_LANES))
+_HALF = (1 << _LANE - 1) - 1
+_CHUNK = _HALF
+#: Lines that may be looked up by a broadcast of their places, some 50 bytes each; more are joined.
+BROADCAST_LINES = 400_000
 #: Code points that stand for words in edit distances: 20,000 from U+4E00.
 _FIRST_CODE, _CODES = 0x4E00, 20_000
 
 
-def words(line: Column) -> Column:
-    """A line's words: runs of letters and digits, lower case."""
-    return F.array_remove(F.split(F.lower(line), r"[^\p{L}\p{N}]+"), "")
+def words(lowered: Column) -> Column:
+    """A lower-case line's words: runs of letters and digits."""
+    return F.array_remove(F.split(lowered, r"[^\p{L}\p{N}]+"), "")
 
 
 def lines(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, pos, words) of every line."""
-    each = df.select(F.col(doc_id).alias("doc_id"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
-    return each.select("doc_id", "pos", words(F.col("line")).alias("words"))
+    """(doc_id, pos, h1, h2, n, m, words) of every line: a digest of its words, their number, and the
+    distinct ones, so that a word that fills a line doesn't decide the line's hash alone.
+
+    All is made inside the generator, once a line; columns beside it would be made again for each use.
+    """
+    told = lambda w: F.struct(
+        F.xxhash64(w).alias("h1"), F.hash(w).alias("h2"), F.size(w).alias("n"), F.array_distinct(w).alias("words")
+    )
+    each = F.transform(F.transform(F.split(F.lower(text), "\n"), words), told)
+    return df.select(F.col(doc_id).alias("doc_id"), F.posexplode(each).alias("pos", "line")).select("doc_id", "pos", "line.*", F.size("line.words").alias("m"))
 
 
-def with_simhash(each: DataFrame) -> DataFrame:
-    """(doc_id, pos, h1, h2, n, sim): a digest and the SimHash of each line's words.
+def counted(each: DataFrame) -> DataFrame:
+    """(doc_id, pos, h1, h2, n, m, sim, sums): SimHashes of lines.
 
-    A word's hash adds to 63 counters, three in each of 21 sums.
+    A distinct word's hash adds to 60 counters, four in each of 15 sums; a bit is set if more than half
+    of these words have it, which one addition tells for all counters of a sum.  A line of several chunks has a
+    row for each, with its sums and no hash yet.
     """
-    told = each.select("doc_id", "pos", F.xxhash64("words").alias("h1"), F.hash("words").alias("h2"), F.size("words").alias("n"), F.explode("words").alias("word"))
-    told = told.withColumn("h", F.xxhash64("word")).drop("word")
+    line = ["doc_id", "pos", "h1", "h2", "n", "m"]
+    told = each.select(*line, F.posexplode("words").alias("at", "word"))
+    told = told.select(*line, F.floor(F.col("at") / _CHUNK).alias("chunk"), F.xxhash64("word").alias("h"))
     sums = [F.sum(F.shiftrightunsigned("h", j).bitwiseAND(F.lit(_ONES))).alias(f"s{j}") for j in range(_LANE)]
-    counted = told.groupBy("doc_id", "pos", "h1", "h2", "n").agg(*sums)
-    sim = F.lit(0).cast("long")
-    for j, lane in itertools.product(range(_LANE), range(3)):
-        count = F.shiftrightunsigned(f"s{j}", lane * _LANE).bitwiseAND(F.lit((1 << _LANE) - 1))
-        sim = sim.bitwiseOR(F.when(count * 2 > F.col("n"), F.lit(1 << (j + lane * _LANE)).cast("long")).otherwise(F.lit(0).cast("long")))
-    return counted.select("doc_id", "pos", "h1", "h2", "n", sim.alias("sim"))
+    by = told.groupBy(*line, "chunk").agg(*sums)
+    all_ = F.array(*[f"s{j}" for j in range(_LANE)])
+    whole = F.col("m") <= _CHUNK
+    # Over an array: written out, the expression makes a method too long to be compiled.
+    spare = (F.lit(_HALF).cast("long") - F.col("m")) * F.lit(_ONES)
+    more = lambda s, j: F.call_function("shiftleft", F.shiftrightunsigned(s * 2 + spare, _LANE - 1).bitwiseAND(F.lit(_ONES)), j)
+    sim = F.aggregate(F.transform(all_, more), F.lit(0).cast("long"), lambda acc, bit: acc.bitwiseOR(bit))
+    out = F.struct(F.when(whole, sim).alias("sim"), F.when(~whole, all_).alias("sums"))
+    # Behind a generator, so that the aggregation itself is compiled: it can't hold functions of arrays.
+    return by.select(*line, F.explode(F.array(out)).alias("out")).select(*line, "out.*")
+
+
+def with_simhash(parts: DataFrame) -> DataFrame:
+    """(doc_id, pos, h1, h2, n, m, sim) from a table of ``counted``: chunks of long lines are put together."""
+    line = ["doc_id", "pos", "h1", "h2", "n", "m"]
+    short = parts.where("sums IS NULL").select(*line, "sim")
+    lanes = F.array(*[F.struct(F.lit(k).alias("lane"), F.shiftrightunsigned("s", k * _LANE).bitwiseAND(F.lit((1 << _LANE) - 1)).alias("c")) for k in range(_LANES)])
+    bits = parts.where("sums IS NOT NULL").select(*line, F.posexplode("sums").alias("j", "s")).select(*line, "j", F.explode(lanes).alias("x"))
+    total = bits.groupBy(*line, (F.col("j") + F.col("x.lane") * _LANE).alias("bit")).agg(F.sum("x.c").alias("c"))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))
+    long_ = total.groupBy(*line).agg(F.bit_or(F.when(F.col("c") * 2 > F.col("m"), one).otherwise(F.lit(0).cast("long"))).alias("sim"))
+    return short.unionByName(long_)
 
 
 def block_plan(count: int, differ: int = DIFFER) -> list[list[tuple[int, int]]]:
     """Choices of blocks (start, bits) for keys; every choice the pigeonhole principle asks for.
 
     With ``differ + r`` blocks, near hashes agree on r of them.  r grows with the number of lines so
-    that keys stay selective; what is near doesn't depend on it.
+    that chance brings at most 64 lines into a bucket; what is near doesn't depend on it.
     """
-    want = math.log2(max(2, count)) + 4
+    want = math.log2(max(2, count)) - 6
     r = 1
     while r < 4 and BITS // (differ + r) * r < want:
         r += 1
@@ -83,8 +113,11 @@ def bucket_keys(sim: Column, plan: list[list[tuple[int, int]]]) -> Column:
     return F.array(*keys)
 
 
-def _near(a: str, b: str) -> Column:
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= DIFFER
+def _near(a: str, b: str, similarity: float) -> Column:
+    """Whether hashes are near, and numbers of words near enough for the edit similarity."""
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    apart = F.abs(n - m) <= F.floor(F.greatest(n, m) * (1 - similarity) + 1e-9)
+    return (F.bit_count(F.col(f"{a}.sim").bitwiseXOR(F.col(f"{b}.sim"))) <= DIFFER) & apart
 
 
 def _codes(line_words: Column) -> Column:
@@ -121,33 +154,34 @@ def repeated_lines(
     """
     scratch = scratch or Scratch(spark)
     docs = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    each = lines(docs, "doc_id", "text").where(F.size("words") >= min_words)
-    told = scratch.keep(with_simhash(each))
+    each = lines(docs, "doc_id", "text").where(F.col("n") >= min_words)
+    told = with_simhash(scratch.keep(counted(each)))
     scratch.sweep()
     spot = F.struct("doc_id", "pos")
     distinct = told.groupBy("h1", "h2").agg(F.min(spot).alias("first"), F.count("*").alias("n_seen"), F.min("sim").alias("sim"), F.min("n").alias("n"))
     distinct = scratch.keep(distinct.withColumn("rep", F.monotonically_increasing_id()))
     plan = block_plan(distinct.count())
-    keys = distinct.select("rep", "sim", F.explode(bucket_keys(F.col("sim"), plan)).alias("key"))
-    shared = keys.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("key")
-    members = scratch.keep(keys.join(shared, "key"))
-    scratch.sweep()
-    other = members.select(F.col("key").alias("key_"), F.col("rep").alias("rep_"), F.col("sim").alias("sim_"))
-    near = members.join(other, (F.col("key") == F.col("key_")) & (F.col("rep") != F.col("rep_")) & _near("sim", "sim_"), "left_semi")
-    involved = scratch.keep(near.select("key", "rep"))
-    reps = involved.select("rep").distinct().join(distinct, "rep").select("rep", "sim", "first.doc_id", "first.pos")
+    trait = F.struct("sim", "n").alias("trait")
+    close = lambda a, b: _near(a, b, similarity)
+    keys = distinct.select("rep", trait, F.explode(bucket_keys(F.col("sim"), plan)).alias("key"))
+    # The table against itself, so that one exchange serves both sides.
+    x, y = keys.alias("x"), keys.alias("y")
+    meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") != F.col("y.rep")) & close("x.trait", "y.trait")
+    near = x.join(y, meet, "left_semi")
+    involved = scratch.keep(near.select("key", "rep", "trait"))
+    reps = involved.select("rep").distinct().join(distinct, "rep").select("rep", trait, "first.doc_id", "first.pos")
     reps = scratch.keep(reps)
-    scratch.drop(members)
     scratch.sweep()
     at = reps.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "rep")).alias("at"))
-    some = docs.join(at, "doc_id").select("at", F.split("text", "\n").alias("line"))
-    some = some.select("line", F.explode("at").alias("at")).select("at.rep", _codes(words(F.element_at("line", F.col("at.pos") + 1))).alias("codes"))
+    code = lambda all_: F.transform("at", lambda a: F.struct(a["rep"].alias("rep"), _codes(words(F.element_at(all_, a["pos"] + 1))).alias("codes")))
+    bound = F.transform(F.array(F.split(F.lower("text"), "\n")), code)[0]
+    few = reps.count() <= BROADCAST_LINES
+    some = docs.join(F.broadcast(at) if few else at, "doc_id").select(F.explode(bound).alias("line")).select("line.*")
     codes = scratch.keep(some.dropDuplicates(["rep"]))
     scratch.sweep()
     roots = link_buckets(
         involved,
-        reps.select("rep", F.col("sim").alias("trait")),
-        _near,
+        close,
         lambda pairs: _confirm(pairs, codes, similarity),
         scratch,
     ).withColumnRenamed("node", "rep")
@@ -159,22 +193,26 @@ def repeated_lines(
     return gone.select("doc_id", "pos", F.col("stays.doc_id").alias("first_doc"), F.col("stays.pos").alias("first_pos"))
 
 
-def dedup_lines(df: DataFrame, spark: SparkSession, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+def dedup_lines(
+    df: DataFrame, spark: SparkSession, doc_id: str = "doc_id", text: str = "text", into: tuple[str, str] = ("n_lines", "n_removed"), **options
+) -> DataFrame:
     """The table with repeated lines cut from ``text``, and with n_lines and n_removed (long).
 
     Options are those of ``repeated_lines``.  A row with a null text or id comes back as it is, with 0
-    removed; n_lines of a null text is 0.  Columns named n_lines or n_removed are replaced.
+    removed; n_lines of a null text is 0.  ``into`` names the two counts; columns of these names are
+    replaced.
     """
     gone = repeated_lines(df, spark, doc_id, text, **options)
     gone = gone.groupBy(F.col("doc_id").alias("▁id")).agg(F.collect_set("pos").alias("▁gone"))
-    split = F.split(text, "\n")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), "▁gone")
-    kept = F.array_join(F.transform(stay, lambda i: F.element_at(split, i + 1)), "\n")
+    # A lambda binds the split text: as an expression it would be split anew for every line.
+    stay = lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("▁gone"))
+    rest = lambda lines: F.array_join(F.transform(stay(lines), lambda i: F.element_at(lines, i + 1)), "\n")
+    kept = F.transform(F.array(F.split(text, "\n")), rest)[0]
     has = F.col("▁gone").isNotNull()
     out = df.join(gone, F.col(doc_id) == F.col("▁id"), "left")
     counts = {
-        "n_lines": F.when(F.col(text).isNull(), 0).otherwise(F.size(split)).cast("long"),
-        "n_removed": F.when(has, F.size("▁gone")).otherwise(0).cast("long"),
+        into[0]: F.when(F.col(text).isNull(), 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long"),
+        into[1]: F.when(has, F.size("▁gone")).otherwise(0).cast("long"),
         text: F.when(has, kept).otherwise(F.col(text)),
     }
     return out.withColumns(counts).drop("▁id", "▁gone")

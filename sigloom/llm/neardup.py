@@ -111,7 +111,7 @@ def signatures(df: DataFrame, text: str, keep: tuple[str, ...], n: int) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         renamed = (pa.RecordBatch.from_arrays(b.columns, names=[*b.schema.names[:-1], "▁text"]) for b in batches)
-        for batch in slices(renamed, "▁text"):
+        for batch in slices(renamed, "▁text", 2 << 20):
             sets = shingle_sets(batch.column(len(keep)), n)
             sizes = np.array([len(s) for s in sets], np.int64)
             full = np.flatnonzero(sizes)
@@ -133,7 +133,7 @@ def _sets(df: DataFrame, n: int) -> DataFrame:
     """(id, hashes): the full shingle set of each document, as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 2 << 20):
             sets = pa.array([s.tobytes() for s in shingle_sets(batch.column(1), n)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), sets], names=["id", "hashes"])
 
@@ -163,7 +163,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return with_a.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _between(now: DataFrame, bits: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def _between(side: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Links (a, b) between members of one bucket that lie in different components.
 
     Members that the estimate pairs with none of another component go first.  Buckets are cut into
@@ -171,7 +171,6 @@ def _between(now: DataFrame, bits: DataFrame, sets: DataFrame, similarity: float
     tells only links that join what its other links haven't joined yet.
     """
     percent = round(similarity * 100)
-    side = now.join(bits, "rep")
     other = side.select(F.col("key").alias("key_"), F.col("root").alias("root_"), F.col("bits").alias("bits_"))
     could = (F.col("key") == F.col("key_")) & (F.col("root") != F.col("root_")) & (estimate("bits", "bits_") >= similarity - MARGIN)
     some = side.join(other, could, "left_semi")
@@ -241,9 +240,10 @@ def groups(
     reps = marks.join(own, ["id", "d1", "d2"], "left_semi").select(F.col("id").alias("rep"), "bands", "bits").dropDuplicates(["rep"])
     reps = scratch.keep(reps)
     scratch.drop(marks)
-    keys = reps.select("rep", F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
-    members = scratch.keep(keys.join(shared.select("key"), "key"))
+    keys = reps.select("rep", F.col("bits").alias("trait"), F.explode("bands").alias("key"))
+    shared = keys.select("key", "rep").groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
+    members = keys.drop("trait").join(shared.select("key"), "key").join(reps.select("rep", F.col("bits").alias("trait")), "rep")
+    members = scratch.keep(members.select("key", "rep", "trait"))
     scratch.sweep()
     involved = members.select(F.col("rep").alias("id")).distinct()
     texts = docs.join(involved, "id", "left_semi")
@@ -251,11 +251,10 @@ def groups(
     scratch.sweep()
     roots = link_buckets(
         members,
-        reps.select("rep", F.col("bits").alias("trait")),
         lambda a, b: estimate(a, b) >= similarity - MARGIN,
         lambda pairs: confirmed(pairs, sets, similarity),
         scratch,
-        lambda now: _between(now, reps.select("rep", "bits"), sets, similarity),
+        lambda now: _between(now.withColumnRenamed("trait", "bits"), sets, similarity),
     ).withColumnRenamed("node", "rep")
     out = classed.select("id", "n_shingles", F.coalesce("rep", "id").alias("rep")).join(roots, "rep", "left")
     component = F.coalesce("root", "rep")
