@@ -18,17 +18,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = fit(spark.read.parquet(f"{sf_dir}/documents.parquet"), labels.where(crc_mod("doc_id", 5) != 0))
-    return score(docs, model, keep=tuple(docs.columns)).where("score < 0.5").drop("score", "sentences")
+    scored = score(docs, model, keep=tuple(docs.columns), into=("▁score", "▁sentences"))
+    return scored.where(F.col("▁score") < 0.5).select(*docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that an earlier one holds; those left without any text go."""
     from sigloom.llm import lines
 
-    cut = lines.dedup_lines(docs, spark)
-    emptied = (F.col("n_removed") > 0) & (F.trim(F.col("text")) == "")
+    cut = lines.dedup_lines(docs, spark, into=("▁lines", "▁removed"))
+    emptied = (F.col("▁removed") > 0) & (F.trim(F.col("text")) == "")
     kept = cut.where(F.coalesce(~emptied, F.lit(True)))
-    n_chars = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
+    n_chars = F.when(F.col("▁removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
     return kept.withColumn("n_chars", n_chars.cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 

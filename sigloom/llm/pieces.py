@@ -22,7 +22,7 @@ from .words import slices
 
 MARK = "▁"
 #: Distinct chunks that a worker remembers between slices.
-TABLE_CHUNKS = 200_000
+TABLE_CHUNKS = 150_000
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, object]]:
@@ -167,14 +167,16 @@ def encode(
     """The columns ``keep`` and ``into`` (array<int>), the model's ids of the whole text.
 
     A null text counts as empty; an empty one has only the end id.  ``model_path`` must be readable
-    on every worker.  Rows are independent: repeated rows give repeated results.
+    on every worker.  Rows are independent: repeated rows give repeated results.  A kept column named
+    like ``into`` is replaced.
     """
+    keep = tuple(c for c in keep if c != into)
     out = T.StructType([df.schema[c] for c in keep] + [T.StructField(into, T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = ChunkEncoder(model_path)
         end = encoder.model.eos_id() if add_end else None
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, 2 << 20):
             bounds, ids = encoder.encode(batch.column(len(keep)), end)
             lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(keep))] + [lists], names=[*keep, into])
@@ -192,7 +194,11 @@ def _named(run, text: str):
 
 
 def decode(df: DataFrame, model_path: str, ids: str = "ids", into: str = "decoded", keep: tuple[str, ...] = ()) -> DataFrame:
-    """The columns ``keep`` and ``into``, the text that the model's decoder gives for the ids."""
+    """The columns ``keep`` and ``into``, the text that the model's decoder gives for the ids.
+
+    Null ids count as none.  A kept column named like ``into`` is replaced, as in ``encode``.
+    """
+    keep = tuple(c for c in keep if c != into)
     out = T.StructType([df.schema[c] for c in keep] + [T.StructField(into, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,8 +7,9 @@ sentence probabilities then locate what offends.
 
 from __future__ import annotations
 
+import multiprocessing
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ from pyspark.sql import types as T
 from .words import slices, split_words
 
 #: Labelled rows at most that the weights are fitted on, those least by the hash of their id.
-TRAIN_ROWS = 6_000
+TRAIN_ROWS = 4_000
 #: Features are numbered by hash: a word has itself and its beginnings of these lengths.
 FEATURES = 1 << 20
 BEGINNINGS = (4, 5, 6, 7)
@@ -81,16 +82,24 @@ def score_texts(texts: pa.Array, table: np.ndarray, bias: float) -> tuple[np.nda
     return whole, each, starts, of_text
 
 
+def _sums(index: np.ndarray, values: np.ndarray, at: np.ndarray, size: int, block: int = 1 << 20) -> np.ndarray:
+    """Sums of values[at] by index, in blocks: what is gathered at once stays small."""
+    out = np.zeros(size)
+    for k in range(0, len(index), block):
+        out += np.bincount(index[k : k + block], values[at[k : k + block]], size)
+    return out
+
+
 def _ascend(word, sentence, text, y, w, bias, rounds, sparse) -> tuple[np.ndarray, float]:
     """Gradient ascent on the likelihood of the texts' labels, with shrinking towards zero weights."""
     count, texts = len(text), int(text.max(initial=-1)) + 1
     past_w, past_b = np.full(len(w), 1e-3), 1e-3
     for _ in range(rounds):
-        each = _probability(np.bincount(sentence, w[word], count) + bias)
+        each = _probability(_sums(sentence, w, word, count) + bias)
         clean = np.bincount(text, np.log1p(-each), texts)[text]
         toxic = np.maximum(-np.expm1(clean), 1e-9)
         g = each * (y * np.exp(clean) / toxic - (1 - y))
-        gw, gb = np.bincount(word, g[sentence], len(w)), g.sum()
+        gw, gb = _sums(word, g, sentence, len(w)), g.sum()
         past_w += gw * gw
         past_b += gb * gb
         step = 0.3 / np.sqrt(past_w)
@@ -125,7 +134,7 @@ def train(numbers: list[np.ndarray], starts: list[np.ndarray], labels: np.ndarra
         of = np.repeat(of.cumsum(), PER_WORD)
         w = np.where(x >= 0, column[x], -1)
         word.append(w[w >= 0])
-        sentence.append((of + count)[w >= 0])
+        sentence.append((of + count)[w >= 0].astype(np.int32))
         text.append(np.full(len(s), i))
         count += len(s)
     word, sentence, text = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (word, sentence, text))
@@ -133,7 +142,7 @@ def train(numbers: list[np.ndarray], starts: list[np.ndarray], labels: np.ndarra
     w, bias = _ascend(word, sentence, text, y_of, np.zeros(len(known)), -4.0, rounds, sparse)
     # Shrinking picks the features; a second run gives those their full weights.
     picked = np.flatnonzero(w)
-    again = np.full(len(known), -1)
+    again = np.full(len(known), -1, np.int32)
     again[picked] = np.arange(len(picked))
     on = again[word] >= 0
     w, bias = _ascend(again[word[on]], sentence[on], text, y_of, w[picked], bias, rounds, sparse / 10)
@@ -153,7 +162,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     rows_ = docs.select(F.col(doc_id).alias("▁id"), F.col(text).alias("▁text")).join(F.broadcast(some), "▁id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 2 << 20):
             features, words, starts, of_text = _sentences(batch.column(1))
             first = np.append(starts, len(words))[of_text]
             xs = [features[words[a:b]].ravel() for a, b in zip(first, first[1:])]
@@ -161,18 +170,47 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(xs, pa.list_(pa.int32())), pa.array(ss, pa.list_(pa.int32()))], names=["y", "x", "s"])
 
     got = rows_.select(F.col("▁y").alias("y"), F.col("▁text").alias("text")).mapInArrow(run, "y int, x array<int>, s array<int>").toArrow()
+    return _apart(_train_table, got)
+
+
+def _train_table(got: pa.Table) -> Model:
     x, s = ([v.values.to_numpy(zero_copy_only=False) for v in got.column(c)] for c in ("x", "s"))
     return train(x, s, got.column("y").to_numpy())
 
 
-def score(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), offend: float = 0.5) -> DataFrame:
+def _apart(f: Callable, *args: object) -> object:
+    """``f(*args)`` in a forked process, so that the driver doesn't keep the memory that it took."""
+    receive, send = multiprocessing.get_context("fork").Pipe(False)
+
+    def run() -> None:
+        try:
+            send.send((f(*args), None))
+        except BaseException as e:  # noqa: BLE001  told to the parent
+            send.send((None, repr(e)))
+
+    child = multiprocessing.get_context("fork").Process(target=run)
+    child.start()
+    send.close()
+    try:
+        out, problem = receive.recv()
+    except EOFError:
+        out, problem = None, "it ended early"
+    child.join()
+    if problem:
+        raise RuntimeError(f"training failed: {problem}")
+    return out
+
+
+def score(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), offend: float = 0.5, into: tuple[str, str] = ("score", "sentences")) -> DataFrame:
     """The columns ``keep``, ``score`` and ``sentences``: (start, end, score) of those that offend.
 
     ``score`` is the noisy-or over all sentences of the whole text, 0 for a null or blank one.
-    Positions are code points.  Rows are independent; other columns are ignored.
+    Positions are code points.  Rows are independent; other columns are ignored.  ``into`` names the two
+    new columns; kept columns of these names are replaced.
     """
+    keep = tuple(c for c in keep if c not in into)
     span = T._parse_datatype_string("array<struct<start:int,end:int,score:double>>")
-    out = T.StructType([df.schema[c] for c in keep] + [T.StructField("score", T.DoubleType()), T.StructField("sentences", span)])
+    out = T.StructType([df.schema[c] for c in keep] + [T.StructField(into[0], T.DoubleType()), T.StructField(into[1], span)])
     numbers, values, bias = model.numbers, model.values, model.bias
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +221,7 @@ def score(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...]
         word = re.compile(r"[^ \t-\r]+")
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
         renamed = (pa.RecordBatch.from_arrays(b.columns, names=[*b.schema.names[:-1], "▁text"]) for b in batches)
-        for batch in slices(renamed, "▁text"):
+        for batch in slices(renamed, "▁text", 2 << 20):
             texts = batch.column(len(keep))
             whole, each, starts, of_text = score_texts(texts, table, bias)
             bad = [[] for _ in range(len(whole))]
@@ -194,6 +232,6 @@ def score(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...]
                 stops = np.append(own[1:], len(spans))
                 for j in where[(where >= of_text[i]) & (where < of_text[i + 1])] - of_text[i]:
                     bad[i].append({"start": spans[own[j]][0], "end": spans[stops[j] - 1][1], "score": float(each[of_text[i] + j])})
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(len(keep))), pa.array(whole), pa.array(bad, kind)], names=[*keep, "score", "sentences"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(len(keep))), pa.array(whole), pa.array(bad, kind)], names=out.names)
 
     return df.select(*keep, F.col(text).alias("▁text")).mapInArrow(run, out)
