@@ -46,7 +46,8 @@ def broken_traces(df: DataFrame, text: str, ops: str, output: str) -> DataFrame:
 
 def rule_usage(df: DataFrame, rules: str, arm: str) -> DataFrame:
     """(arm, rule, traces, uses) from an array of rule names in each trace."""
-    each = df.select(arm, F.monotonically_increasing_id().alias("trace_"), F.explode(rules).alias("rule"))
+    numbered = df.withColumn("trace_", F.monotonically_increasing_id())  # below the generator: one number a trace
+    each = numbered.select(arm, "trace_", F.explode(rules).alias("rule"))
     by = each.groupBy(arm, "rule", "trace_").agg(F.count("*").alias("n"))
     return by.groupBy(arm, "rule").agg(F.count("*").alias("traces"), F.sum("n").alias("uses"))
 
