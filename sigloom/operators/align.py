@@ -107,7 +107,8 @@ def _align_batch(a: pd.Series, b: pd.Series) -> pd.DataFrame:
 
 def aligned(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """The pairs with column ``al``; its fields are null where the pair is too large."""
-    return pairs.withColumn("al", _align_batch(a, b))
+    # Told to be nondeterministic, so that a filter on it doesn't align every pair a second time.
+    return pairs.withColumn("al", _align_batch.asNondeterministic()(a, b))
 
 
 def conserved_runs(pairs: DataFrame, keep: tuple[str, ...] = ("pair",)) -> DataFrame:
