@@ -7,6 +7,7 @@ calibrated weight over the cell's tokens, scaled to the wanted number of tokens.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +19,8 @@ POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.8}
 #: Share of all tokens to draw.
 SHARE = 0.6
 ROUNDS, TOLERANCE = 40, 1e-9
+#: Up to so many cells the driver rakes their sums itself; more are raked where they lie, by the same steps.
+DRIVER_CELLS = 50_000
 
 
 def n_words(text: Column) -> Column:
@@ -87,6 +90,41 @@ def probabilities(cells: DataFrame, wanted: float) -> DataFrame:
     return cells.withColumn("p", F.least(F.lit(1.0), ratio * F.lit(scale)))
 
 
+def solve(rows: list, targets: dict[str, dict[str, float]], powers: dict[str, float], share: float) -> list[tuple]:
+    """(source, lang, topic, p) for a small table of cells: ``rake`` and ``probabilities`` on arrays."""
+    rows = [r for r in rows if r["tokens"] > 0]
+    tokens = np.array([r["tokens"] for r in rows], float)
+    wanted = share * tokens.sum()
+    weight = tokens / tokens.sum() if len(rows) else tokens
+    axes = []
+    for axis in AXES:
+        names, code = np.unique(np.array([r[axis] for r in rows], object), return_inverse=True)
+        given = targets.get(axis)
+        if given:
+            goal = np.array([given.get(n, 0.0) for n in names]) / sum(given.values())
+        else:
+            raised = np.bincount(code, tokens, len(names)) ** powers[axis]
+            goal = raised / raised.sum() if len(names) else raised
+        axes.append((code, goal))
+    for _ in range(ROUNDS if len(rows) else 0):
+        was = weight
+        for code, goal in axes:
+            got = np.bincount(code, weight, len(goal))
+            weight = weight * np.divide(goal, got, out=np.zeros_like(goal), where=got > 0)[code]
+        if np.abs(weight - was).max() < TOLERANCE:
+            break
+    scale = wanted
+    while True:
+        full = tokens <= weight * scale
+        rest = weight[~full].sum()
+        better = max(scale, (wanted - tokens[full].sum()) / rest) if rest else scale
+        if better <= scale * (1 + 1e-12):
+            break
+        scale = better
+    p = np.minimum(1.0, weight / tokens * scale)
+    return [(*(r[a] for a in AXES), float(x)) for r, x in zip(rows, p, strict=True) if x > 0]
+
+
 def draw(doc_id: str, salt: str) -> Column:
     """A number in [0, 1) fixed by the id: 32 bits of a hash of its text."""
     return F.conv(F.substring(F.md5(F.concat(F.lit(salt), F.col(doc_id).cast("string"))), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
@@ -122,21 +160,29 @@ def mix(
     marked = df.withColumns({f"▁{a}": F.coalesce(c.cast("string"), F.lit("")) for a, c in group.items()} | {"▁tokens": n_words(F.col(text))})
     cells = marked.groupBy(*(F.col(f"▁{a}").alias(a) for a in AXES)).agg(F.sum("▁tokens").alias("tokens"))
     cells = scratch.keep(cells)
+    few = cells.limit(DRIVER_CELLS + 1).collect()
+    if len(few) <= DRIVER_CELLS:
+        names = ", ".join(f"`▁{a}` string" for a in AXES)
+        drawn = spark.createDataFrame(solve(few, targets or {}, powers, share), f"{names}, `▁p` double")
+    else:
+        drawn = scratch.keep(_solve_distributed(cells, spark, targets or {}, powers, share, scratch))
+    out = marked.join(drawn, [f"▁{a}" for a in AXES], "left")
+    p = F.when(F.col("▁tokens") > 0, F.coalesce("▁p", F.lit(0.0))).otherwise(0.0)
+    out = out.withColumn("▁p", p)
+    return out.withColumn("▁drawn", F.coalesce(draw(doc_id, salt), draw_of_null(salt)) < F.col("▁p")).drop(*(f"▁{a}" for a in AXES))
+
+
+def _solve_distributed(cells: DataFrame, spark: SparkSession, targets: dict[str, dict[str, float]], powers: dict[str, float], share: float, scratch: Scratch) -> DataFrame:
     goals = {}
     for axis in AXES:
-        if targets and axis in targets:
+        if axis in targets:
             whole = sum(targets[axis].values())
             goals[axis] = spark.createDataFrame([(k, v / whole) for k, v in targets[axis].items()], f"{axis} string, target double")
         else:
             goals[axis] = scratch.keep(tempered(cells, axis, powers[axis]))
     raked = rake(cells, goals, scratch)
     wanted = share * (cells.agg(F.sum("tokens").alias("t")).first()["t"] or 0)
-    drawn = probabilities(raked.where("weight > 0"), wanted).select(*(F.col(a).alias(f"▁{a}") for a in AXES), F.col("p").alias("▁p"))
-    drawn = scratch.keep(drawn)
-    out = marked.join(drawn, [f"▁{a}" for a in AXES], "left")
-    p = F.when(F.col("▁tokens") > 0, F.coalesce("▁p", F.lit(0.0))).otherwise(0.0)
-    out = out.withColumn("▁p", p)
-    return out.withColumn("▁drawn", F.coalesce(draw(doc_id, salt), draw_of_null(salt)) < F.col("▁p")).drop(*(f"▁{a}" for a in AXES))
+    return probabilities(raked.where("weight > 0"), wanted).select(*(F.col(a).alias(f"▁{a}") for a in AXES), F.col("p").alias("▁p"))
 
 
 def draw_of_null(salt: str) -> Column:

@@ -24,7 +24,9 @@ def test_sql(spark, name):
     assert sorted(tuple(r[x] for x in columns) for r in got.collect()) == sorted(tuple(r[k] for k in at) for r in want.fetchall())
 
 
-def test_raking_meets_the_marginals(spark):
+@pytest.mark.parametrize("most", [50_000, 0])
+def test_raking_meets_the_marginals(spark, monkeypatch, most):
+    monkeypatch.setattr(mixing, "DRIVER_CELLS", most)
     rng = np.random.default_rng(1)
     rows = [(k, "w " * int(rng.integers(1, 30)), f"s{rng.integers(3)}", ["en", "de"][int(rng.integers(2))]) for k in range(600)]
     df = spark.createDataFrame(rows + [(600, None, None, None), (601, "", "s0", "en")], "doc_id long, text string, source string, lang string")
