@@ -20,67 +20,102 @@ ALIGNMENT = T.StructType(
         T.StructField("placed", _INTS),
     ]
 )
-#: Cells of a band at most; pairs that need more are reported, not aligned.
+#: Cells of a band kept at a time; of larger bands some rows are kept, and the rest made again from these.
 MAX_CELLS = 16_000_000
 _FAR = 1 << 29
 
 
-def _banded(a: np.ndarray, b: np.ndarray, w: int) -> np.ndarray:
-    """Unit-cost edit distances of prefixes (i, i - w .. i + w)."""
-    n, m = len(a), len(b)
+def _banded(a: np.ndarray, b: np.ndarray, w: int, above: np.ndarray | None, first: int, last: int, every: int = 1) -> np.ndarray:
+    """Unit-cost edit distances of prefixes (i, i - w .. i + w), for i from ``first`` to ``last``.
+
+    ``above`` is row ``first``, None for row 0.  Of the rows, each ``every``-th is kept, and the last.
+    """
+    m = len(b)
     width = 2 * w + 1
-    d = np.full((n + 1, width), _FAR, np.int32)
     step = np.arange(width, dtype=np.int32)
-    for i in range(n + 1):
+    d = np.full(((last - first) // every + 1 + ((last - first) % every > 0), width), _FAR, np.int32)
+    if above is None:
+        above = np.full(width, _FAR, np.int32)
+        above[w : w + min(m, w) + 1] = np.arange(min(m, w) + 1)
+    d[0] = above
+    for i in range(first + 1, last + 1):
         low, high = max(0, i - w), min(m, i + w)
-        if low > high:
-            continue
-        k = slice(low - i + w, high - i + w + 1)
-        if i == 0:
-            d[0, k] = np.arange(low, high + 1)
-            continue
         row = np.full(width, _FAR, np.int32)
-        above = d[i - 1]
-        inner = slice(max(1, low) - i + w, high - i + w + 1)
-        j = np.arange(max(1, low), high + 1)
-        row[inner] = above[inner] + (b[j - 1] != a[i - 1])
-        row[:-1] = np.minimum(row[:-1], above[1:] + 1)
-        if low == 0:
-            row[w - i] = i
-        span = row[k] - step[k]
-        d[i, k] = np.minimum.accumulate(span) + step[k]
+        if low <= high:
+            k = slice(low - i + w, high - i + w + 1)
+            inner = slice(max(1, low) - i + w, high - i + w + 1)
+            row[inner] = above[inner] + (b[max(1, low) - 1 : high] != a[i - 1])
+            row[:-1] = np.minimum(row[:-1], above[1:] + 1)
+            if low == 0:
+                row[w - i] = i
+            row[k] = np.minimum.accumulate(row[k] - step[k]) + step[k]
+            # Outside the text, what the rows above reach is no prefix.
+            row[: k.start] = row[k.stop :] = _FAR
+        if i == last or not (i - first) % every:
+            d[-1 if i == last else (i - first) // every] = row
+        above = row
     return d
 
 
-def align(a: np.ndarray, b: np.ndarray, max_cells: int = MAX_CELLS) -> dict | None:
+class _Band:
+    """Rows of a band, asked for from the last to the first, ``cells`` of them or so kept at a time."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray, w: int, cells: int):
+        self.a, self.b, self.w = a, b, w
+        self.rows = max(3, cells // (2 * w + 1))
+        #: (first, last, every, kept rows): each part lies between two kept rows of the part before it.
+        self.parts: list[tuple[int, int, int, np.ndarray]] = []
+        self._add(None, 0, len(a))
+
+    def _add(self, above: np.ndarray | None, first: int, last: int) -> None:
+        every = -(-(last - first) // (self.rows - 1)) or 1
+        self.parts.append((first, last, every, _banded(self.a, self.b, self.w, above, first, last, every)))
+
+    def row(self, i: int) -> np.ndarray:
+        while True:
+            first, last, every, d = self.parts[-1]
+            if i < first:
+                self.parts.pop()
+            elif i == last:
+                return d[-1]
+            elif not (i - first) % every:
+                return d[(i - first) // every]
+            else:
+                k = (i - first) // every
+                self._add(d[k], first + k * every, min(last, first + (k + 1) * every))
+
+
+def align(a: np.ndarray, b: np.ndarray, max_cells: int | None = None) -> dict | None:
     """The minimum-cost alignment; of equal ones, from the end: diagonal, else delete, else insert.
 
     ops has one letter a step (M, S, D, I); ties counts the other choices of equal cost along the path.
-    The band doubles until the distance fits in it, so every cell on an optimal path is exact.
+    The band doubles until the distance fits in it, so every cell on an optimal path is exact.  A pair
+    of any length is aligned; only where ``max_cells`` is given, one whose band needs more gets None.
     """
     n, m = len(a), len(b)
     w = max(8, abs(n - m))
     while True:
-        if (n + 1) * (2 * w + 1) > max_cells:
+        if max_cells is not None and (n + 1) * (2 * w + 1) > max_cells:
             return None
-        d = _banded(a, b, w)
-        distance = int(d[n, m - n + w])
+        d = _Band(a, b, w, MAX_CELLS)
+        distance = int(d.row(n)[m - n + w])
         if distance <= w or w >= max(n, m):
             break
-        w *= 2
+        w = min(2 * w, max(n, m))
 
-    def at(i: int, j: int) -> int:
-        return int(d[i, j - i + w]) if 0 <= j - i + w < d.shape[1] else _FAR
+    def at(row: np.ndarray, i: int, j: int) -> int:
+        return int(row[j - i + w]) if 0 <= j - i + w <= 2 * w else _FAR
 
     ops, ties, i, j = [], 0, n, m
     matched, placed = [None] * n, [None] * n
+    row, above = d.row(n), d.row(n - 1) if n else None
     while i or j:
         if not i or not j:
             ops.append("D" if i else "I")
             i, j = (i - 1, j) if i else (i, j - 1)
             continue
         same = a[i - 1] == b[j - 1]
-        costs = (at(i - 1, j - 1) + (not same), at(i - 1, j) + 1, at(i, j - 1) + 1)
+        costs = (at(above, i - 1, j - 1) + (not same), at(above, i - 1, j) + 1, at(row, i, j - 1) + 1)
         best = min(costs)
         ties += sum(c == best for c in costs) - 1
         if costs[0] == best:
@@ -95,18 +130,20 @@ def align(a: np.ndarray, b: np.ndarray, max_cells: int = MAX_CELLS) -> dict | No
         else:
             j -= 1
             ops.append("I")
+        if ops[-1] != "I" and i:
+            row, above = above, d.row(i - 1)
     return {"distance": distance, "ties": ties, "ops": "".join(reversed(ops)), "matched": matched, "placed": placed}
 
 
 @pandas_udf(ALIGNMENT)
 def _align_batch(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     names = ["distance", "ties", "ops", "matched", "placed"]
-    out = [align(np.asarray(x), np.asarray(y)) or dict.fromkeys(names) for x, y in zip(a, b, strict=True)]
+    out = [align(np.asarray(x), np.asarray(y)) for x, y in zip(a, b, strict=True)]
     return pd.DataFrame([[r[k] for k in names] for r in out], columns=names)
 
 
 def aligned(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """The pairs with column ``al``; its fields are null where the pair is too large."""
+    """The pairs with column ``al``, of texts of any length."""
     # Told to be nondeterministic, so that a filter on it doesn't align every pair a second time.
     return pairs.withColumn("al", _align_batch.asNondeterministic()(a, b))
 
@@ -136,8 +173,9 @@ def window_diffs(pairs: DataFrame, n: int, keep: tuple[str, ...] = ("pair",)) ->
     consecutive places; UNMAPPED: neither.
     """
     n_windows = F.greatest(F.lit(0), F.size("a") - n + 1)
-    some = pairs.where("al.distance IS NOT NULL").select(*keep, "al.matched", "al.placed", F.explode(F.when(n_windows > 0, F.sequence(F.lit(0), n_windows - 1))).alias("pos"))
-    cut = some.select(*keep, "pos", F.slice("matched", F.col("pos") + 1, n).alias("m"), F.slice("placed", F.col("pos") + 1, n).alias("p"))
+    # Cut inside the generator: texts beside it would be copied for each of their windows.
+    each = F.transform(F.sequence(F.lit(0), n_windows - 1), lambda k: F.struct(k.alias("pos"), F.slice("al.matched", k + 1, n).alias("m"), F.slice("al.placed", k + 1, n).alias("p")))
+    cut = pairs.where("al.distance IS NOT NULL").select(*keep, F.explode(F.when(n_windows > 0, each)).alias("w")).select(*keep, "w.*")
     kept, moved = F.coalesce(_consecutive(F.col("m")), F.lit(False)), F.coalesce(_consecutive(F.col("p")), F.lit(False))
     return cut.select(
         *keep,

@@ -39,6 +39,34 @@ def test_too_large_pairs_say_so():
     assert align.align(np.arange(100), np.arange(100), max_cells=10) is None
 
 
+@pytest.mark.parametrize("cells", [1, 200, 1500])
+def test_bands_kept_in_parts(monkeypatch, cells):
+    monkeypatch.setattr(align, "MAX_CELLS", cells)
+    rng = random.Random(4)
+    for size in [0, 1, 2, 5] + [rng.randrange(120) for _ in range(25)]:
+        a = [rng.randrange(4) for _ in range(size)]
+        b = [x for x in a if rng.random() < 0.8] + [7] * rng.randrange(20)
+        got = align.align(np.array(a), np.array(b))
+        assert (got["distance"], got["ties"], got["ops"]) == slow(a, b), (a, b)
+
+
+def test_long_pairs_have_results_in_every_pair_query(spark):
+    """Their band is beyond MAX_CELLS: 22,001 rows of 881 cells."""
+    a = [k % 5000 for k in range(22_000)]
+    b = [x for k, x in enumerate(a) if k % 50]
+    pairs = align.aligned(spark.createDataFrame([(1, a, b)], "pair long, a array<long>, b array<long>")).cache()
+    al = pairs.first().al
+    assert al.distance == len(a) - len(b) == 440 and al.ops == "".join("M" if k % 50 else "D" for k in range(len(a)))
+    assert align.conserved_runs(pairs).count() == 440
+    signal = windows.Signal(n=2, keys=(7,), history=4)
+    root, final = (windows.signal_windows(pairs, spark, signal, tokens=c, doc="pair") for c in "ab")
+    diffs = align.window_diffs(pairs, 2)
+    assert align.diff_summary(diffs).first().preserved == len(a) - 1 - (2 * 440 - 1)
+    assert align.survival(diffs, root, final).count() == 1 and align.bit_drift(diffs, root, final).count() == 1
+    told = align.residual_geometry(diffs, root, final).first()
+    assert told.preserved > 0.9 * told.root_valid > 0 and told.destruction_fraction < 0.1
+
+
 def test_maps_runs_diffs_and_survival(spark):
     pairs = spark.createDataFrame([(1, [1, 2, 3, 4, 5], [1, 2, 9, 4, 5]), (2, [], []), (3, [7, 8, 9], [7, 8, 9])], "pair long, a array<long>, b array<long>")
     al = align.aligned(pairs).cache()
