@@ -1,9 +1,11 @@
 """Fuzzy line deduplication with DataFrame functions only.
 
-Normalised lines get a 60-bit SimHash of their words.  Two lines are near if their hashes differ in at
-most three bits and their word sequences have an edit similarity of at least 0.8.  Hashes are cut into
-blocks; lines that near each other agree on some choice of whole blocks, whose bits make a bucket key.
-Of each connected group of equal or near lines the first occurrence stays.
+Two lines are near if their word sequences have an edit similarity of at least 0.8.  With ``differ``
+None that is all: lines meet by MinHash keys of their word pairs, which each near pair shares with a
+probability of 0.992 or more.  With a number (3 by default), normalised lines also get a 60-bit SimHash of
+their words, which may differ in so many bits, and that drops most pairs which one edit or more set apart.
+Hashes are cut into blocks; lines that near each other agree on some choice of whole blocks, whose bits
+make a bucket key.  Of each connected group of equal or near lines the first occurrence stays.
 """
 
 from __future__ import annotations
@@ -21,6 +23,9 @@ DIFFER, SIMILARITY = 3, 0.8
 #: Lines of fewer words always stay.
 MIN_WORDS = 3
 BITS = 60
+#: MinHash keys of a line, each of two minima.  Of the n pairs of neighbours of a circle of n words, d edits
+#: leave n - 2 d or more: at similarity 0.8 a Jaccard index of 0.6 / 1.4, and 1 - (1 - 0.43 ** 2) ** 24 = 0.992.
+KEYS = 24
 #: Four counters of 15 bits in a long; words are counted in chunks that can't overflow them.
 _LANE, _LANES = 15, 4
 _ONES = sum(1 << k * _LANE for k in range(_LANES))
@@ -85,6 +90,25 @@ def with_simhash(parts: DataFrame) -> DataFrame:
     return short.unionByName(long_)
 
 
+def keyed(docs: DataFrame, min_words: int) -> DataFrame:
+    """(doc_id, pos, h1, h2, n, b0, b1, keys): MinHash keys of lines, of the pairs of neighbours in a circle of
+    their words, and 128 bits of which each word sets one."""
+    pair = lambda w: F.transform(w, lambda x, i: F.xxhash64(x, F.element_at(w, (i + 1) % F.size(w) + 1)))
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.hash(x).bitwiseAND(F.lit(63)))
+    half = lambda x: F.hash(x).bitwiseAND(F.lit(64))
+    bits = lambda w, k: F.aggregate(w, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(F.when(half(x) == k, bit(x)).otherwise(F.lit(0).cast("long"))))
+    told = lambda w: F.struct(F.xxhash64(w).alias("h1"), F.hash(w).alias("h2"), F.size(w).alias("n"), bits(w, 0).alias("b0"), bits(w, 64).alias("b1"), pair(w).alias("pairs"))
+    each = F.transform(F.transform(F.split(F.lower("text"), "\n"), words), told)
+    line = ["doc_id", "pos", "h1", "h2", "n", "b0", "b1"]
+    rows = docs.select("doc_id", F.posexplode(each).alias("pos", "line")).select("doc_id", "pos", "line.*").where(F.col("n") >= min_words)
+    seeds = [k * 0x9E3779B97F4A7C15 % 2**63 for k in range(1, 2 * KEYS + 1)]
+    least = [F.min(F.hash(F.col("p").bitwiseXOR(F.lit(x)))).alias(f"m{k}") for k, x in enumerate(seeds)]
+    by = rows.select(*line, F.explode("pairs").alias("p")).groupBy(*line).agg(*least)
+    # Ints, for the sake of disk: another key by chance only costs a comparison.
+    keys = F.array(*[F.hash(f"m{2 * k}", f"m{2 * k + 1}") for k in range(KEYS)])
+    return by.select(*line, keys.alias("keys"))
+
+
 def block_plan(count: int, differ: int = DIFFER) -> list[list[tuple[int, int]]]:
     """Choices of blocks (start, bits) for keys; every choice the pigeonhole principle asks for.
 
@@ -113,11 +137,23 @@ def bucket_keys(sim: Column, plan: list[list[tuple[int, int]]]) -> Column:
     return F.array(*keys)
 
 
-def _near(a: str, b: str, similarity: float) -> Column:
-    """Whether hashes are near, and numbers of words near enough for the edit similarity."""
-    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    apart = F.abs(n - m) <= F.floor(F.greatest(n, m) * (1 - similarity) + 1e-9)
-    return (F.bit_count(F.col(f"{a}.sim").bitwiseXOR(F.col(f"{b}.sim"))) <= DIFFER) & apart
+def _most(a: str, b: str, similarity: float) -> Column:
+    """Edits that lines of so many words may be apart."""
+    return F.floor(F.greatest(f"{a}.n", f"{b}.n") * (1 - similarity) + 1e-9)
+
+
+def _apart(a: str, b: str, similarity: float) -> Column:
+    """Whether numbers of words are near enough for the edit similarity."""
+    return F.abs(F.col(f"{a}.n") - F.col(f"{b}.n")) <= _most(a, b, similarity)
+
+
+def _near(a: str, b: str, similarity: float, by_hash: bool = True) -> Column:
+    """Whether hashes, or else the bits of words, are near, and numbers of words near enough for the edit similarity."""
+    if by_hash:
+        return (F.bit_count(F.col(f"{a}.sim").bitwiseXOR(F.col(f"{b}.sim"))) <= DIFFER) & _apart(a, b, similarity)
+    # An edit takes one word and brings another, so it changes two bits at most.
+    changed = sum(F.bit_count(F.col(f"{a}.{h}").bitwiseXOR(F.col(f"{b}.{h}"))) for h in ("b0", "b1"))
+    return _apart(a, b, similarity) & (changed <= 2 * _most(a, b, similarity))
 
 
 def _codes(line_words: Column) -> Column:
@@ -144,30 +180,50 @@ def repeated_lines(
     text: str = "text",
     similarity: float = SIMILARITY,
     min_words: int = MIN_WORDS,
+    differ: int | None = DIFFER,
     scratch: Scratch | None = None,
 ) -> DataFrame:
     """(doc_id, pos, first_doc, first_pos) of the lines that repeat, and the occurrence that stays.
 
     The first is the least (doc_id, line number) of the connected group.  Lines of fewer than
     ``min_words`` words take no part, nor do null texts or rows with a null id.  Rows with equal ids
-    count as one document.  An empty table gives no rows.
+    count as one document.  An empty table gives no rows.  ``differ`` is DIFFER, or None for edit similarity
+    alone.
     """
+    if differ not in (None, DIFFER):
+        raise ValueError(f"differ is {DIFFER} or None")
     scratch = scratch or Scratch(spark)
     docs = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    each = lines(docs, "doc_id", "text").where(F.col("n") >= min_words)
-    told = with_simhash(scratch.keep(counted(each)))
+    if differ is None:
+        told = scratch.keep(keyed(docs, min_words))
+    else:
+        each = lines(docs, "doc_id", "text").where(F.col("n") >= min_words)
+        told = with_simhash(scratch.keep(counted(each)))
     scratch.sweep()
     spot = F.struct("doc_id", "pos")
-    distinct = told.groupBy("h1", "h2").agg(F.min(spot).alias("first"), F.count("*").alias("n_seen"), F.min("sim").alias("sim"), F.min("n").alias("n"))
+    same = [F.first("keys").alias("keys"), F.min("b0").alias("b0"), F.min("b1").alias("b1")] if differ is None else [F.min("sim").alias("sim")]
+    distinct = told.groupBy("h1", "h2").agg(F.min(spot).alias("first"), F.count("*").alias("n_seen"), *same, F.min("n").alias("n"))
     distinct = scratch.keep(distinct.withColumn("rep", F.monotonically_increasing_id()))
-    plan = block_plan(distinct.count())
-    trait = F.struct("sim", "n").alias("trait")
-    close = lambda a, b: _near(a, b, similarity)
-    keys = distinct.select("rep", trait, F.explode(bucket_keys(F.col("sim"), plan)).alias("key"))
+    scratch.sweep()
+    if differ is None:
+        trait = F.struct("n", "b0", "b1").alias("trait")
+        key = F.transform("keys", lambda h, k: k * F.lit(2**32) + h)
+    else:
+        trait = F.struct("sim", "n").alias("trait")
+        key = bucket_keys(F.col("sim"), block_plan(distinct.count()))
+    close = lambda a, b: _near(a, b, similarity, differ is not None)
+    # Keys are many: without a hash, they carry only numbers of words, and the rest comes to those that meet.
+    slim = F.struct("n").alias("trait") if differ is None else trait
+    apart = (lambda a, b: _apart(a, b, similarity)) if differ is None else close
+    keys = distinct.select("rep", slim, F.explode(key).alias("key"))
     # The table against itself, so that one exchange serves both sides.
     x, y = keys.alias("x"), keys.alias("y")
-    meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") != F.col("y.rep")) & close("x.trait", "y.trait")
+    meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") != F.col("y.rep")) & apart("x.trait", "y.trait")
     near = x.join(y, meet, "left_semi")
+    if differ is None:
+        near = scratch.keep(near.select("key", "rep"))
+        scratch.sweep()
+        near = near.join(distinct.select("rep", trait), "rep")
     involved = scratch.keep(near.select("key", "rep", "trait"))
     reps = involved.select("rep").distinct().join(distinct, "rep").select("rep", trait, "first.doc_id", "first.pos")
     reps = scratch.keep(reps)

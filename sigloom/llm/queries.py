@@ -16,7 +16,7 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lines import dedup_lines
 
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return dedup_lines(docs, spark).select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+    return dedup_lines(docs, spark, differ=None).select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

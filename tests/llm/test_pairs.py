@@ -181,6 +181,23 @@ def test_lines_by_all_pairs(spark, monkeypatch, chunk):
     assert got[0].n_lines == 0 and got[2].n_lines == 3 and set(got[0].asDict()) == {"doc_id", "text", "key", "rep", "root", "n_lines", "n_removed"}
 
 
+def test_lines_at_the_least_similarity_are_found(spark):
+    """Recall against edit similarity alone, of pairs with as many changed words as it allows."""
+    rng = random.Random(8)
+    texts = []
+    for k in range(600):
+        w = [f"w{rng.randrange(3000)}" for _ in range(rng.randrange(5, 61))]
+        step = len(w) / (len(w) // 5)
+        texts += [" ".join(w), " ".join("changed" + str(k * 100 + i) if i in {int(j * step) + 1 for j in range(len(w) // 5)} else x for i, x in enumerate(w))]
+    got = {(r.doc_id, r.first_doc) for r in lines.repeated_lines(docs(spark, texts), spark, differ=None).collect()}
+    assert got <= {(k + 1, k) for k in range(0, len(texts), 2)}
+    print("recall", len(got) / 600)
+    assert len(got) >= 0.97 * 600
+    odd = docs(spark, [None, "", "a b", "one two three", "One, two three", "x " * 4000, "x " * 4001], [0, 1, 2, 3, None, 5, 6])
+    assert {(r.doc_id, r.n_removed) for r in lines.dedup_lines(odd, spark, differ=None).collect() if r.n_removed} == {(6, 1)}
+    assert lines.dedup_lines(docs(spark, []), spark, differ=None).count() == 0
+
+
 def test_lines_of_odd_tables(spark):
     assert lines.dedup_lines(docs(spark, []), spark).count() == 0
     got = lines.dedup_lines(docs(spark, ["one two three", "one two three"], [None, 1]), spark).collect()
