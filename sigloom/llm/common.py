@@ -1,19 +1,27 @@
-"""Scratch tables, connected components and hashing shared by the corpus operators."""
+"""Scratch tables, connected components and bucket linking shared by the corpus operators."""
 
 from __future__ import annotations
 
 import atexit
-import gc
+import math
 import shutil
 import tempfile
-import time
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes of an Arrow batch that goes to a Python worker, about; one longer text is a batch of its own.
+BATCH_BYTES = 8 << 20
+#: Rows of two longs or so that a task writes, and that a broadcast may hold (3 MB).
+TASK_ROWS = BROADCAST_ROWS = 200_000
+#: Members of a bucket that meet at once when those of different components are compared.
+BLOCK = 512
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,6 +39,30 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_LOCAL[app]}"
 
 
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of queries that run inside go as soon as the query has ended."""
+    before = spark.conf.get(_FREE, "false")
+    spark.conf.set(_FREE, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_FREE, before)
+
+
+def arrow_map(df: DataFrame, run: Callable, schema: object) -> DataFrame:
+    """``mapInArrow`` in batches of bounded bytes: texts by the ten thousand take more than a worker should hold.
+
+    The limit is a setting of the session that counts when the plan runs, so a larger one is lowered for good.
+    """
+    conf = df.sparkSession.conf
+    now = conf.get(_BATCH, "64m").lower().removesuffix("b")
+    size = int(now.rstrip("kmgt")) << "_kmgt".index(now[-1] if now[-1] in "kmgt" else "_") * 10
+    if not 0 < size <= BATCH_BYTES:
+        conf.set(_BATCH, f"{BATCH_BYTES}b")
+    return df.mapInArrow(run, schema)
+
+
 class Scratch:
     """Tables written once to the shared folder; reading them again needs no earlier stage."""
 
@@ -39,10 +71,14 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
         self.count = 0
 
-    def keep(self, df: DataFrame) -> DataFrame:
+    def keep(self, df: DataFrame, rows: int | None = None) -> DataFrame:
+        """The table, written; where at most ``rows`` small rows are known to come, by no more tasks than these need."""
         self.count += 1
         path = f"{self.root}/{self.count}"
-        df.write.parquet(path)
+        if rows is not None:
+            df = df.coalesce(max(1, math.ceil(rows / TASK_ROWS)))
+        with freed_shuffles(self.spark):
+            df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch = path
         return out
@@ -56,16 +92,6 @@ class Scratch:
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(conf).delete(at, True)
 
-    def sweep(self) -> None:
-        """Let Spark's cleaner delete the shuffle files of stages that nothing refers to any more.
-
-        One collection frees the plans, the next one the shuffles that they held.
-        """
-        for _ in range(2):
-            gc.collect()
-            self.spark.sparkContext._jvm.System.gc()
-            time.sleep(0.3)
-
 
 def crc_mod(column: str, n: int):
     """crc32 of the id as decimal text, modulo n."""
@@ -79,77 +105,112 @@ def union_all(frames: Iterable[DataFrame]) -> DataFrame:
     return first
 
 
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """Marked for a broadcast if ``rows``, which bounds its rows of two longs, is small."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def _renamed(x: Column) -> Column:
+    """Another long for each long: xorshift, a bijection, so that order along a path doesn't last."""
+    x = x.bitwiseXOR(F.shiftleft(x, 13))
+    x = x.bitwiseXOR(F.shiftrightunsigned(x, 7))
+    return x.bitwiseXOR(F.shiftleft(x, 17))
+
+
 def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) of every node that has an edge; root is the smallest node of its component.
 
-    Alternates large-star and small-star steps.  Minima are pre-aggregated and come back by joins,
-    so a node with any number of neighbours never meets in one task.  Self-loops and null ends are
-    ignored; an empty table gives an empty table.
+    Contraction: each node takes the least name among itself and its neighbours, edges are renamed by it, and
+    the rest goes on under new names, whose order is another, so a round leaves a fraction of the nodes of
+    paths as well as of stars.  Minima are pre-aggregated and come back by joins, so a node with any
+    number of neighbours never meets in one task.  Self-loops and null ends are ignored; an empty
+    table gives an empty table.
     """
-    high, low = F.greatest(a, b).alias("u"), F.least(a, b).alias("v")
-    now = scratch.keep(edges.where(F.col(a) != F.col(b)).select(high, low).distinct())
-    mark = None
-    while True:
-        sums = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if sums["n"] == 0 or (sums["n"], sums["h"]) == mark:
-            break
-        mark = (sums["n"], sums["h"])
+    now = scratch.keep(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).distinct())
+    names = None
+    size = bound = now.count()
+    while size:
         ends = now.select(F.col("u").alias("x"), F.col("v").alias("y")).union(now.select("v", "u"))
-        least = ends.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
-        large = (
-            now.join(least, now.v == least.x)
-            .select(F.col("u").alias("p"), F.col("m").alias("q"))
-            .where("p != q")
-            .distinct()
-        )
-        large = scratch.keep(large)
-        least = large.groupBy("p").agg(F.min("q").alias("m"))
-        small = large.join(least, "p").where("q != m").select(F.col("q").alias("u"), F.col("m").alias("v"))
-        after = scratch.keep(small.union(least.select("p", "m")).distinct())
-        scratch.drop(now, large)
-        now = after
-    stars = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return stars.union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+        least = ends.groupBy("x").agg(F.min("y").alias("m")).select("x", _renamed(F.least("x", "m")).alias("m"))
+        step = scratch.keep(least, 2 * size)
+        side = lambda c: small(step.select(F.col("x").alias(c), F.col("m").alias(f"{c}_")), 2 * size)
+        left = now.join(side("u"), "u").join(side("v"), "v").where("u_ <> v_")
+        after = scratch.keep(left.select(F.greatest("u_", "v_").alias("u"), F.least("u_", "v_").alias("v")).distinct(), size)
+        if names is None:
+            names = step.select(F.col("x").alias("node"), F.col("m").alias("name"))
+        else:
+            more = small(step.select(F.col("x").alias("name"), F.col("m").alias("next")), 2 * size)
+            # A name without edges is the last one of its component, under whatever names come next.
+            names = names.join(more, "name", "left").select("node", F.coalesce("next", _renamed(F.col("name"))).alias("name"))
+            names = scratch.keep(names, 2 * bound)
+        scratch.drop(now)
+        now, size = after, after.count()
+    if names is None:
+        return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    least = small(names.groupBy("name").agg(F.min("node").alias("root")), 2 * bound)
+    return scratch.keep(names.join(least, "name").select("node", "root"), 2 * bound)
+
+
+def _followed(roots: DataFrame, joined: DataFrame) -> DataFrame:
+    """(node, root) after components of roots have been joined; ``joined`` has (root, to)."""
+    further = joined.select(F.col("node").alias("root"), F.col("root").alias("to"))
+    moved = roots.join(further, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    return moved.unionByName(joined.join(roots.select("node"), "node", "left_anti"))
+
+
+def _apart(at: DataFrame) -> DataFrame:
+    """Rows (key, rep, root) of the buckets whose members lie in several components, and ``n``, their number."""
+    by = at.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low < high")
+    return at.join(by.select("key", "n"), "key")
 
 
 def link_buckets(
     members: DataFrame,
-    close: Callable[[str, str], Column],
     confirm: Callable[[DataFrame], DataFrame],
+    last: Callable[[DataFrame], DataFrame],
     scratch: Scratch,
-    last: Callable[[DataFrame], DataFrame] | None = None,
-    hub_rounds: int = 1,
+    rounds: int = 3,
 ) -> DataFrame:
     """(node, root) of the components of confirmed links between members of one bucket.
 
-    ``members`` is (key, rep, trait), the trait a small value of the rep; ``close`` is a necessary
-    condition on two trait columns, ``confirm`` keeps the pairs (a, b) that are links.  Hubs first: a
-    bucket's hub is compared with its members, one pair a member, and buckets that then lie in one
-    component are done.  After that, members of different components are compared, so that no link
-    that would join two components is missed: by ``last``, which gets (key, rep, root, trait) and
-    returns links, or else by a join on the key.
+    ``members`` is (key, rep); ``confirm`` keeps those of the pairs (a, b) that are links.  Hubs first: a
+    bucket's least member is compared with all others, one pair a member.  Buckets that then lie in one
+    component are done; the others take another hub, by a hash, in each further round.  What is
+    still apart is compared by ``last``, which gets (key, rep, root, n), n the members of the bucket, and
+    returns links, so that no link that joins two components is missed.
+    """
+    low = members.groupBy("key").agg(F.min("rep").alias("hub"))
+    pairs = members.join(low, "key").where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+    roots = components(scratch.keep(confirm(pairs)), scratch)
+    at = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
+    live = scratch.keep(_apart(scratch.keep(at)))
+    for turn in range(1, rounds + 1):
+        if turn < rounds:
+            order = F.xxhash64("rep", F.lit(turn))
+            hubs = live.groupBy("key").agg(F.min_by("rep", order).alias("hub"), F.min_by("root", order).alias("hub_root"))
+            meet = live.join(hubs, "key").where("root <> hub_root")
+            links = confirm(meet.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct())
+        else:
+            links = last(live)
+        links = scratch.keep(links)
+        if not links.limit(1).count():
+            continue
+        # Links between components, by their roots; then every node follows its root.
+        root = lambda c: live.select(F.col("rep").alias(c), F.col("root").alias(f"{c}_")).distinct()  # noqa: E731, B023
+        between = links.join(root("a"), "a").join(root("b"), "b").select(F.col("a_").alias("a"), F.col("b_").alias("b"))
+        joined = components(between, scratch)
+        roots = scratch.keep(_followed(roots, joined))
+        if turn < rounds:
+            moved = live.drop("n").join(joined.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left")
+            live = scratch.keep(_apart(moved.select("key", "rep", F.coalesce("to", "root").alias("root"))))
+    return roots
+
+
+def in_blocks(side: DataFrame) -> DataFrame:
+    """Rows with ``n``, the members of their bucket, as (.., own, i, j): each two blocks of a bucket meet in one group.
+
+    A bucket of at most BLOCK members is one block.
     """
-    low = members.groupBy("key").agg(F.min_by("trait", "rep").alias("hub_trait"), F.min("rep").alias("hub"))
-    now = members.withColumn("root", F.col("rep")).join(low.withColumn("hub_root", F.col("hub")), "key")
-    links: list[DataFrame] = []
-    for turn in range(hub_rounds):
-        pairs = now.where((F.col("root") != F.col("hub_root")) & close("trait", "hub_trait"))
-        links.append(scratch.keep(confirm(pairs.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct())))
-        roots = components(union_all(links), scratch)
-        at = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-        at = at.select("key", "rep", "trait", F.coalesce("root", "rep").alias("root"))
-        order = F.xxhash64("rep", F.lit(turn))
-        left = at.groupBy("key").agg(
-            F.min("root").alias("low"), F.max("root").alias("high"), F.min_by(F.struct("rep", "root", "trait"), order).alias("pick")
-        ).where("low < high")
-        hub = left.select("key", *(F.col(f"pick.{c}").alias(n) for c, n in (("rep", "hub"), ("root", "hub_root"), ("trait", "hub_trait"))))
-        now = scratch.keep(at.join(hub, "key"))
-    if last is None:
-        side = now.select("key", "rep", "root", "trait")
-        a, b = (side.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "root", "trait"))) for s in "ab")
-        apart = (a.key == b.key) & (F.col("root_a") < F.col("root_b")) & close("trait_a", "trait_b")
-        ends = F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")
-        links.append(scratch.keep(confirm(a.join(b, apart).select(*ends).distinct())))
-    else:
-        links.append(scratch.keep(last(now.select("key", "rep", "root", "trait"))))
-    return components(union_all(links), scratch)
+    cut = F.ceil(F.col("n") / BLOCK)
+    some = side.withColumn("own", F.pmod(F.xxhash64("rep"), cut)).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), cut - 1)))
+    return some.withColumn("i", F.least("own", "with")).withColumn("j", F.greatest("own", "with")).drop("with", "n")

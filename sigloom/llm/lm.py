@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrays import load, planes, save, unplanes
-from .common import Scratch
-from .words import hash_words, mix, slices, split_words
+from .common import Scratch, arrow_map
+from .words import hash_words, mix, split_words, text_slices, with_text
 
 #: Words hold no space, so no word is taken for the end.
 END = np.uint64(xxhash.xxh64_intdigest(b" end"))
@@ -172,8 +172,8 @@ def _count_tokens(df: DataFrame, text: str) -> DataFrame:
             u, inverse = np.unique(h, return_inverse=True)
             return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(np.bincount(inverse, n).astype(np.int64))], names=["h", "n"])
 
-        for batch in slices(batches, text):
-            hashes, codes, _ = _tokens(batch.column(0))
+        for _, texts in text_slices(batches, 0):
+            hashes, codes, _ = _tokens(texts)
             have.append((hashes, np.bincount(codes, minlength=len(hashes))))
             held += len(hashes)
             if held > GATHER // 2:
@@ -182,7 +182,7 @@ def _count_tokens(df: DataFrame, text: str) -> DataFrame:
         if have:
             yield out()
 
-    return df.select(text).mapInArrow(run, "h long, n long")
+    return arrow_map(df.select(text), run, "h long, n long")
 
 
 def train(df: DataFrame, spark: SparkSession, text: str = "text", scratch: Scratch | None = None) -> Model:
@@ -225,7 +225,6 @@ def train(df: DataFrame, spark: SparkSession, text: str = "text", scratch: Scrat
     start_id = model.types
     model.hot = sorted([int(x) for x in hot] + [start_id])
     scratch.drop(seen)
-    scratch.sweep()
     parts = max(1, math.ceil(model.tokens / BIGRAMS_A_PART))
     rows = _send_bigrams(df, text, model, parts)
 
@@ -263,7 +262,6 @@ def train(df: DataFrame, spark: SparkSession, text: str = "text", scratch: Scrat
 
     hot_ids, starts = np.array(model.hot, np.int64), np.array(model.starts, np.int64)
     ended = scratch.keep(rows.groupBy("part").applyInArrow(merge, "part long, w binary, n binary, tell string"))
-    scratch.sweep()
     told = [json.loads(r["tell"]) for r in ended.where("tell IS NOT NULL").select("tell").collect()]
     by = {x["part"]: x["told"] for x in told}
     if len(by) < parts:
@@ -321,8 +319,8 @@ def _send_bigrams(df: DataFrame, text: str, model: Model, parts: int) -> DataFra
                     cells = [planes(np.diff(v[at], prepend=np.uint32(0))), planes(w[at]), planes(n[at])]
                     yield pa.RecordBatch.from_arrays([pa.array([p], pa.int64()), *(pa.array([c], pa.binary()) for c in cells)], names=["part", "dv", "w", "n"])
 
-        for batch in slices(batches, text):
-            hashes, codes, bounds = _tokens(batch.column(0))
+        for _, texts in text_slices(batches, 0):
+            hashes, codes, bounds = _tokens(texts)
             w = reader.ids(hashes)[0][codes]
             v = _previous(w, bounds, model.types)
             have.append((v.astype(np.uint64) << np.uint64(32)) | w.astype(np.uint64))
@@ -333,31 +331,30 @@ def _send_bigrams(df: DataFrame, text: str, model: Model, parts: int) -> DataFra
         if held:
             yield from out()
 
-    return df.select(text).mapInArrow(run, "part long, dv binary, w binary, n binary")
+    return arrow_map(df.select(text), run, "part long, dv binary, w binary, n binary")
 
 
 def score(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``keep``, n_tokens, n_known, base_score (add-one unigrams) and score.
 
     Scores are log10 probabilities of the whole text and its end; a null text counts as empty.  Rows
-    are independent; other columns are ignored.
+    are independent; other columns are ignored, and kept ones named like the new ones are replaced.
     """
     kinds = [("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType())]
+    keep = tuple(c for c in keep if c not in dict(kinds))
+    sent, at = with_text(df, text, keep)
     out = T.StructType([df.schema[c] for c in keep] + [T.StructField(n, k) for n, k in kinds])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(model)
-        renamed = (pa.RecordBatch.from_arrays(b.columns, names=[*b.schema.names[:-1], "▁text"]) for b in batches)
-        for batch in slices(renamed, "▁text"):
-            if not batch.num_rows:
-                continue
-            hashes, codes, bounds = _tokens(batch.column(len(keep)))
+        for batch, texts in text_slices(batches, at):
+            hashes, codes, bounds = _tokens(texts)
             ids, counts, continued = reader.ids(hashes)
             base = np.log10((counts + 1) / (model.tokens + model.types + 1))
             w = ids[codes]
             each = reader.log_probabilities(_previous(w, bounds, model.types), w, continued[codes])
-            at = bounds[:-1]
-            columns = [np.diff(bounds), np.add.reduceat((w >= 0).astype(np.int64), at), np.add.reduceat(base[codes], at), np.add.reduceat(each, at)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), *map(pa.array, columns)], names=out.names)
+            first = bounds[:-1]
+            columns = [np.diff(bounds), np.add.reduceat((w >= 0).astype(np.int64), first), np.add.reduceat(base[codes], first), np.add.reduceat(each, first)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *map(pa.array, columns)], names=out.names)
 
-    return df.select(*keep, F.col(text).alias("▁text")).mapInArrow(run, out)
+    return arrow_map(sent, run, out)

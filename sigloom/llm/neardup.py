@@ -12,6 +12,7 @@ between components is lost to the hubs.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,8 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, link_buckets
-from .words import mix, slices, windows, word_hashes
+from .common import Scratch, arrow_map, in_blocks, link_buckets
+from .words import mix, text_slices, windows, with_text, word_hashes
 
 WORDS = 5
 SIMILARITY = 0.75
@@ -32,8 +33,8 @@ BANDS, ROWS = 32, 4
 BITS = 4
 #: Estimates this much below the wanted similarity are still checked: over six standard deviations.
 MARGIN = 0.25
-#: Members of a bucket that meet at once when those of different components are compared.
-BLOCK = 512
+#: Bytes of shingle sets that a group of the last comparison holds, about.
+PART_BYTES = 8 << 20
 
 _MULTIPLIERS = (np.random.default_rng(20240501).integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
@@ -108,11 +109,11 @@ def signatures(df: DataFrame, text: str, keep: tuple[str, ...], n: int) -> DataF
     """``keep``, n_shingles, the set's 128-bit digest, band keys and packed low bits (null if empty)."""
     more = [("n_shingles", "long"), ("d1", "long"), ("d2", "long"), ("bands", "array<long>"), ("bits", "array<long>")]
     out = T.StructType([df.schema[c] for c in keep] + [T.StructField(c, T._parse_datatype_string(k)) for c, k in more])
+    sent, at = with_text(df, text, keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        renamed = (pa.RecordBatch.from_arrays(b.columns, names=[*b.schema.names[:-1], "▁text"]) for b in batches)
-        for batch in slices(renamed, "▁text", 2 << 20):
-            sets = shingle_sets(batch.column(len(keep)), n)
+        for batch, texts in text_slices(batches, at, 2 << 20):
+            sets = shingle_sets(texts, n)
             sizes = np.array([len(s) for s in sets], np.int64)
             full = np.flatnonzero(sizes)
             least = minima([sets[i] for i in full])
@@ -124,77 +125,71 @@ def signatures(df: DataFrame, text: str, keep: tuple[str, ...], n: int) -> DataF
                 return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(rows.ravel()))
 
             columns = [pa.array(sizes), pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy()), lists(band_keys(least)), lists(packed(least))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), *columns], names=out.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *columns], names=out.names)
 
-    return df.select(*keep, F.col(text).alias("▁text")).mapInArrow(run, out)
+    return arrow_map(sent, run, out)
 
 
 def _sets(df: DataFrame, n: int) -> DataFrame:
-    """(id, hashes): the full shingle set of each document, as bytes."""
+    """(rep, hashes): the full shingle set of each document, as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 2 << 20):
-            sets = pa.array([s.tobytes() for s in shingle_sets(batch.column(1), n)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), sets], names=["id", "hashes"])
+        for batch, texts in text_slices(batches, 1, 2 << 20):
+            sets = pa.array([s.tobytes() for s in shingle_sets(texts, n)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), sets], names=["rep", "hashes"])
 
-    return df.mapInArrow(run, "id long, hashes binary")
+    return arrow_map(df.select("rep", "text"), run, "rep long, hashes binary")
+
+
+def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets are that similar."""
+    few, many = (x, y) if len(x) < len(y) else (y, x)
+    if 100 * len(few) < percent * len(many):
+        return False
+    both = int((many[np.minimum(np.searchsorted(many, few), len(many) - 1)] == few).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose full sets are at least that similar."""
+    """The pairs (a, b) whose estimates come near the wanted similarity, and whose full sets are at least that similar."""
     percent = round(similarity * 100)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                few, many = (x, y) if len(x) < len(y) else (y, x)
-                if 100 * len(few) < percent * len(many):
-                    good.append(False)
-                    continue
-                at = np.searchsorted(many, few)
-                both = int((many[np.minimum(at, len(many) - 1)] == few).sum())
-                good.append(100 * both >= percent * (len(x) + len(y) - both))
+            full = ((np.frombuffer(v.as_py(), np.uint64) for v in batch.column(c)) for c in (2, 3))
+            good = [_alike(x, y, percent) for x, y in zip(*full, strict=True)]
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    with_b = pairs.join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("y")), "b")
-    with_a = with_b.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("x")), "a")
-    return with_a.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    x, y = (sets.select(F.col("rep").alias(c), F.col("hashes").alias(f"x_{c}"), F.col("bits").alias(f"bits_{c}")) for c in ("a", "b"))
+    both = pairs.join(y, "b").join(x, "a").where(estimate("bits_a", "bits_b") >= similarity - MARGIN)
+    return arrow_map(both.select("a", "b", "x_a", "x_b"), run, "a long, b long")
 
 
-def _between(side: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def _between(side: DataFrame, traits: DataFrame, sets: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
     """Links (a, b) between members of one bucket that lie in different components.
 
-    Members that the estimate pairs with none of another component go first.  Buckets are cut into
-    blocks, and every two blocks of a bucket meet in a group of their own, with full sets; a group
-    tells only links that join what its other links haven't joined yet.
+    Buckets are cut into blocks, and every two blocks of a bucket meet.  Members that the estimate pairs
+    with none of another component go first; the others meet with full sets, and a meeting tells
+    only links that join what its other links haven't joined yet.
     """
     percent = round(similarity * 100)
-    other = side.select(F.col("key").alias("key_"), F.col("root").alias("root_"), F.col("bits").alias("bits_"))
-    could = (F.col("key") == F.col("key_")) & (F.col("root") != F.col("root_")) & (estimate("bits", "bits_") >= similarity - MARGIN)
-    some = side.join(other, could, "left_semi")
-    cut = some.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("n"))
-    block = F.pmod(F.xxhash64("rep"), F.col("n"))
-    some = some.join(cut, "key").withColumn("own", block).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    some = some.withColumn("i", F.least("own", "with")).withColumn("j", F.greatest("own", "with"))
-    some = some.join(sets.select(F.col("id").alias("rep"), "hashes"), "rep").select("key", "i", "j", "own", "rep", "root", "bits", "hashes")
-
-    def run(t: pa.Table) -> pa.Table:
-        t = t.combine_chunks()
-        rep, root, own = (t.column(c).to_pylist() for c in ("rep", "root", "own"))
-        low = t.column("bits").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(rep), -1)
-        full = [np.frombuffer(x, np.uint64) for x in t.column("hashes").to_pylist()]
+    cut = in_blocks(side).join(traits, "rep")
+    x, y = cut.alias("x"), cut.alias("y")
+    meet = " AND ".join(f"x.{c} = y.{c}" for c in ("key", "i", "j")) + " AND (x.i = x.j OR x.own <> y.own) AND x.root <> y.root"
+    some = scratch.keep(x.join(y, F.expr(meet) & (estimate("x.bits", "y.bits") >= similarity - MARGIN), "left_semi"))
+    size = some.agg(F.coalesce(F.sum(F.col("n_shingles") * 8), F.lit(0)).alias("n")).first()["n"]
+    part = F.pmod(F.xxhash64("key", "i", "j"), F.lit(max(1, math.ceil(size / PART_BYTES))))
+    some = some.join(sets.select("rep", "hashes"), "rep").select(part.alias("part"), "key", "i", "j", "own", "rep", "root", "bits", "hashes")
+    chance, ones = 1 / (1 << BITS), np.uint64(sum(1 << k for k in range(0, 64, BITS)))
+
+    def meeting(rep: np.ndarray, root: np.ndarray, own: np.ndarray, low: np.ndarray, full: list[np.ndarray], same: bool) -> Iterator[tuple[int, int]]:
         size = np.array([len(x) for x in full])
-        name, group = np.unique(np.array(root), return_inverse=True)
-        owns, chance, ones = np.array(own), 1 / (1 << BITS), np.uint64(sum(1 << k for k in range(0, 64, BITS)))
-        links = []
-        same = t.column("i")[0].as_py() == t.column("j")[0].as_py()
+        _, group = np.unique(root, return_inverse=True)
         for a in range(len(rep)):
             apart = group != group[a]
             apart[: a + 1] = False
             if not same:
-                apart &= owns != owns[a]
+                apart &= own != own[a]
             apart &= 100 * np.minimum(size, size[a]) >= percent * np.maximum(size, size[a])
             near = np.flatnonzero(apart)
             x = low[near] ^ low[a]
@@ -203,16 +198,22 @@ def _between(side: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
                 spread |= x >> np.uint64(s)
             differ = np.bitwise_count(spread & ones).sum(1)
             for b in near[(1 - differ / (BANDS * ROWS) - chance) / (1 - chance) >= similarity - MARGIN]:
-                if group[b] == group[a]:
-                    continue
-                few, many = (full[a], full[b]) if size[a] < size[b] else (full[b], full[a])
-                both = int((many[np.minimum(np.searchsorted(many, few), len(many) - 1)] == few).sum())
-                if 100 * both >= percent * (int(size[a]) + int(size[b]) - both):
-                    links.append((min(rep[a], rep[b]), max(rep[a], rep[b])))
+                if group[b] != group[a] and _alike(full[a], full[b], percent):
+                    yield int(min(rep[a], rep[b])), int(max(rep[a], rep[b]))
                     group[group == group[b]] = group[a]
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("key", "ascending"), ("i", "ascending"), ("j", "ascending")]).combine_chunks()
+        key, i, j, own, rep, root = (t.column(c).to_numpy() for c in ("key", "i", "j", "own", "rep", "root"))
+        low = t.column("bits").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(rep), -1)
+        full = [np.frombuffer(x, np.uint64) for x in t.column("hashes").to_pylist()]
+        edge = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+        links = set()
+        for a, b in zip([0, *edge.tolist()], [*edge.tolist(), len(key)], strict=True):
+            links.update(meeting(rep[a:b], root[a:b], own[a:b], low[a:b], full[a:b], i[a] == j[a]))
         return pa.table([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["a", "b"])
 
-    return some.groupBy("key", "i", "j").applyInArrow(run, "a long, b long").distinct()
+    return some.groupBy("part").applyInArrow(run, "a long, b long").distinct()
 
 
 def groups(
@@ -224,48 +225,53 @@ def groups(
     n: int = WORDS,
     scratch: Scratch | None = None,
 ) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row.
+    """(doc_id, n_shingles, component_id, kept, row) of every row.
 
     Documents are linked if their sets of distinct ``n``-word shingles have a Jaccard similarity of at
     least ``similarity``; component_id is the smallest id reachable over links, kept marks that
-    document.  A document without words is linked with nothing.  Rows with equal ids count as one
-    document.  A row with a null id gets no component and is kept.  An empty table gives no rows.
+    document.  A document without words is linked with nothing.  ``row`` is a digest of the text, null for a
+    null one: rows that repeat an id are judged each by its own text, and one id alone links nothing.
+    A row with a null id gets no component and is kept.  An empty table gives no rows.
     """
     scratch = scratch or Scratch(spark)
-    docs = df.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    marks = scratch.keep(signatures(docs, "text", ("id",), n))
-    classes = marks.where("n_shingles > 0 AND id IS NOT NULL").groupBy("d1", "d2").agg(F.min("id").alias("rep"))
-    classed = scratch.keep(marks.select("id", "n_shingles", "d1", "d2").join(classes, ["d1", "d2"], "left").select("id", "n_shingles", "d1", "d2", "rep"))
-    own = classed.where("id = rep").select("id", "d1", "d2").distinct()
-    reps = marks.join(own, ["id", "d1", "d2"], "left_semi").select(F.col("id").alias("rep"), "bands", "bits").dropDuplicates(["rep"])
-    reps = scratch.keep(reps)
+    docs = df.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("row"), F.col(text).alias("text"))
+    docs = docs.withColumn("row", F.when(F.col("text").isNotNull(), F.col("row")))
+    marks = scratch.keep(signatures(docs, "text", ("id", "row"), n))
+    classes = marks.where("n_shingles > 0 AND id IS NOT NULL").groupBy("d1", "d2").agg(F.min("id").alias("least"), F.min_by("row", "id").alias("own"))
+    classes = scratch.keep(classes.withColumn("rep", F.monotonically_increasing_id()))
+    own = F.expr("id = least AND row = own")
+    told = marks.join(classes, ["d1", "d2"], "left").select("id", "row", "n_shingles", F.when(F.col("id").isNotNull(), F.col("rep")).alias("rep"), *(F.when(own, F.col(c)).alias(c) for c in ("bands", "bits")))
+    classed = scratch.keep(told)
     scratch.drop(marks)
-    keys = reps.select("rep", F.col("bits").alias("trait"), F.explode("bands").alias("key"))
-    shared = keys.select("key", "rep").groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
-    members = keys.drop("trait").join(shared.select("key"), "key").join(reps.select("rep", F.col("bits").alias("trait")), "rep")
-    members = scratch.keep(members.select("key", "rep", "trait"))
-    scratch.sweep()
-    involved = members.select(F.col("rep").alias("id")).distinct()
-    texts = docs.join(involved, "id", "left_semi")
-    sets = scratch.keep(_sets(texts.dropDuplicates(["id"]) if _repeats(docs) else texts, n))
-    scratch.sweep()
+    reps = scratch.keep(classed.where("bands IS NOT NULL").select("rep", "n_shingles", "bands", "bits").dropDuplicates(["rep"]))
+    keys = reps.select("rep", F.explode("bands").alias("key"))
+    shared = keys.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
+    members = scratch.keep(keys.join(shared.select("key"), "key").select("key", "rep"))
+    involved = members.select("rep").distinct().join(classes.select("rep", F.col("least").alias("id"), F.col("own").alias("row")), "rep")
+    texts = docs.join(involved, ["id", "row"])
+    texts = _sets(texts.dropDuplicates(["rep"]) if _repeats(classed) else texts, n)
+    sets = scratch.keep(texts.join(reps.select("rep", "bits"), "rep"))
     roots = link_buckets(
         members,
-        lambda a, b: estimate(a, b) >= similarity - MARGIN,
         lambda pairs: confirmed(pairs, sets, similarity),
+        lambda side: _between(side, reps.select("rep", "n_shingles", "bits"), sets, similarity, scratch),
         scratch,
-        lambda now: _between(now.withColumnRenamed("trait", "bits"), sets, similarity),
     ).withColumnRenamed("node", "rep")
-    out = classed.select("id", "n_shingles", F.coalesce("rep", "id").alias("rep")).join(roots, "rep", "left")
-    component = F.coalesce("root", "rep")
+    # The smallest id of each component over all its classes.
+    least = classes.select("rep", "least").join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    component = least.groupBy("root").agg(F.min("least").alias("component_id"))
+    of_class = least.join(component, "root").select("rep", "component_id")
+    out = classed.select("id", "row", "n_shingles", "rep").join(of_class, "rep", "left")
+    component = F.coalesce("component_id", "id")
     return out.select(
         F.col("id").alias("doc_id"),
         "n_shingles",
         component.alias("component_id"),
         F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"),
+        "row",
     )
 
 
-def _repeats(docs: DataFrame) -> bool:
-    """Whether some id occurs twice (then one row of each is enough)."""
-    return bool(docs.groupBy("id").count().where("count > 1").limit(1).count())
+def _repeats(rows: DataFrame) -> bool:
+    """Whether some row occurs twice (then one of each is enough)."""
+    return bool(rows.where("rep IS NOT NULL").groupBy("id", "row").count().where("count > 1").limit(1).count())

@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrays import planes, unplanes
-from .common import Scratch
-from .words import hash_words, mix, slices, split_words, windows
+from .common import Scratch, arrow_map
+from .words import hash_words, mix, split_words, text_slices, windows
 
 WINDOW = 13
 #: Text bytes of a shard of documents, and windows of a part of the hashes, about.
@@ -62,8 +62,8 @@ def _send(df: DataFrame, parts: int, n: int) -> DataFrame:
                     cells = planes(h[a:b]), planes(np.diff(d[a:b], prepend=np.int64(0)))
                     yield pa.RecordBatch.from_arrays([pa.array([p], pa.int64()), *(pa.array([c], pa.binary()) for c in cells)], names=["part", "h", "d"])
 
-        for batch in slices(batches, "text"):
-            offsets, coded = split_words(batch.column(1), lower=False)
+        for batch, texts in text_slices(batches, 1):
+            offsets, coded = split_words(texts, lower=False)
             _, text, h = _windows(offsets, hash_words(coded.dictionary)[coded.indices.to_numpy()], n)
             if len(h):
                 have.append((h, batch.column(0).to_numpy()[text]))
@@ -74,7 +74,7 @@ def _send(df: DataFrame, parts: int, n: int) -> DataFrame:
         if held:
             yield from out()
 
-    return df.mapInArrow(run, "part long, h binary, d binary")
+    return arrow_map(df, run, "part long, h binary, d binary")
 
 
 def _recurring(blocks: DataFrame, shards: int, parts: int) -> DataFrame:
@@ -164,14 +164,13 @@ def cut_repeats(df: DataFrame, spark: SparkSession, doc_id: str = "doc_id", text
     shards, parts = max(1, math.ceil(size / SHARD_BYTES)), max(1, math.ceil(size / 6 / PART_WINDOWS))
     blocks = _send(docs.where("doc_id IS NOT NULL AND text IS NOT NULL"), parts, n)
     told = scratch.keep(_recurring(blocks, shards, parts))
-    scratch.sweep()
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = pc.fill_null(b.column(0), _NONE).to_numpy()
             yield pa.RecordBatch.from_arrays([pa.array(shard_of(ids, shards)), b.column(0), b.column(1)], names=["shard", "doc_id", "text"])
 
-    placed = docs.mapInArrow(place, "shard long, doc_id long, text string")
+    placed = arrow_map(docs, place, "shard long, doc_id long, text string")
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:

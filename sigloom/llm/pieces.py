@@ -18,9 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .words import slices
+from .common import arrow_map
+from .words import cuts, text_slices, with_text
 
 MARK = "▁"
+#: Bytes of text, or of ids, that a worker handles at once, and ids that it decodes at once.
+SLICE_BYTES, DECODE_IDS = 2 << 20, 1 << 18
 #: Distinct chunks that a worker remembers between slices.
 TABLE_CHUNKS = 150_000
 
@@ -161,36 +164,63 @@ class ChunkEncoder:
         return pa.array(out, pa.large_string()), counts
 
 
-def encode(
-    df: DataFrame, model_path: str, text: str = "text", into: str = "ids", add_end: bool = True, keep: tuple[str, ...] = ()
-) -> DataFrame:
-    """The columns ``keep`` and ``into`` (array<int>), the model's ids of the whole text.
+def _ids(encoder: ChunkEncoder, texts: pa.Array, end: int | None) -> pa.ListArray:
+    bounds, ids = encoder.encode(texts, end)
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
 
-    A null text counts as empty; an empty one has only the end id.  ``model_path`` must be readable
-    on every worker.  Rows are independent: repeated rows give repeated results.  A kept column named
-    like ``into`` is replaced.
+
+def _texts(model: object, ids: pa.ListArray) -> pa.Array:
+    """What the model's decoder gives, some hundred thousand ids at a time."""
+    out = [pa.array(model.decode([x or [] for x in ids.slice(a, b - a).to_pylist()], num_threads=1), pa.string()) for a, b in cuts(_lengths(ids), DECODE_IDS)]
+    return pa.chunked_array(out, pa.string()).combine_chunks()
+
+
+def _lengths(lists: pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _codec(df: DataFrame, model_path: str, column: str, keep: tuple[str, ...], ids: str | None, decoded: str | None, add_end: bool = True) -> DataFrame:
+    """Texts to ids, ids to texts or both, in one pass of one worker, which gets each column once.
+
+    ``column`` has texts if ``ids`` is given, else ids.  Slices of rows are cut by bytes, so that a worker
+    holds little besides its batch.
     """
-    keep = tuple(c for c in keep if c != into)
-    out = T.StructType([df.schema[c] for c in keep] + [T.StructField(into, T.ArrayType(T.IntegerType()))])
+    made = [(ids, T.ArrayType(T.IntegerType())), (decoded, T.StringType())]
+    made = [(name, kind) for name, kind in made if name]
+    keep = tuple(c for c in keep if c not in (ids, decoded))
+    out = T.StructType([df.schema[c] for c in keep] + [T.StructField(name, kind) for name, kind in made])
+    sent, at = with_text(df, column, keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = ChunkEncoder(model_path)
         end = encoder.model.eos_id() if add_end else None
-        for batch in slices(batches, text, 2 << 20):
-            bounds, ids = encoder.encode(batch.column(len(keep)), end)
-            lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(keep))] + [lists], names=[*keep, into])
 
-    return df.select(*keep, F.col(text).alias("▁text")).mapInArrow(_named(run, text), out)
+        def of_texts() -> Iterator[tuple[pa.RecordBatch, pa.ListArray]]:
+            for batch, texts in text_slices(batches, at, SLICE_BYTES):
+                yield batch, _ids(encoder, texts, end)
 
+        def of_ids() -> Iterator[tuple[pa.RecordBatch, pa.ListArray]]:
+            for batch in batches:
+                for a, b in cuts(_lengths(batch.column(at)) * 4, SLICE_BYTES):
+                    yield batch.slice(a, b - a), batch.column(at).slice(a, b - a)
 
-def _named(run, text: str):
-    """Give the text column its own name back: it may equal the name of a kept column."""
+        for batch, lists in of_texts() if ids else of_ids():
+            new = ([lists] if ids else []) + ([_texts(encoder.model, lists)] if decoded else [])
+            yield pa.RecordBatch.from_arrays(batch.columns[: len(keep)] + new, names=out.names)
 
-    def renamed(batches):
-        return run(pa.RecordBatch.from_arrays(b.columns, names=[*b.schema.names[:-1], text]) for b in batches)
+    return arrow_map(sent, run, out)
 
-    return renamed
+
+def encode(
+    df: DataFrame, model_path: str, text: str = "text", into: str = "ids", add_end: bool = True, keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """The columns ``keep`` and ``into`` (array<int>), the model's ids of the whole text.
+
+    A null text counts as empty; an empty one has only the end id.  ``model_path`` must be readable
+    on every worker.  Rows are independent: repeated rows give repeated results.  A kept column named
+    like ``into`` is replaced.
+    """
+    return _codec(df, model_path, text, keep, into, None, add_end)
 
 
 def decode(df: DataFrame, model_path: str, ids: str = "ids", into: str = "decoded", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -198,18 +228,11 @@ def decode(df: DataFrame, model_path: str, ids: str = "ids", into: str = "decode
 
     Null ids count as none.  A kept column named like ``into`` is replaced, as in ``encode``.
     """
-    keep = tuple(c for c in keep if c != into)
-    out = T.StructType([df.schema[c] for c in keep] + [T.StructField(into, T.StringType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import sentencepiece
+    return _codec(df, model_path, ids, keep, None, into)
 
-        model = sentencepiece.SentencePieceProcessor(model_file=model_path)
-        for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                lists = [x or [] for x in part.column(len(keep)).to_pylist()]
-                texts = pa.array(model.decode(lists, num_threads=1) if lists else [], pa.string())
-                yield pa.RecordBatch.from_arrays([part.column(i) for i in range(len(keep))] + [texts], names=[*keep, into])
 
-    return df.select(*keep, F.col(ids).alias("▁ids")).mapInArrow(run, out)
+def round_trip(
+    df: DataFrame, model_path: str, text: str = "text", into: tuple[str, str] = ("ids", "decoded"), keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """``encode``, with an end id, and ``decode`` of what it gives, in one pass over the texts."""
+    return _codec(df, model_path, text, keep, *into)

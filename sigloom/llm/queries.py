@@ -16,7 +16,7 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lines import dedup_lines
 
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return dedup_lines(docs, spark, differ=None).select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+    return dedup_lines(docs, spark).select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +29,7 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .neardup import groups
 
-    return groups(_table(spark, sf_dir, "documents"), spark)
+    return groups(_table(spark, sf_dir, "documents"), spark).drop("row")
 
 
 def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,11 +101,9 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from .pieces import decode, encode
+    from .pieces import round_trip
 
-    path = public_tokenizers.path("piece_bpe_32k.model")
-    ids = encode(_table(spark, sf_dir, "documents"), path, keep=("doc_id",))
-    both = decode(ids, path, keep=("doc_id", "ids"))
+    both = round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), keep=("doc_id",))
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -7,20 +7,22 @@ sentence probabilities then locate what offends.
 
 from __future__ import annotations
 
-import multiprocessing
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from .words import slices, split_words
+from .common import arrow_map
+from .words import split_words, text_slices, with_text
 
-#: Labelled rows at most that the weights are fitted on, those least by the hash of their id.
-TRAIN_ROWS = 4_000
+#: Labelled rows at most that the weights are fitted on, those least by the hash of their id, and words of
+#: these rows at most: of the sample's longest texts, those go that lie beyond.
+TRAIN_ROWS, TRAIN_WORDS = 4_000, 4_000_000
 #: Features are numbered by hash: a word has itself and its beginnings of these lengths.
 FEATURES = 1 << 20
 BEGINNINGS = (4, 5, 6, 7)
@@ -150,11 +152,11 @@ def train(numbers: list[np.ndarray], starts: list[np.ndarray], labels: np.ndarra
     return Model({int(k): float(v) for k, v in zip(known, w, strict=True) if abs(v) > 1e-3}, float(bias))
 
 
-def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = TRAIN_ROWS) -> Model:
-    """Fit on at most ``rows`` labelled texts.
+def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = TRAIN_ROWS, most_words: int = TRAIN_WORDS) -> Model:
+    """Fit on at most ``rows`` labelled whole texts, the shortest of them that together have at most ``most_words`` words.
 
     ``labels`` has one row an id (of several the greatest label counts); null ids and labels are left
-    out.  Features are numbered on the executors; the driver gets numbers, not texts.
+    out.  One task trains; the driver gets weights alone.
     """
     some = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull())
     some = some.groupBy(F.col(doc_id).alias("▁id")).agg(F.max(F.col(label).cast("int")).alias("▁y"))
@@ -162,43 +164,30 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     rows_ = docs.select(F.col(doc_id).alias("▁id"), F.col(text).alias("▁text")).join(F.broadcast(some), "▁id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 2 << 20):
-            features, words, starts, of_text = _sentences(batch.column(1))
+        for batch, texts in text_slices(batches, 1, 2 << 20):
+            features, words, starts, of_text = _sentences(texts)
             first = np.append(starts, len(words))[of_text]
             xs = [features[words[a:b]].ravel() for a, b in zip(first, first[1:])]
             ss = [starts[a:b] - w for a, b, w in zip(of_text, of_text[1:], first)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(xs, pa.list_(pa.int32())), pa.array(ss, pa.list_(pa.int32()))], names=["y", "x", "s"])
-
-    got = rows_.select(F.col("▁y").alias("y"), F.col("▁text").alias("text")).mapInArrow(run, "y int, x array<int>, s array<int>").toArrow()
-    return _apart(_train_table, got)
-
-
-def _train_table(got: pa.Table) -> Model:
+            columns = [pa.array(np.diff(first), pa.int64()), pa.array(xs, pa.list_(pa.int32())), pa.array(ss, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], names=["y", "h", "n", "x", "s"])
+
+    told = rows_.select(F.col("▁y").alias("y"), F.col("▁text").alias("text"), F.xxhash64("▁id").alias("h"))
+    told = arrow_map(told, run, "y int, h long, n long, x array<int>, s array<int>")
+    # At most ``rows`` rows, so one task may order them.
+    within = F.sum("n").over(Window.orderBy("n", "h").rowsBetween(Window.unboundedPreceding, 0)) <= most_words
+    told = told.withColumn("within", within).where("within").drop("within")
+    weights = told.groupBy(F.lit(0).alias("all")).applyInArrow(_train_table, "number int, value double").collect()
+    found = {r["number"]: r["value"] for r in weights}
+    return Model({k: v for k, v in found.items() if k >= 0}, found.get(-1, -30.0))
+
+
+def _train_table(got: pa.Table) -> pa.Table:
+    """(number, value) of the weights; number -1 has the bias."""
+    got = got.sort_by("h")
     x, s = ([v.values.to_numpy(zero_copy_only=False) for v in got.column(c)] for c in ("x", "s"))
-    return train(x, s, got.column("y").to_numpy())
-
-
-def _apart(f: Callable, *args: object) -> object:
-    """``f(*args)`` in a forked process, so that the driver doesn't keep the memory that it took."""
-    receive, send = multiprocessing.get_context("fork").Pipe(False)
-
-    def run() -> None:
-        try:
-            send.send((f(*args), None))
-        except BaseException as e:  # noqa: BLE001  told to the parent
-            send.send((None, repr(e)))
-
-    child = multiprocessing.get_context("fork").Process(target=run)
-    child.start()
-    send.close()
-    try:
-        out, problem = receive.recv()
-    except EOFError:
-        out, problem = None, "it ended early"
-    child.join()
-    if problem:
-        raise RuntimeError(f"training failed: {problem}")
-    return out
+    model = train(x, s, got.column("y").to_numpy())
+    return pa.table({"number": pa.array(np.append(model.numbers, -1).astype(np.int32)), "value": pa.array(np.append(model.values, model.bias))})
 
 
 def score(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), offend: float = 0.5, into: tuple[str, str] = ("score", "sentences")) -> DataFrame:
@@ -211,6 +200,7 @@ def score(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...]
     keep = tuple(c for c in keep if c not in into)
     span = T._parse_datatype_string("array<struct<start:int,end:int,score:double>>")
     out = T.StructType([df.schema[c] for c in keep] + [T.StructField(into[0], T.DoubleType()), T.StructField(into[1], span)])
+    sent, at = with_text(df, text, keep)
     numbers, values, bias = model.numbers, model.values, model.bias
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,9 +210,7 @@ def score(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...]
         table[numbers] = values
         word = re.compile(r"[^ \t-\r]+")
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
-        renamed = (pa.RecordBatch.from_arrays(b.columns, names=[*b.schema.names[:-1], "▁text"]) for b in batches)
-        for batch in slices(renamed, "▁text", 2 << 20):
-            texts = batch.column(len(keep))
+        for batch, texts in text_slices(batches, at, 2 << 20):
             whole, each, starts, of_text = score_texts(texts, table, bias)
             bad = [[] for _ in range(len(whole))]
             where = np.flatnonzero(each >= offend)
@@ -232,6 +220,6 @@ def score(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...]
                 stops = np.append(own[1:], len(spans))
                 for j in where[(where >= of_text[i]) & (where < of_text[i + 1])] - of_text[i]:
                     bad[i].append({"start": spans[own[j]][0], "end": spans[stops[j] - 1][1], "score": float(each[of_text[i] + j])})
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(len(keep))), pa.array(whole), pa.array(bad, kind)], names=out.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(whole), pa.array(bad, kind)], names=out.names)
 
-    return df.select(*keep, F.col(text).alias("▁text")).mapInArrow(run, out)
+    return arrow_map(sent, run, out)

@@ -11,27 +11,35 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark.sql import DataFrame
 
 #: Text bytes handled at once; a longer single text forms a slice of its own.
 SLICE_BYTES = 4 << 20
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Record batches cut to about ``limit`` bytes of text, null texts made empty."""
+def cuts(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about ``limit`` bytes."""
+    ends, start = np.cumsum(sizes), 0
+    while start < len(sizes):
+        base = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
+        yield start, stop
+        start = stop
+
+
+def text_slices(batches: Iterator[pa.RecordBatch], at: int, limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """Batches cut to about ``limit`` bytes of the text in column ``at``, and these texts, null ones made empty."""
     for batch in batches:
-        at = batch.schema.get_field_index(text)
-        column = pc.fill_null(batch.column(at).cast(pa.large_string()), "")
-        batch = pa.RecordBatch.from_arrays(
-            [column if i == at else batch.column(i) for i in range(batch.num_columns)], names=batch.schema.names
-        )
-        ends = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False))
-        start = 0
-        while start < batch.num_rows:
-            base = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
-            yield batch.slice(start, stop - start)
-            start = stop
+        texts = pc.fill_null(batch.column(at).cast(pa.large_string()), "")
+        for a, b in cuts(pc.binary_length(texts).to_numpy(zero_copy_only=False), limit):
+            yield batch.slice(a, b - a), texts.slice(a, b - a)
+
+
+def with_text(df: DataFrame, text: str, keep: tuple[str, ...]) -> tuple[DataFrame, int]:
+    """The columns ``keep`` and, behind them unless it is one of them, ``text``; and the place of ``text``."""
+    sent = keep if text in keep else (*keep, text)
+    return df.select(*sent), sent.index(text)
 
 
 def split_words(texts: pa.Array, lower: bool) -> tuple[np.ndarray, pa.DictionaryArray]:
