@@ -98,6 +98,14 @@ def crc_mod(column: str, n: int):
     return F.crc32(F.col(column).cast("string")) % n
 
 
+def spare(name: str, taken: Iterable[str]) -> str:
+    """The name, made longer until no column has it."""
+    taken = {c.lower() for c in taken}
+    while name.lower() in taken:
+        name += "▁"
+    return name
+
+
 def union_all(frames: Iterable[DataFrame]) -> DataFrame:
     first, *rest = frames
     for df in rest:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, arrow_map
+from .common import Scratch, arrow_map, spare
 from .words import text_slices, with_text
 
 #: Kinds in the order that breaks ties between spans of one start.
@@ -175,10 +175,10 @@ def found(t: str) -> list[dict]:
     return [dict(zip(keys, (k, s, e, seed, _patterns(t, words, firsts, k, s, e), t[s:e].lower()), strict=True)) for s, k, e, seed in sorted(out)]
 
 
-def occurrences(df: DataFrame, text: str, keep: tuple[str, ...]) -> DataFrame:
-    """Every row with ``▁found``, its base matches and looser candidates, each with its patterns."""
+def occurrences(df: DataFrame, text: str, keep: tuple[str, ...], into: str) -> DataFrame:
+    """Every row with its base matches and looser candidates, each with its patterns."""
     span = T._parse_datatype_string(SPAN)
-    out = T.StructType([df.schema[c] for c in keep] + [T.StructField("▁found", span)])
+    out = T.StructType([df.schema[c] for c in keep] + [T.StructField(into, span)])
     sent, at = with_text(df, text, keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,7 +226,7 @@ def extract(
     text: str = "text",
     keep: tuple[str, ...] = ("doc_id",),
     rounds: int = 3,
-    least: float = 0.8,
+    least: float = 0.7,
     support: int = 3,
 ) -> DataFrame:
     """The columns ``keep``, ``base`` and ``spans``: arrays of (start, kind, end), sorted.
@@ -240,22 +240,20 @@ def extract(
     """
     scratch = Scratch(spark)
     keep = tuple(c for c in keep if c not in ("base", "spans"))
-    rows = scratch.keep(occurrences(df, text, keep).withColumn("▁row", F.monotonically_increasing_id()))
-    seen = rows.select("▁row", F.explode("▁found").alias("f")).select("▁row", "f.*")
+    row, found_, new_ = (spare(f"▁{c}", keep) for c in ("row", "found", "new"))
+    rows = scratch.keep(occurrences(df, text, keep, found_).withColumn(row, F.monotonically_increasing_id()))
+    seen = rows.select(F.col(row).alias("row"), F.explode(found_).alias("f")).select("row", "f.*")
     patterns = confident_patterns(seen, scratch, rounds, least, support)
-    new = seen.where("NOT seed").select("▁row", "kind", "start", "end", F.explode("patterns").alias("pattern"))
+    new = seen.where("NOT seed").select("row", "kind", "start", "end", F.explode("patterns").alias("pattern"))
     new = new.join(patterns.select("kind", "pattern", "conf"), ["kind", "pattern"])
     # Best first: by confidence, length and place.
     best = F.struct((-F.max("conf")).alias("conf"), (F.col("start") - F.col("end")).alias("size"), "start", "kind", "end")
-    new = new.groupBy("▁row", "start", "kind", "end").agg(best.alias("best")).groupBy("▁row").agg(F.array_sort(F.collect_list("best")).alias("new"))
+    new = new.groupBy("row", "start", "kind", "end").agg(best.alias("best")).groupBy("row").agg(F.array_sort(F.collect_list("best")).alias("new"))
     span = "array<struct<start:int,kind:int,end:int>>"
     clear = lambda x, taken: ~F.exists(taken, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))
     as_span = lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))
     added = F.aggregate("new", F.array().cast(span), lambda taken, x: F.when(clear(x, taken), F.array_append(taken, as_span(x))).otherwise(taken))
-    base = F.transform(F.filter("▁found", lambda f: f["seed"]), as_span).cast(span)
-    spans = F.array_sort(F.concat("base", F.coalesce("▁new", F.array().cast(span))))
-    return (
-        rows.select("▁row", *keep, base.alias("base"))
-        .join(new.select("▁row", added.alias("▁new")), "▁row", "left")
-        .select(*keep, "base", spans.alias("spans"))
-    )
+    base = F.transform(F.filter(found_, lambda f: f["seed"]), as_span).cast(span)
+    both = rows.join(new.select(F.col("row").alias(row), added.alias(new_)), row, "left")
+    spans = F.array_sort(F.concat(base, F.coalesce(new_, F.array().cast(span))))
+    return both.select(*keep, base.alias("base"), spans.alias("spans"))

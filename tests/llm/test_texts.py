@@ -1,6 +1,7 @@
 """Operators on single texts: pieces, personal data, toxicity, language model."""
 
 import collections
+import hashlib
 import math
 import random
 import re
@@ -9,9 +10,11 @@ import zlib
 import pyarrow as pa
 import pytest
 
-from sigloom.llm import lm, pii, pieces, toxicity
+from sigloom.llm import lm, pii, pieces, queries, toxicity
+from sigloom.llm.common import Scratch
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
+DATA = "/root/testdata/sf0.001"
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 ODD = [None, "", " ", "  a", "a ", "a  b", "▁", "x▁ y", "tab\tnew\nline \r\x0b", "é😀 ok", "<s> </s>", "\x00", "word " * 3000, "z" * 5000]
 
@@ -69,6 +72,77 @@ def test_patterns_discover_what_the_matchers_miss(spark):
     assert pii.extract(docs(spark, []), spark).count() == 0
 
 
+def test_discoveries_next_to_other_numbers_and_far_contexts(spark):
+    long = "x" * 250
+    texts = [f"{long}{k % 2} number +1 (555) 010-00{k:02} ok" for k in range(10, 20)]
+    texts += ["call +1 (555) 010-0077 10.1.2.3 now", f"{long}0 number 555 010 0099 ok", "nothing 12 here", "7 " * 30_000]
+    got = {r.doc_id: r for r in pii.extract(docs(spark, texts), spark).collect()}
+    told = {k: [texts[k][s.start : s.end] for s in r.spans if s not in r.base] for k, r in got.items()}
+    # The base phone matcher drops a run of more than 15 digits as a whole.
+    assert told[10] == ["+1 (555) 010-0077"] and told[11] == ["555 010 0099"]
+    assert not any(told[k] for k in told if k not in (10, 11))
+
+
+def brute_graph(seen, rounds, least, support):
+    """(kind, pattern) -> confidence, by dictionaries; ``seen`` has (kind, patterns, instance, seed)."""
+    edges = {}
+    for kind, patterns, instance, seed in seen:
+        for p in patterns:
+            edges[kind, p, instance] = edges.get((kind, p, instance), False) or seed
+    all_ = collections.Counter(p for _, p, _ in edges)
+    seeds = {(k, i) for (k, _, i), s in edges.items() if s}
+    trust = {(k, i): float((k, i) in seeds) for k, _, i in edges}
+    for _ in range(rounds):
+        good, count = collections.defaultdict(float), collections.Counter()
+        for k, p, i in edges:
+            good[k, p] += trust[k, i]
+            count[k, p] += trust[k, i] >= 0.5
+        conf = {x: g / (all_[x[1]] + 1) for x, g in good.items() if g / (all_[x[1]] + 1) >= least and count[x] >= support}
+        doubt = collections.defaultdict(lambda: 1.0)
+        for k, p, i in edges:
+            doubt[k, i] *= max(1 - conf.get((k, p), 0.0), 1e-9)
+        trust = {x: 1.0 if x in seeds else 1 - doubt[x] for x in trust}
+    return conf
+
+
+def test_pattern_graph_by_dictionaries(spark):
+    rng = random.Random(9)
+    seen = [(rng.randrange(2), [f"p{rng.randrange(6)}", f"q{rng.randrange(4)}"], f"i{rng.randrange(40)}", rng.random() < 0.6) for _ in range(150)]
+    df = spark.createDataFrame(seen, "kind int, patterns array<string>, instance string, seed boolean")
+    for least in (0.3, 0.5, 0.7):
+        got = {(r.kind, r.pattern): r.conf for r in pii.confident_patterns(df, Scratch(spark), 3, least, 3).collect()}
+        want = brute_graph(seen, 3, least, 3)
+        assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_registered_digests_of_personal_data(spark):
+    """Base spans by plain regular expressions, additions by the graph above over the same occurrences."""
+    rows = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
+    found = {k: pii.found(t) for k, t in rows}
+    conf = brute_graph([(f["kind"], f["patterns"], f["instance"], f["seed"]) for v in found.values() for f in v], 3, 0.7, 3)
+    got = {r.doc_id: r for r in queries.op8_pii(spark, DATA).collect()}
+    for k, t in rows:
+        base = brute_spans(t)
+        told = ",".join(f"{pii.KINDS[kind]}:{s}:{e}" for s, kind, e in base)
+        assert got[k].base_sha256 == hashlib.sha256(told.encode()).hexdigest()
+        assert [got[k][f"n_{name}"] for name in pii.KINDS] == [sum(x == j for _, x, _ in base) for j in range(4)]
+        new = sorted((-max(conf[f["kind"], p] for p in f["patterns"] if (f["kind"], p) in conf), f["start"] - f["end"], f["start"], f["kind"], f["end"]) for f in found[k] if not f["seed"] and any((f["kind"], p) in conf for p in f["patterns"]))
+        taken = []
+        for _, _, s, kind, e in new:
+            if not any(a < e and s < b for a, _, b in taken):
+                taken.append((s, kind, e))
+        want = ",".join(f"{pii.KINDS[kind]}:{s}:{e}" for s, kind, e in sorted(base + taken))
+        assert (got[k].spans, got[k].n_added) == (want, len(taken))
+
+
+def test_odd_rows_of_personal_data(spark):
+    rows = [(1, "a@b.cc x", "y"), (1, "a@b.cc x", "y"), (2, None, None)]
+    df = spark.createDataFrame(rows, "base long, text string, `▁row` string")
+    got = pii.extract(df, spark, keep=("base", "▁row", "text")).collect()
+    assert len(got) == 3 and all(set(r.asDict()) == {"▁row", "text", "base", "spans"} for r in got)
+    assert sorted(len(r.base) for r in got) == [0, 1, 1]
+
+
 def test_toxicity_learns_locates_and_ignores_ids(spark):
     rng = random.Random(3)
     plain = [f"w{k}" for k in range(40)]
