@@ -46,6 +46,42 @@ def tokenized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(tokens(F.col("text")))).alias("tokens"))
 
 
+# --- pieces of SQL -----------------------------------------------------------------------------------
+
+
+def _tail(k: str, n: str, p: str) -> str:
+    """P(X <= k) for n trials of probability p, term by term."""
+    term = f"exp(lgamma({n} + 1) - lgamma(j + 1) - lgamma({n} - j + 1) + j * ln({p}) + ({n} - j) * ln(1 - ({p})))"
+    return f"(CASE WHEN {k} < 0 THEN 0.0 WHEN {k} >= {n} THEN 1.0 ELSE list_sum(list_transform(range(0, CAST({k} AS BIGINT) + 1), lambda j: {term})) END)"
+
+
+def _intervals(source: str, k: str, n: str) -> str:
+    """CTE ci (k, n, ci_low, ci_high): exact 95 % intervals of the distinct (k, n) of a table, by halving.  Needs RECURSIVE."""
+    low, high = "(a0 + a1) / 2", "(b0 + b1) / 2"
+    return f"""bisect(k, n, a0, a1, b0, b1, i) AS (
+  SELECT DISTINCT CAST({k} AS BIGINT), CAST({n} AS BIGINT), 0.0::DOUBLE, 1.0::DOUBLE, 0.0::DOUBLE, 1.0::DOUBLE, 0 FROM {source}
+  UNION ALL SELECT k, n, CASE WHEN {_tail('k - 1', 'n', low)} > 0.975 THEN {low} ELSE a0 END, CASE WHEN {_tail('k - 1', 'n', low)} > 0.975 THEN a1 ELSE {low} END,
+    CASE WHEN {_tail('k', 'n', high)} > 0.025 THEN {high} ELSE b0 END, CASE WHEN {_tail('k', 'n', high)} > 0.025 THEN b1 ELSE {high} END, i + 1 FROM bisect WHERE i < 40),
+ci AS (SELECT k, n, round(CASE WHEN k = 0 THEN 0 ELSE a0 END, 6) AS ci_low, round(CASE WHEN k = n THEN 1 ELSE b1 END, 6) AS ci_high FROM bisect WHERE i = 40)"""
+
+
+def _splitmix(seed: str, draw: str) -> str:
+    """Output number ``draw`` (from 1) of the SplitMix64 generator of a seed, both UBIGINT."""
+    mod = "18446744073709551616::UHUGEINT"
+    z = f"((({seed})::UHUGEINT + ({draw})::UHUGEINT * 11400714819323198485::UHUGEINT) % {mod})::UBIGINT"
+    step = lambda z, by, m: f"list_transform([{z}], lambda z: ((xor(z, z >> {by}))::UHUGEINT * {m}::UHUGEINT % {mod})::UBIGINT)[1]"
+    z = step(step(z, 30, "13787848793156543929"), 27, "10723151780598845931")
+    return f"list_transform([{z}], lambda z: xor(z, z >> 31))[1]"
+
+
+def _seed(*parts: str) -> str:
+    return f"('0x' || right(sha256(concat_ws('|', {', '.join(parts)})), 16))::UBIGINT"
+
+
+def rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) for c in columns})
+
+
 # --- tokens, windows, signals ------------------------------------------------------------------------
 
 _TOK = r"""tok AS MATERIALIZED (
@@ -270,13 +306,12 @@ def source_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.holdout(table(spark, sf_dir, "documents").select("source", "lang", "doc_id"), "source", "lang", "doc_id")
 
 
-@query("""WITH e AS (SELECT s.source, l.lang FROM (SELECT DISTINCT source FROM documents) s, (SELECT DISTINCT lang FROM documents) l),
-d AS (SELECT DISTINCT source, lang FROM documents WHERE doc_id % 3 = 0)
+@query("""WITH e AS (SELECT s.source, l.lang FROM (SELECT DISTINCT source FROM documents) s, (SELECT DISTINCT lang FROM documents) l), d AS (SELECT DISTINCT source, lang FROM documents)
 SELECT source, lang, 'MISSING' AS problem FROM e WHERE (source, lang) NOT IN (SELECT (source, lang) FROM d)""")
 def incomplete_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     grid = corpus.grid(d.select("source").distinct(), d.select("lang").distinct())
-    return corpus.incomplete(grid, d.where("doc_id % 3 = 0"), ("source", "lang"))
+    return corpus.incomplete(grid, d, ("source", "lang"))
 
 
 # --- pairs -------------------------------------------------------------------------------------------
@@ -414,12 +449,11 @@ def review_packet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.review_packet(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 40, 9)
 
 
-@query("""WITH v AS (SELECT l_orderkey, l_returnflag, count(*) AS votes FROM lineitem WHERE l_linenumber <= 3 GROUP BY ALL),
+@query("""WITH v AS (SELECT l_orderkey, l_returnflag, count(*) AS votes FROM lineitem GROUP BY ALL),
 b AS (SELECT l_orderkey, CAST(sum(votes) AS BIGINT) AS reviewers, max(votes) AS most, arg_max(l_returnflag, votes) AS verdict FROM v GROUP BY l_orderkey)
 SELECT l_orderkey, reviewers, CASE WHEN reviewers IN (2, 3) AND most >= 2 THEN verdict END AS verdict, CASE WHEN NOT (reviewers IN (2, 3) AND most >= 2) THEN 'NO_MAJORITY' END AS problem FROM b""")
 def adjudication(spark: SparkSession, sf_dir: str) -> DataFrame:
-    votes = table(spark, sf_dir, "lineitem").where("l_linenumber <= 3")
-    return spans.adjudicated(votes, "l_orderkey", "l_returnflag")
+    return spans.adjudicated(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_returnflag")
 
 
 @query("""SELECT l_shipdate_month AS rule, n AS reviews, rate, CASE WHEN n < 50 THEN 'TOO_FEW_REVIEWS' WHEN rate < 0.5 THEN 'BELOW_RATE' ELSE 'READY' END AS status
@@ -448,9 +482,16 @@ def fpr_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calibrate.thresholds(_negatives(spark, sf_dir), ("l_linestatus",), "l_extendedprice", _RATES)
 
 
-@query()
+@query(_THRESHOLDS.replace("WITH", "WITH RECURSIVE", 1) + f""", {_intervals('t', 'false_positives', 'n')},
+x AS (SELECT l_linestatus, l_extendedprice AS x FROM lineitem WHERE l_returnflag <> 'R'),
+m AS (SELECT l_linestatus, median(x) AS centre, quantile_disc(x, 0.75) - quantile_disc(x, 0.25) AS iqr FROM x GROUP BY 1),
+s AS (SELECT l_linestatus, centre, coalesce(nullif(median(abs(x - centre)) * 1.482602218505602, 0), nullif(any_value(iqr) / 1.3489795003921634, 0)) AS scale FROM x JOIN m USING (l_linestatus) GROUP BY ALL)
+SELECT t.l_linestatus, target, t.n, threshold, false_positives, round(false_positives / t.n, 9) AS achieved, ci_low, ci_high, round(centre, 6) AS centre, round(scale, 6) AS scale,
+CASE WHEN scale IS NULL THEN 'NO_SPREAD' ELSE 'OK' END AS status, CASE WHEN t.n >= ceil(1 / target) THEN 'OK' ELSE 'TOO_FEW_NEGATIVES' END AS resolution
+FROM t JOIN ci ON ci.k = false_positives AND ci.n = t.n JOIN s USING (l_linestatus)""")
 def calibration_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return calibrate.calibrate(_negatives(spark, sf_dir), ("l_linestatus",), "l_extendedprice", _RATES)
+    told = calibrate.calibrate(_negatives(spark, sf_dir), ("l_linestatus",), "l_extendedprice", _RATES)
+    return rounded(rounded(told, 6, "ci_low", "ci_high", "centre", "scale"), 9, "achieved")
 
 
 @query("""WITH x AS (SELECT l_linestatus, l_extendedprice AS x FROM lineitem WHERE l_returnflag <> 'R'),
@@ -468,21 +509,29 @@ def two_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return disc.join(li.groupBy("l_linestatus").agg(F.round(calibrate.quantile_linear("l_extendedprice", 0.25), 6).alias("linear")), "l_linestatus")
 
 
-@query(_THRESHOLDS + """, d AS (SELECT l.l_linestatus, target, l_extendedprice > threshold AS positive FROM lineitem l JOIN t USING (l_linestatus) WHERE l_returnflag = 'R')
-SELECT l_linestatus, target, count(*) AS n, count(*) FILTER (positive) AS detected FROM d GROUP BY ALL""")
+@query(_THRESHOLDS.replace("WITH", "WITH RECURSIVE", 1) + f""", d AS (SELECT l.l_linestatus, target, l_extendedprice > threshold AS positive FROM lineitem l JOIN t USING (l_linestatus) WHERE l_returnflag = 'R'),
+b AS (SELECT l_linestatus, target, count(*) AS n, count(*) FILTER (positive) AS detected FROM d GROUP BY ALL), {_intervals('b', 'detected', 'n')}
+SELECT l_linestatus, target, b.n, detected, round(detected / b.n, 9) AS rate, ci_low, ci_high, CASE WHEN detected / b.n >= 0.04 THEN 'PASS' ELSE 'FAIL' END AS status FROM b JOIN ci ON ci.k = detected AND ci.n = b.n""")
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = calibrate.calibrate(_negatives(spark, sf_dir), ("l_linestatus",), "l_extendedprice", _RATES)
     rows = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'")
     told = calibrate.decide(rows, cut, ("l_linestatus",), "l_extendedprice")
-    return calibrate.baseline(told, ("l_linestatus",)).select("l_linestatus", "target", "n", "detected")
+    return rounded(rounded(calibrate.baseline(told, ("l_linestatus",), floor=0.04), 6, "ci_low", "ci_high"), 9, "rate")
 
 
-@query()
+_FROZEN = _THRESHOLDS.replace("WITH", "WITH RECURSIVE", 1).replace("WHERE l_returnflag <> 'R'", "WHERE l_returnflag <> 'R' AND l_orderkey % 2 = 0").replace("AND 1 PRECEDING), 0)", "AND CURRENT ROW), 0)")
+
+
+@query(_FROZEN + f""", b AS (SELECT l_linestatus, target, threshold, count(*) AS n, count(*) FILTER (l_extendedprice >= threshold) AS false_positives FROM lineitem JOIN (SELECT l_linestatus, target, threshold FROM t) USING (l_linestatus)
+  WHERE l_returnflag <> 'R' AND l_orderkey % 2 = 1 GROUP BY ALL), {_intervals('b', 'false_positives', 'n')}
+SELECT l_linestatus, target, threshold, b.n, false_positives, round(false_positives / b.n, 9) AS rate, ci_low, ci_high, CASE WHEN b.n >= 1000 THEN 'OK' ELSE 'TOO_FEW_ROWS' END AS status
+FROM b JOIN ci ON ci.k = false_positives AND ci.n = b.n""")
 def audited_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frozen on orders with even keys, measured again on odd ones."""
     li = table(spark, sf_dir, "lineitem").where("l_returnflag <> 'R'").select("l_orderkey", "l_linestatus", "l_extendedprice")
     registry = calibrate.thresholds(li.where("l_orderkey % 2 = 0"), ("l_linestatus",), "l_extendedprice", _RATES, strict=False)
-    return calibrate.audit(registry, li.where("l_orderkey % 2 = 1"), ("l_linestatus",), "l_extendedprice")
+    told = calibrate.audit(registry, li.where("l_orderkey % 2 = 1"), ("l_linestatus",), "l_extendedprice")
+    return rounded(rounded(told, 6, "ci_low", "ci_high"), 9, "rate")
 
 
 @query("""SELECT lang, count(*) AS n, min(n_chars) AS low, round(quantile_cont(n_chars, 0.25), 6) AS q25, round(quantile_cont(n_chars, 0.5), 6) AS q50, round(quantile_cont(n_chars, 0.75), 6) AS q75,
@@ -591,10 +640,10 @@ def stratified_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("stratum", "value", "n", *[F.round(c, 6).alias(c) for c in ("mean_quantity", "mean_discount")])
 
 
-@query("""WITH e AS (SELECT list_transform(embedding[1:8], lambda x: x::DOUBLE) AS v FROM embeddings), p AS (SELECT v, unnest(range(8)) AS i FROM e), q AS (SELECT v, i, unnest(range(8)) AS j FROM p)
+@query("""WITH e AS (SELECT list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), p AS (SELECT v, unnest(range(len(v))) AS i FROM e), q AS (SELECT v, i, unnest(range(len(v))) AS j FROM p)
 SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, count(*) AS n, round(covar_samp(v[i + 1], v[j + 1]), 9) AS covariance FROM q GROUP BY i, j""")
 def depth_covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").select(F.slice(F.col("embedding").cast("array<double>"), 1, 8).alias("v"))
+    e = table(spark, sf_dir, "embeddings").select(F.col("embedding").cast("array<double>").alias("v"))
     return evaluate.depth_covariance(e, "v").withColumn("covariance", F.round("covariance", 9))
 
 
@@ -697,10 +746,11 @@ def tokenizer_differential(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("pair", F.col("tokenizers").cast("int").alias("tokenizers"), "least", "most", "changed_by_all", "metrics_differ")
 
 
-@query()
+@query(f"""WITH RECURSIVE b AS (SELECT l_returnflag, l_linestatus, count(*) AS n, count(*) FILTER (l_discount >= 0.095) AS good FROM lineitem GROUP BY ALL), {_intervals('b', 'good', 'n')}
+SELECT l_returnflag, l_linestatus, b.n, good, round(good / b.n, 9) AS rate, ci_low, ci_high FROM b JOIN ci ON ci.k = good AND ci.n = b.n""")
 def blind_fidelity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").withColumn("good", F.col("l_discount") <= 0.08)
-    return reports.favourable(li, ("l_returnflag", "l_linestatus"), "good")
+    li = table(spark, sf_dir, "lineitem").withColumn("good", F.col("l_discount") >= 0.095)
+    return rounded(rounded(reports.favourable(li, ("l_returnflag", "l_linestatus"), "good"), 6, "ci_low", "ci_high"), 9, "rate")
 
 
 @query()
@@ -713,7 +763,8 @@ def single_edit_mechanism(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.mechanism(diffs, pairs, 5)
 
 
-@query()
+@query("""SELECT * FROM (VALUES ('windows', '', 0), ('scores', 'windows', 1), ('pairs', 'windows', 1), ('calibration', 'scores', 2), ('survival', 'pairs', 2), ('detectability', 'calibration', 3),
+('controls', 'calibration,pairs', 3), ('predictors', 'survival,scores', 3), ('dose', 'survival,scores', 3), ('spacing', 'dose', 4), ('batteries', 'detectability,survival', 4)) t(step, needs, level)""")
 def step_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.registry(spark).withColumn("needs", F.concat_ws(",", "needs"))
 
@@ -726,48 +777,103 @@ def _effects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.groupBy("l_returnflag", "l_suppkey").agg((F.avg("l_discount") - 0.05).alias("effect"))
 
 
-@query()
+_EFFECTS = "e AS MATERIALIZED (SELECT l_returnflag, l_suppkey, avg(l_discount) - 0.05 AS effect FROM lineitem GROUP BY ALL)"
+
+
+def _paired_p(a: str, b: str) -> str:
+    tail = _tail(f"least({a}, {b})", f"({a} + {b})", "0.5")
+    return f"round(CASE WHEN {a} + {b} = 0 THEN 1 ELSE least(1.0, 2 * {tail}) END, 9)"
+
+
+@query(f"""WITH t AS (SELECT l_linestatus, count(*) AS n, count(*) FILTER (l_quantity > 25 AND l_discount > 0.05) AS "both", count(*) FILTER (l_quantity > 25 AND NOT l_discount > 0.05) AS lost,
+count(*) FILTER (NOT l_quantity > 25 AND l_discount > 0.05) AS gained, count(*) FILTER (NOT l_quantity > 25 AND NOT l_discount > 0.05) AS neither FROM lineitem GROUP BY 1)
+SELECT *, {_paired_p('lost', 'gained')} AS p FROM t""")
 def mcnemar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return infer.mcnemar(transition_counts(spark, sf_dir))
+    return rounded(infer.mcnemar(transition_counts(spark, sf_dir)), 9, "p")
 
 
-@query()
+@query(f"""WITH {_EFFECTS}, t AS (SELECT l_returnflag, count(*) FILTER (effect > 0) AS up, count(*) FILTER (effect < 0) AS down FROM e GROUP BY 1)
+SELECT *, {_paired_p('down', 'up')} AS p FROM t""")
 def sign_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return infer.sign_test(_effects(spark, sf_dir), ("l_returnflag",), "effect")
+    return rounded(infer.sign_test(_effects(spark, sf_dir), ("l_returnflag",), "effect"), 9, "p")
 
 
-@query("""WITH p AS (SELECT p_partkey, (p_retailprice % 100) / 5000 AS p FROM part), r AS (SELECT *, least(1.0, (1000 - row_number() OVER (ORDER BY p, p_partkey) + 1) * p) AS raw FROM p)
-SELECT p_partkey, round(max(raw) OVER (ORDER BY p, p_partkey ROWS UNBOUNDED PRECEDING), 9) AS p_holm FROM r WHERE p < 0.0001""")
+@query("""WITH p AS (SELECT p_partkey, (p_retailprice % 100) / 5000 AS p FROM part),
+r AS (SELECT *, least(1.0, (1000000 - row_number() OVER (ORDER BY p, p_partkey) + 1) * p) AS raw FROM p)
+SELECT p_partkey, round(max(raw) OVER (ORDER BY p, p_partkey ROWS UNBOUNDED PRECEDING), 9) AS p_holm FROM r""")
 def holm_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A family of 1000 fixed in advance; the smallest p-values."""
+    """A family of a million fixed in advance, of which the table has some."""
     p = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_retailprice") % 100 / 5000).alias("p"))
-    told = infer.holm(p.withColumn("order_", F.struct("p", "p_partkey")), "p", 1000)
-    return told.where("p < 0.0001").select("p_partkey", F.round("p_holm", 9).alias("p_holm"))
+    told = infer.holm(p.withColumn("order_", F.struct("p", "p_partkey")), "p", 1_000_000)
+    return told.select("p_partkey", F.round("p_holm", 9).alias("p_holm"))
 
 
-@query()
+@query(f"""WITH e AS MATERIALIZED (SELECT l_returnflag, l_linestatus AS s, l_suppkey, avg(l_discount) - 0.05 AS v FROM lineitem GROUP BY ALL),
+o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY s, v) AS draw, row_number() OVER (PARTITION BY l_returnflag, s ORDER BY v) - 1 AS place, count(*) OVER (PARTITION BY l_returnflag, s) AS size FROM e),
+seeds AS MATERIALIZED (SELECT l_returnflag, r, {_seed("'1'", 'l_returnflag', 'r')} AS seed FROM (SELECT DISTINCT l_returnflag FROM e), range(1000) x(r)),
+d AS (SELECT l_returnflag, r, s, CAST({_splitmix('seed', 'draw')} % size AS BIGINT) AS place FROM seeds JOIN o USING (l_returnflag)),
+m AS (SELECT l_returnflag, r, avg(v) AS m FROM d JOIN o USING (l_returnflag, s, place) GROUP BY ALL),
+q AS (SELECT l_returnflag, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM m GROUP BY 1)
+SELECT l_returnflag, n, round(mean, 9) AS mean, round(low, 9) AS low, round(high, 9) AS high FROM q JOIN (SELECT l_returnflag, count(*) AS n, avg(v) AS mean FROM e GROUP BY 1) USING (l_returnflag)""")
 def bootstrap_means(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return infer.bootstrap_mean(_effects(spark, sf_dir), ("l_returnflag",), (), "effect", replicates=200)
+    """Suppliers' effects, resampled within line statuses."""
+    li = table(spark, sf_dir, "lineitem")
+    e = li.groupBy("l_returnflag", "l_linestatus", "l_suppkey").agg((F.avg("l_discount") - 0.05).alias("effect"))
+    return rounded(infer.bootstrap_mean(e, ("l_returnflag",), ("l_linestatus",), "effect"), 9, "mean", "low", "high")
 
 
 @query()
 def bootstrap_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return infer.bootstrap_sources(_effects(spark, sf_dir), ("l_returnflag",), "effect", replicates=1000)
+    return infer.bootstrap_sources(_effects(spark, sf_dir), ("l_returnflag",), "effect")
 
 
-@query()
+_PRICES = "SELECT l_linestatus, l_suppkey, avg(l_extendedprice) AS v, avg(l_discount) > 0.05 AS y FROM lineitem GROUP BY ALL"
+
+
+@query(f"""WITH e AS MATERIALIZED ({_PRICES}),
+o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY l_linestatus ORDER BY y, v) AS draw, row_number() OVER (PARTITION BY l_linestatus, y ORDER BY v) - 1 AS place, count(*) OVER (PARTITION BY l_linestatus, y) AS size FROM e),
+seeds AS MATERIALIZED (SELECT l_linestatus, r, {_seed("'1'", 'l_linestatus', 'r')} AS seed FROM (SELECT DISTINCT l_linestatus FROM e), range(1000) x(r)),
+d AS (SELECT l_linestatus, r, y, CAST({_splitmix('seed', 'draw')} % size AS BIGINT) AS place FROM seeds JOIN o USING (l_linestatus)),
+x AS (SELECT l_linestatus, r, v, count(*) FILTER (y) AS p, count(*) FILTER (NOT y) AS q FROM d JOIN o USING (l_linestatus, y, place) GROUP BY ALL),
+b AS (SELECT *, coalesce(sum(q) OVER (PARTITION BY l_linestatus, r ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM x),
+m AS (SELECT l_linestatus, r, sum(p * (below + q / 2)) / (sum(p) * sum(q)) AS m FROM b GROUP BY ALL),
+z AS (SELECT l_linestatus, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM m GROUP BY 1),
+w AS (SELECT a.l_linestatus, avg(CASE WHEN a.v > b.v THEN 1.0 WHEN a.v = b.v THEN 0.5 ELSE 0 END) AS auc FROM e a JOIN e b ON a.l_linestatus = b.l_linestatus AND a.y AND NOT b.y GROUP BY 1),
+n AS (SELECT l_linestatus, count(*) FILTER (y) AS positives, count(*) FILTER (NOT y) AS negatives FROM e GROUP BY 1)
+SELECT l_linestatus, positives, negatives, round(auc, 9) AS auc, round(low, 9) AS low, round(high, 9) AS high FROM n LEFT JOIN w USING (l_linestatus) LEFT JOIN z USING (l_linestatus)""")
+def bootstrap_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers' mean prices as scores, high discounts as labels, by line status."""
+    e = table(spark, sf_dir, "lineitem").groupBy("l_linestatus", "l_suppkey").agg(F.avg("l_extendedprice").alias("v"), (F.avg("l_discount") > 0.05).alias("y"))
+    return rounded(infer.bootstrap_auc(e, ("l_linestatus",), (), "v", "y"), 9, "auc", "low", "high")
+
+
+@query(f"""WITH e AS MATERIALIZED (SELECT sum(l_discount) AS s, count(l_discount) AS n, row_number() OVER (ORDER BY l_suppkey) - 1 AS k FROM lineitem GROUP BY l_suppkey),
+d AS (SELECT r, CAST({_seed("'1'", 'r', 'k')} % (SELECT count(*) FROM e) AS BIGINT) AS k FROM e, range(1000) x(r)),
+m AS (SELECT r, sum(s) / sum(n) AS m FROM d JOIN e USING (k) GROUP BY r), w AS (SELECT count(*) AS sources, sum(s) / sum(n) AS mean FROM e)
+SELECT any_value(sources) AS sources, round(any_value(mean), 9) AS mean, round(quantile_cont(m, 0.025), 9) AS low, round(quantile_cont(m, 0.975), 9) AS high FROM m, w""")
 def bootstrap_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return infer.bootstrap_clusters(table(spark, sf_dir, "lineitem"), "l_suppkey", "l_discount", replicates=200)
+    return rounded(infer.bootstrap_clusters(table(spark, sf_dir, "lineitem"), "l_suppkey", "l_discount"), 9, "mean", "low", "high")
 
 
-@query()
+@query(f"""WITH {_EFFECTS}, o AS (SELECT l_returnflag, list(effect ORDER BY effect) AS x FROM e GROUP BY 1),
+s AS MATERIALIZED (SELECT l_returnflag, x, len(x) AS n, (len(x) + 63) // 64 AS words, list_sum(x) / len(x) AS mean, {_seed("'1'", 'l_returnflag')} AS seed FROM o),
+w AS (SELECT l_returnflag, r, list_transform(range(words), lambda k: {_splitmix('seed', 'r * words + k + 1')}) AS bits, x, n, mean FROM s, range(10000) y(r)),
+f AS (SELECT l_returnflag, abs(list_sum(list_transform(range(n), lambda i: x[i + 1] * (1 - 2 * CAST((bits[i // 64 + 1] >> (i % 64)::UBIGINT) & 1 AS INT)))) / n) >= abs(mean) - 1e-15 AS extreme FROM w)
+SELECT l_returnflag, any_value(n) AS n, round(any_value(mean), 9) AS mean, (count(*) FILTER (extreme) + 1) / 10001 AS p FROM f JOIN s USING (l_returnflag) GROUP BY 1""")
 def sign_flip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return infer.sign_flip(_effects(spark, sf_dir), ("l_returnflag",), "effect", replicates=500)
+    return rounded(infer.sign_flip(_effects(spark, sf_dir), ("l_returnflag",), "effect"), 9, "mean")
 
 
-@query()
+@query(f"""WITH {_EFFECTS}, o AS MATERIALIZED (SELECT effect AS v, row_number() OVER (ORDER BY effect) - 1 AS place, count(*) OVER () AS many FROM e),
+t AS MATERIALIZED (SELECT size, trial, {_seed("'1'", 'size', 'trial')} AS seed FROM (VALUES (4), (8), (16), (32)) s(size), range(200) x(trial)),
+a AS MATERIALIZED (SELECT size, trial, k AS place, {_splitmix('seed', 'k + 1')} % (SELECT any_value(many) FROM o) AS pick FROM (SELECT *, unnest(range(size)) AS k FROM t)),
+b AS MATERIALIZED (SELECT size, trial, a.place, v FROM a JOIN o ON o.place = CAST(pick AS BIGINT)),
+d AS (SELECT size, trial, k // size AS r, CAST({_splitmix('seed', 'size + k + 1')} % size AS BIGINT) AS place FROM (SELECT *, unnest(range(size * 200)) AS k FROM t)),
+m AS (SELECT size, trial, r, avg(v) AS m FROM d JOIN b USING (size, trial, place) GROUP BY ALL),
+h AS (SELECT size, trial, quantile_cont(m, 0.025) > 0 OR quantile_cont(m, 0.975) < 0 AS hit FROM m GROUP BY ALL)
+SELECT size, count(*) AS trials, avg(hit::INT) AS power, CASE WHEN avg(hit::INT) >= 0.8 THEN 'SUFFICIENT' ELSE 'UNRESOLVED' END AS status FROM h GROUP BY size""")
 def power_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return infer.power(spark, [0.02, -0.01, 0.03, 0.0, 0.05, 0.01], [4, 8, 16, 32], trials=50)
+    return infer.power(_effects(spark, sf_dir), "effect", [4, 8, 16, 32])
 
 
 # --- events ------------------------------------------------------------------------------------------

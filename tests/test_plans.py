@@ -18,6 +18,11 @@ def test_exact_interval_and_test():
     low, high = binomial.clopper_pearson(5, 100)
     assert high == pytest.approx(0.11283491110546334, abs=1e-9)
     assert binomial.clopper_pearson(1, 100)[1] == pytest.approx(0.05445938539208044, abs=1e-9)
+    assert binomial.clopper_pearson(15_000, 300_000)[0] == pytest.approx(0.04922279, abs=1e-8)
+    for n in (1, 7, 40):
+        for k in range(n):
+            want = sum(math.comb(n, i) * 0.3**i * 0.7 ** (n - i) for i in range(k + 1))
+            assert binomial.lower_tail(k, n, 0.3) == pytest.approx(want, rel=1e-11)
     assert binomial.two_sided(0, 0) == 1.0 and binomial.two_sided(0, 5) == pytest.approx(2 / 32)
 
 
@@ -104,6 +109,24 @@ def test_resampling_is_repeatable_and_sane(spark):
     assert infer.sign_flip(df, ("k",), "x", 200).first().p < 0.05
     assert infer.sign_test(df, ("k",), "x").first().p == pytest.approx(2 / 256)
     assert infer.bootstrap_clusters(df, "s", "x", 50).first().sources == 8
+    r = infer.bootstrap_sources(df, ("k",), "x", 400, seed=5).first()
+    rng, x = random.Random(5), [1.0 + s / 10 for s in range(8)]
+    means = sorted(math.fsum(rng.choices(x, k=8)) / 8 for _ in range(400))
+    assert (r.low, r.high) == (pytest.approx(means[9]), pytest.approx(means[390]))
+
+
+def test_blocks_of_draws_equal_the_generator(monkeypatch):
+    import numpy as np
+
+    bounds = np.array([3, 8, 1, 2**40, 5])
+    rng = [infer.SplitMix64(s) for s in (7, 2**64 - 1)]
+    want = [[g.below(int(b)) for b in bounds] for g in rng]
+    assert infer.draws(np.array([7, 2**64 - 1], np.uint64), bounds).tolist() == want
+    # Bounds that refuse half of all outputs.
+    large = np.array([2**63 + 1] * 6, np.uint64)
+    g = infer.SplitMix64(3)
+    g.next()
+    assert infer.draws(np.array([3], np.uint64), large, 2)[0].tolist() == [g.below(2**63 + 1) for _ in range(6)]
 
 
 def test_strict_json(spark, tmp_path):
