@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 from pyspark.sql.window import Window
 
 _INTS = T.ArrayType(T.IntegerType())
@@ -85,19 +87,100 @@ class _Band:
                 self._add(d[k], first + k * every, min(last, first + (k + 1) * every))
 
 
-def align(a: np.ndarray, b: np.ndarray, max_cells: int | None = None) -> dict | None:
+def _slide(a: np.ndarray, b: np.ndarray, i: int, j: int, step: int) -> int:
+    """How many tokens are equal from (i, j) on, in steps of 1, or before it, in steps of -1."""
+    most = min(len(a) - i, len(b) - j) if step > 0 else min(i, j)
+    done, size = 0, 8
+    while done < most:
+        size = min(size * 4, most - done)
+        x, y = (a[i + done : i + done + size], b[j + done : j + done + size]) if step > 0 else (a[i - done - size : i - done][::-1], b[j - done - size : j - done][::-1])
+        differ = x != y
+        first = int(differ.argmax())
+        if differ[first]:
+            return done + first
+        done += size
+    return done
+
+
+def _reaches(a: np.ndarray, b: np.ndarray, cells: int) -> list[np.ndarray] | None:
+    """For each cost e the furthest row that it reaches on each diagonal -e .. e, until it reaches the end of both.
+
+    On a diagonal costs never fall, so a cell costs at most e if its row is at most the furthest one.  None
+    where more than ``cells`` of these would have to be kept.
+    """
+    n, m = len(a), len(b)
+    rows = [np.array([_slide(a, b, 0, 0, 1)], np.int32)]
+    while True:
+        e = len(rows) - 1
+        if abs(m - n) <= e and rows[-1][e + m - n] >= n:
+            return rows
+        if (e + 2) ** 2 > cells:
+            return None
+        e += 1
+        k = np.arange(-e, e + 1, dtype=np.int32)
+        last = np.full(2 * e + 3, -2, np.int32)
+        last[2 : 2 * e + 1] = rows[-1]
+        # Substitute along the diagonal, insert from the one below, delete from the one above.
+        i = np.maximum(np.maximum(last[1:-1] + 1, last[:-2]), last[2:] + 1)
+        i = np.minimum(i, np.minimum(n, m - k))
+        i[(i < 0) | (i + k < 0)] = -2
+        inside = np.flatnonzero((i >= 0) & (i < n) & (i + k < m))
+        for x in inside[a[i[inside]] == b[i[inside] + k[inside]]].tolist():
+            i[x] += _slide(a, b, int(i[x]), int(i[x] + k[x]), 1)
+        rows.append(i)
+
+
+def align(a: np.ndarray, b: np.ndarray, cells: int = MAX_CELLS) -> dict:
     """The minimum-cost alignment; of equal ones, from the end: diagonal, else delete, else insert.
 
-    ops has one letter a step (M, S, D, I); ties counts the other choices of equal cost along the path.
-    The band doubles until the distance fits in it, so every cell on an optimal path is exact.  A pair
-    of any length is aligned; only where ``max_cells`` is given, one whose band needs more gets None.
+    ops has one letter a step (M, S, D, I); ties counts the other choices of equal cost along the path;
+    matched and placed have -1 for tokens without a place.  Pairs of any length are aligned: work grows
+    with the square of the distance, not of the length, as long as ``cells`` hold it, and else with a band.
     """
+    rows = _reaches(a, b, cells)
+    if rows is None:
+        return _align_banded(a, b, cells)
+    n, m = len(a), len(b)
+    parts, ties, i, j, e = [], 0, n, m, len(rows) - 1
+    matched, placed = np.full(n, -1, np.int32), np.full(n, -1, np.int32)
+
+    def reach(k: int) -> int:
+        """The furthest row of diagonal k that one edit less reaches."""
+        return int(rows[e - 1][k + e - 1]) if e and abs(k) < e else -2
+
+    while i or j:
+        if not i or not j:
+            parts.append("D" * i + "I" * j)
+            break
+        k = j - i
+        run = _slide(a, b, i, j, -1)
+        if run:
+            start = i - run
+            matched[start:i] = placed[start:i] = np.arange(start + k, i + k, dtype=np.int32)
+            ties += max(0, min(i, reach(k + 1) + 1) - start) + max(0, min(i, reach(k - 1)) - start)
+            parts.append("M" * run)
+            i, j = start, start + k
+            continue
+        fits = reach(k) >= i - 1, reach(k + 1) >= i - 1, reach(k - 1) >= i
+        ties += sum(fits) - 1
+        if fits[0]:
+            i, j = i - 1, j - 1
+            placed[i] = j
+        elif fits[1]:
+            i -= 1
+        else:
+            j -= 1
+        parts.append("S" if fits[0] else "D" if fits[1] else "I")
+        e -= 1
+    return {"distance": len(rows) - 1, "ties": ties, "ops": "".join(reversed(parts)), "matched": matched, "placed": placed}
+
+
+def _align_banded(a: np.ndarray, b: np.ndarray, cells: int) -> dict:
+    """The same by rows of a band that doubles until the distance fits in it."""
     n, m = len(a), len(b)
     w = max(8, abs(n - m))
     while True:
-        if max_cells is not None and (n + 1) * (2 * w + 1) > max_cells:
-            return None
-        d = _Band(a, b, w, MAX_CELLS)
+        d = _Band(a, b, w, cells)
         distance = int(d.row(n)[m - n + w])
         if distance <= w or w >= max(n, m):
             break
@@ -107,7 +190,7 @@ def align(a: np.ndarray, b: np.ndarray, max_cells: int | None = None) -> dict |
         return int(row[j - i + w]) if 0 <= j - i + w <= 2 * w else _FAR
 
     ops, ties, i, j = [], 0, n, m
-    matched, placed = [None] * n, [None] * n
+    matched, placed = np.full(n, -1, np.int32), np.full(n, -1, np.int32)
     row, above = d.row(n), d.row(n - 1) if n else None
     while i or j:
         if not i or not j:
@@ -135,11 +218,24 @@ def align(a: np.ndarray, b: np.ndarray, max_cells: int | None = None) -> dict |
     return {"distance": distance, "ties": ties, "ops": "".join(reversed(ops)), "matched": matched, "placed": placed}
 
 
-@pandas_udf(ALIGNMENT)
-def _align_batch(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-    names = ["distance", "ties", "ops", "matched", "placed"]
-    out = [align(np.asarray(x), np.asarray(y)) for x, y in zip(a, b, strict=True)]
-    return pd.DataFrame([[r[k] for k in names] for r in out], columns=names)
+def _tokens(lists: pa.Array) -> Iterator[np.ndarray]:
+    values, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+    for s, e in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        yield values[s:e]
+
+
+def _places(each: list[np.ndarray]) -> pa.ListArray:
+    flat = np.concatenate(each) if each else np.zeros(0, np.int32)
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in each])])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32(), mask=flat < 0))
+
+
+@arrow_udf(ALIGNMENT)
+def _align_batch(a: pa.Array, b: pa.Array) -> pa.Array:
+    out = [align(x, y) for x, y in zip(_tokens(a), _tokens(b), strict=True)]
+    numbers = [pa.array([r[c] for r in out], pa.int32()) for c in ("distance", "ties")]
+    columns = [*numbers, pa.array([r["ops"] for r in out], pa.string()), *(_places([r[c] for r in out]) for c in ("matched", "placed"))]
+    return pa.StructArray.from_arrays(columns, names=ALIGNMENT.names)
 
 
 def aligned(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
