@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from sigloom.operators import corpus, intervals, spans
+from sigloom.operators import corpus, intervals, spans, scan
 
 
 def frame(spark, rows, schema):
@@ -80,8 +80,8 @@ def test_checks_raise(spark):
 
 def test_protected_kinds_and_violations(spark):
     text = "See https://a.example/x. Mail bob@mail.example.org on 2024-02-30 or 2024-02-28, pay $5.00 or 7% of 1,200 at 10.0.0.1 [3] `x y` \"a quote\""
-    found = {(k, text[s:e]) for s, e, k in spans.find(text)}
-    assert {("URL", "https://a.example/x"), ("EMAIL", "bob@mail.example.org"), ("DATE", "2024-02-28"), ("PERCENT", "7%"), ("NUMBER", "1,200"), ("IP", "10.0.0.1"), ("CITATION", "[3]"), ("INLINE_CODE", "`x y`"), ("QUOTATION", '"a quote"')} <= found
+    found = {(k, text[s:e]) for s, e, k in scan.find(text)}
+    assert {("URL", "https://a.example/x"), ("EMAIL", "bob@mail.example.org"), ("DATE", "2024-02-28"), ("PERCENTAGE", "7%"), ("NUMBER", "1,200"), ("IPV4", "10.0.0.1"), ("CITATION", "[3]"), ("CODE", "`x y`"), ("QUOTATION", '"a quote"')} <= found
     assert ("DATE", "2024-02-30") not in found
     df = frame(spark, [(1, text), (2, None), (3, "")], "doc_id long, text string")
     raw = spans.raw_spans(df)
