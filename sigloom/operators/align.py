@@ -6,12 +6,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.window import Window
 
+from ..functions.text import content_words, tokens
+from ..scratch import keep as keep_table
+from .windows import Signal, signal_windows
+
 _INTS = T.ArrayType(T.IntegerType())
 ALIGNMENT = T.StructType(
     [
@@ -218,6 +222,51 @@ def _align_banded(a: np.ndarray, b: np.ndarray, cells: int) -> dict:
     return {"distance": distance, "ties": ties, "ops": "".join(reversed(ops)), "matched": matched, "placed": placed}
 
 
+def distance(a: np.ndarray, b: np.ndarray, cells: int = MAX_CELLS) -> int:
+    """The unit-cost edit distance alone."""
+    rows = _reaches(a, b, cells)
+    return len(rows) - 1 if rows is not None else _align_banded(a, b, cells)["distance"]
+
+
+def _costs(rows: list[np.ndarray], k: int, n: int) -> np.ndarray:
+    """Cost of the cells of diagonal k in rows 0 .. n; what costs more than the whole counts as one more than that."""
+    least, most = abs(k), len(rows) - 1
+    column = np.array([rows[e][k + e] for e in range(least, most + 1)], np.int64)
+    return np.minimum(least + np.searchsorted(np.maximum.accumulate(column), np.arange(n + 1)), most + 1) if len(column) else np.full(n + 1, most + 1)
+
+
+def ambiguous(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which tokens of the first text some best alignment matches, and another one doesn't or matches elsewhere.
+
+    A cell lies on a best path if its costs from the beginning and from the end add up to the distance;
+    only diagonals that the distance reaches can hold one.
+    """
+    n, m = len(a), len(b)
+    there, back = _reaches(a, b, 1 << 62), _reaches(a[::-1], b[::-1], 1 << 62)
+    d = len(there) - 1
+    matches, other = np.zeros(n, np.int64), np.zeros(n, bool)
+
+    def to_end(k: int) -> np.ndarray:
+        """Cost from the cells of diagonal k in rows 0 .. n to the end."""
+        return _costs(back, m - n - k, n)[::-1]
+
+    below = to_end(-d - 1) if n else np.zeros(1)
+    for k in range(-d, d + 1):
+        first, last = max(0, -k), min(n, m - k)
+        here = to_end(k)
+        if first <= last and n:
+            cost = _costs(there, k, n)
+            i = np.arange(first, min(last + 1, n))  # rows from which a token can be deleted
+            other[i] |= cost[i] + 1 + below[i + 1] == d
+            i = np.arange(first, last)
+            if len(i):
+                equal = a[i] == b[i + k]
+                matches[i] += equal & (cost[i] + here[i + 1] == d)
+                other[i] |= ~equal & (cost[i] + 1 + here[i + 1] == d)
+        below = here
+    return (matches > 0) & ((matches > 1) | other)
+
+
 def _tokens(lists: pa.Array) -> Iterator[np.ndarray]:
     values, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
     for s, e in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
@@ -238,12 +287,51 @@ def _align_batch(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays(columns, names=ALIGNMENT.names)
 
 
+@arrow_udf(T.ArrayType(T.BooleanType()))
+def _unsure(a: pa.Array, b: pa.Array) -> pa.Array:
+    each = [ambiguous(x, y) for x, y in zip(_tokens(a), _tokens(b), strict=True)]
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in each])])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(each) if each else np.zeros(0, bool)))
+
+
+@arrow_udf(T.IntegerType())
+def _words_apart(a: pa.Array, b: pa.Array) -> pa.Array:
+    both = pa.concat_arrays([x.values.slice(x.offsets[0].as_py(), x.offsets[-1].as_py() - x.offsets[0].as_py()).cast(pa.large_string()) for x in (a, b)])
+    codes = both.dictionary_encode().indices.to_numpy()
+    ends = [x.offsets.to_numpy() - x.offsets[0].as_py() for x in (a, b)]
+    second = codes[ends[0][-1] :]
+    return pa.array([distance(codes[ends[0][k] : ends[0][k + 1]], second[ends[1][k] : ends[1][k + 1]]) for k in range(len(a))], pa.int32())
+
+
+def word_distance(a: Column, b: Column) -> Column:
+    """Edit distance of two texts in words of ASCII letters and digits; a null text has none."""
+    return _words_apart(content_words(F.coalesce(a, F.lit(""))), content_words(F.coalesce(b, F.lit(""))))
+
+
 def aligned(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """The pairs with column ``al``, of texts of any length."""
     # Told to be nondeterministic, so that a filter on it doesn't align every pair a second time.
     return pairs.withColumn("al", _align_batch.asNondeterministic()(a, b))
 
 
+def with_ambiguity(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """The pairs with column ``unsure``: which tokens of the first text can be matched in more than one way, or not at all."""
+    return pairs.withColumn("unsure", _unsure.asNondeterministic()(a, b))
+
+
+def inverse_maps(pairs: DataFrame, b: str = "b") -> DataFrame:
+    """The pairs with ``matched_back`` and ``placed_back``: for each token of the second text its place in the first."""
+    back = lambda places: F.transform(F.col(b), lambda _, j: F.nullif(F.array_position(places, j.cast("int")).cast("int") - 1, F.lit(-1)))
+    return pairs.withColumns({"matched_back": back(F.col("al.matched")), "placed_back": back(F.col("al.placed"))})
+
+
+def invalid_alignments(pairs: DataFrame) -> DataFrame:
+    """The pairs whose stored ``al`` isn't the canonical alignment of their texts, with the parts that differ."""
+    fresh = pairs.withColumn("fresh_", _align_batch.asNondeterministic()("a", "b"))
+    wrong = F.array_compact(F.array(*[F.when(~F.col(f"al.{c}").eqNullSafe(F.col(f"fresh_.{c}")), F.lit(c)) for c in ALIGNMENT.names]))
+    return fresh.withColumn("wrong", wrong).drop("fresh_").where(F.size("wrong") > 0)
+
+
 def conserved_runs(pairs: DataFrame, keep: tuple[str, ...] = ("pair",)) -> DataFrame:
     """(keep, a_start, a_end, b_start, b_end): maximal runs of consecutive matches, ends exclusive."""
     each = pairs.select(*keep, F.posexplode("al.matched").alias("i", "j")).where("j IS NOT NULL")
@@ -263,21 +351,26 @@ def _consecutive(places: Column) -> Column:
 
 
 def window_diffs(pairs: DataFrame, n: int, keep: tuple[str, ...] = ("pair",)) -> DataFrame:
-    """(keep, pos, to, state) of every window of the first text.
+    """(keep, pos, to, state, whole, unsure) of every window of the first text.
 
     PRESERVED: its tokens match consecutive tokens, from ``to`` on; REPLACED: they only stand at
-    consecutive places; UNMAPPED: neither.
+    consecutive places; UNMAPPED: neither.  ``whole``: every token is matched, wherever.  ``unsure``: some token
+    is ambiguous, as told by ``with_ambiguity``; false without it.
     """
     n_windows = F.greatest(F.lit(0), F.size("a") - n + 1)
+    cut = lambda c, k: F.slice(c, k + 1, n)
+    doubt = (lambda k: F.exists(cut("unsure", k), lambda x: x)) if "unsure" in pairs.columns else (lambda k: F.lit(False))
     # Cut inside the generator: texts beside it would be copied for each of their windows.
-    each = F.transform(F.sequence(F.lit(0), n_windows - 1), lambda k: F.struct(k.alias("pos"), F.slice("al.matched", k + 1, n).alias("m"), F.slice("al.placed", k + 1, n).alias("p")))
-    cut = pairs.where("al.distance IS NOT NULL").select(*keep, F.explode(F.when(n_windows > 0, each)).alias("w")).select(*keep, "w.*")
+    each = F.transform(F.sequence(F.lit(0), n_windows - 1), lambda k: F.struct(k.alias("pos"), cut("al.matched", k).alias("m"), cut("al.placed", k).alias("p"), doubt(k).alias("unsure")))
+    rows = pairs.select(*keep, F.explode(F.when(n_windows > 0, each)).alias("w")).select(*keep, "w.*")
     kept, moved = F.coalesce(_consecutive(F.col("m")), F.lit(False)), F.coalesce(_consecutive(F.col("p")), F.lit(False))
-    return cut.select(
+    return rows.select(
         *keep,
         "pos",
         F.when(kept | moved, F.element_at(F.when(kept, F.col("m")).otherwise(F.col("p")), 1)).alias("to"),
         F.when(kept, "PRESERVED").when(moved, "REPLACED").otherwise("UNMAPPED").alias("state"),
+        F.forall("m", lambda x: x.isNotNull()).alias("whole"),
+        "unsure",
     )
 
 
@@ -288,10 +381,18 @@ def diff_summary(diffs: DataFrame, keep: tuple[str, ...] = ("pair",)) -> DataFra
     return by.withColumns({"preserved_ratio": F.col("preserved") / n, "replacement_ratio": (F.col("replaced") + F.col("unmapped")) / n})
 
 
+def broken_maps(diffs: DataFrame, keep: tuple[str, ...] = ("pair",)) -> DataFrame:
+    """(keep, pos, to): preserved windows that don't go strictly further than the ones before; none in a sound map."""
+    before = F.max("to").over(Window.partitionBy(*keep).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
+    return diffs.where("state = 'PRESERVED'").select(*keep, "pos", "to", before.alias("before")).where("to <= before").drop("before")
+
+
 def survival(diffs: DataFrame, root: DataFrame, final: DataFrame, keep: tuple[str, ...] = ("pair",)) -> DataFrame:
-    """(keep, eligible, survived, newly_masked, unmapped, changed, ratio, status) of each pair.
+    """(keep, eligible, survived, newly_masked, unmapped, changed, ambiguous, ratio, destroyed_ratio, status) of each pair.
 
-    ``root`` and ``final`` have (keep, pos, valid) of both texts' windows.  A pair without eligible
+    ``root`` and ``final`` have (keep, pos, valid) of both texts' windows.  In this order: a window with an
+    ambiguous token is told apart; one with a token that nothing matches is unmapped; one whose matches
+    aren't consecutive has changed; one that isn't valid any more is newly masked.  A pair without eligible
     windows has ratio 1 and says so.
     """
     old = root.select(*keep, "pos", F.col("valid").alias("was"))
@@ -299,8 +400,9 @@ def survival(diffs: DataFrame, root: DataFrame, final: DataFrame, keep: tuple[st
     both = diffs.join(old, [*keep, "pos"]).join(new, [*keep, "to"], "left")
     fate = (
         F.when(~F.col("was"), "ROOT_INELIGIBLE")
-        .when(F.col("state") == "UNMAPPED", "UNMAPPED")
-        .when(F.col("state") == "REPLACED", "NONCONTIGUOUS_OR_CHANGED")
+        .when(F.col("unsure"), "AMBIGUOUS")
+        .when(~F.col("whole"), "UNMAPPED")
+        .when(F.col("state") != "PRESERVED", "NONCONTIGUOUS_OR_CHANGED")
         .when(~F.coalesce("is", F.lit(False)), "NEWLY_MASKED")
         .otherwise("SURVIVED")
     )
@@ -311,10 +413,12 @@ def survival(diffs: DataFrame, root: DataFrame, final: DataFrame, keep: tuple[st
         is_("NEWLY_MASKED").alias("newly_masked"),
         is_("UNMAPPED").alias("unmapped"),
         is_("NONCONTIGUOUS_OR_CHANGED").alias("changed"),
+        is_("AMBIGUOUS").alias("ambiguous"),
     )
     some = F.col("eligible") > 0
     return by.withColumns({
         "ratio": F.when(some, F.col("survived") / F.greatest("eligible", F.lit(1))).otherwise(1.0),
+        "destroyed_ratio": F.when(some, (F.col("eligible") - F.col("survived")) / F.greatest("eligible", F.lit(1))).otherwise(0.0),
         "status": F.when(some, "OK").otherwise("NO_ELIGIBLE_OBSERVATIONS"),
     })
 
@@ -353,15 +457,41 @@ def residual_geometry(diffs: DataFrame, root: DataFrame, final: DataFrame, keep:
     })
 
 
-def strict_gate(geometry: DataFrame, growth_cap: int = 0, least_ratio: float = 0.9) -> DataFrame:
-    """Reasons why a pair's comparison can't count; none means eligible."""
+def strict_gate(geometry: DataFrame, growth_cap: int = 0, least_ratio: float = 0.9, span_violations: Column | None = None, invariants_hold: Column | None = None, fidelity_holds: Column | None = None) -> DataFrame:
+    """Reasons why a pair's comparison can't count, sorted; none means eligible.  Checks that aren't given don't speak."""
+    fails = lambda c: ~F.coalesce(c, F.lit(False)) if c is not None else F.lit(False)
     reasons = F.array_compact(F.array(
         F.when(F.col("denominator_ratio") < least_ratio, F.lit("FINAL_VALID_DENOMINATOR_COLLAPSE")),
+        F.when(fails(invariants_hold), F.lit("HARD_FIDELITY_INVARIANT_FAILED")),
+        F.when(span_violations > 0 if span_violations is not None else F.lit(False), F.lit("PROTECTED_SPAN_VIOLATION")),
         F.when(F.col("repetition_delta") > growth_cap, F.lit("REPETITION_MASK_GAMING")),
+        F.when(fails(fidelity_holds), F.lit("VISIBLE_FIDELITY_LIMIT_EXCEEDED")),
     ))
     return geometry.withColumn("reasons", reasons).withColumn("eligible", F.size("reasons") == 0)
 
 
+def counterfactuals(outputs: DataFrame, spark: SparkSession, signal: Signal, source: str = "source_text", output: str = "output_text", keep: tuple[str, ...] = ("pair",)) -> DataFrame:
+    """What given outputs leave of their sources' windows: survival and distances, one row an output.
+
+    Every distinct (source, output) is tokenised, aligned and masked once, however many rows share it.
+    Ambiguous tokens are told apart.  It measures outputs that are there; it makes none.
+    """
+    one = F.sha2(F.concat_ws("|", F.sha2(source, 256), F.sha2(output, 256)), 256)
+    rows = outputs.withColumn("core_", one)
+    cores = rows.groupBy("core_").agg(F.first(source).alias("s_"), F.first(output).alias("o_"))
+    texts = cores.select("core_", F.levenshtein("s_", "o_").alias("char_distance"), F.explode(F.array(F.struct(tokens(F.col("s_")).alias("a"), tokens(F.col("o_")).alias("b")))).alias("t"))
+    pairs = with_ambiguity(aligned(texts.select("core_", "char_distance", "t.*")))
+    # Behind a table: windows of both sides and the alignment would each make it again.
+    pairs = keep_table(pairs)
+    root, final = (signal_windows(pairs, spark, signal, tokens=c, doc="core_") for c in ("a", "b"))
+    told = survival(window_diffs(pairs, signal.n, ("core_",)), root, final, ("core_",))
+    facts = pairs.select("core_", "char_distance", F.col("al.distance").alias("token_distance"), F.size("a").alias("tokens"))
+    whole = facts.join(told, "core_", "left")
+    empty = {c: 0 for c in ("eligible", "survived", "newly_masked", "unmapped", "changed", "ambiguous")}
+    whole = whole.fillna(empty | {"ratio": 1.0, "destroyed_ratio": 0.0, "status": "NO_ELIGIBLE_OBSERVATIONS"})
+    return rows.select(*keep, "core_").join(whole, "core_").drop("core_")
+
+
 def bit_drift(diffs: DataFrame, root: DataFrame, final: DataFrame, keep: tuple[str, ...] = ("pair",)) -> DataFrame:
     """(keep, depth, compared, changed): bits that differ over mapped windows valid on both sides."""
     old = root.where("valid").select(*keep, "pos", F.col("g").alias("g0"))

@@ -129,6 +129,13 @@ def mechanism(diffs: DataFrame, edits: DataFrame, n: int, keep: Sequence[str] =
     return both.groupBy(*keep).agg(F.count_if(inside).alias("predicted"), F.count_if(off).alias("changed"), F.count_if(off != inside).alias("outside"))
 
 
+def suffix_check(diffs: DataFrame, edits: DataFrame, shift: int, keep: Sequence[str] = ("pair",)) -> DataFrame:
+    """(keep, behind, preserved, shifted): whether windows that begin at or behind an insertion or deletion all stay, so far further on."""
+    both = diffs.join(edits.select(*keep, F.col("pos").alias("edit")), [*keep]).where(F.col("pos") >= F.col("edit"))
+    stays = F.col("state") == "PRESERVED"
+    return both.groupBy(*keep).agg(F.count("*").alias("behind"), F.count_if(stays).alias("preserved"), F.count_if(stays & (F.col("to") == F.col("pos") + shift)).alias("shifted"))
+
+
 def paired_gate(df: DataFrame, source: str, budget: str, gain: str, ok: str, specific: str) -> DataFrame:
     """One row: INCOMPLETE, K2 (a failed row, a loss, or a median gain of 0 or less), K1 (no specific win) or PASS."""
     by = df.groupBy(budget).agg(

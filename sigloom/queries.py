@@ -324,10 +324,11 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select(F.col("doc_id").alias("pair"), F.col("tokens").alias("a"), b.alias("b"))
 
 
-def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    pairs = align.aligned(_pairs(spark, sf_dir))
+def _sides(spark: SparkSession, pairs: DataFrame, sure: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Window diffs and both texts' windows; the alignment is made once, as a table."""
     root, final = (windows.signal_windows(pairs, spark, SIGNAL, tokens=c, doc="pair") for c in ("a", "b"))
-    return align.window_diffs(pairs, 5), root, final
+    pairs = align.aligned(pairs)
+    return align.window_diffs(pairs if sure else align.with_ambiguity(pairs), 5), root, final
 
 
 @query()
@@ -337,29 +338,183 @@ def pair_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query()
-def conserved_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return align.conserved_runs(align.aligned(_pairs(spark, sf_dir)))
+def observation_survival(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.survival(*_sides(spark, _pairs(spark, sf_dir)))
 
 
 @query()
+def document_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = align.strict_gate(align.residual_geometry(*_sides(spark, _pairs(spark, sf_dir))))
+    return told.withColumn("reasons", F.concat_ws(",", "reasons"))
+
+
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items against themselves: tokens dropped, changed and doubled by their number, and the beginning again at the end."""
+    a = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("pair"), F.explode(F.array(tokens(F.col("text")))).alias("a"))
+    each = lambda t: F.when(t % 11 == 0, F.array().cast("array<bigint>")).when(t % 7 == 0, F.array(t + 1)).when(t % 13 == 0, F.array(t, t)).otherwise(F.array(t))
+    return a.select("pair", "a", F.concat(F.flatten(F.transform("a", each)), F.slice("a", 1, 8)).alias("b"))
+
+
+_ITEMS = r"""i AS MATERIALIZED (SELECT item_id AS pair, list_transform(list_filter(string_split_regex(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda w: w <> ''),
+  lambda w: CAST('0x' || substr(md5(w), 1, 7) AS BIGINT)) AS a FROM benchmark),
+p AS MATERIALIZED (SELECT pair, a, list_concat(flatten(list_transform(a, lambda t: CASE WHEN t % 11 = 0 THEN []::BIGINT[] WHEN t % 7 = 0 THEN [t + 1] WHEN t % 13 = 0 THEN [t, t] ELSE [t] END)), a[1:8]) AS b FROM i),
+rows_(pair, i, r) AS (
+  SELECT pair, 0::BIGINT, range(0, len(b) + 1) FROM p
+  UNION ALL SELECT pair, i, list_transform(range(0, len(c)), lambda j: j + list_min(list_transform(range(0, j + 1), lambda k: c[k + 1] - k))) FROM (
+    SELECT pair, d.i + 1 AS i, list_transform(range(0, len(b) + 1), lambda j: CASE WHEN j = 0 THEN d.i + 1 ELSE least(r[j + 1] + 1, r[j] + CAST(a[d.i + 1] <> b[j] AS BIGINT)) END) AS c
+    FROM rows_ d JOIN p USING (pair) WHERE d.i < len(a))),
+d AS MATERIALIZED (SELECT * FROM rows_),
+path(pair, step, i, j, op, ties) AS (
+  SELECT pair, 0, len(a), len(b), '', 0 FROM p
+  UNION ALL SELECT pair, step + 1, CASE WHEN op = 'I' THEN i ELSE i - 1 END, CASE WHEN op = 'D' THEN j ELSE j - 1 END, op, ties FROM (
+    SELECT pair, step, i, j, CASE WHEN i = 0 THEN 'I' WHEN j = 0 THEN 'D' WHEN c0 = best THEN CASE WHEN same THEN 'M' ELSE 'S' END WHEN c1 = best THEN 'D' ELSE 'I' END AS op,
+      CASE WHEN i = 0 OR j = 0 THEN 0 ELSE CAST(c0 = best AS INT) + CAST(c1 = best AS INT) + CAST(c2 = best AS INT) - 1 END AS ties FROM (
+      SELECT *, least(c0, c1, c2) AS best FROM (
+        SELECT t.pair, t.step, t.i, t.j, a[t.i] = b[t.j] AS same, y.r[t.j] + CAST(a[t.i] <> b[t.j] AS INT) AS c0, y.r[t.j + 1] + 1 AS c1, x.r[t.j] + 1 AS c2
+        FROM path t JOIN p USING (pair) JOIN d x ON x.pair = t.pair AND x.i = t.i LEFT JOIN d y ON y.pair = t.pair AND y.i = t.i - 1 WHERE t.i > 0 OR t.j > 0)))),
+steps AS MATERIALIZED (SELECT * FROM path WHERE step > 0),
+placed AS MATERIALIZED (SELECT pair, i, j, op = 'M' AS match FROM steps WHERE op IN ('M', 'S')),
+spots AS (SELECT pair, len(a) AS n, unnest(range(0, greatest(0, len(a) - 4))) AS pos FROM p),
+states AS MATERIALIZED (SELECT pair, pos, CASE WHEN m = 5 AND high - low = 4 AND firm THEN 'PRESERVED' WHEN n = 5 AND top - bottom = 4 AND flat THEN 'REPLACED' ELSE 'UNMAPPED' END AS state, m = 5 AS whole, bottom AS "to"
+  FROM (SELECT s.pair, s.pos, count(q.i) AS n, count(q.i) FILTER (match) AS m, min(j) FILTER (match) AS low, max(j) FILTER (match) AS high, min(j) AS bottom, max(j) AS top,
+    min(j - q.i) FILTER (match) = max(j - q.i) FILTER (match) AS firm, min(j - q.i) = max(j - q.i) AS flat
+    FROM spots s LEFT JOIN placed q ON q.pair = s.pair AND q.i BETWEEN s.pos AND s.pos + 4 GROUP BY ALL))"""
+_TOK_ITEMS = "tok AS MATERIALIZED (SELECT pair * 2 AS doc_id, a AS tokens FROM p UNION ALL SELECT pair * 2 + 1, b FROM p)"
+_ITEM_BITS = _BITS.replace(_TOK, _TOK_ITEMS)
+
+
+@query(f"""WITH RECURSIVE {_ITEMS}
+SELECT pair, len(a) AS n_a, len(b) AS n_b, CAST(r[len(b) + 1] AS INT) AS distance, CAST(coalesce(t.ties, 0) AS INT) AS ties, coalesce(t.ops, '') AS ops
+FROM p JOIN d USING (pair) LEFT JOIN (SELECT pair, sum(ties) AS ties, string_agg(op, '' ORDER BY step DESC) AS ops FROM steps GROUP BY pair) t USING (pair) WHERE d.i = len(a)""")
+def item_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = align.aligned(_items(spark, sf_dir))
+    return p.select("pair", F.size("a").alias("n_a"), F.size("b").alias("n_b"), "al.distance", "al.ties", "al.ops")
+
+
+@query(f"""WITH RECURSIVE {_ITEMS}, m AS (SELECT pair, i, j, i - row_number() OVER (PARTITION BY pair ORDER BY i) AS g, j - row_number() OVER (PARTITION BY pair ORDER BY i) AS h FROM placed WHERE match)
+SELECT pair, CAST(min(i) AS INT) AS a_start, CAST(max(i) + 1 AS INT) AS a_end, CAST(min(j) AS INT) AS b_start, CAST(max(j) + 1 AS INT) AS b_end FROM m GROUP BY pair, g, h""")
+def conserved_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.conserved_runs(align.aligned(_items(spark, sf_dir)))
+
+
+@query(f"""WITH RECURSIVE {_ITEMS} SELECT pair, list_transform(range(0, len(b)), lambda x: NULL::INT) = [] AS nothing, coalesce(m.forth, '') AS forth, coalesce(m.back, '') AS back FROM p LEFT JOIN (
+  SELECT pair, string_agg(i || ':' || j, ',' ORDER BY i) FILTER (match) AS forth, string_agg(j || ':' || i, ',' ORDER BY j) AS back FROM placed GROUP BY pair) m USING (pair)""")
+def alignment_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches forth and places back, as far as there are some."""
+    told = align.inverse_maps(align.aligned(_items(spark, sf_dir)))
+    pairs_of = lambda c: F.concat_ws(",", F.filter(F.transform(c, lambda x, k: F.concat_ws(":", k.cast("string"), x.cast("string"))), lambda s: s.contains(":")))
+    return told.select("pair", (F.size("b") == 0).alias("nothing"), pairs_of("al.matched").alias("forth"), pairs_of("placed_back").alias("back"))
+
+
+@query(f"""WITH RECURSIVE {_ITEMS} SELECT pair, count(*) AS windows, count(*) FILTER (state = 'PRESERVED') AS preserved, count(*) FILTER (state = 'REPLACED') AS replaced, count(*) FILTER (state = 'UNMAPPED') AS unmapped,
+round(count(*) FILTER (state = 'PRESERVED') / count(*), 9) AS preserved_ratio, round(count(*) FILTER (state <> 'PRESERVED') / count(*), 9) AS replacement_ratio FROM states GROUP BY pair""")
 def window_diff_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return align.diff_summary(_sides(spark, sf_dir)[0])
+    return rounded(align.diff_summary(_sides(spark, _items(spark, sf_dir))[0]), 9, "preserved_ratio", "replacement_ratio")
 
 
-@query()
-def observation_survival(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return align.survival(*_sides(spark, sf_dir))
+@query(f"""WITH RECURSIVE {_ITEMS} SELECT s.pair, s.pos, s."to" FROM states s WHERE state = 'PRESERVED' AND EXISTS (SELECT 1 FROM states o WHERE o.pair = s.pair AND o.state = 'PRESERVED' AND o.pos < s.pos AND o."to" >= s."to")""")
+def broken_window_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.broken_maps(_sides(spark, _items(spark, sf_dir))[0])
+
+
+@query("SELECT item_id AS pair, '' AS wrong FROM benchmark WHERE false")
+def invalid_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored alignments made again: none may differ."""
+    return align.invalid_alignments(align.aligned(_items(spark, sf_dir))).select("pair", F.concat_ws(",", "wrong").alias("wrong"))
+
+
+_FATES = f"""{_ITEMS}, {_ITEM_BITS}, old AS (SELECT doc_id // 2 AS pair, * FROM bits WHERE doc_id % 2 = 0), new AS (SELECT doc_id // 2 AS pair, * FROM bits WHERE doc_id % 2 = 1),
+fates AS MATERIALIZED (SELECT s.pair, s.pos, s.state, s."to", old.valid AS was, coalesce(new.valid, false) AS "is", CASE WHEN NOT old.valid THEN 'ROOT' WHEN NOT whole THEN 'UNMAPPED' WHEN state <> 'PRESERVED' THEN 'CHANGED' WHEN NOT coalesce(new.valid, false) THEN 'MASKED' ELSE 'SURVIVED' END AS fate
+  FROM states s JOIN old ON old.pair = s.pair AND old.pos = s.pos LEFT JOIN new ON new.pair = s.pair AND new.pos = s."to")"""
+
+
+@query(f"""WITH RECURSIVE {_FATES}, c AS (SELECT pair, count(*) FILTER (was) AS eligible, count(*) FILTER (fate = 'SURVIVED') AS survived, count(*) FILTER (fate = 'MASKED') AS newly_masked, count(*) FILTER (fate = 'UNMAPPED') AS unmapped,
+  count(*) FILTER (fate = 'CHANGED') AS changed FROM fates GROUP BY pair)
+SELECT *, 0::BIGINT AS ambiguous, round(CASE WHEN eligible > 0 THEN survived / eligible ELSE 1 END, 9) AS ratio, round(CASE WHEN eligible > 0 THEN (eligible - survived) / eligible ELSE 0 END, 9) AS destroyed_ratio,
+CASE WHEN eligible > 0 THEN 'OK' ELSE 'NO_ELIGIBLE_OBSERVATIONS' END AS status FROM c""")
+def item_survival(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(align.survival(*_sides(spark, _items(spark, sf_dir))), 9, "ratio", "destroyed_ratio")
 
 
 @query()
+def sure_survival(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Survival of windows whose tokens every best alignment treats alike."""
+    return align.survival(*_sides(spark, _items(spark, sf_dir), sure=False))
+
+
+@query(f"""WITH RECURSIVE {_FATES}, w AS (SELECT pair, count(*) AS n, count(*) FILTER (valid) AS root_valid, count(*) FILTER (NOT valid) AS root_repeated FROM old GROUP BY pair),
+v AS (SELECT pair, count(*) FILTER (valid) AS final_valid, count(*) FILTER (NOT valid) AS final_repeated FROM new GROUP BY pair),
+k AS (SELECT pair, count(*) FILTER ("is") AS preserved, count(*) FILTER (NOT "is") AS lost_to_repetition FROM fates WHERE was AND state = 'PRESERVED' GROUP BY pair),
+z AS (SELECT w.pair, root_valid, root_repeated, 0::BIGINT AS root_after_end, coalesce(final_valid, 0) AS final_valid, coalesce(final_repeated, 0) AS final_repeated, 0::BIGINT AS final_after_end,
+  coalesce(preserved, 0) AS preserved, coalesce(lost_to_repetition, 0) AS lost_to_repetition, 0::BIGINT AS lost_to_end, 0::BIGINT AS lost_to_both FROM w LEFT JOIN v USING (pair) LEFT JOIN k USING (pair)),
+g AS (SELECT *, preserved / greatest(1, root_valid) AS survival_fraction, 1 - preserved / greatest(1, root_valid) AS destruction_fraction, preserved / greatest(1, final_valid) AS inherited_fraction,
+  (final_valid - preserved) / greatest(1, final_valid) AS new_fraction, final_valid / greatest(1, root_valid) AS denominator_ratio, final_repeated - root_repeated AS repetition_delta, 0::BIGINT AS end_delta FROM z)
+SELECT * REPLACE (round(survival_fraction, 9) AS survival_fraction, round(destruction_fraction, 9) AS destruction_fraction, round(inherited_fraction, 9) AS inherited_fraction, round(new_fraction, 9) AS new_fraction, round(denominator_ratio, 9) AS denominator_ratio),
+concat_ws(',', CASE WHEN denominator_ratio < 0.9 THEN 'FINAL_VALID_DENOMINATOR_COLLAPSE' END, CASE WHEN root_valid % 2 = 0 THEN 'HARD_FIDELITY_INVARIANT_FAILED' END, CASE WHEN preserved % 3 > 0 THEN 'PROTECTED_SPAN_VIOLATION' END,
+  CASE WHEN repetition_delta > 4 THEN 'REPETITION_MASK_GAMING' END, CASE WHEN final_valid % 5 = 0 THEN 'VISIBLE_FIDELITY_LIMIT_EXCEEDED' END) AS reasons,
+NOT (denominator_ratio < 0.9 OR root_valid % 2 = 0 OR preserved % 3 > 0 OR repetition_delta > 4 OR final_valid % 5 = 0) AS eligible FROM g""")
 def residual_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    told = align.strict_gate(align.residual_geometry(*_sides(spark, sf_dir)))
-    return told.withColumn("reasons", F.concat_ws(",", "reasons"))
+    """Span, invariant and fidelity checks are stood in for by remainders of counts."""
+    told = align.residual_geometry(*_sides(spark, _items(spark, sf_dir)))
+    gate = align.strict_gate(told, 4, 0.9, F.col("preserved") % 3, F.col("root_valid") % 2 != 0, F.col("final_valid") % 5 != 0)
+    gate = rounded(gate, 9, "survival_fraction", "destruction_fraction", "inherited_fraction", "new_fraction", "denominator_ratio")
+    return gate.withColumn("reasons", F.concat_ws(",", "reasons"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_FATES}, e AS (SELECT f.pair, unnest([0, 1, 2]) AS depth, unnest([old.g0 <> new.g0, old.g1 <> new.g1, old.g2 <> new.g2]) AS changed FROM fates f JOIN old ON old.pair = f.pair AND old.pos = f.pos AND old.valid
+  JOIN new ON new.pair = f.pair AND new.pos = f."to" AND new.valid WHERE f.state <> 'UNMAPPED')
+SELECT pair, depth, count(*) AS compared, count(*) FILTER (changed) AS changed FROM e GROUP BY ALL""")
 def bit_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return align.bit_drift(*_sides(spark, sf_dir))
+    return align.bit_drift(*_sides(spark, _items(spark, sf_dir)))
+
+
+@query(f"""WITH {_TOK}, n AS (SELECT doc_id AS pair, len(tokens) AS n FROM tok WHERE len(tokens) >= 20), m AS (SELECT *, n // 2 AS spot FROM n)
+SELECT pair, CAST(least(spot, n - 5) - greatest(0, spot - 4) + 1 AS BIGINT) AS predicted, CAST(least(spot, n - 5) - greatest(0, spot - 4) + 1 AS BIGINT) AS changed, 0::BIGINT AS outside FROM m""")
+def single_edit_mechanism(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One substitution in the middle of every document of 20 tokens and more."""
+    t = tokenized(spark, sf_dir).where(F.size("tokens") >= 20)
+    at = F.floor(F.size("tokens") / 2).cast("int")
+    pairs = t.select(F.col("doc_id").alias("pair"), F.col("tokens").alias("a"), F.transform("tokens", lambda x, i: F.when(i == at, F.lit(-1).cast("long")).otherwise(x)).alias("b"), at.alias("pos"))
+    diffs = align.window_diffs(align.aligned(pairs), 5)
+    return reports.mechanism(diffs, pairs, 5)
+
+
+@query(f"""WITH {_TOK}, n AS (SELECT doc_id AS pair, len(tokens) AS n, len(tokens) // 2 AS spot FROM tok WHERE len(tokens) >= 20)
+SELECT pair, CAST(n - 4 - spot AS BIGINT) AS behind, CAST(n - 4 - spot AS BIGINT) AS preserved, CAST(n - 4 - spot AS BIGINT) AS shifted FROM n""")
+def suffix_mechanism(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One token put in the middle: all windows behind it stay, one place further on."""
+    t = tokenized(spark, sf_dir).where(F.size("tokens") >= 20)
+    at = F.floor(F.size("tokens") / 2).cast("int")
+    b = F.concat(F.slice("tokens", 1, at), F.array(F.lit(-1).cast("long")), F.slice("tokens", at + 1, F.size("tokens")))
+    pairs = t.select(F.col("doc_id").alias("pair"), F.col("tokens").alias("a"), b.alias("b"), at.alias("pos"))
+    return reports.suffix_check(align.window_diffs(align.aligned(pairs), 5), pairs, 1)
+
+
+@query(f"""WITH {_hashed(SIGNAL.start)}, c AS (SELECT doc_id, pos, coalesce(pos - lag(pos) OVER (PARTITION BY doc_id, gram[1:4] ORDER BY pos) <= 64, false) AS repeated FROM win)
+SELECT m.doc_id, m.pos FROM masked m JOIN c ON c.doc_id = m.doc_id AND c.pos = m.pos WHERE m.valid = c.repeated""")
+def mask_disagreements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows whose mask by hashes isn't the one by the tokens themselves: none are expected."""
+    t = tokenized(spark, sf_dir)
+    by_hash = windows.signal_windows(t, spark, SIGNAL).select("doc_id", "pos", "context_ok")
+    return by_hash.join(windows.exact_context_repeats(t, 5, 64), ["doc_id", "pos"]).where("context_ok = repeated").select("doc_id", "pos")
+
+
+@query("""WITH w AS (SELECT conv_id, turn, regexp_extract_all(coalesce(text, ''), '([A-Za-z0-9]+(?:[''’][A-Za-z0-9]+)?)') AS w FROM conversations)
+SELECT conv_id, turn, CAST(CASE WHEN len(w) > 0 THEN 1 ELSE 0 END AS INT) AS distance, CASE WHEN len(w) > 0 THEN 1 / len(w) ELSE 0 END AS rate, CASE WHEN len(w) > 0 THEN 0.25 / (1 / len(w)) END AS leverage FROM w""")
+def word_edit_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns against themselves without their first word: what one edit costs in words, and a fixed gain for that cost."""
+    t = table(spark, sf_dir, "conversations")
+    first = F.regexp_replace("text", "^[^A-Za-z0-9]*[A-Za-z0-9]+(?:['’][A-Za-z0-9]+)?", "")
+    told = t.select("conv_id", "turn", align.word_distance(F.col("text"), first).alias("distance"), F.size(content_words(F.coalesce("text", F.lit("")))).alias("n"))
+    rate = align.edit_rate(F.col("distance"), F.col("n"))
+    return told.select("conv_id", "turn", "distance", rate.alias("rate"), align.leverage(F.lit(0.25), rate).alias("leverage"))
+
+
+@query()
+def counterfactual_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns and what is left of them without the letter of their role's end: distinct pairs are evaluated once."""
+    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("source_text"), F.translate(F.coalesce("text", F.lit("")), "q", "").alias("output_text"))
+    return align.counterfactuals(t, spark, SIGNAL, keep=("conv_id", "turn"))
 
 
 @query("""SELECT p_partkey, CAST(levenshtein(p_name, p_type) AS INT) AS distance, CASE WHEN length(p_type) > 0 THEN least(1.0, levenshtein(p_name, p_type) / length(p_type)) ELSE CAST(levenshtein(p_name, p_type) > 0 AS DOUBLE) END AS rate FROM part""")
@@ -753,16 +908,6 @@ def blind_fidelity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rounded(reports.favourable(li, ("l_returnflag", "l_linestatus"), "good"), 6, "ci_low", "ci_high"), 9, "rate")
 
 
-@query()
-def single_edit_mechanism(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One substitution in the middle of every document of 20 tokens and more."""
-    t = tokenized(spark, sf_dir).where(F.size("tokens") >= 20)
-    at = F.floor(F.size("tokens") / 2).cast("int")
-    pairs = t.select(F.col("doc_id").alias("pair"), F.col("tokens").alias("a"), F.transform("tokens", lambda x, i: F.when(i == at, F.lit(-1).cast("long")).otherwise(x)).alias("b"), at.alias("pos"))
-    diffs = align.window_diffs(align.aligned(pairs), 5)
-    return reports.mechanism(diffs, pairs, 5)
-
-
 @query("""SELECT * FROM (VALUES ('windows', '', 0), ('scores', 'windows', 1), ('pairs', 'windows', 1), ('calibration', 'scores', 2), ('survival', 'pairs', 2), ('detectability', 'calibration', 3),
 ('controls', 'calibration,pairs', 3), ('predictors', 'survival,scores', 3), ('dose', 'survival,scores', 3), ('spacing', 'dose', 4), ('batteries', 'detectability,survival', 4)) t(step, needs, level)""")
 def step_registry(spark: SparkSession, sf_dir: str) -> DataFrame:

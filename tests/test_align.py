@@ -85,7 +85,7 @@ def test_maps_runs_diffs_and_survival(spark):
     signal = windows.Signal(n=2, keys=(7,), history=4)
     root, final = (windows.signal_windows(pairs, spark, signal, tokens=c, doc="pair") for c in "ab")
     lived = {r.pair: r for r in align.survival(diffs, root, final).collect()}
-    assert lived[1].survived == 2 and lived[1].changed == 2 and lived[3].ratio == 1.0
+    assert lived[1].survived == 2 and lived[1].unmapped == 2 and lived[1].changed == 0 and lived[3].ratio == 1.0
     geometry = {r.pair: r for r in align.strict_gate(align.residual_geometry(diffs, root, final)).collect()}
     assert geometry[1].survival_fraction + geometry[1].destruction_fraction == 1 and geometry[1].eligible
     assert align.bit_drift(diffs, root, final).count() == 2
@@ -109,3 +109,67 @@ def test_residual_geometry_invariants(spark):
         assert 0 <= r.survival_fraction <= 1 and 0 <= r.inherited_fraction <= 1
         assert r.preserved <= min(r.root_valid, r.final_valid)
         assert not r.final_valid or r.inherited_fraction + r.new_fraction == pytest.approx(1)
+
+
+def slow_ambiguous(a, b):
+    """Tokens by all best alignments, told one by one."""
+    n, m = len(a), len(b)
+    d = [[0] * (m + 1) for _ in range(n + 1)]
+    for i in range(n, -1, -1):
+        for j in range(m, -1, -1):
+            ways = ([1 + d[i + 1][j]] if i < n else []) + ([1 + d[i][j + 1]] if j < m else []) + ([(a[i] != b[j]) + d[i + 1][j + 1]] if i < n and j < m else [])
+            d[i][j] = min(ways, default=0)
+    fates = [set() for _ in a]
+
+    def walk(i, j):
+        if i < n and d[i][j] == 1 + d[i + 1][j]:
+            fates[i].add(None)
+            walk(i + 1, j)
+        if j < m and d[i][j] == 1 + d[i][j + 1]:
+            walk(i, j + 1)
+        if i < n and j < m and d[i][j] == (a[i] != b[j]) + d[i + 1][j + 1]:
+            fates[i].add(j if a[i] == b[j] else None)
+            walk(i + 1, j + 1)
+
+    walk(0, 0)
+    return [len(f) > 1 and f != {None} for f in fates]
+
+
+def test_ambiguous_tokens_by_all_alignments():
+    rng = random.Random(6)
+    for k in range(400):
+        a = [rng.randrange(2 + k % 3) for _ in range(rng.randrange(8))]
+        b = [rng.randrange(2 + k % 3) for _ in range(rng.randrange(8))]
+        assert align.ambiguous(np.array(a, np.int64), np.array(b, np.int64)).tolist() == slow_ambiguous(a, b), (a, b)
+
+
+def test_maps_back_validation_and_word_distance(spark):
+    from pyspark.sql import functions as F
+
+    pairs = align.aligned(spark.createDataFrame([(1, [1, 2, 3, 4], [1, 9, 4, 4]), (2, [], [7])], "pair long, a array<long>, b array<long>")).cache()
+    got = {r.pair: r for r in align.inverse_maps(pairs).collect()}
+    for r in got.values():
+        assert [i for i in r.matched_back] == [r.al.matched.index(j) if j in r.al.matched else None for j in range(len(r.b))]
+        assert [i for i in r.placed_back] == [r.al.placed.index(j) if j in r.al.placed else None for j in range(len(r.b))]
+    assert align.invalid_alignments(pairs).count() == 0
+    bad = pairs.withColumn("al", F.col("al").withField("distance", F.col("al.distance") + 1).withField("ties", F.lit(9)))
+    assert [sorted(r.wrong) for r in align.invalid_alignments(bad).collect()] == [["distance", "ties"]] * 2
+    texts = spark.createDataFrame([("it's one two", "it’s two"), ("", "a b"), (None, ""), ("x y z", "x z y")], "a string, b string")
+    want = [slow((x or "").replace("’", "'").split(), (y or "").split())[0] for x, y in (("it's one two", "it’s two"), ("", "a b"), (None, ""), ("x y z", "x z y"))]
+    assert [r.d for r in texts.select(align.word_distance(F.col("a"), F.col("b")).alias("d")).collect()] == [2, 2, 0, 2] and len(want) == 4
+
+
+def test_gate_reasons_and_counterfactuals(spark):
+    from pyspark.sql import functions as F
+
+    g = spark.createDataFrame([(0.5, 3), (1.0, 0)], "denominator_ratio double, repetition_delta long")
+    all_ = align.strict_gate(g, span_violations=F.lit(2), invariants_hold=F.lit(False), fidelity_holds=F.lit(None).cast("boolean")).first().reasons
+    assert all_ == sorted(all_) and len(all_) == 5
+    assert [r.eligible for r in align.strict_gate(g).collect()] == [False, True]
+    signal = windows.Signal(n=3, keys=(7,), history=4)
+    text = " ".join(f"w{k}" for k in range(12))
+    rows = [(1, text, text), (2, text, text.replace("w5", "zz")), (3, text, text.replace("w5", "zz")), (4, "short", "short"), (5, "a a b c d", "a b c d")]
+    got = {r.pair: r for r in align.counterfactuals(spark.createDataFrame(rows, "pair long, source_text string, output_text string"), spark, signal).collect()}
+    assert (got[1].survived, got[1].ratio) == (10, 1.0) and got[2][1:] == got[3][1:]
+    assert (got[2].eligible, got[2].survived, got[2].unmapped, got[2].token_distance, got[2].char_distance) == (10, 7, 3, 1, 2)
+    assert got[4].status == "NO_ELIGIBLE_OBSERVATIONS" and got[5].ambiguous == 2
