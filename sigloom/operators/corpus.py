@@ -30,6 +30,25 @@ def duplicates(df: DataFrame, *keys: str | Column) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
 
 
+def record_hash(*columns: str) -> Column:
+    """A digest of a record's fields, nulls told from empty ones."""
+    return F.sha2(F.concat_ws("|", *[F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in columns]), 256)
+
+
+def manifest(df: DataFrame, id_: str, columns: tuple[str, ...], buckets: int = 256) -> DataFrame:
+    """One row (records, distinct_ids, manifest_sha256): a digest that any changed, added or lost record changes.
+
+    Records are dealt to buckets by a hash of their ids; a bucket's digest is over its records' digests
+    in order, the table's over the buckets'.  So no task reads more than its buckets' digests.
+    """
+    told = df.select(F.col(id_).cast("string").alias("id"), record_hash(id_, *columns).alias("h")).withColumn("bucket", F.conv(F.substring(F.sha2("id", 256), 1, 8), 16, 10).cast("long") % buckets)
+    by = told.groupBy("bucket").agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"), F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ","), 256).alias("h"))
+    return by.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("records"), F.coalesce(F.sum("ids"), F.lit(0)).alias("distinct_ids"),
+        F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "h"))), lambda x: F.concat_ws(":", x["bucket"].cast("string"), x["h"])), ","), 256).alias("manifest_sha256"),
+    )
+
+
 def dangling(df: DataFrame, dimension: DataFrame, key: str, ref: str | None = None) -> DataFrame:
     """Rows that refer to no row of the dimension."""
     return df.join(dimension, df[key] == dimension[ref or key], "left_anti")

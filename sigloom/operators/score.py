@@ -48,6 +48,47 @@ def _sigmoid(x: Column) -> Column:
     return F.when(x >= 0, 1 / (1 + F.exp(-x))).otherwise(F.exp(x) / (1 + F.exp(x)))
 
 
+def checkpoint_problems(checkpoint: dict) -> list[str]:
+    """What is wrong with a stored model {base_rate, beta, delta, depth}: none if it can be used."""
+    out = []
+    fields = {"base_rate", "beta", "delta", "depth"}
+    if set(checkpoint) != fields:
+        return [f"FIELDS:{','.join(sorted(set(checkpoint) ^ fields))}"]
+    depth, beta, delta = checkpoint["depth"], checkpoint["beta"], checkpoint["delta"]
+    if not isinstance(depth, int) or isinstance(depth, bool) or depth < 1:
+        return ["DEPTH"]
+    if not 0 < checkpoint["base_rate"] < 1:
+        out.append("BASE_RATE")
+    if len(beta) != depth or not all(math.isfinite(x) for x in beta):
+        out.append("BETA")
+    if len(delta) != depth or any(len(row) != depth for row in delta):
+        out.append("DELTA_SHAPE")
+    elif any(x for i, row in enumerate(delta) for x in row[i:]) or not all(math.isfinite(x) for row in delta for x in row):
+        out.append("DELTA_NOT_LOWER")
+    return out
+
+
+def load_checkpoint(path: str) -> dict:
+    """A stored model, refused if anything is wrong with it."""
+    import json
+
+    with open(path) as f:
+        out = json.load(f)
+    if problems := checkpoint_problems(out):
+        raise ValueError(f"model can't be used: {problems}")
+    return out
+
+
+def training_readiness(samples: DataFrame, role: str, label: str, source: str, least: int = 1000) -> DataFrame:
+    """(role, positives, negatives, sources, shared_sources, status): whether roles hold enough of both labels and share no source."""
+    by = samples.groupBy(role).agg(F.count_if(F.col(label)).alias("positives"), F.count_if(~F.col(label)).alias("negatives"), F.count_distinct(source).alias("sources"))
+    roles = samples.groupBy(source).agg(F.count_distinct(role).alias("roles")).where("roles > 1")
+    shared = samples.join(roles, source).groupBy(role).agg(F.count_distinct(source).alias("shared_sources"))
+    told = by.join(shared, role, "left").fillna(0, ["shared_sources"])
+    few = F.least("positives", "negatives") < least
+    return told.withColumn("status", F.when(F.col("shared_sources") > 0, "SHARED_SOURCES").when(few, "TOO_FEW_SAMPLES").otherwise("READY"))
+
+
 def posteriors(windows: DataFrame, base_rate: float, beta: list[float], delta: list[list[float]], doc: str = "doc_id") -> DataFrame:
     """(doc, valid, posterior): probability of the signal given all valid windows' bits.
 
@@ -70,6 +111,19 @@ def posteriors(windows: DataFrame, base_rate: float, beta: list[float], delta: l
     return by.select(doc, "valid", F.when(F.col("valid") > 0, _sigmoid(odds)).alias("posterior"))
 
 
+def evidence(scores: DataFrame, windows: DataFrame, detector: str, adapter: str, depth: int, weights: list[float], doc: str = "doc_id") -> DataFrame:
+    """One record a document: what was scored by what, how many windows counted, the raw score, and digests of both.
+
+    The digest of the bits is over all windows in order, so that a record can be held against a
+    recomputation; uncalibrated, so no decision.
+    """
+    bits = F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("pos", "valid", "g"))), lambda w: F.concat(w["valid"].cast("int").cast("string"), F.array_join(w["g"].cast("array<string>"), ""))))
+    batches = windows.groupBy(doc).agg(F.count("*").alias("windows"), F.sha2(bits, 256).alias("batch_sha256"))
+    config = F.sha2(F.lit(f"{detector}|{adapter}|{depth}|" + ",".join(f"{w:.12g}" for w in weights)), 256)
+    kept = scores.select(doc, "valid", F.col("score").alias("raw_score"), "failure").join(batches, doc)
+    return kept.withColumns({"detector": F.lit(detector), "adapter": F.lit(adapter), "depth": F.lit(depth), "direction": F.lit("HIGHER_IS_MORE_SIGNAL"), "config_sha256": config})
+
+
 #: Which detector may read which adapter's bits.
 COMPATIBILITY = {
     ("mixed", "mean"): "SUPPORTED",

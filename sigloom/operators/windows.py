@@ -42,6 +42,31 @@ class Signal:
         return int.from_bytes(hashlib.sha256(raw).digest(), "big") % (2**63 - 1)
 
 
+class Adapters:
+    """Signals by name; a name stands once, and so does a signal."""
+
+    def __init__(self) -> None:
+        self._by: dict[str, Signal] = {}
+
+    def register(self, name: str, signal: Signal) -> Signal:
+        if name in self._by:
+            raise ValueError(f"adapter {name} is there already")
+        if signal in self._by.values():
+            raise ValueError(f"adapter {name} repeats another one")
+        self._by[name] = signal
+        return signal
+
+    def __getitem__(self, name: str) -> Signal:
+        if name not in self._by:
+            raise KeyError(f"no adapter {name}; there are {sorted(self._by)}")
+        return self._by[name]
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """(name, n, depth, history, kind) of every adapter."""
+        rows = [(k, s.n, len(s.keys), s.history, "mixed" if s.table is None else "table") for k, s in sorted(self._by.items())]
+        return spark.createDataFrame(rows, "name string, n int, depth int, history int, kind string")
+
+
 def n_windows(tokens: Column, n: int) -> Column:
     return F.greatest(F.lit(0), F.size(tokens) - (n - 1))
 

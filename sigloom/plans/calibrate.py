@@ -130,6 +130,39 @@ def minimal_bins(counts: Sequence[tuple[float, int]], most_cv: float = 0.05) ->
     return best[-1][1] if best[-1] else []
 
 
+def regime_decision(df: DataFrame, group: str, tokens: str, eligible: str, most_cv: float = 0.05, most_overlap: float = 0.10) -> DataFrame:
+    """One row (groups, worst_cv, worst_overlap, mode): whether nominal lengths tell groups apart, or bins of eligible windows must.
+
+    Nominal if tokens and eligible windows of each group scatter little, and the quartile ranges of
+    eligible windows of any two groups hardly overlap.
+    """
+    by = distribution(df, [group], eligible).select(group, "q25", "q75", "cv").join(distribution(df, [group], tokens).select(group, F.col("cv").alias("token_cv")), group)
+    other = by.select(F.col(group).alias("g_"), F.col("q25").alias("a"), F.col("q75").alias("b"))
+    cross = by.join(other, F.col(group) < F.col("g_"), "left")  # groups are few
+    overlap = F.least(F.lit(1.0), iqr_overlap(F.col("q25"), F.col("q75"), F.col("a"), F.col("b")))
+    told = cross.agg(
+        F.count_distinct(group).alias("groups"), F.max(F.greatest("cv", "token_cv")).alias("worst_cv"), F.coalesce(F.max(F.when(F.col("g_").isNotNull(), overlap)), F.lit(0.0)).alias("worst_overlap")
+    )
+    nominal = (F.col("worst_cv") <= most_cv) & (F.col("worst_overlap") <= most_overlap)
+    return told.withColumn("mode", F.when(nominal, "NOMINAL_TARGET_LENGTH").otherwise("ELIGIBLE_OBSERVATION_BINS"))
+
+
+def frozen_opportunity(counts: DataFrame, keys: Sequence[str], columns: Sequence[str], valid: str, least: int = 1000, most_cv: float = 0.05) -> DataFrame:
+    """(keys, counted, n, low, q25, q50, q75, high, mean, cv, length_passes, resolution_passes) of several counts a document."""
+    long = counts.select(*keys, F.explode(F.create_map(*[x for c in columns for x in (F.lit(c), F.col(c).cast("double"))])).alias("counted", "x"))
+    told = distribution(long, [*keys, "counted"], "x")
+    passes = F.max(F.when(F.col("counted") == valid, F.col("cv") <= most_cv)).over(Window.partitionBy(*keys)) if keys else F.max(F.when(F.col("counted") == valid, F.col("cv") <= most_cv)).over(Window.partitionBy(F.lit(1)))
+    return told.withColumns({"length_passes": passes, "resolution_passes": F.col("n") >= least})
+
+
+def registry_problems(registry: DataFrame, expected: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, problem): regimes that a threshold registry lacks, has besides, or has twice."""
+    have = registry.groupBy(*keys).agg(F.count("*").alias("n"))
+    both = expected.select(*keys).distinct().withColumn("wanted", F.lit(True)).join(have, [*keys], "full_outer")
+    problem = F.when(F.col("n").isNull(), "MISSING").when(F.col("wanted").isNull(), "UNEXPECTED").when(F.col("n") > 1, "REPEATED")
+    return both.select(*keys, problem.alias("problem")).where("problem IS NOT NULL")
+
+
 def regime(value: Column, bounds: Sequence[float]) -> Column:
     """Number of the first bin whose upper bound isn't below the value."""
     out = F.lit(len(bounds))

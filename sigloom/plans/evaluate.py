@@ -48,6 +48,26 @@ def cells(outcomes: DataFrame, failures: DataFrame, keys: Sequence[str], metrics
     return both.withColumn("status", status(F.col("expected"), F.col("analysed"), F.col("failed")))
 
 
+def coverage_efficiency(df: DataFrame, keys: Sequence[str], replaced: str, valid: str, edits: str, tokens: str) -> DataFrame:
+    """(keys, n, efficiency, status): mean share of windows replaced for each share of tokens edited.
+
+    A cell with a row without edits has no figure, and says so.
+    """
+    each = F.when((F.col(edits) > 0) & (F.col(valid) > 0) & (F.col(tokens) > 0), (F.col(replaced) / F.col(valid)) / (F.col(edits) / F.col(tokens)))
+    by = df.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(F.col(edits) == 0).alias("none"), F.avg(each).alias("mean"))
+    bad = F.col("none") > 0
+    return by.select(*keys, "n", F.when(~bad, F.col("mean")).alias("efficiency"), F.when(bad, "ZERO_TOKEN_EDIT_DENOMINATOR").otherwise("COMPLETE").alias("status"))
+
+
+def reason_counts(df: DataFrame, reasons: str, known: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, reason, n) of an array of reasons, those that never occur with 0."""
+    spark = df.sparkSession
+    each = df.select(*keys, F.explode(reasons).alias("reason")).groupBy(*keys, "reason").agg(F.count("*").alias("n"))
+    all_ = spark.createDataFrame([(r,) for r in known], "reason string")
+    grid = df.select(*keys).distinct().crossJoin(F.broadcast(all_)) if keys else all_  # a small catalogue
+    return grid.join(each, [*keys, "reason"], "left").fillna(0, ["n"])
+
+
 def complete(df: DataFrame, dimension: DataFrame, key: str, fill: dict[str, object]) -> DataFrame:
     """Every value of a dimension, those without rows filled."""
     return dimension.select(key).distinct().join(df, key, "left").fillna(fill)

@@ -81,6 +81,30 @@ def transfer(df: DataFrame, a: str, b: str) -> DataFrame:
     )
 
 
+def transfer_spread(df: DataFrame, a: str, b: str) -> DataFrame:
+    """One row: median absolute deviations of both effects, and of their difference, from their medians."""
+    both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("a"), F.col(b).alias("b"), (F.col(b) - F.col(a)).alias("d"))
+    middle = both.agg(*[F.median(c).alias(f"m{c}") for c in "abd"])
+    apart = both.crossJoin(F.broadcast(middle))  # one row
+    return apart.agg(*[F.median(F.abs(F.col(c) - F.col(f"m{c}"))).alias(name) for c, name in zip("abd", ("mad_a", "mad_b", "mad_difference"), strict=True)])
+
+
+def scarcity(rows: DataFrame, source: str, reachable: Sequence[tuple[str, str]], ceiling: str | None = None) -> DataFrame:
+    """One row (sources, repeated, decision): the first named budget that some source can't reach, else whether costs forbid it.
+
+    ``reachable`` has (name, boolean column), the smallest budget first; a source may stand only once.
+    """
+    told = rows.agg(
+        F.count("*").alias("sources"), (F.count("*") - F.count_distinct(source)).alias("repeated"),
+        *[F.bool_and(F.coalesce(F.col(c), F.lit(False))).alias(f"all_{k}") for k, (_, c) in enumerate(reachable)],
+        F.bool_or(F.coalesce(F.col(ceiling), F.lit(False)) if ceiling else F.lit(False)).alias("dear"),
+    )
+    decision = F.when(F.col("dear"), "COST_CEILING").otherwise("NO_SCARCITY")
+    for k in range(len(reachable) - 1, -1, -1):
+        decision = F.when(~F.col(f"all_{k}"), f"SCARCE_{reachable[k][0]}").otherwise(decision)
+    return told.select("sources", "repeated", F.when(F.col("sources") == 0, "NO_ROWS").when(F.col("repeated") > 0, "REPEATED_SOURCES").otherwise(decision).alias("decision"))
+
+
 def matched_cost(arm: DataFrame, random_rows: DataFrame, keys: Sequence[str], value: str, least: int = 8) -> DataFrame:
     """(keys, value, controls, control_mean, advantage): a row against at least so many controls of equal keys."""
     by = random_rows.groupBy(*keys).agg(F.count("*").alias("controls"), F.avg(value).alias("control_mean")).where(F.col("controls") >= least)

@@ -123,13 +123,13 @@ _W = score.linear_weights(3)
 
 
 @query(f"""WITH {_BITS}
-SELECT doc_id, count(*) FILTER (valid) AS valid, round(sum(g0 + g1 + g2) FILTER (valid) / (count(*) FILTER (valid) * 3), 9) AS score,
-       round((sum(g0) FILTER (valid) * {_W[0]!r} + sum(g1) FILTER (valid) * {_W[1]!r} + sum(g2) FILTER (valid) * {_W[2]!r}) / (count(*) FILTER (valid) * 3), 9) AS weighted_score
+SELECT doc_id, count(*) FILTER (valid) AS valid, CASE WHEN count(*) FILTER (valid) = 0 THEN 'ZERO_VALID_WINDOWS' END AS failure, round(sum(g0 + g1 + g2) FILTER (valid) / nullif(count(*) FILTER (valid) * 3, 0), 9) AS score,
+       round((sum(g0) FILTER (valid) * {_W[0]!r} + sum(g1) FILTER (valid) * {_W[1]!r} + sum(g2) FILTER (valid) * {_W[2]!r}) / nullif(count(*) FILTER (valid) * 3, 0), 9) AS weighted_score
 FROM bits GROUP BY doc_id""")
 def doc_signal_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     win = windows.signal_windows(tokenized(spark, sf_dir), spark, SIGNAL)
     s = score.mean_scores(win, 3)
-    return s.select("doc_id", "valid", F.round("score", 9).alias("score"), F.round("weighted_score", 9).alias("weighted_score"))
+    return s.select("doc_id", "valid", "failure", F.round("score", 9).alias("score"), F.round("weighted_score", 9).alias("weighted_score"))
 
 
 @query(f"WITH {_TOK} SELECT doc_id, CAST(greatest(0, len(tokens) - 4) AS BIGINT) AS n_windows FROM tok")
@@ -260,21 +260,42 @@ def sample_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bad.select("doc_id", F.concat_ws(",", "broken").alias("broken"))
 
 
-@query()
-def first_occurrence_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _first(rows: str) -> str:
+    """CTE told (ordinal, kept, at_a, at_b): rows (ordinal, a, b) one by one, with lists of what has been kept.  Needs RECURSIVE."""
+    return f"""q AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY ordinal) AS k FROM ({rows})),
+walk(k, ordinal, kept, at_a, at_b, ka, kb, ko) AS (
+  SELECT 0::BIGINT, NULL::BIGINT, false, NULL::BIGINT, NULL::BIGINT, []::VARCHAR[], []::VARCHAR[], []::BIGINT[]
+  UNION ALL SELECT k, ordinal, at_a IS NULL AND at_b IS NULL, at_a, at_b, CASE WHEN at_a IS NULL AND at_b IS NULL THEN list_append(ka, a) ELSE ka END,
+    CASE WHEN at_a IS NULL AND at_b IS NULL THEN list_append(kb, b) ELSE kb END, CASE WHEN at_a IS NULL AND at_b IS NULL THEN list_append(ko, ordinal) ELSE ko END FROM (
+    SELECT q.k, q.ordinal, q.a, q.b, ko[list_position(ka, q.a)] AS at_a, ko[list_position(kb, q.b)] AS at_b, ka, kb, ko FROM walk JOIN q ON q.k = walk.k + 1)),
+told AS MATERIALIZED (SELECT ordinal, kept, at_a, at_b FROM walk WHERE k > 0)"""
+
+
+_KEYS = "SELECT doc_id AS ordinal, sha256(text) AS a, sha256(array_to_string(list_sort(string_split(lower(text), ' ')), ' ')) AS b FROM documents"
+
+
+def _dedup_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys: the text's hash, and one of its sorted words (edits of order share it)."""
-    d = table(spark, sf_dir, "documents").select("doc_id", sha256(F.col("text")).alias("a"), F.sha2(F.array_join(F.array_sort(content_words(F.lower("text"))), " "), 256).alias("b"))
-    return corpus.first_occurrences(d, "doc_id", "a", "b").select("ordinal", "kept", "conflict", "kinds")
+    words = F.array_join(F.array_sort(F.split(F.lower("text"), " ")), " ")
+    return table(spark, sf_dir, "documents").select("doc_id", sha256(F.col("text")).alias("a"), F.sha2(words, 256).alias("b"))
+
+
+@query(f"""WITH RECURSIVE {_first(_KEYS)}
+SELECT ordinal, kept, CASE WHEN NOT kept THEN least(at_a, at_b) END AS conflict, CASE WHEN NOT kept THEN concat_ws('+', CASE WHEN at_a IS NOT NULL THEN 'TEXT' END, CASE WHEN at_b IS NOT NULL THEN 'TOKENS' END) END AS kinds FROM told""")
+def first_occurrence_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.first_occurrences(_dedup_keys(spark, sf_dir), "doc_id", "a", "b").select("ordinal", "kept", "conflict", "kinds")
 
 
-@query("""WITH h AS (SELECT doc_id, sha256(text) AS a, sha256(lower(text)) AS b FROM documents),
-s AS (SELECT * FROM h WHERE doc_id % 2 = 0), x AS (
-  SELECT u.doc_id, min(s.doc_id) AS conflict, 'TEXT' AS kind FROM h u JOIN s USING (a) WHERE u.doc_id % 2 = 1 GROUP BY u.doc_id
-  UNION ALL SELECT u.doc_id, min(s.doc_id), 'TOKENS' FROM h u JOIN s USING (b) WHERE u.doc_id % 2 = 1 GROUP BY u.doc_id)
-SELECT doc_id, min(conflict) AS conflict, array_to_string(list_sort(list(DISTINCT kind)), '+') AS kinds FROM x GROUP BY doc_id""")
+@query(f"""WITH RECURSIVE {_first(_KEYS + " WHERE doc_id % 2 = 0")}, h AS ({_KEYS}), s AS (SELECT h.* FROM h JOIN told USING (ordinal) WHERE kept), x AS (
+  SELECT u.ordinal, min(s.ordinal) AS conflict, 'TEXT' AS kind FROM h u JOIN s USING (a) WHERE u.ordinal % 2 = 1 GROUP BY u.ordinal
+  UNION ALL SELECT u.ordinal, min(s.ordinal), 'TOKENS' FROM h u JOIN s USING (b) WHERE u.ordinal % 2 = 1 GROUP BY u.ordinal)
+SELECT ordinal AS doc_id, min(conflict) AS conflict, array_to_string(list_sort(list(DISTINCT kind)), '+') AS kinds FROM x GROUP BY ordinal""")
 def cross_role_exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", sha256(F.col("text")).alias("a"), sha256(F.lower("text")).alias("b"))
-    return corpus.cross_role_conflicts(d.where("doc_id % 2 = 1"), d.where("doc_id % 2 = 0"), "doc_id", "a", "b")
+    """Odd documents against those even ones that are kept among themselves."""
+    d = _dedup_keys(spark, sf_dir)
+    kept = corpus.first_occurrences(d.where("doc_id % 2 = 0"), "doc_id", "a", "b").where("kept")
+    selected = kept.select(F.col("ordinal").alias("doc_id"), F.col("key_a").alias("a"), F.col("key_b").alias("b"))
+    return corpus.cross_role_conflicts(d.where("doc_id % 2 = 1"), selected, "doc_id", "a", "b")
 
 
 @query("""SELECT 'text' AS key, count(*) AS shared FROM (SELECT text FROM documents WHERE doc_id % 2 = 0 INTERSECT SELECT text FROM documents WHERE doc_id % 2 = 1)""")
@@ -548,7 +569,9 @@ def interval_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("l_orderkey", F.col("id").alias("a_id"), F.col("b_id"))
 
 
-@query()
+@query(f"""WITH i AS ({_SPANS}), l AS (SELECT l_orderkey, count(*) AS candidates, list({{'n': 0::BIGINT, 'at': e, 's': s}} ORDER BY e, s) AS r FROM i GROUP BY 1),
+t AS (SELECT l_orderkey, candidates, list_reduce(list_prepend({{'n': 0::BIGINT, 'at': -1::BIGINT, 's': 0::BIGINT}}, r), lambda a, x: CASE WHEN x.s >= a['at'] THEN {{'n': a.n + 1, 'at': x['at'], 's': 0::BIGINT}} ELSE a END).n AS independent FROM l)
+SELECT *, CASE WHEN independent >= 4 THEN 'READY' ELSE 'SCARCE' END AS status FROM t""")
 def independent_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.independent_count(_lines(spark, sf_dir), ("l_orderkey",))
 
@@ -570,10 +593,25 @@ def protected_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.protected(raw).select("doc_id", "start", "end", F.concat_ws("+", "kinds").alias("kinds"))
 
 
-@query(r"""SELECT doc_id, CAST(len(regexp_extract_all(text, '[0-9]+%')) AS INT) AS percents, CAST(len(regexp_extract_all(text, 'https?://[^\x20\x09-\x0D<>"'']+')) AS INT) AS urls FROM documents""")
+_ADDRESSES = r"""list_filter(string_split_regex(t, '[^0-9.]+'), lambda x: regexp_full_match(x, '(0|[1-9][0-9]{0,2})([.](0|[1-9][0-9]{0,2})){3}') AND len(list_filter(string_split(x, '.'), lambda y: TRY_CAST(y AS INT) > 255)) = 0)"""
+_MAILS = r"""regexp_extract_all(t, '[A-Za-z0-9.!#$%&''*+/=?^_`{|}~-]+@[A-Za-z0-9-]+([.][A-Za-z0-9-]+)+')"""
+
+
+@query(f"""WITH d AS (SELECT doc_id, unnest(string_split_regex(text, '[\\x20\\x09-\\x0D]+')) AS t FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, CAST(sum(len({_ADDRESSES})) AS BIGINT) AS addresses, CAST(sum(len({_MAILS})) AS BIGINT) AS mails FROM d GROUP BY doc_id HAVING sum(len({_ADDRESSES})) + sum(len({_MAILS})) > 0""")
 def content_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", F.regexp_count("text", F.lit("[0-9]+%")).alias("percents"), F.regexp_count("text", F.lit("https?://[^\\x20\\x09-\\x0D<>\"']+")).alias("urls"))
+    """How many addresses and mail addresses protected content holds."""
+    raw = spans.raw_spans(table(spark, sf_dir, "documents"), kinds=("IPV4", "EMAIL"))
+    return raw.groupBy("doc_id").agg(F.count_if(F.col("kind") == "IPV4").alias("addresses"), F.count_if(F.col("kind") == "EMAIL").alias("mails"))
+
+
+@query(f"""WITH d AS (SELECT doc_id, unnest(string_split_regex(text, '[\\x20\\x09-\\x0D]+')) AS t FROM documents WHERE text IS NOT NULL),
+v AS (SELECT doc_id, unnest({_ADDRESSES}) AS v FROM d UNION ALL SELECT doc_id, unnest({_MAILS}) FROM d), c AS (SELECT doc_id, v, count(*) AS had FROM v GROUP BY ALL)
+SELECT doc_id, CAST(sum(CASE WHEN contains(v, '7') THEN had ELSE 0 END) AS BIGINT) AS lost, round(sum(CASE WHEN contains(v, '7') THEN 0 ELSE had END) / sum(had), 9) AS kept_fraction FROM c GROUP BY doc_id""")
+def address_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents against themselves with every address that has a 7 taken away: what protected content loses."""
+    raw = spans.raw_spans(table(spark, sf_dir, "documents"), kinds=("IPV4", "EMAIL"))
+    return rounded(spans.violations(raw, raw.where("NOT contains(value, '7')"), "doc_id"), 9, "kept_fraction").select("doc_id", "lost", "kept_fraction")
 
 
 @query()
@@ -584,7 +622,26 @@ def protected_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.violations(before, after, "doc_id")
 
 
-@query()
+def _listed(values) -> str:
+    return "(" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + ")"
+
+
+def _mapped(pairs) -> str:
+    return "MAP {" + ", ".join("'" + k.replace("'", "''") + "': '" + v + "'" for k, v in pairs) + "}"
+
+
+_SIGNATURES = f"""w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(lower(replace(text, '’', chr(39))), '[a-z]+(?:''[a-z]+)?') AS w FROM documents),
+p AS MATERIALIZED (SELECT doc_id, i, w[i] AS x, w[i + 1] AS next_, CASE WHEN i > 1 THEN w[i - 1] END AS last_ FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM w)),
+m AS MATERIALIZED (SELECT *, {_mapped((k, v) for k, (v, _) in spans.CONTRACTED.items())}[x] AS short, {_mapped((k, m) for k, (_, m) in spans.CONTRACTED.items() if m)}[x] AS short_modal,
+  coalesce(x IN {_listed(spans.AUXILIARIES)} AND next_ = 'not', false) AS negated, coalesce(last_ IN {_listed(spans.AUXILIARIES)}, false) AS helped, coalesce(next_ = 'to', false) AS to_ FROM p),
+n AS (SELECT doc_id, i, CASE WHEN short IS NOT NULL THEN short WHEN x = 'cannot' THEN 'can:not' WHEN negated THEN x || ':not' WHEN x = 'not' AND NOT helped THEN 'not' WHEN x IN {_listed(spans.NEGATIONS)} THEN x END AS neg,
+  CASE WHEN short IS NOT NULL THEN short_modal WHEN x = 'cannot' THEN 'can' WHEN negated THEN {_mapped((k, m) for k, m in spans.AUXILIARIES.items() if m)}[x]
+    ELSE nullif(concat_ws(',', CASE WHEN x IN {_listed(spans.MODALS)} THEN x END, CASE WHEN x IN {_listed(spans.OBLIGATIONS)} THEN 'obligation:' || x END, CASE WHEN x IN {_listed(spans.PERMISSIONS)} THEN 'permission:' || x END,
+      CASE WHEN x = 'have' AND to_ THEN 'obligation:have_to' END, CASE WHEN x = 'need' AND to_ THEN 'obligation:need_to' END), '') END AS modal FROM m)"""
+
+
+@query(f"""WITH {_SIGNATURES} SELECT doc_id, coalesce(g.negations, '') AS negations, coalesce(g.modalities, '') AS modalities FROM documents LEFT JOIN (
+  SELECT doc_id, string_agg(neg, ',' ORDER BY i) AS negations, string_agg(modal, ',' ORDER BY i) AS modalities FROM n GROUP BY doc_id) g USING (doc_id)""")
 def invariant_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = spans.signature(F.col("text"))
     d = table(spark, sf_dir, "documents").select("doc_id", s.alias("s"))
@@ -1021,6 +1078,214 @@ def power_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infer.power(_effects(spark, sf_dir), "effect", [4, 8, 16, 32])
 
 
+# --- checks, gates and records -----------------------------------------------------------------------
+
+
+@query(f"""WITH {_BITS}, s AS (SELECT doc_id, count(*) AS windows, count(*) FILTER (valid) AS valid, CASE WHEN count(*) FILTER (valid) = 0 THEN 'ZERO_VALID_WINDOWS' END AS failure,
+  round(sum(g0 + g1 + g2) FILTER (valid) / nullif(count(*) FILTER (valid) * 3, 0), 9) AS raw_score, sha256(string_agg(CAST(valid AS INT)::VARCHAR || g0 || g1 || g2, ',' ORDER BY pos)) AS batch_sha256 FROM bits GROUP BY doc_id)
+SELECT *, 'mean' AS detector, 'mixed' AS adapter, 3 AS depth, 'HIGHER_IS_MORE_SIGNAL' AS direction, sha256('mean|mixed|3|1,1,1') AS config_sha256 FROM s""")
+def evidence_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    win = windows.signal_windows(tokenized(spark, sf_dir), spark, SIGNAL)
+    return rounded(score.evidence(score.mean_scores(win, 3), win, "mean", "mixed", 3, [1.0, 1.0, 1.0]), 9, "raw_score")
+
+
+@query("SELECT * FROM (VALUES ('plain', 5, 3, 64, 'mixed'), ('table', 5, 3, 64, 'table')) t(name, n, depth, history, kind)")
+def adapter_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = windows.Adapters()
+    known.register("plain", SIGNAL)
+    known.register("table", TABLE_SIGNAL)
+    return known.table(spark)
+
+
+@query("""SELECT a AS adapter, d AS detector, CASE WHEN d IN ('mean', 'weighted_mean') THEN 'SUPPORTED' WHEN d = 'bayesian' THEN 'UNVERIFIED' ELSE 'UNSUPPORTED' END AS status
+FROM (VALUES ('mixed'), ('table')) x(a), (VALUES ('mean'), ('weighted_mean'), ('bayesian'), ('other')) y(d)""")
+def detector_compatibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(a, d, score.compatibility(a, d)) for a in ("mixed", "table") for d in ("mean", "weighted_mean", "bayesian", "other")]
+    return spark.createDataFrame(rows, "adapter string, detector string, status string")
+
+
+@query("""WITH s AS (SELECT l_linestatus AS role, l_suppkey AS source, l_discount > 0.05 AS y FROM lineitem), b AS (SELECT role, count(*) FILTER (y) AS positives, count(*) FILTER (NOT y) AS negatives, count(DISTINCT source) AS sources FROM s GROUP BY 1),
+h AS (SELECT source FROM s GROUP BY 1 HAVING count(DISTINCT role) > 1), c AS (SELECT role, count(DISTINCT source) AS shared_sources FROM s JOIN h USING (source) GROUP BY 1)
+SELECT role, positives, negatives, sources, coalesce(shared_sources, 0) AS shared_sources, CASE WHEN coalesce(shared_sources, 0) > 0 THEN 'SHARED_SOURCES' WHEN least(positives, negatives) < 1000 THEN 'TOO_FEW_SAMPLES' ELSE 'READY' END AS status FROM b LEFT JOIN c USING (role)""")
+def training_readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_linestatus").alias("role"), F.col("l_suppkey").alias("source"), (F.col("l_discount") > 0.05).alias("y"))
+    return score.training_readiness(li, "role", "y", "source")
+
+
+@query("""WITH r AS (SELECT CAST(doc_id AS VARCHAR) AS id, sha256(concat_ws('|', '=' || doc_id, coalesce('=' || text, '-'), coalesce('=' || lang, '-'), coalesce('=' || source, '-'))) AS h FROM documents),
+b AS (SELECT CAST('0x' || substr(sha256(id), 1, 8) AS BIGINT) % 256 AS bucket, count(*) AS n, count(DISTINCT id) AS ids, sha256(string_agg(h, ',' ORDER BY h)) AS h FROM r GROUP BY 1)
+SELECT CAST(sum(n) AS BIGINT) AS records, CAST(sum(ids) AS BIGINT) AS distinct_ids, sha256(string_agg(bucket || ':' || h, ',' ORDER BY bucket)) AS manifest_sha256 FROM b""")
+def corpus_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.manifest(table(spark, sf_dir, "documents"), "doc_id", ("text", "lang", "source"))
+
+
+@query("""WITH e AS (SELECT user_id, event_id, ['AUTHORIZED', 'STARTED', 'COMPLETED', 'INVALIDATED'][event_id % 4 + 1] AS state FROM events), b AS (SELECT *, lag(state) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM e)
+SELECT user_id, event_id, state, before FROM b WHERE NOT ((before IS NULL AND state = 'AUTHORIZED') OR (coalesce(before = 'AUTHORIZED', false) AND state IN ('STARTED', 'INVALIDATED')) OR (coalesce(before = 'STARTED', false) AND state IN ('COMPLETED', 'INVALIDATED')))""")
+def broken_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as if they were states of runs, one run a user."""
+    from .sources import files
+
+    state = F.element_at(F.array(*[F.lit(x) for x in ("AUTHORIZED", "STARTED", "COMPLETED", "INVALIDATED")]), (F.col("event_id") % 4 + 1).cast("int"))
+    told = files.broken_ledger(table(spark, sf_dir, "events").withColumn("state", state), "user_id", "event_id", "state")
+    return told.select("user_id", "event_id", "state", "before")
+
+
+@query("SELECT s_name AS source_id, 'r' || s_nationkey AS repository, CAST(s_suppkey AS VARCHAR) AS revision, CAST(s_suppkey + 1 AS VARCHAR) AS observed FROM supplier WHERE s_suppkey % 3 = 0 UNION ALL SELECT s_name, 'r' || s_nationkey, CAST(s_suppkey AS VARCHAR), NULL FROM supplier WHERE s_suppkey % 3 = 1")
+def drifted_pins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as pinned sources: a third has moved on, a third can't be found."""
+    from .sources import files
+
+    s = table(spark, sf_dir, "supplier")
+    pinned = s.select(F.col("s_name").alias("source_id"), F.concat(F.lit("r"), "s_nationkey").alias("repository"), F.col("s_suppkey").cast("string").alias("revision"))
+    seen = s.where("s_suppkey % 3 <> 1").select(F.col("s_name").alias("source_id"), F.when(F.col("s_suppkey") % 3 == 0, F.col("s_suppkey") + 1).otherwise(F.col("s_suppkey")).cast("string").alias("revision"))
+    return files.drifted(pinned, seen)
+
+
+@query("SELECT '{\"r_name\":\"' || r_name || '\",\"r_regionkey\":' || r_regionkey || '}' AS value FROM region")
+def canonical_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sources import files
+
+    return files.canonical_rows(table(spark, sf_dir, "region"))
+
+
+@query("""WITH b AS (SELECT l_orderkey % 2 AS arm, l_orderkey, l_returnflag AS rule, count(*) AS n FROM lineitem GROUP BY ALL) SELECT arm, rule, count(*) AS traces, CAST(sum(n) AS BIGINT) AS uses FROM b GROUP BY ALL""")
+def rule_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as traces, return flags as rules."""
+    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_returnflag").alias("rules")).withColumn("arm", F.col("l_orderkey") % 2)
+    return reports.rule_usage(li, "rules", "arm")
+
+
+@query("""WITH r AS (SELECT l_returnflag, unnest(list_filter([CASE WHEN l_tax > 0.03 THEN 'WORDS' END, CASE WHEN l_discount > 0.015 THEN 'CHARACTERS' END, CASE WHEN NOT (1 + l_tax - l_discount BETWEEN 0.97 AND 1.03) THEN 'LENGTH' END], lambda x: x IS NOT NULL)) AS reason FROM lineitem),
+g AS (SELECT l_returnflag, reason FROM (SELECT DISTINCT l_returnflag FROM lineitem), (VALUES ('WORDS'), ('CHARACTERS'), ('LENGTH'), ('NEVER')) v(reason))
+SELECT g.l_returnflag, g.reason, count(r.reason) AS n FROM g LEFT JOIN r ON r.l_returnflag = g.l_returnflag AND r.reason = g.reason GROUP BY ALL""")
+def reason_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reasons = reports.visible_cost("STRICT", F.col("l_tax"), F.col("l_discount"), 1 + F.col("l_tax") - F.col("l_discount"))
+    li = table(spark, sf_dir, "lineitem").select("l_returnflag", reasons.alias("reasons"))
+    return evaluate.reason_counts(li, "reasons", ("WORDS", "CHARACTERS", "LENGTH", "NEVER"), ("l_returnflag",))
+
+
+@query("""WITH c AS (SELECT l_returnflag, l_linestatus, count(*) AS n, count(*) FILTER (l_discount = 0) AS none, avg((l_tax / l_quantity) / (l_discount / l_extendedprice)) FILTER (l_discount > 0) AS m FROM lineitem GROUP BY ALL
+UNION ALL SELECT 'SOME', l_linestatus, count(*), 0, avg((l_tax / l_quantity) / (l_discount / l_extendedprice)) FROM lineitem WHERE l_discount > 0 GROUP BY ALL)
+SELECT l_returnflag, l_linestatus, n, CASE WHEN none = 0 THEN round(m, 4) END AS efficiency, CASE WHEN none > 0 THEN 'ZERO_TOKEN_EDIT_DENOMINATOR' ELSE 'COMPLETE' END AS status FROM c""")
+def coverage_efficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Taxes as replaced windows, discounts as edits; by flag, and over lines with edits."""
+    li = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", "l_tax", "l_quantity", "l_discount", "l_extendedprice")
+    both = li.unionByName(li.where("l_discount > 0").withColumn("l_returnflag", F.lit("SOME")))
+    return rounded(evaluate.coverage_efficiency(both, ("l_returnflag", "l_linestatus"), "l_tax", "l_quantity", "l_discount", "l_extendedprice"), 4, "efficiency")
+
+
+_QUARTILES = "SELECT lang, quantile_cont(e, 0.25) AS q25, quantile_cont(e, 0.75) AS q75, stddev_pop(e) / avg(e) AS cv, stddev_pop(t) / avg(t) AS tcv FROM w GROUP BY lang"
+
+
+@query(f"""WITH {_TOK}, w AS (SELECT lang, len(tokens) AS t, greatest(0, len(tokens) - 4) AS e FROM tok JOIN documents USING (doc_id)), q AS ({_QUARTILES}),
+o AS (SELECT max(least(1.0, CASE WHEN least(x.q75 - x.q25, y.q75 - y.q25) > 0 THEN greatest(0, least(x.q75, y.q75) - greatest(x.q25, y.q25)) / least(x.q75 - x.q25, y.q75 - y.q25) ELSE CAST(least(x.q75, y.q75) >= greatest(x.q25, y.q25) AS INT) END)) AS overlap FROM q x JOIN q y ON x.lang < y.lang)
+SELECT count(*) AS groups, round(max(greatest(cv, tcv)), 9) AS worst_cv, round(coalesce(any_value(overlap), 0), 9) AS worst_overlap, CASE WHEN max(greatest(cv, tcv)) <= 0.05 AND coalesce(any_value(overlap), 0) <= 0.1 THEN 'NOMINAL_TARGET_LENGTH' ELSE 'ELIGIBLE_OBSERVATION_BINS' END AS mode FROM q, o""")
+def regime_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages as nominal strata."""
+    d = tokenized(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+    w = d.select("lang", F.size("tokens").alias("t"), windows.n_windows(F.col("tokens"), 5).alias("e"))
+    return rounded(calibrate.regime_decision(w, "lang", "t", "e"), 9, "worst_cv", "worst_overlap")
+
+
+@query("""WITH l AS (SELECT l_linestatus, 'quantity' AS counted, l_quantity AS x FROM lineitem UNION ALL SELECT l_linestatus, 'number', l_linenumber FROM lineitem),
+s AS (SELECT l_linestatus, counted, count(*) AS n, min(x) AS low, quantile_cont(x, 0.25) AS q25, quantile_cont(x, 0.5) AS q50, quantile_cont(x, 0.75) AS q75, max(x) AS high, avg(x) AS mean, stddev_pop(x) / avg(x) AS cv FROM l GROUP BY ALL)
+SELECT s.l_linestatus, counted, n, low, q25, q50, q75, high, round(mean, 9) AS mean, round(s.cv, 9) AS cv, p.cv <= 0.05 AS length_passes, n >= 1000 AS resolution_passes FROM s JOIN (SELECT l_linestatus, cv FROM s WHERE counted = 'quantity') p USING (l_linestatus)""")
+def frozen_opportunity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem").select("l_linestatus", F.col("l_quantity").alias("quantity"), F.col("l_linenumber").alias("number"))
+    return rounded(calibrate.frozen_opportunity(li, ("l_linestatus",), ("quantity", "number"), "quantity"), 9, "mean", "cv")
+
+
+@query("""WITH h AS (SELECT l_linestatus, l_returnflag, count(*) AS n FROM (SELECT l_linestatus, l_returnflag FROM lineitem WHERE l_returnflag <> 'A' GROUP BY ALL UNION ALL SELECT DISTINCT l_linestatus, 'R' FROM lineitem WHERE l_returnflag = 'R' UNION ALL SELECT 'X', 'X') GROUP BY ALL),
+e AS (SELECT DISTINCT l_linestatus, l_returnflag FROM lineitem)
+SELECT l_linestatus, l_returnflag, CASE WHEN n IS NULL THEN 'MISSING' WHEN wanted IS NULL THEN 'UNEXPECTED' ELSE 'REPEATED' END AS problem FROM (SELECT *, true AS wanted FROM e) FULL JOIN h USING (l_linestatus, l_returnflag) WHERE n IS NULL OR wanted IS NULL OR n > 1""")
+def registry_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A registry without one flag, with another twice, and with a regime of its own."""
+    regimes = table(spark, sf_dir, "lineitem").select("l_linestatus", "l_returnflag").distinct()
+    own = spark.createDataFrame([("X", "X")], "l_linestatus string, l_returnflag string")
+    have = regimes.where("l_returnflag <> 'A'").unionByName(regimes.where("l_returnflag = 'R'")).unionByName(own)
+    return calibrate.registry_problems(have, regimes, ("l_linestatus", "l_returnflag"))
+
+
+@query("""WITH r AS (SELECT o_custkey, o_orderstatus, min(o_totalprice) AS low, max(o_totalprice) AS high FROM orders GROUP BY ALL), s AS (SELECT o_custkey, bool_and(high >= 1000) AS b4, bool_and(high >= 100000) AS b6, bool_or(low < 2000) AS dear FROM r GROUP BY 1)
+SELECT count(*) AS sources, 0::BIGINT AS repeated, CASE WHEN NOT bool_and(b4) THEN 'SCARCE_B4' WHEN NOT bool_and(b6) THEN 'SCARCE_B6' WHEN bool_or(dear) THEN 'COST_CEILING' ELSE 'NO_SCARCITY' END AS decision FROM s""")
+def candidate_scarcity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as sources that reach a budget if all their orders' statuses do."""
+    by = table(spark, sf_dir, "orders").groupBy("o_custkey", "o_orderstatus").agg(F.min("o_totalprice").alias("low"), F.max("o_totalprice").alias("high"))
+    rows = by.groupBy("o_custkey").agg(F.bool_and(F.col("high") >= 1000).alias("b4"), F.bool_and(F.col("high") >= 100000).alias("b6"), F.bool_or(F.col("low") < 2000).alias("dear"))
+    return reports.scarcity(rows, "o_custkey", (("B4", "b4"), ("B6", "b6")), "dear")
+
+
+@query("""WITH p AS (SELECT doc_id AS item, doc_id + 1000 AS sample_id, sha256(text) AS h FROM documents WHERE text IS NOT NULL), j AS (SELECT doc_id AS item, quality AS label, row_number() OVER (PARTITION BY doc_id ORDER BY quality) AS k FROM labels),
+s AS (SELECT doc_id + 1000 AS sample_id, sha256(CASE WHEN doc_id % 10 = 3 THEN text || '!' ELSE text END) AS now FROM documents WHERE doc_id % 10 <> 7)
+SELECT item, sample_id, CASE WHEN j.item IS NOT NULL THEN 'r' END AS reviewer, label, CASE WHEN p.item IS NULL THEN 'NOT_IN_PACKET' WHEN j.item IS NULL THEN 'NO_LABEL' WHEN now IS NULL THEN 'SAMPLE_MISSING' WHEN now <> h THEN 'SAMPLE_CHANGED' END AS problem
+FROM p FULL JOIN j USING (item) LEFT JOIN s USING (sample_id)""")
+def bound_judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels as judgments of documents, some of which have changed or gone."""
+    d = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    packet = d.select(F.col("doc_id").alias("item"), (F.col("doc_id") + 1000).alias("sample_id"), F.sha2("text", 256).alias("sample_sha256"))
+    votes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("item"), F.lit("r").alias("reviewer"), F.col("quality").alias("label"))
+    now = d.where("doc_id % 10 <> 7").select((F.col("doc_id") + 1000).alias("sample_id"), F.when(F.col("doc_id") % 10 == 3, F.concat("text", F.lit("!"))).otherwise(F.col("text")).alias("text"))
+    return spans.bound_judgments(votes, packet, now)
+
+
+@query("""WITH k AS (SELECT r, s, count(*) FILTER (l_quantity <= 25) AS safe, count(*) FILTER (l_quantity > 25) AS overlap, count(*) FILTER (l_discount > 0.09) AS violations FROM (SELECT l_returnflag AS r, l_linestatus AS s, * FROM lineitem) GROUP BY ALL)
+SELECT x.r AS rule, y.s AS kind, coalesce(safe, 0) AS safe, coalesce(overlap, 0) AS overlap, coalesce(violations, 0) AS violations FROM (SELECT DISTINCT l_returnflag AS r FROM lineitem) x, (SELECT DISTINCT l_linestatus AS s FROM lineitem) y LEFT JOIN k ON k.r = x.r AND k.s = y.s""")
+def span_stress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Return flags as rules, line statuses as kinds: every combination, empty ones as well."""
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("rule"), F.col("l_linestatus").alias("kind"), (F.col("l_quantity") > 25).alias("overlaps"), (F.col("l_discount") > 0.09).alias("violated"))
+    return reports.stress_matrix(li, li, li)
+
+
+@query("""WITH a AS (SELECT CAST(month(l_shipdate) AS INT) AS rule, CASE WHEN count(*) < 50 THEN 'TOO_FEW_REVIEWS' WHEN avg(CAST(l_returnflag = 'N' AS INT)) < 0.5 THEN 'BELOW_RATE' ELSE 'READY' END AS audit FROM lineitem GROUP BY 1),
+f AS (SELECT CAST(month(o_orderdate) AS INT) AS rule, count(*) AS fixtures FROM orders WHERE o_orderkey % 4 = 0 GROUP BY 1), r AS (SELECT CAST(unnest(range(1, 14)) AS INT) AS rule)
+SELECT rule, coalesce(fixtures, 0) AS fixtures, audit, CASE WHEN coalesce(fixtures, 0) < 5 THEN 'TOO_FEW_FIXTURES' WHEN audit IS NULL THEN 'NOT_AUDITED' WHEN audit <> 'READY' THEN audit ELSE 'READY' END AS status FROM r LEFT JOIN f USING (rule) LEFT JOIN a USING (rule)""")
+def fidelity_readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Months as rules, and a thirteenth that nothing speaks for."""
+    r = table(spark, sf_dir, "lineitem").select(F.month("l_shipdate").alias("rule"), (F.col("l_returnflag") == "N").alias("good"))
+    fixtures = table(spark, sf_dir, "orders").where("o_orderkey % 4 = 0").select(F.month("o_orderdate").alias("rule"))
+    return reports.readiness(spark.range(1, 14).select(F.col("id").cast("int").alias("rule")), spans.rule_audit(r, "rule", "good", share=0.5), fixtures)
+
+
+@query("""WITH g AS (SELECT l_linestatus AS budget, l_suppkey AS source, avg(l_discount) - 0.01 AS gain, true AS ok, max(l_quantity) > 49 AS win FROM lineitem GROUP BY ALL),
+b AS (SELECT budget, count(*) AS n, count(DISTINCT source) AS sources, count(*) FILTER (gain < 0) AS bad, median(gain) AS median, count(*) FILTER (win) AS wins FROM g GROUP BY 1)
+SELECT CASE WHEN NOT bool_and(n = (SELECT count(DISTINCT source) FROM g) AND sources = (SELECT count(DISTINCT source) FROM g)) THEN 'INCOMPLETE' WHEN sum(bad) > 0 OR min(median) <= 0 THEN 'K2' WHEN min(wins) = 0 THEN 'K1' ELSE 'PASS' END AS verdict FROM b""")
+def geometry_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as sources, line statuses as budgets."""
+    g = table(spark, sf_dir, "lineitem").groupBy(F.col("l_linestatus").alias("budget"), F.col("l_suppkey").alias("source")).agg((F.avg("l_discount") - 0.01).alias("gain"), F.lit(True).alias("ok"), (F.max("l_quantity") > 49).alias("win"))
+    return reports.paired_gate(g, "source", "budget", "gain", "ok", "win")
+
+
+_TOUCHED = f"""i AS ({_SPANS}), t AS (SELECT unnest(range(0, 21)) AS pos), w AS (SELECT DISTINCT l_orderkey, id, unnest(range(greatest(0, pos - 4), least(pos + 1, 17))) AS spot FROM i JOIN t ON pos * 7 < e AND s < pos * 7 + 6 WHERE e > s)"""
+
+
+def _touched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as spans of characters over 21 tokens of six characters and a blank, 17 windows."""
+    lines = _lines(spark, sf_dir)
+    tokens_ = lines.select("l_orderkey").distinct().select("l_orderkey", F.explode(F.sequence(F.lit(0), F.lit(20))).alias("pos")).withColumn("pos", F.col("pos").cast("long"))
+    tokens_ = tokens_.select("l_orderkey", "pos", (F.col("pos") * 7).alias("start"), (F.col("pos") * 7 + 6).alias("end"), F.lit(17).alias("windows"))
+    return intervals.covered_windows(lines, tokens_, 5, ("l_orderkey",))
+
+
+@query(f"WITH {_TOUCHED} SELECT l_orderkey, id, count(*) AS covered FROM w GROUP BY ALL")
+def span_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.union_size(_touched(spark, sf_dir), ("l_orderkey", "id"))
+
+
+@query(f"WITH {_TOUCHED} SELECT l_orderkey, id, count(*) AS covered FROM w WHERE spot % 3 <> 1 GROUP BY ALL")
+def eligible_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two of three windows are eligible."""
+    lines = _lines(spark, sf_dir)
+    eligible = lines.select("l_orderkey").distinct().select("l_orderkey", F.explode(F.sequence(F.lit(0), F.lit(16))).alias("pos")).where("pos % 3 <> 1")
+    return intervals.union_size(intervals.eligible_coverage(_touched(spark, sf_dir), eligible, ("l_orderkey",)), ("l_orderkey", "id"))
+
+
+@query("""WITH e AS (SELECT l_discount - 0.05 AS a, l_tax - 0.04 AS b FROM lineitem), m AS (SELECT median(a) AS ma, median(b) AS mb, median(b - a) AS md FROM e)
+SELECT round(median(abs(a - ma)), 9) AS mad_a, round(median(abs(b - mb)), 9) AS mad_b, round(median(abs(b - a - md)), 9) AS mad_difference FROM e, m""")
+def transfer_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem").select((F.col("l_discount") - 0.05).alias("a"), (F.col("l_tax") - 0.04).alias("b"))
+    return rounded(reports.transfer_spread(li, "a", "b"), 9, "mad_a", "mad_b", "mad_difference")
+
+
 # --- events ------------------------------------------------------------------------------------------
 
 

@@ -92,8 +92,25 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
+def canonical_rows(df: DataFrame) -> DataFrame:
+    """One column ``value``: every row as canonical JSON (sorted keys, no blanks, nulls kept, no NaN or infinity)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([canonical_json(r) for r in b.to_pylist()], pa.string())], names=["value"])
+
+    return df.mapInArrow(run, "value string")
+
+
 def write_json(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
+    """Canonical JSON lines; Spark's commit protocol makes the folder whole or absent."""
+    canonical_rows(df).write.mode("overwrite").text(path)
+
+
+def hash_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, size, sha256) of the files that a path names, read as whole bytes on the executors."""
+    files = spark.read.format("binaryFile").load(path)
+    return files.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
 
 
 def pins(spark: SparkSession, rows: list[tuple[str, str, str]]) -> DataFrame:
