@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..scratch import keep
+from .ordered import with_rank
 
 
 class Violation(Exception):
@@ -146,8 +147,7 @@ def first_n(df: DataFrame, role: str, order: str, n: int) -> DataFrame:
 
 def shard_plan(df: DataFrame, order: str, size: int) -> DataFrame:
     """The rows with a dense index from 0 and their shard of consecutive indices."""
-    index = F.row_number().over(Window.orderBy(order)) - 1
-    return df.withColumn("index", index).withColumn("shard", F.floor(F.col("index") / size))
+    return with_rank(df, (), [order], "index").withColumn("shard", F.floor(F.col("index") / size))
 
 
 def gaps(ranges: DataFrame) -> DataFrame:

@@ -114,8 +114,11 @@ def signal_windows(df: DataFrame, spark: SparkSession, signal: Signal, tokens: s
         if signal.table is None:
             bits = [_mixed_bit(F.col("keys")[d]) for d in depth]
         else:
-            table = F.array(*[F.lit(int(b)) for b in signal.table])
-            bits = [table[F.pmod(F.col("keys")[d], F.lit(len(signal.table))).cast("int")] for d in depth]
+            # 64 entries a long, so that a table of 65,536 is an array of 1,024.
+            longs = [sum(int(b) << i for i, b in enumerate(signal.table[k : k + 64])) for k in range(0, len(signal.table), 64)]
+            table = F.array(*[F.lit(x - (1 << 64) if x >> 63 else x).cast("long") for x in longs])
+            at = [F.pmod(F.col("keys")[d], F.lit(len(signal.table))).cast("int") for d in depth]
+            bits = [F.getbit(F.get(table, F.shiftright(i, 6)), i.bitwiseAND(F.lit(63))).cast("int") for i in at]
         return keyed.withColumn("g", F.array(*bits))
 
     hashed = built_wrapping(spark, build)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.binomial import interval
+from ..operators.ordered import with_running
 
 #: Scale factors that make MAD and interquartile range estimate a normal deviation.
 MAD_SCALE, IQR_SCALE = 1.482602218505602, 1.3489795003921634
@@ -47,9 +48,10 @@ def thresholds(negatives: DataFrame, keys: Sequence[str], score: str, rates: Seq
     distinct value, so the ordered pass runs over distinct scores.
     """
     by = negatives.groupBy(*keys, score).agg(F.count("*").alias("same"))
-    w = Window.partitionBy(*keys)
-    up = w.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, -1 if strict else 0)
-    told = by.withColumns({"n": F.sum("same").over(w), "over": F.coalesce(F.sum("same").over(up), F.lit(0))})
+    sizes = by.groupBy(*keys).agg(F.sum("same").alias("n"))
+    above = with_running(by, keys, [F.desc(score)], {"over": F.col("same")})
+    told = above.join(sizes, [*keys]) if keys else above.crossJoin(F.broadcast(sizes))  # without keys: one row
+    told = told if strict else told.withColumn("over", F.col("over") + F.col("same"))
     each = told.withColumn("target", F.explode(F.array(*[F.lit(float(r)) for r in rates]))).where(F.col("over") <= F.col("target") * F.col("n"))
     best = each.groupBy(*keys, "target", "n").agg(F.min(F.struct(F.col(score).alias("threshold"), F.col("over").alias("false_positives"))).alias("b"))
     return best.select(*keys, "target", "n", "b.*").withColumn("achieved", F.col("false_positives") / F.col("n"))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators.ordered import with_rank, with_running
+
 
 def auc(df: DataFrame, keys: Sequence[str], score: str, positive: str) -> DataFrame:
     """(keys, positives, negatives, auc): chance that a positive scores higher, ties half.
@@ -15,9 +17,8 @@ def auc(df: DataFrame, keys: Sequence[str], score: str, positive: str) -> DataFr
     Counts by distinct score come first; a running sum over these gives the negatives below.
     """
     by = df.where(F.col(score).isNotNull()).groupBy(*keys, score).agg(F.count_if(positive).alias("p"), F.count_if(~F.col(positive)).alias("q"))
-    below = F.coalesce(F.sum("q").over(Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     wins = F.sum(F.col("p") * (F.col("below") + F.col("q") / 2))
-    out = by.withColumn("below", below).groupBy(*keys).agg(F.sum("p").alias("positives"), F.sum("q").alias("negatives"), wins.alias("wins"))
+    out = with_running(by, keys, [score], {"below": F.col("q")}).groupBy(*keys).agg(F.sum("p").alias("positives"), F.sum("q").alias("negatives"), wins.alias("wins"))
     n = F.col("positives") * F.col("negatives")
     return out.withColumn("auc", F.when(n > 0, F.col("wins") / n)).drop("wins")
 
@@ -115,13 +116,17 @@ def dose_bin(dose: Column, edges: Sequence[float] = DOSES) -> Column:
 
 
 def dose_response(df: DataFrame, dose: str, effect: str, edges: Sequence[float] = DOSES) -> DataFrame:
-    """(bin, low, high, n, mean, falls): mean effect by dose, empty bins as well; falls marks a decrease."""
+    """(bin, low, high, n, mean, falls): mean effect by dose, empty bins as well; falls marks a decrease.
+
+    Bin -1 counts rows whose dose is null or outside the edges.
+    """
     spark = df.sparkSession
-    bins = spark.range(len(edges) - 1).select(F.col("id").cast("int").alias("bin"))
-    low, high = (F.array(*[F.lit(e) for e in x])[F.col("bin")] for x in (edges[:-1], edges[1:]))
-    by = df.withColumn("bin", dose_bin(F.col(dose), edges)).groupBy("bin").agg(F.count("*").alias("n"), F.avg(effect).alias("mean"))
+    bins = spark.range(-1, len(edges) - 1).select(F.col("id").cast("int").alias("bin"))
+    low, high = (F.get(F.array(*[F.lit(e) for e in x]), F.col("bin")) for x in (edges[:-1], edges[1:]))
+    by = df.withColumn("bin", F.coalesce(dose_bin(F.col(dose), edges), F.lit(-1))).groupBy("bin").agg(F.count("*").alias("n"), F.avg(effect).alias("mean"))
     told = bins.join(by, "bin", "left").fillna(0, ["n"]).withColumns({"low": low, "high": high})
-    last = F.last("mean", ignorenulls=True).over(Window.partitionBy().orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))
+    within = F.when(F.col("bin") >= 0, F.col("mean"))
+    last = F.last(within, ignorenulls=True).over(Window.partitionBy().orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))  # a row a bin
     return told.withColumn("falls", F.coalesce(F.col("mean") < last, F.lit(False)))
 
 
@@ -171,9 +176,10 @@ def transitions(df: DataFrame, keys: Sequence[str], before: str, after: str) ->
 
 def quartiles(df: DataFrame, label: str, order: Sequence[str], name: str = "quartile") -> DataFrame:
     """The rows with min(3, 4 * index // count) by label: remainders lie differently than in ntile(4)."""
-    w = Window.partitionBy(label)
-    index = F.row_number().over(w.orderBy(*order)) - 1
-    return df.withColumn(name, F.least(F.lit(3), F.floor(index * 4 / F.count("*").over(w))).cast("int"))
+    ranked = with_rank(df, (label,), order, "index_")
+    sizes = df.groupBy(F.col(label).alias("label_")).agg(F.count("*").alias("size_"))
+    both = ranked.join(sizes, F.col(label).eqNullSafe(F.col("label_")))
+    return both.withColumn(name, F.least(F.lit(3), F.floor(F.col("index_") * 4 / F.col("size_"))).cast("int")).drop("index_", "size_", "label_")
 
 
 def spearman(df: DataFrame, keys: Sequence[str], a: str, b: str, id_: str) -> DataFrame:
@@ -188,9 +194,11 @@ def spearman(df: DataFrame, keys: Sequence[str], a: str, b: str, id_: str) -> Da
 
 def kth_largest(df: DataFrame, keys: Sequence[str], value: str, rate: float) -> DataFrame:
     """(keys, n, threshold): the (floor(rate * n) + 1)-th largest value."""
-    w = Window.partitionBy(*keys)
-    ranked = df.withColumns({"r": F.row_number().over(w.orderBy(F.desc(value))), "n": F.count("*").over(w)})
-    return ranked.where(F.col("r") == F.floor(F.lit(rate) * F.col("n")) + 1).select(*keys, "n", F.col(value).alias("threshold"))
+    counts = df.groupBy(*keys, value).agg(F.count("*").alias("same"))
+    sizes = counts.groupBy(*keys).agg(F.sum("same").alias("n"))
+    above = with_running(counts, keys, [F.desc(value)], {"above": F.col("same")}).join(sizes, [*keys])
+    at = F.floor(F.lit(rate) * F.col("n"))
+    return above.where((F.col("above") <= at) & (at < F.col("above") + F.col("same"))).select(*keys, "n", F.col(value).alias("threshold"))
 
 
 def pareto(df: DataFrame, keys: Sequence[str], gain: str, cost: str) -> DataFrame:

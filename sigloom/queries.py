@@ -814,8 +814,9 @@ def centred_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH b AS (SELECT CAST(CASE WHEN l_discount * 10 < 0.1 THEN 0 WHEN l_discount * 10 < 0.25 THEN 1 WHEN l_discount * 10 < 0.5 THEN 2 WHEN l_discount * 10 < 0.75 THEN 3 ELSE 4 END AS INT) AS bin, l_extendedprice AS y FROM lineitem WHERE l_discount * 10 BETWEEN 0 AND 1),
-g AS (SELECT bin, count(*) AS n, avg(y) AS mean FROM b GROUP BY 1), d AS (SELECT CAST(i AS INT) AS bin, coalesce(n, 0) AS n, mean FROM range(5) r(i) LEFT JOIN g ON g.bin = r.i)
-SELECT bin, n, round(mean, 4) AS mean, coalesce(mean < last_value(mean IGNORE NULLS) OVER (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS falls FROM d""")
+g AS (SELECT bin, count(*) AS n, avg(y) AS mean FROM b GROUP BY 1 UNION ALL SELECT -1, count(*), avg(l_extendedprice) FROM lineitem WHERE NOT l_discount * 10 BETWEEN 0 AND 1),
+d AS (SELECT CAST(i AS INT) AS bin, coalesce(n, 0) AS n, mean FROM range(-1, 5) r(i) LEFT JOIN g ON g.bin = r.i)
+SELECT bin, n, round(mean, 4) AS mean, coalesce(mean < last_value(CASE WHEN bin >= 0 THEN mean END IGNORE NULLS) OVER (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS falls FROM d""")
 def dose_response(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select((F.col("l_discount") * 10).alias("dose"), "l_extendedprice")
     return evaluate.dose_response(li, "dose", "l_extendedprice").select("bin", "n", F.round("mean", 4).alias("mean"), "falls")
@@ -1006,7 +1007,7 @@ SELECT p_partkey, round(max(raw) OVER (ORDER BY p, p_partkey ROWS UNBOUNDED PREC
 def holm_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A family of a million fixed in advance, of which the table has some."""
     p = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_retailprice") % 100 / 5000).alias("p"))
-    told = infer.holm(p.withColumn("order_", F.struct("p", "p_partkey")), "p", 1_000_000)
+    told = infer.holm(p, "p", 1_000_000, order=("p", "p_partkey"))
     return told.select("p_partkey", F.round("p_holm", 9).alias("p_holm"))
 
 

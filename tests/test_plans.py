@@ -86,9 +86,9 @@ def test_failures_stay_in_the_denominator(spark):
 
 
 def test_empty_dose_bins_are_told(spark):
-    df = spark.createDataFrame([(0.05, 3.0), (0.3, 1.0), (1.0, 2.0)], "d double, y double")
+    df = spark.createDataFrame([(0.05, 3.0), (0.3, 1.0), (1.0, 2.0), (1.5, 9.0), (None, 7.0)], "d double, y double")
     got = evaluate.dose_response(df, "d", "y").orderBy("bin").collect()
-    assert [(r.n, r["mean"], r.falls) for r in got] == [(1, 3.0, False), (0, None, False), (1, 1.0, True), (0, None, False), (1, 2.0, False)]
+    assert [(r.n, r["mean"], r.falls) for r in got] == [(2, 8.0, False), (1, 3.0, False), (0, None, False), (1, 1.0, True), (0, None, False), (1, 2.0, False)]
 
 
 def test_holm_with_a_fixed_family(spark):
@@ -192,3 +192,18 @@ def test_reports(spark):
     assert {(r.kind, r.overlap) for r in reports.stress_matrix(rules, kinds, seen).collect()} == {("k", 1), ("l", 0)}
     ready = reports.readiness(rules, spark.createDataFrame([("r", "READY")], "rule string, status string"), spark.createDataFrame([("r",)] * 5, "rule string"))
     assert ready.first().status == "READY"
+
+
+def test_running_sums_and_ranks(spark):
+    from sigloom.operators.ordered import with_rank, with_running
+
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "b", None]), k, rng.randrange(9)) for k in range(200)]
+    df = spark.createDataFrame(rows, "k string, at int, x int").repartition(3)
+    for keys in ((), ("k",)):
+        got = with_running(df, keys, ["at"], {"s": F.col("x")}, {"m": F.col("x")}).collect()
+        for r in got:
+            before = [x for k, at, x in rows if at < r["at"] and (not keys or k == r.k)]
+            assert (r.s, r.m) == (sum(before), max(before, default=None))
+        assert sorted(r.rank for r in with_rank(df, keys, [F.desc("at")]).collect() if r.k == "a" or not keys) == list(range(len([x for x in rows if not keys or x[0] == "a"])))
+    assert with_rank(df.limit(0), (), ["at"]).count() == 0
