@@ -167,9 +167,9 @@ def _followed(roots: DataFrame, joined: DataFrame) -> DataFrame:
 
 
 def _apart(at: DataFrame) -> DataFrame:
-    """Rows (key, rep, root) of the buckets whose members lie in several components, and ``n``, their number."""
-    by = at.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low < high")
-    return at.join(by.select("key", "n"), "key")
+    """Rows of the buckets whose members lie in several components, and ``n_members``, their number."""
+    by = at.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n_members")).where("low < high")
+    return at.join(by.select("key", "n_members"), "key")
 
 
 def link_buckets(
@@ -177,27 +177,35 @@ def link_buckets(
     confirm: Callable[[DataFrame], DataFrame],
     last: Callable[[DataFrame], DataFrame],
     scratch: Scratch,
-    rounds: int = 3,
+    rounds: int = 1,
+    traits: tuple[str, ...] = (),
+    close: Callable[[str, str], Column] | None = None,
 ) -> DataFrame:
     """(node, root) of the components of confirmed links between members of one bucket.
 
-    ``members`` is (key, rep); ``confirm`` keeps those of the pairs (a, b) that are links.  Hubs first: a
-    bucket's least member is compared with all others, one pair a member.  Buckets that then lie in one
-    component are done; the others take another hub, by a hash, in each further round.  What is
-    still apart is compared by ``last``, which gets (key, rep, root, n), n the members of the bucket, and
-    returns links, so that no link that joins two components is missed.
+    ``members`` is (key, rep, traits); ``confirm`` keeps those of the pairs (a, b) that are links, and
+    ``close``, of two prefixes of trait columns, tells which are worth it.  Hubs first: a bucket's least member
+    is compared with all others, one pair a member.  Buckets that then lie in one component are done;
+    the others take another hub, by a hash, in each further round.  What is still apart is compared
+    by ``last``, which gets (key, rep, traits, root, n_members), and returns links, so
+    that no link that joins two components is missed.
     """
-    low = members.groupBy("key").agg(F.min("rep").alias("hub"))
-    pairs = members.join(low, "key").where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+
+    def worth(of_hub: DataFrame) -> DataFrame:
+        near = close("", "hub_") if close else F.lit(True)
+        return of_hub.where(near).select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
+
+    own = ["key", "rep", *traits]
+    low = members.groupBy("key").agg(F.min("rep").alias("hub"), *(F.min_by(c, "rep").alias(f"hub_{c}") for c in traits))
+    pairs = worth(members.join(low, "key").where("rep <> hub"))
     roots = components(scratch.keep(confirm(pairs)), scratch)
-    at = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
+    at = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(*own, F.coalesce("root", "rep").alias("root"))
     live = scratch.keep(_apart(scratch.keep(at)))
     for turn in range(1, rounds + 1):
         if turn < rounds:
             order = F.xxhash64("rep", F.lit(turn))
-            hubs = live.groupBy("key").agg(F.min_by("rep", order).alias("hub"), F.min_by("root", order).alias("hub_root"))
-            meet = live.join(hubs, "key").where("root <> hub_root")
-            links = confirm(meet.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct())
+            hubs = live.groupBy("key").agg(F.min_by("rep", order).alias("hub"), F.min_by("root", order).alias("hub_root"), *(F.min_by(c, order).alias(f"hub_{c}") for c in traits))
+            links = confirm(worth(live.join(hubs, "key").where("root <> hub_root")))
         else:
             links = last(live)
         links = scratch.keep(links)
@@ -209,16 +217,16 @@ def link_buckets(
         joined = components(between, scratch)
         roots = scratch.keep(_followed(roots, joined))
         if turn < rounds:
-            moved = live.drop("n").join(joined.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left")
-            live = scratch.keep(_apart(moved.select("key", "rep", F.coalesce("to", "root").alias("root"))))
+            moved = live.drop("n_members").join(joined.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left")
+            live = scratch.keep(_apart(moved.select(*own, F.coalesce("to", "root").alias("root"))))
     return roots
 
 
 def in_blocks(side: DataFrame) -> DataFrame:
-    """Rows with ``n``, the members of their bucket, as (.., own, i, j): each two blocks of a bucket meet in one group.
+    """Rows with ``n_members``, those of their bucket, as (.., own, i, j): each two blocks of a bucket meet in one group.
 
     A bucket of at most BLOCK members is one block.
     """
-    cut = F.ceil(F.col("n") / BLOCK)
+    cut = F.ceil(F.col("n_members") / BLOCK)
     some = side.withColumn("own", F.pmod(F.xxhash64("rep"), cut)).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), cut - 1)))
-    return some.withColumn("i", F.least("own", "with")).withColumn("j", F.greatest("own", "with")).drop("with", "n")
+    return some.withColumn("i", F.least("own", "with")).withColumn("j", F.greatest("own", "with")).drop("with", "n_members")

@@ -1,40 +1,37 @@
 """Fuzzy line deduplication with DataFrame functions only.
 
-Two lines are near if their word sequences have an edit similarity of at least 0.8.  With ``differ``
-None that is all: lines meet by MinHash keys of their word pairs, which each near pair shares with a
-probability of 0.992 or more.  With a number (3 by default), normalised lines also get a 60-bit SimHash of
-their words, which may differ in so many bits, and that drops most pairs which one edit or more set apart.
-Hashes are cut into blocks; lines that near each other agree on some choice of whole blocks, whose bits
-make a bucket key.  Of each connected group of equal or near lines the first occurrence stays.
+Two lines are near if their word sequences have an edit similarity of at least 0.8.  Lines with equal words are
+one class from the start.  Of each class a similarity hash is made: seven blocks, the codes of those seven of its
+pairs of neighbouring words that come first in an order common to all lines (that of a hash, but pairs of
+short words, which many lines share, come last).  Near lines agree on two of the seven blocks: for certain up
+to 14 words, as at most five may be others there, and nearly always beyond.  So each choice of two blocks is a
+bucket key: the pigeonhole principle.  What shares a bucket is verified by edit similarity, and of each
+connected group of equal or near lines the first occurrence stays.
+
+Majority bits of words in place of these blocks lose most near lines: see the README for figures.
 """
 
 from __future__ import annotations
 
 import itertools
-import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, link_buckets
+from .common import Scratch, in_blocks, link_buckets, spare
 
-#: Bits that may differ, and least edit similarity of the word sequences.
-DIFFER, SIMILARITY = 3, 0.8
+#: Least edit similarity of the word sequences.
+SIMILARITY = 0.8
 #: Lines of fewer words always stay.
-MIN_WORDS = 3
-BITS = 60
-#: MinHash keys of a line, each of two minima.  Of the n pairs of neighbours of a circle of n words, d edits
-#: leave n - 2 d or more: at similarity 0.8 a Jaccard index of 0.6 / 1.4, and 1 - (1 - 0.43 ** 2) ** 24 = 0.992.
-KEYS = 24
-#: Four counters of 15 bits in a long; words are counted in chunks that can't overflow them.
-_LANE, _LANES = 15, 4
-_ONES = sum(1 << k * _LANE for k in range(_LANES))
-_HALF = (1 << _LANE - 1) - 1
-_CHUNK = _HALF
-#: Lines that may be looked up by a broadcast of their places, some 50 bytes each; more are joined.
-BROADCAST_LINES = 400_000
-#: Code points that stand for words in edit distances: 20,000 from U+4E00.
-_FIRST_CODE, _CODES = 0x4E00, 20_000
+MIN_WORDS = 1
+#: Blocks of a similarity hash, of which near lines agree on ``AGREE``.
+BLOCKS, AGREE = 7, 2
+#: Columns that hold the blocks, and the value that stands for none.
+PACKS, NONE = (BLOCKS + 1) // 2, (1 << 31) - 1
+#: Characters of a word that counts as short.
+SHORT = 3
+#: Characters that stand for words in edit distances: this many from U+4E00, in two texts by different bits.
+_FIRST, CHARACTERS = 0x4E00, 20_000
 
 
 def words(lowered: Column) -> Column:
@@ -42,135 +39,118 @@ def words(lowered: Column) -> Column:
     return F.array_remove(F.split(lowered, r"[^\p{L}\p{N}]+"), "")
 
 
-def lines(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, pos, h1, h2, n, m, words) of every line: a digest of its words, their number, and the
-    distinct ones, so that a word that fills a line doesn't decide the line's hash alone.
+def coded(w: Column) -> Column:
+    """A number for each word: 61 bits of a hash, behind a bit that is set for short words."""
+    return F.transform(w, lambda x: F.xxhash64(x).bitwiseAND(F.lit((1 << 61) - 1)).bitwiseOR(F.when(F.length(x) <= SHORT, F.lit(1 << 61)).otherwise(F.lit(0).cast("long"))))
+
+
+def _first_pairs(c: Column) -> Column:
+    """The first distinct codes, of 31 bits, of each word with the one behind it and of the last word alone."""
+
+    def code(x: Column, y: Column) -> Column:
+        both_short = F.shiftright(x.bitwiseAND(F.coalesce(y, F.lit(0).cast("long"))), 31).cast("int").bitwiseAND(F.lit(1 << 30))
+        return F.hash(x, y).bitwiseAND(F.lit((1 << 30) - 1)).bitwiseOR(both_short)
+
+    pairs = F.sort_array(F.zip_with(c, F.slice(c, 2, F.size(c)), code))
+    return F.slice(F.array_distinct(F.slice(pairs, 1, 2 * BLOCKS)), 1, BLOCKS)
+
+
+def lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, row, pos, h1, h2, n, p0 .. p3) of every line: a digest of its words, their number, its blocks, two in each p.
 
     All is made inside the generator, once a line; columns beside it would be made again for each use.
     """
-    told = lambda w: F.struct(
-        F.xxhash64(w).alias("h1"), F.hash(w).alias("h2"), F.size(w).alias("n"), F.array_distinct(w).alias("words")
-    )
-    each = F.transform(F.transform(F.split(F.lower(text), "\n"), words), told)
-    return df.select(F.col(doc_id).alias("doc_id"), F.posexplode(each).alias("pos", "line")).select("doc_id", "pos", "line.*", F.size("line.words").alias("m"))
+    told = lambda c: F.struct(F.xxhash64(c).alias("h1"), F.hash(c).alias("h2"), F.size(c).alias("n"), F.when(F.size(c) >= 4, _first_pairs(c)).alias("first"))
+    each = F.transform(F.transform(F.split(F.lower("text"), "\n"), lambda line: coded(words(line))), told)
+    rows = docs.select("doc_id", "row", F.posexplode(each).alias("pos", "line")).select("doc_id", "row", "pos", "line.*").where(F.col("n") >= min_words)
+    return rows.select("doc_id", "row", "pos", "h1", "h2", "n", *(_packed(k).alias(f"p{k}") for k in range(PACKS)))
 
 
-def counted(each: DataFrame) -> DataFrame:
-    """(doc_id, pos, h1, h2, n, m, sim, sums): SimHashes of lines.
+def _packed(k: int) -> Column:
+    """Blocks 2 k and 2 k + 1 in a long: few columns make short code."""
+    one, two = (F.coalesce(F.get("first", F.lit(i)).cast("long"), F.lit(NONE)) for i in (2 * k, 2 * k + 1))
+    return F.shiftleft(one, 32).bitwiseOR(two)
 
-    A distinct word's hash adds to 60 counters, four in each of 15 sums; a bit is set if more than half
-    of these words have it, which one addition tells for all counters of a sum.  A line of several chunks has a
-    row for each, with its sums and no hash yet.
-    """
-    line = ["doc_id", "pos", "h1", "h2", "n", "m"]
-    told = each.select(*line, F.posexplode("words").alias("at", "word"))
-    told = told.select(*line, F.floor(F.col("at") / _CHUNK).alias("chunk"), F.xxhash64("word").alias("h"))
-    sums = [F.sum(F.shiftrightunsigned("h", j).bitwiseAND(F.lit(_ONES))).alias(f"s{j}") for j in range(_LANE)]
-    by = told.groupBy(*line, "chunk").agg(*sums)
-    all_ = F.array(*[f"s{j}" for j in range(_LANE)])
-    whole = F.col("m") <= _CHUNK
-    # Over an array: written out, the expression makes a method too long to be compiled.
-    spare = (F.lit(_HALF).cast("long") - F.col("m")) * F.lit(_ONES)
-    more = lambda s, j: F.call_function("shiftleft", F.shiftrightunsigned(s * 2 + spare, _LANE - 1).bitwiseAND(F.lit(_ONES)), j)
-    sim = F.aggregate(F.transform(all_, more), F.lit(0).cast("long"), lambda acc, bit: acc.bitwiseOR(bit))
-    out = F.struct(F.when(whole, sim).alias("sim"), F.when(~whole, all_).alias("sums"))
-    # Behind a generator, so that the aggregation itself is compiled: it can't hold functions of arrays.
-    return by.select(*line, F.explode(F.array(out)).alias("out")).select(*line, "out.*")
-
-
-def with_simhash(parts: DataFrame) -> DataFrame:
-    """(doc_id, pos, h1, h2, n, m, sim) from a table of ``counted``: chunks of long lines are put together."""
-    line = ["doc_id", "pos", "h1", "h2", "n", "m"]
-    short = parts.where("sums IS NULL").select(*line, "sim")
-    lanes = F.array(*[F.struct(F.lit(k).alias("lane"), F.shiftrightunsigned("s", k * _LANE).bitwiseAND(F.lit((1 << _LANE) - 1)).alias("c")) for k in range(_LANES)])
-    bits = parts.where("sums IS NOT NULL").select(*line, F.posexplode("sums").alias("j", "s")).select(*line, "j", F.explode(lanes).alias("x"))
-    total = bits.groupBy(*line, (F.col("j") + F.col("x.lane") * _LANE).alias("bit")).agg(F.sum("x.c").alias("c"))
-    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))
-    long_ = total.groupBy(*line).agg(F.bit_or(F.when(F.col("c") * 2 > F.col("m"), one).otherwise(F.lit(0).cast("long"))).alias("sim"))
-    return short.unionByName(long_)
-
-
-def keyed(docs: DataFrame, min_words: int) -> DataFrame:
-    """(doc_id, pos, h1, h2, n, b0, b1, keys): MinHash keys of lines, of the pairs of neighbours in a circle of
-    their words, and 128 bits of which each word sets one."""
-    pair = lambda w: F.transform(w, lambda x, i: F.xxhash64(x, F.element_at(w, (i + 1) % F.size(w) + 1)))
-    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.hash(x).bitwiseAND(F.lit(63)))
-    half = lambda x: F.hash(x).bitwiseAND(F.lit(64))
-    bits = lambda w, k: F.aggregate(w, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(F.when(half(x) == k, bit(x)).otherwise(F.lit(0).cast("long"))))
-    told = lambda w: F.struct(F.xxhash64(w).alias("h1"), F.hash(w).alias("h2"), F.size(w).alias("n"), bits(w, 0).alias("b0"), bits(w, 64).alias("b1"), pair(w).alias("pairs"))
-    each = F.transform(F.transform(F.split(F.lower("text"), "\n"), words), told)
-    line = ["doc_id", "pos", "h1", "h2", "n", "b0", "b1"]
-    rows = docs.select("doc_id", F.posexplode(each).alias("pos", "line")).select("doc_id", "pos", "line.*").where(F.col("n") >= min_words)
-    seeds = [k * 0x9E3779B97F4A7C15 % 2**63 for k in range(1, 2 * KEYS + 1)]
-    least = [F.min(F.hash(F.col("p").bitwiseXOR(F.lit(x)))).alias(f"m{k}") for k, x in enumerate(seeds)]
-    by = rows.select(*line, F.explode("pairs").alias("p")).groupBy(*line).agg(*least)
-    # Ints, for the sake of disk: another key by chance only costs a comparison.
-    keys = F.array(*[F.hash(f"m{2 * k}", f"m{2 * k + 1}") for k in range(KEYS)])
-    return by.select(*line, keys.alias("keys"))
-
-
-def block_plan(count: int, differ: int = DIFFER) -> list[list[tuple[int, int]]]:
-    """Choices of blocks (start, bits) for keys; every choice the pigeonhole principle asks for.
-
-    With ``differ + r`` blocks, near hashes agree on r of them.  r grows with the number of lines so
-    that chance brings at most 64 lines into a bucket; what is near doesn't depend on it.
-    """
-    want = math.log2(max(2, count)) - 6
-    r = 1
-    while r < 4 and BITS // (differ + r) * r < want:
-        r += 1
-    edges = [round(i * BITS / (differ + r)) for i in range(differ + r + 1)]
-    blocks = [(a, b - a) for a, b in zip(edges, edges[1:])]
-    return [list(c) for c in itertools.combinations(blocks, r)]
-
-
-def bucket_keys(sim: Column, plan: list[list[tuple[int, int]]]) -> Column:
-    """One key for each choice: its number and the bits of its blocks."""
-    keys = []
-    for k, choice in enumerate(plan):
-        key, used = F.lit(k).cast("long"), 0
-        for start, size in choice:
-            part = F.shiftrightunsigned(sim, start).bitwiseAND(F.lit((1 << size) - 1))
-            key = F.shiftleft(key, size).bitwiseOR(part)
-            used += size
-        keys.append(key)
-    return F.array(*keys)
-
-
-def _most(a: str, b: str, similarity: float) -> Column:
+
+def _block(i: int) -> Column:
+    """Block i out of its pack, null where a line has fewer."""
+    pack = F.col(f"p{i // 2}")
+    part = F.shiftright(pack, 32) if i % 2 == 0 else pack.bitwiseAND(F.lit((1 << 32) - 1))
+    return F.when(part != NONE, part)
+
+
+def bucket_keys() -> Column:
+    """A key for each choice of two blocks; a line of fewer blocks, which repeats its words, takes each alone as well."""
+    both = lambda i, j: F.shiftleft(F.col(f"c{i}"), 31).bitwiseOR(F.col(f"c{j}"))
+    some = [both(i, j) for i, j in itertools.combinations(range(BLOCKS), AGREE)]
+    few = F.col(f"c{BLOCKS - 1}").isNull() & (F.col("n") >= BLOCKS) | F.col("c3").isNull()
+    alone = [F.when(few, both(k, k)) for k in range(BLOCKS - 1)]
+    return F.array_compact(F.array(*some, *alone))
+
+
+def _most(a: Column, b: Column, similarity: float) -> Column:
     """Edits that lines of so many words may be apart."""
-    return F.floor(F.greatest(f"{a}.n", f"{b}.n") * (1 - similarity) + 1e-9)
+    return F.floor(F.greatest(a, b) * (1 - similarity) + 1e-9).cast("int")
+
+
+#: Columns by which lines are told to be far apart before their texts meet.
+TRAITS = ("n", "b0", "b1")
+
+
+def _traits(c: Column) -> Column:
+    """What the comparison of two lines needs: two texts of a character a word, from different bits of the words' numbers,
+    how many words there are, and 128 bits of which each word sets one."""
+    nought = F.lit(0).cast("long")
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
+    half = lambda k: F.aggregate(c, nought, lambda acc, x: F.when(x.bitwiseAND(F.lit(64)) == k, acc.bitwiseOR(bit(x))).otherwise(acc))
+    text = lambda by: F.decode(F.unhex(F.array_join(F.transform(c, lambda x: F.hex(F.shiftright(x, by) % CHARACTERS + _FIRST)), "")), "UTF-16BE")
+    return F.struct(F.size(c).alias("n"), half(0).alias("b0"), half(64).alias("b1"), text(8).alias("codes"), text(32).alias("more"))
+
 
+def _close(a: str, b: str, similarity: float) -> Column:
+    """Whether numbers of words, and the bits that these set, are near enough: an edit takes one word and brings another."""
+    most = _most(F.col(f"{a}n"), F.col(f"{b}n"), similarity)
+    changed = sum(F.bit_count(F.col(f"{a}{h}").bitwiseXOR(F.col(f"{b}{h}"))) for h in ("b0", "b1"))
+    return (F.abs(F.col(f"{a}n") - F.col(f"{b}n")) <= most) & (changed <= 2 * most)
 
-def _apart(a: str, b: str, similarity: float) -> Column:
-    """Whether numbers of words are near enough for the edit similarity."""
-    return F.abs(F.col(f"{a}.n") - F.col(f"{b}.n")) <= _most(a, b, similarity)
 
+def _near(a: str, b: str, similarity: float) -> Column:
+    """Whether lines are near.  Different words may share a character in one text, which can only lower a distance, but hardly in both."""
+    most = _most(F.col(f"{a}n"), F.col(f"{b}n"), similarity)
+    far = lambda c: F.call_function("levenshtein", F.col(f"{a}{c}"), F.col(f"{b}{c}"), most) >= 0
+    return far("codes") & far("more")
 
-def _near(a: str, b: str, similarity: float, by_hash: bool = True) -> Column:
-    """Whether hashes, or else the bits of words, are near, and numbers of words near enough for the edit similarity."""
-    if by_hash:
-        return (F.bit_count(F.col(f"{a}.sim").bitwiseXOR(F.col(f"{b}.sim"))) <= DIFFER) & _apart(a, b, similarity)
-    # An edit takes one word and brings another, so it changes two bits at most.
-    changed = sum(F.bit_count(F.col(f"{a}.{h}").bitwiseXOR(F.col(f"{b}.{h}"))) for h in ("b0", "b1"))
-    return _apart(a, b, similarity) & (changed <= 2 * _most(a, b, similarity))
 
+def _confirm(pairs: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of lines that are near."""
+    x, y = (known.select(F.col("rep").alias(c), *(F.col(f).alias(f"{c}_{f}") for f in ("n", "codes", "more"))) for c in ("a", "b"))
+    return pairs.join(x, "a").join(y, "b").where(_near("a_", "b_", similarity)).select("a", "b")
 
-def _codes(line_words: Column) -> Column:
-    """One character for each word: edit distances between such strings count words.
 
-    Different words share a character once in 20,000 times, which can only lower a distance.
+def _first_shared(a: str, b: str) -> Column:
+    """The key of the first two blocks that lines share, or of the only one: of all buckets where they meet, one."""
+    shared = F.array_intersect(f"{a}blocks", f"{b}blocks")
+    return F.shiftleft(F.get(shared, F.lit(0)), 31).bitwiseOR(F.coalesce(F.get(shared, F.lit(1)), F.get(shared, F.lit(0))))
+
+
+def _between(side: DataFrame, known: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) of members of one bucket that lie in different components and are near, block by block.
+
+    Members that are close to none of another component go first, so that texts come to few; and two lines
+    that meet in many buckets are compared in one.
     """
-    code = F.transform(line_words, lambda w: F.hex(F.pmod(F.xxhash64(w), F.lit(_CODES)) + _FIRST_CODE))
-    return F.decode(F.unhex(F.array_join(code, "")), "UTF-16BE")
+    cut = in_blocks(side)
 
+    def meet(rows: DataFrame, near: Column, how: str) -> DataFrame:
+        x, y = (rows.select("key", "i", "j", *(F.col(c).alias(f"{s}_{c}") for c in rows.columns if c not in ("key", "i", "j"))) for s in "xy")
+        same = (x["key"] == y["key"]) & (x["i"] == y["i"]) & (x["j"] == y["j"])
+        apart = ((x["i"] == x["j"]) | (F.col("x_own") != F.col("y_own"))) & (F.col("x_root") != F.col("y_root") if how == "left_semi" else F.col("x_root") < F.col("y_root"))
+        return x.join(y, same & apart & (near if how == "left_semi" else near & (_first_shared("x_", "y_") == x["key"]) & _near("x_", "y_", similarity)), how)
 
-def _confirm(pairs: DataFrame, codes: DataFrame, similarity: float) -> DataFrame:
-    x, y = (codes.select(F.col("rep").alias(c), F.col("codes").alias(f"codes_{c}")) for c in ("a", "b"))
-    longest = F.greatest(F.length("codes_a"), F.length("codes_b"))
-    both = pairs.join(x, "a").join(y, "b").withColumn("most", F.floor(longest * (1 - similarity) + 1e-9).cast("int"))
-    apart = F.abs(F.length("codes_a") - F.length("codes_b"))
-    return both.where((apart <= F.col("most")) & (F.expr("levenshtein(codes_a, codes_b, most)") >= 0)).select("a", "b")
+    some = scratch.keep(meet(cut, _close("x_", "y_", similarity), "left_semi"))
+    some = some.select("key", "i", "j", *(F.col(f"x_{c}").alias(c) for c in cut.columns if c not in ("key", "i", "j")))
+    both = meet(some.join(known.select("rep", "codes", "more", "blocks"), "rep"), _close("x_", "y_", similarity), "inner")
+    return both.select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct()
 
 
 def repeated_lines(
@@ -180,73 +160,63 @@ def repeated_lines(
     text: str = "text",
     similarity: float = SIMILARITY,
     min_words: int = MIN_WORDS,
-    differ: int | None = DIFFER,
     scratch: Scratch | None = None,
 ) -> DataFrame:
-    """(doc_id, pos, first_doc, first_pos) of the lines that repeat, and the occurrence that stays.
+    """(doc_id, row, pos, first_doc, first_pos) of the lines that repeat, and the occurrence that stays.
 
-    The first is the least (doc_id, line number) of the connected group.  Lines of fewer than
-    ``min_words`` words take no part, nor do null texts or rows with a null id.  Rows with equal ids
-    count as one document.  An empty table gives no rows.  ``differ`` is DIFFER, or None for edit similarity
-    alone.
+    The first is the least (doc_id, line number, row) of the connected group.  ``row`` is a digest of the
+    whole text, which tells rows apart that repeat an id; rows with equal ids and texts count as one document.
+    Lines of fewer than ``min_words`` words take no part, nor do null texts or rows with a null id.
+    Lines with equal words repeat each other; lines of four words and fewer are never near otherwise.
+    An empty table gives no rows.
     """
-    if differ not in (None, DIFFER):
-        raise ValueError(f"differ is {DIFFER} or None")
     scratch = scratch or Scratch(spark)
-    docs = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    if differ is None:
-        told = scratch.keep(keyed(docs, min_words))
-    else:
-        each = lines(docs, "doc_id", "text").where(F.col("n") >= min_words)
-        told = with_simhash(scratch.keep(counted(each)))
-    scratch.sweep()
-    spot = F.struct("doc_id", "pos")
-    same = [F.first("keys").alias("keys"), F.min("b0").alias("b0"), F.min("b1").alias("b1")] if differ is None else [F.min("sim").alias("sim")]
-    distinct = told.groupBy("h1", "h2").agg(F.min(spot).alias("first"), F.count("*").alias("n_seen"), *same, F.min("n").alias("n"))
-    distinct = scratch.keep(distinct.withColumn("rep", F.monotonically_increasing_id()))
-    scratch.sweep()
-    if differ is None:
-        trait = F.struct("n", "b0", "b1").alias("trait")
-        key = F.transform("keys", lambda h, k: k * F.lit(2**32) + h)
-    else:
-        trait = F.struct("sim", "n").alias("trait")
-        key = bucket_keys(F.col("sim"), block_plan(distinct.count()))
-    close = lambda a, b: _near(a, b, similarity, differ is not None)
-    # Keys are many: without a hash, they carry only numbers of words, and the rest comes to those that meet.
-    slim = F.struct("n").alias("trait") if differ is None else trait
-    apart = (lambda a, b: _apart(a, b, similarity)) if differ is None else close
-    keys = distinct.select("rep", slim, F.explode(key).alias("key"))
+    docs = df.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("row"), F.col(text).alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
+    told = scratch.keep(lines(docs, min_words))
+    # One number that orders occurrences, so that sums by class need no sorting.
+    place = F.shiftleft(F.col("pos").cast("long"), 31).bitwiseOR(F.col("row").bitwiseAND(F.lit((1 << 31) - 1)))
+    told = told.withColumn("place", place).withColumn("spot", (F.col("doc_id").cast("decimal(38,0)") * F.lit(1 << 62) + F.col("place")).cast("decimal(38,0)"))
+    packs = [f"p{k}" for k in range(PACKS)]
+    classes = told.groupBy("h1", "h2").agg(F.min("spot").alias("first"), F.count("*").alias("seen"), F.min_by("doc_id", "spot").alias("doc_id"), F.min_by("place", "spot").alias("place"), F.first("n").alias("n"), *[F.first(c).alias(c) for c in packs])
+    classes = scratch.keep(classes.withColumn("rep", F.monotonically_increasing_id()))
+    keys = classes.select("rep", "n", *(_block(i).alias(f"c{i}") for i in range(BLOCKS))).where("c0 IS NOT NULL").select("rep", F.explode(bucket_keys()).alias("key"))
     # The table against itself, so that one exchange serves both sides.
-    x, y = keys.alias("x"), keys.alias("y")
-    meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") != F.col("y.rep")) & apart("x.trait", "y.trait")
-    near = x.join(y, meet, "left_semi")
-    if differ is None:
-        near = scratch.keep(near.select("key", "rep"))
-        scratch.sweep()
-        near = near.join(distinct.select("rep", trait), "rep")
-    involved = scratch.keep(near.select("key", "rep", "trait"))
-    reps = involved.select("rep").distinct().join(distinct, "rep").select("rep", trait, "first.doc_id", "first.pos")
-    reps = scratch.keep(reps)
-    scratch.sweep()
-    at = reps.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "rep")).alias("at"))
-    code = lambda all_: F.transform("at", lambda a: F.struct(a["rep"].alias("rep"), _codes(words(F.element_at(all_, a["pos"] + 1))).alias("codes")))
-    bound = F.transform(F.array(F.split(F.lower("text"), "\n")), code)[0]
-    few = reps.count() <= BROADCAST_LINES
-    some = docs.join(F.broadcast(at) if few else at, "doc_id").select(F.explode(bound).alias("line")).select("line.*")
-    codes = scratch.keep(some.dropDuplicates(["rep"]))
-    scratch.sweep()
+    shared = keys.alias("x").join(keys.alias("y"), F.expr("x.key = y.key AND x.rep <> y.rep"), "left_semi")
+    members = scratch.keep(shared.select("key", "rep"))
+    # The words of these classes, from the rows that hold their first occurrence.
+    low = (1 << 31) - 1
+    where = [F.shiftright("place", 31).cast("int").alias("pos"), F.col("place").bitwiseAND(F.lit(low)).alias("low")]
+    places = members.select("rep").distinct().join(classes.select("rep", "doc_id", *where), "rep")
+    at = places.groupBy("doc_id", "low").agg(F.collect_list(F.struct("pos", "rep")).alias("at"))
+    # Rows that are equal tell the same of each class.
+    rows = docs.dropDuplicates(["doc_id", "row"]) if duplicates(docs) else docs
+    rows = rows.withColumn("low", F.col("row").bitwiseAND(F.lit(low))).join(at.hint("shuffle_hash"), ["doc_id", "low"])
+    told_of = lambda line: F.transform(F.array(coded(words(line))), _traits)[0]
+    found = lambda all_: F.transform("at", lambda a: F.struct(a["rep"].alias("rep"), told_of(F.element_at(all_, a["pos"] + 1)).alias("t")))
+    rows = rows.select(F.explode(F.transform(F.array(F.split(F.lower("text"), "\n")), found)[0]).alias("l")).select("l.rep", "l.t.*")
+    blocks = classes.select("rep", F.array_compact(F.array(*map(_block, range(BLOCKS)))).alias("blocks"))
+    known = scratch.keep(rows.join(blocks, "rep"))
+    members = scratch.keep(members.join(known.select("rep", *TRAITS), "rep"))
     roots = link_buckets(
-        involved,
-        close,
-        lambda pairs: _confirm(pairs, codes, similarity),
+        members,
+        lambda pairs: _confirm(pairs, known, similarity),
+        lambda side: _between(side, known, similarity, scratch),
         scratch,
+        traits=TRAITS,
+        close=lambda a, b: _close(a, b, similarity),
     ).withColumnRenamed("node", "rep")
     # Of each group, the least occurrence over all its lines stays.
-    grouped = scratch.keep(distinct.select("rep", "h1", "h2", "first", "n_seen").join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep")))
-    first = grouped.groupBy("root").agg(F.min("first").alias("stays"), F.sum("n_seen").alias("all")).where("all > 1").drop("all")
-    fate = grouped.join(first, "root").select("h1", "h2", "stays")
-    gone = told.join(fate, ["h1", "h2"]).where(spot != F.col("stays"))
-    return gone.select("doc_id", "pos", F.col("stays.doc_id").alias("first_doc"), F.col("stays.pos").alias("first_pos"))
+    grouped = classes.select("rep", "h1", "h2", "first", "doc_id", F.shiftright("place", 31).cast("int").alias("pos"), "seen").join(roots, "rep", "left").where("seen > 1 OR root IS NOT NULL")
+    grouped = scratch.keep(grouped.withColumn("root", F.coalesce("root", "rep")))
+    stays = grouped.groupBy("root").agg(F.min("first").alias("stays"), F.min_by("doc_id", "first").alias("first_doc"), F.min_by("pos", "first").alias("first_pos"))
+    fate = grouped.select("h1", "h2", "root").join(stays, "root").drop("root")
+    gone = told.select("doc_id", "row", "pos", "h1", "h2", "spot").join(fate, ["h1", "h2"]).where("spot <> stays")
+    return gone.select("doc_id", "row", "pos", "first_doc", "first_pos")
+
+
+def duplicates(docs: DataFrame) -> bool:
+    """Whether a row (doc_id, row) occurs twice."""
+    return bool(docs.groupBy("doc_id", "row").count().where("count > 1").limit(1).count())
 
 
 def dedup_lines(
@@ -256,19 +226,20 @@ def dedup_lines(
 
     Options are those of ``repeated_lines``.  A row with a null text or id comes back as it is, with 0
     removed; n_lines of a null text is 0.  ``into`` names the two counts; columns of these names are
-    replaced.
+    replaced.  Of rows that repeat an id each loses its own lines; equal rows are cut alike.
     """
+    id_, row, gone_ = (spare(f"▁{c}", df.columns) for c in ("id", "row", "gone"))
     gone = repeated_lines(df, spark, doc_id, text, **options)
-    gone = gone.groupBy(F.col("doc_id").alias("▁id")).agg(F.collect_set("pos").alias("▁gone"))
+    gone = gone.groupBy(F.col("doc_id").alias(id_), F.col("row").alias(row)).agg(F.collect_set("pos").alias(gone_))
     # A lambda binds the split text: as an expression it would be split anew for every line.
-    stay = lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("▁gone"))
+    stay = lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone_))
     rest = lambda lines: F.array_join(F.transform(stay(lines), lambda i: F.element_at(lines, i + 1)), "\n")
     kept = F.transform(F.array(F.split(text, "\n")), rest)[0]
-    has = F.col("▁gone").isNotNull()
-    out = df.join(gone, F.col(doc_id) == F.col("▁id"), "left")
+    has = F.col(gone_).isNotNull()
+    out = df.join(gone.hint("shuffle_hash"), (F.col(doc_id) == F.col(id_)) & (F.xxhash64(text) == F.col(row)), "left")
     counts = {
         into[0]: F.when(F.col(text).isNull(), 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long"),
-        into[1]: F.when(has, F.size("▁gone")).otherwise(0).cast("long"),
+        into[1]: F.when(has, F.size(gone_)).otherwise(0).cast("long"),
         text: F.when(has, kept).otherwise(F.col(text)),
     }
-    return out.withColumns(counts).drop("▁id", "▁gone")
+    return out.withColumns(counts).drop(id_, row, gone_)

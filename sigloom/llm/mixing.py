@@ -7,18 +7,20 @@ calibrated weight over the cell's tokens, scaled to the wanted number of tokens.
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, spare
 
 AXES = ("source", "lang", "topic")
 #: Targets, unless given: shares of tokens to these powers, so that small groups gain.
 POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.8}
 #: Share of all tokens to draw.
 SHARE = 0.6
-ROUNDS, TOLERANCE = 40, 1e-9
+ROUNDS, TOLERANCE = 200, 1e-9
 #: Up to so many cells the driver rakes their sums itself; more are raked where they lie, by the same steps.
 DRIVER_CELLS = 50_000
 
@@ -65,9 +67,19 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], scratch: Scratch, roun
         now._scratch = after._scratch
         if most is None or most < tolerance:
             break
+    off = 0.0
+    for axis, target in targets.items():
+        got = now.groupBy(axis).agg(F.sum("weight").alias("got")).join(target, axis, "full_outer")
+        off = max(off, got.agg(F.max(F.abs(F.coalesce("got", F.lit(0.0)) - F.coalesce("target", F.lit(0.0)))).alias("m")).first()["m"] or 0.0)
+    _told(off)
     return now
 
 
+def _told(off: float) -> None:
+    if off > 1e-6:
+        warnings.warn(f"the cells can't meet the targets: some group's share is off by {off:.2g}", stacklevel=3)
+
+
 def probabilities(cells: DataFrame, wanted: float) -> DataFrame:
     """The cells with ``p``: min(1, scale * weight / tokens), the scale such that ``wanted`` tokens are drawn.
 
@@ -113,6 +125,7 @@ def solve(rows: list, targets: dict[str, dict[str, float]], powers: dict[str, fl
             weight = weight * np.divide(goal, got, out=np.zeros_like(goal), where=got > 0)[code]
         if np.abs(weight - was).max() < TOLERANCE:
             break
+    _told(max((float(np.abs(np.bincount(code, weight, len(goal)) - goal).max()) for code, goal in axes if len(rows)), default=0.0))
     scale = wanted
     while True:
         full = tokens <= weight * scale
@@ -143,33 +156,36 @@ def mix(
     share: float = SHARE,
     salt: str = "mix",
     scratch: Scratch | None = None,
+    into: tuple[str, str, str] = ("▁tokens", "▁p", "▁drawn"),
 ) -> DataFrame:
-    """The table with ``▁tokens``, ``▁p`` and ``▁drawn``: words, sampling probability and its outcome.
+    """The table with words, sampling probability and its outcome, named by ``into``; columns of these names are replaced.
 
     ``targets`` gives shares by axis and group (scaled to sum 1); axes without any get tempered shares.
     Groups that are null are a group of their own, named ''.  A document without words has probability
     0.  The draw depends on the id alone (null: as the text ''), so repeated rows share their fate.
-    An empty table gives no rows.
+    An empty table gives no rows.  Targets that the cells can't meet are met as far as they can be, with
+    a warning.
     """
     scratch = scratch or Scratch(spark)
+    tokens, p_, drawn_ = into
+    axis = {a: spare(f"▁{a}", [*df.columns, *into]) for a in AXES}
     group = {
         "source": F.col("source") if source is None else source,
         "lang": F.col("lang") if lang is None else lang,
         "topic": topic(F.col(text)) if topics is None else topics,
     }
-    marked = df.withColumns({f"▁{a}": F.coalesce(c.cast("string"), F.lit("")) for a, c in group.items()} | {"▁tokens": n_words(F.col(text))})
-    cells = marked.groupBy(*(F.col(f"▁{a}").alias(a) for a in AXES)).agg(F.sum("▁tokens").alias("tokens"))
+    marked = df.withColumns({axis[a]: F.coalesce(c.cast("string"), F.lit("")) for a, c in group.items()} | {tokens: n_words(F.col(text))})
+    cells = marked.groupBy(*(F.col(axis[a]).alias(a) for a in AXES)).agg(F.sum(tokens).alias("tokens"))
     cells = scratch.keep(cells)
     few = cells.limit(DRIVER_CELLS + 1).collect()
     if len(few) <= DRIVER_CELLS:
-        names = ", ".join(f"`▁{a}` string" for a in AXES)
-        drawn = spark.createDataFrame(solve(few, targets or {}, powers, share), f"{names}, `▁p` double")
+        calibrated = spark.createDataFrame(solve(few, targets or {}, powers, share), ", ".join(f"{a} string" for a in AXES) + ", p double")
     else:
-        drawn = scratch.keep(_solve_distributed(cells, spark, targets or {}, powers, share, scratch))
-    out = marked.join(drawn, [f"▁{a}" for a in AXES], "left")
-    p = F.when(F.col("▁tokens") > 0, F.coalesce("▁p", F.lit(0.0))).otherwise(0.0)
-    out = out.withColumn("▁p", p)
-    return out.withColumn("▁drawn", F.coalesce(draw(doc_id, salt), draw_of_null(salt)) < F.col("▁p")).drop(*(f"▁{a}" for a in AXES))
+        calibrated = scratch.keep(_solve_distributed(cells, spark, targets or {}, powers, share, scratch))
+    out = marked.drop(p_).join(calibrated.select(*(F.col(a).alias(axis[a]) for a in AXES), F.col("p").alias(p_)), list(axis.values()), "left")
+    p = F.when(F.col(tokens) > 0, F.coalesce(p_, F.lit(0.0))).otherwise(0.0)
+    out = out.withColumn(p_, p)
+    return out.withColumn(drawn_, F.coalesce(draw(doc_id, salt), draw_of_null(salt)) < F.col(p_)).drop(*axis.values())
 
 
 def _solve_distributed(cells: DataFrame, spark: SparkSession, targets: dict[str, dict[str, float]], powers: dict[str, float], share: float, scratch: Scratch) -> DataFrame:
@@ -182,7 +198,7 @@ def _solve_distributed(cells: DataFrame, spark: SparkSession, targets: dict[str,
             goals[axis] = scratch.keep(tempered(cells, axis, powers[axis]))
     raked = rake(cells, goals, scratch)
     wanted = share * (cells.agg(F.sum("tokens").alias("t")).first()["t"] or 0)
-    return probabilities(raked.where("weight > 0"), wanted).select(*(F.col(a).alias(f"▁{a}") for a in AXES), F.col("p").alias("▁p"))
+    return probabilities(raked.where("weight > 0"), wanted).select(*AXES, "p")
 
 
 def draw_of_null(salt: str) -> Column:

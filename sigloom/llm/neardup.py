@@ -85,7 +85,7 @@ def band_keys(least: np.ndarray) -> np.ndarray:
 def packed(least: np.ndarray) -> np.ndarray:
     """Low bits of the minima, 64 // BITS of them in each word."""
     per = 64 // BITS
-    low = (least & np.uint64((1 << BITS) - 1)).reshape(len(least), -1, per)
+    low = (least & np.uint64((1 << BITS) - 1)).reshape(len(least), BANDS * ROWS // per, per)
     return (low << (np.arange(per, dtype=np.uint64) * np.uint64(BITS))).sum(2, dtype=np.uint64)
 
 
@@ -225,12 +225,13 @@ def groups(
     n: int = WORDS,
     scratch: Scratch | None = None,
 ) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept, row) of every row.
+    """(doc_id, n_shingles, component_id, kept, row, component) of every row.
 
     Documents are linked if their sets of distinct ``n``-word shingles have a Jaccard similarity of at
     least ``similarity``; component_id is the smallest id reachable over links, kept marks that
     document.  A document without words is linked with nothing.  ``row`` is a digest of the text, null for a
-    null one: rows that repeat an id are judged each by its own text, and one id alone links nothing.
+    null one: rows that repeat an id are judged each by its own text, and one id alone links nothing; so one id
+    may lie in two components, which ``component`` tells apart.
     A row with a null id gets no component and is kept.  An empty table gives no rows.
     """
     scratch = scratch or Scratch(spark)
@@ -260,7 +261,7 @@ def groups(
     # The smallest id of each component over all its classes.
     least = classes.select("rep", "least").join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     component = least.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_class = least.join(component, "root").select("rep", "component_id")
+    of_class = least.join(component, "root").select("rep", "component_id", "root")
     out = classed.select("id", "row", "n_shingles", "rep").join(of_class, "rep", "left")
     component = F.coalesce("component_id", "id")
     return out.select(
@@ -269,6 +270,7 @@ def groups(
         component.alias("component_id"),
         F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"),
         "row",
+        F.col("root").alias("component"),
     )
 
 

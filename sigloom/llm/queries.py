@@ -29,7 +29,7 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .neardup import groups
 
-    return groups(_table(spark, sf_dir, "documents"), spark).drop("row")
+    return groups(_table(spark, sf_dir, "documents"), spark).drop("row", "component")
 
 
 def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:

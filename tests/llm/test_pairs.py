@@ -10,7 +10,7 @@ import pytest
 import regex
 import xxhash
 
-from sigloom.llm import ann, lines, neardup, passages, queries, topk
+from sigloom.llm import ann, common, lines, neardup, passages, queries, topk
 from sigloom.llm.common import Scratch, components
 
 DATA = "/root/testdata/sf0.001"
@@ -59,7 +59,7 @@ def near_texts(rng):
 
 @pytest.mark.parametrize("block", [512, 4])
 def test_near_duplicates_by_all_pairs(spark, monkeypatch, block):
-    monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(common, "BLOCK", block)
     texts = near_texts(random.Random(2))
     sets = []
     for t in texts:
@@ -129,42 +129,49 @@ def test_passages_of_odd_tables(spark):
     assert [r.n_removed for r in got] == [0, 0, 0]
 
 
-def brute_lines(texts):
-    seen = collections.OrderedDict()
-    for k, t in enumerate(texts):
-        for p, line in enumerate((t or "").split("\n") if t is not None else []):
-            w = tuple(x for x in regex.split(r"[^\p{L}\p{N}]+", line.lower()) if x)
-            if len(w) >= lines.MIN_WORDS:
-                seen.setdefault(w, []).append((k, p))
+def line_words(line):
+    return tuple(x for x in regex.split(r"[^\p{L}\p{N}]+", line.lower()) if x)
 
-    def sim(w):
-        hs = [xxhash.xxh64_intdigest(x.encode(), 42) for x in set(w)]
-        return sum(1 << j for j in range(lines.BITS) if 2 * sum(h >> j & 1 for h in hs) > len(hs))
 
-    def distance(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            last, row[0] = row[0], i
-            for j, y in enumerate(b, 1):
-                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-        return row[-1]
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
 
+
+def brute_lines(rows):
+    """Texts without repeated lines and the number of links, for (id, text) rows; edit similarity alone decides."""
+    seen = {}
+    for k, t in rows:
+        for p, line in enumerate(t.split("\n") if t is not None and k is not None else []):
+            if w := line_words(line):
+                seen.setdefault(w, set()).add((k, t, p))
     all_ = list(seen)
-    sims = [sim(w) for w in all_]
-    links = [(a, b) for b in range(len(all_)) for a in range(b) if (sims[a] ^ sims[b]).bit_count() <= 3 and distance(all_[a], all_[b]) <= int(max(len(all_[a]), len(all_[b])) * 0.2 + 1e-9)]
-    by = collections.defaultdict(list)
+    links = []
+    for j, b in enumerate(all_):
+        for i, a in enumerate(all_[:j]):
+            most = int(max(len(a), len(b)) * 0.2 + 1e-9)
+            common = sum((collections.Counter(a) & collections.Counter(b)).values())
+            if common >= max(len(a), len(b)) - most and distance(a, b) <= most:
+                links.append((i, j))
+    by = collections.defaultdict(set)
     for k, root in groups_of(links, range(len(all_))).items():
-        by[root] += seen[all_[k]]
-    gone = {x for spots in by.values() for x in sorted(spots)[1:]}
-    return [t if t is None else "\n".join(line for p, line in enumerate(t.split("\n")) if (k, p) not in gone) for k, t in enumerate(texts)], len(links)
+        by[root] |= seen[all_[k]]
+    # Rows of one id come in the order of their texts' digests.
+    order = lambda spot: (spot[0], spot[2], xxhash.xxh64_intdigest(spot[1].encode(), 42) % 2**31)
+    gone = {x for spots in by.values() for x in sorted(spots, key=order)[1:]}
+    return [t if t is None else "\n".join(line for p, line in enumerate(t.split("\n")) if (k, t, p) not in gone) for k, t in rows], len(links)
 
 
-@pytest.mark.parametrize("chunk", [lines._CHUNK, 7])
-def test_lines_by_all_pairs(spark, monkeypatch, chunk):
-    monkeypatch.setattr(lines, "_CHUNK", chunk)
+def test_lines_by_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(common, "BLOCK", 3)
     rng = random.Random(6)
     base = [[f"word{rng.randrange(300)}" for _ in range(rng.randrange(3, 60))] for _ in range(25)]
-    texts = [None, "", "\n\n", "a b", "Two Words"]
+    frame = [f"frame{k}" for k in range(8)]
+    texts = [None, "", "\n\n", "a b", "Two Words", "two  words", "one\nOne\n!"]
     for _ in range(50):
         picked = []
         for _ in range(rng.randrange(1, 6)):
@@ -172,49 +179,60 @@ def test_lines_by_all_pairs(spark, monkeypatch, chunk):
             if rng.random() < 0.5:
                 w[rng.randrange(len(w))] = "changed"
             picked.append(rng.choice([" ", ", "]).join(w).title() if rng.random() < 0.3 else " ".join(w))
+        # One frame in many lines, which are near each other or not: a bucket of several components.
+        picked.append(" ".join(frame + [f"f{rng.randrange(4)}" for _ in range(rng.randrange(2, 7))]))
         texts.append("\n".join(picked))
     texts += ["\n".join("same " * k for k in range(3, 60)), "x " * 4000 + "\n" + "x " * 4001]
-    want, links = brute_lines(texts)
-    got = {r.doc_id: r for r in lines.dedup_lines(docs(spark, texts), spark).collect()}
-    assert links > 10
-    assert [got[k].text for k in range(len(texts))] == want
-    assert got[0].n_lines == 0 and got[2].n_lines == 3 and set(got[0].asDict()) == {"doc_id", "text", "key", "rep", "root", "n_lines", "n_removed"}
+    rows = list(enumerate(texts))
+    # Rows that repeat an id: equal ones, shorter ones, and ones with the lines of others.
+    rows += [(20, texts[20]), (21, "short"), (22, "own line of this row alone\n" + texts[30]), (None, texts[40])]
+    want, links = brute_lines(rows)
+    made = docs(spark, [t for _, t in rows], [k for k, _ in rows])
+    out = lines.dedup_lines(made, spark).collect()
+    assert links > 20
+    assert sorted(((r.doc_id, r.text) for r in out), key=repr) == sorted(((k, t) for (k, _), t in zip(rows, want, strict=True)), key=repr)
+    by = {r.doc_id: r for r in out}
+    assert by[0].n_lines == 0 and by[2].n_lines == 3 and set(by[0].asDict()) == {"doc_id", "text", "key", "rep", "root", "n_lines", "n_removed"}
+
+
+def test_digests_of_the_line_query(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
+    want, links = brute_lines(rows)
+    got = {r.doc_id: (r.n_removed, r.kept_sha256) for r in queries.op1_line_dedup(spark, DATA).collect()}
+    told = {k: hashlib.sha256(w.encode()).hexdigest() for (k, _), w in zip(rows, want, strict=True)}
+    wrong = [k for k in told if told[k] != got[k][1]]
+    assert links > 20 and not wrong
 
 
 def test_lines_at_the_least_similarity_are_found(spark):
     """Recall against edit similarity alone, of pairs with as many changed words as it allows."""
     rng = random.Random(8)
-    texts = []
+    texts, sizes = [], []
     for k in range(600):
         w = [f"w{rng.randrange(3000)}" for _ in range(rng.randrange(5, 61))]
         step = len(w) / (len(w) // 5)
         texts += [" ".join(w), " ".join("changed" + str(k * 100 + i) if i in {int(j * step) + 1 for j in range(len(w) // 5)} else x for i, x in enumerate(w))]
-    got = {(r.doc_id, r.first_doc) for r in lines.repeated_lines(docs(spark, texts), spark, differ=None).collect()}
+        sizes.append(len(w))
+    got = {(r.doc_id, r.first_doc) for r in lines.repeated_lines(docs(spark, texts), spark).collect()}
     assert got <= {(k + 1, k) for k in range(0, len(texts), 2)}
     print("recall", len(got) / 600)
     assert len(got) >= 0.97 * 600
-    odd = docs(spark, [None, "", "a b", "one two three", "One, two three", "x " * 4000, "x " * 4001], [0, 1, 2, 3, None, 5, 6])
-    assert {(r.doc_id, r.n_removed) for r in lines.dedup_lines(odd, spark, differ=None).collect() if r.n_removed} == {(6, 1)}
-    assert lines.dedup_lines(docs(spark, []), spark, differ=None).count() == 0
+    assert all((2 * k + 1, 2 * k) in got for k, n in enumerate(sizes) if n <= 14)
+
+
+def test_words_that_share_a_code_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(lines, "CHARACTERS", 251)
+    texts = [" ".join(f"w{rng.randrange(400)}" if k else f"v{j}" for k in (0, 0, 0, 1, 1, 1) for j in range(5)) for rng in map(random.Random, range(40))]
+    want, links = brute_lines(list(enumerate(texts)))
+    assert not links and [r.text for r in lines.dedup_lines(docs(spark, texts), spark).orderBy("doc_id").collect()] == want
 
 
 def test_lines_of_odd_tables(spark):
     assert lines.dedup_lines(docs(spark, []), spark).count() == 0
     got = lines.dedup_lines(docs(spark, ["one two three", "one two three"], [None, 1]), spark).collect()
     assert [r.n_removed for r in got] == [0, 0]
-
-
-@pytest.mark.parametrize("count", [10, 10**4, 10**7, 10**10, 10**13])
-def test_keys_find_all_near_hashes(count):
-    plan = lines.block_plan(count)
-    rng = random.Random(count)
-    for _ in range(300):
-        a = rng.getrandbits(lines.BITS)
-        b = a
-        for _ in range(rng.randrange(4)):
-            b ^= 1 << rng.randrange(lines.BITS)
-        key = lambda x, choice: [(x >> s) & ((1 << n) - 1) for s, n in choice]
-        assert any(key(a, c) == key(b, c) for c in plan)
+    got = lines.dedup_lines(docs(spark, ["word " * 50_000, "word " * 50_001 + "\nx"]), spark).collect()
+    assert {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in got} == {0: (1, 0, "word " * 50_000), 1: (2, 1, "x")}
 
 
 def vectors(spark, rows):
