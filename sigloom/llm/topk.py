@@ -134,7 +134,8 @@ def top_k(
     Ties go to the smaller id; with fewer candidates all are returned.  Vectors that are null or
     empty or hold null or non-finite components take no part, nor do rows with a null id.  Only
     vectors of one dimension meet.  If an id repeats, the least of its vectors counts.  An empty
-    table gives no rows; other columns are ignored.
+    table gives no rows; other columns are ignored.  Products beyond 64 bits rank as the nearest 64-bit
+    number, which the score then is; components below 2**31 / scale never come near that.
     """
     scratch = Scratch(spark)
     rows, n = shards(usable(df, vec_id, embedding, nonzero=False), shard_rows)

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-SHARD = "shard long, block long, part binary"
+#: Shards whose queries make one block (a query in fifty rows), and queries that are searched at once.
+TOGETHER, AT_ONCE = 50, 512
 
 
 def usable(df: DataFrame, vec_id: str, embedding: str, nonzero: bool) -> DataFrame:
@@ -82,34 +83,37 @@ def search(
     home: bool,
     score: str,
 ) -> DataFrame:
-    """Run ``find(part, ids, matrix, bounds)`` for query blocks against shards.
+    """Run ``find(part, ids, matrix, bounds)`` for queries against shards.
 
-    A block holds the queries of one shard.  ``home`` pairs each block with its own shard only,
-    otherwise with every other shard of its dimension.  Queries come with a bound: a score that the
-    k-th result is known to reach.
+    ``home`` pairs each query with its own shard only, otherwise with every other shard of its dimension.
+    Queries come with a bound: a score that the k-th result is known to reach.  Queries of many shards make
+    one block, about as many as a shard has rows: so a shard goes to a block for each ``TOGETHER`` shards, not to
+    one for each, and what is sent is mostly queries.
     """
     n = per_dimension
-    first = F.floor(F.col("shard") / n) * n
-    every = F.sequence(first, first + n - 1)
+    blocks_of = 1 if home else -(-n // TOGETHER)
+    first = lambda c: F.floor(F.col(c) / n) * n
     if home:
         parts = index.withColumn("block", F.col("shard"))
-        blocks = queries.withColumn("block", F.col("shard"))
+        blocks = queries.withColumns({"block": F.col("shard"), "home": F.col("shard")})
     else:
-        parts = index.withColumn("block", F.explode(every)).where("block != shard")
-        blocks = queries.withColumnRenamed("shard", "block")
-        first = F.floor(F.col("block") / n) * n
-        blocks = blocks.withColumn("shard", F.explode(F.sequence(first, first + n - 1))).where("block != shard")
+        parts = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks_of - 1))))
+        blocks = queries.withColumnRenamed("shard", "home").withColumn("block", F.floor(F.pmod("home", F.lit(n)) / TOGETHER).cast("int"))
+        blocks = blocks.withColumn("shard", F.explode(F.sequence(first("home"), first("home") + n - 1))).where("home <> shard")
 
     def run(part: pa.Table, block: pa.Table) -> pa.Table:
         names = ["query_id", "vec_id", "score"]
         kind = pa.int64() if score == "long" else pa.float64()
-        if not part.num_rows or not block.num_rows:
-            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], kind)], names=names)
-        bounds = dict(zip(block.column("vec_id").to_pylist(), block.column("bound").to_pylist(), strict=True))
-        ids, m = arrays(block)
-        at = np.array([-math.inf if bounds[i] is None else bounds[i] for i in ids.tolist()], float)
-        q, v, s = find(pickle.loads(part.column("part")[0].as_py()), ids, m, at)
-        return pa.table([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s, kind)], names=names)
+        out = [pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], kind)], names=names)]
+        if part.num_rows and block.num_rows:
+            bounds = dict(zip(block.column("vec_id").to_pylist(), block.column("bound").to_pylist(), strict=True))
+            ids, m = arrays(block)
+            at = np.array([-math.inf if bounds[i] is None else bounds[i] for i in ids.tolist()], float)
+            made = pickle.loads(part.column("part")[0].as_py())
+            for a in range(0, len(ids), AT_ONCE):
+                q, v, s = find(made, ids[a : a + AT_ONCE], m[a : a + AT_ONCE], at[a : a + AT_ONCE])
+                out.append(pa.table([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s, kind)], names=names))
+        return pa.concat_tables(out)
 
     both = parts.groupBy("shard", "block").cogroup(blocks.groupBy("shard", "block"))
     return both.applyInArrow(run, f"query_id long, vec_id long, score {score}")
