@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..scratch import keep
-from .ordered import with_rank
+from .ordered import with_rank, with_running
 
 
 class Violation(Exception):
@@ -20,6 +20,15 @@ def expect_empty(df: DataFrame, reason: str, show: int = 3) -> None:
         raise Violation(f"{reason}: {[r.asDict() for r in found]}")
 
 
+def gates(tables: dict[str, DataFrame]) -> DataFrame:
+    """(gate, violations, status) of tables that have to be empty, each counted where it lies."""
+    told = None
+    for name, df in tables.items():
+        one = df.agg(F.lit(name).alias("gate"), F.count("*").alias("violations"))
+        told = one if told is None else told.unionByName(one)
+    return told.withColumn("status", F.when(F.col("violations") == 0, "PASS").otherwise("FAIL"))
+
+
 def expect_equal(a: DataFrame, b: DataFrame, reason: str) -> None:
     """Same rows, as often, in any order: how stored artifacts are verified against recomputation."""
     expect_empty(a.exceptAll(b), f"{reason}, missing")
@@ -152,8 +161,9 @@ def shard_plan(df: DataFrame, order: str, size: int) -> DataFrame:
 
 def gaps(ranges: DataFrame) -> DataFrame:
     """(end, next): places where merged shard ranges [start, end) leave a gap or overlap."""
-    after = F.lead("start").over(Window.orderBy("start"))
-    return ranges.select("end", after.alias("next")).where("next IS NOT NULL AND next <> end")
+    # The furthest start before, in the order from the last range to the first, is the next one's.
+    told = with_running(ranges.select("start", "end"), (), [F.desc("start")], {}, {"next": -F.col("start")})
+    return told.select("end", (-F.col("next")).alias("next")).where("next IS NOT NULL AND next <> end")
 
 
 def size_rule(n: Column) -> Column:

@@ -136,6 +136,12 @@ def signal_windows(df: DataFrame, spark: SparkSession, signal: Signal, tokens: s
     ).withColumn("valid", F.col("context_ok") & F.col("eos_ok"))
 
 
+def observations(windows: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """(doc, pos, gram, eligible, occurrence): every window as an observation with a digest of its own, by document, place and tokens."""
+    told = F.concat_ws("|", F.col(doc).cast("string"), F.col("pos").cast("string"), F.array_join(F.col("gram").cast("array<string>"), ","))
+    return windows.select(doc, "pos", "gram", F.col("valid").alias("eligible"), F.sha2(told, 256).alias("occurrence"))
+
+
 def exact_context_repeats(df: DataFrame, n: int, history: int, tokens: str = "tokens", doc: str = "doc_id") -> DataFrame:
     """(doc, pos, repeated): whether the very context tokens occur among the ``history`` windows before."""
     cut = explode_windows(df, n, tokens, keep=(doc,)).withColumn("context", F.slice("gram", 1, n - 1))

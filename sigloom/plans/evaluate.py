@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators.ordered import with_rank, with_running
+from .calibrate import with_interval
 
 
 def auc(df: DataFrame, keys: Sequence[str], score: str, positive: str) -> DataFrame:
@@ -174,6 +175,30 @@ def transitions(df: DataFrame, keys: Sequence[str], before: str, after: str) ->
     return df.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(a & b).alias("both"), F.count_if(a & ~b).alias("lost"), F.count_if(~a & b).alias("gained"), F.count_if(~a & ~b).alias("neither"))
 
 
+def control(df: DataFrame, keys: Sequence[str], before: str, after: str, score_before: str, score_after: str, excluded: Column) -> DataFrame:
+    """(keys, n, excluded, false_to_true, rate, ci_low, ci_high, mean_shift, median_shift) of controls, which should not change.
+
+    Excluded rows are counted, and take no further part.
+    """
+    out = F.coalesce(excluded, F.lit(False))
+    inside = lambda c: F.when(~out, c)
+    shift = inside(F.col(score_after) - F.col(score_before))
+    by = df.groupBy(*keys).agg(
+        F.count_if(~out).alias("n"), F.count_if(out).alias("excluded"), F.count_if(~out & ~F.col(before) & F.col(after)).alias("false_to_true"),
+        F.avg(shift).alias("mean_shift"), F.median(shift).alias("median_shift"),
+    )
+    return with_interval(by.withColumn("rate", F.col("false_to_true") / F.col("n")), "false_to_true", "n")
+
+
+def detectability(df: DataFrame, keys: Sequence[str], score: str, positive: str, rates: Sequence[float], floor: float = 0.8) -> DataFrame:
+    """(keys, target, threshold, auc, n, detected, rate, ci_low, ci_high, status): thresholds from the negatives, held against the positives."""
+    from .calibrate import baseline, thresholds
+
+    cut = thresholds(df.where(~F.col(positive)), keys, score, rates).select(*keys, "target", "threshold")
+    told = df.where(positive).join(cut, [*keys]).withColumn("positive", F.col(score) > F.col("threshold"))
+    return baseline(told, keys, floor).join(cut, [*keys, "target"]).join(auc(df, keys, score, positive).select(*keys, "auc"), [*keys])
+
+
 def quartiles(df: DataFrame, label: str, order: Sequence[str], name: str = "quartile") -> DataFrame:
     """The rows with min(3, 4 * index // count) by label: remainders lie differently than in ntile(4)."""
     ranked = with_rank(df, (label,), order, "index_")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import arrow_udf
 
 from .calibrate import with_interval
 
@@ -63,6 +67,20 @@ def differential(df: DataFrame, pair: str, tokenizer: str, distance: str, count_
     )
 
 
+@arrow_udf(T.BooleanType())
+def _normal(text: pa.Array) -> pa.Array:
+    return pa.array([t is None or unicodedata.is_normalized("NFC", t) for t in text.to_pylist()], pa.bool_())
+
+
+def representation_reasons(before: Column, after: Column) -> Column:
+    """Why a pair of texts can't tell how tokenizers differ: not in composed form, or other invisible or combining characters."""
+    marks = lambda c: F.array_sort(F.regexp_extract_all(c, F.lit("([\\p{Cf}\\p{Co}\\p{Mn}\\p{Me}])"), 1))
+    return F.array_compact(F.array(
+        F.when(~(_normal(before) & _normal(after)), F.lit("NOT_NFC")),
+        F.when(marks(before) != marks(after), F.lit("MARKS_CHANGED")),
+    ))
+
+
 def replication(a: DataFrame, b: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """(keys, first, second, delta, problem): cells of two runs side by side."""
     one = a.select(*keys, F.col(value).alias("first"), F.lit(True).alias("in_a"))

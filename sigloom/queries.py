@@ -1287,6 +1287,90 @@ def transfer_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(reports.transfer_spread(li, "a", "b"), 9, "mad_a", "mad_b", "mad_difference")
 
 
+@query(f"""WITH {_hashed(SIGNAL.start)}, o AS (SELECT m.doc_id, valid, sha256(concat_ws('|', m.doc_id, m.pos, array_to_string(gram, ','))) AS h FROM masked m JOIN win ON win.doc_id = m.doc_id AND win.pos = m.pos)
+SELECT doc_id, count(*) AS n, count(*) FILTER (valid) AS eligible, min(h) AS first_occurrence, max(h) AS last_occurrence FROM o GROUP BY doc_id""")
+def root_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = windows.observations(windows.signal_windows(tokenized(spark, sf_dir), spark, SIGNAL))
+    return o.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if("eligible").alias("eligible"), F.min("occurrence").alias("first_occurrence"), F.max("occurrence").alias("last_occurrence"))
+
+
+@query("SELECT doc_id, true AS same FROM documents")
+def retokenised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a text's words, put together again, give the tokens of the text."""
+    from .functions.text import words
+
+    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(words(F.col("text")))).alias("w"))
+    direct = tokenized(spark, sf_dir)
+    again = d.select("doc_id", tokens(F.array_join("w", " ")).alias("again"))
+    return direct.join(again, "doc_id").select("doc_id", (F.col("tokens") == F.col("again")).alias("same"))
+
+
+@query("""SELECT lang, source, CAST('0x' || right(sha256('{"master_seed":42,"parts":["condition","' || lang || '","' || source || '"]}'), 16) AS HUGEINT)::VARCHAR AS seed FROM documents GROUP BY ALL""")
+def condition_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("lang", "source").distinct()
+    return d.select("lang", "source", seed64(seed_payload(42, F.lit("condition"), F.col("lang"), F.col("source"))).cast("string").alias("seed"))
+
+
+@query("""WITH r AS (SELECT p_partkey * 10 AS s, p_partkey * 10 + CASE WHEN p_partkey % 7 = 0 THEN 9 WHEN p_partkey % 11 = 0 THEN 12 ELSE 10 END AS e FROM part), n AS (SELECT e AS "end", lead(s) OVER (ORDER BY s) AS next FROM r)
+SELECT "end", next FROM n WHERE next IS NOT NULL AND next <> "end" """)
+def shard_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as ranges of ten, some of them short or long by a few."""
+    size = F.when(F.col("p_partkey") % 7 == 0, 9).when(F.col("p_partkey") % 11 == 0, 12).otherwise(10)
+    return corpus.gaps(table(spark, sf_dir, "part").select((F.col("p_partkey") * 10).alias("start"), (F.col("p_partkey") * 10 + size).alias("end")))
+
+
+@query("""SELECT * FROM (SELECT 'ids' AS gate, (SELECT count(*) FROM (SELECT doc_id FROM documents GROUP BY 1 HAVING count(*) > 1)) AS violations UNION ALL SELECT 'labels', (SELECT count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents))
+UNION ALL SELECT 'texts', (SELECT count(*) FROM (SELECT sha256(text) FROM documents GROUP BY 1 HAVING count(*) > 1))), (SELECT 1) x(one)""".replace("SELECT * FROM (", "SELECT gate, violations, CASE WHEN violations = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM (", 1))
+def gate_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return corpus.gates({
+        "ids": corpus.duplicates(d, "doc_id"), "labels": corpus.dangling(labels, d, "doc_id"),
+        "texts": corpus.duplicates(d.select(sha256(F.col("text")).alias("h")), "h"),
+    })
+
+
+@query(f"""WITH RECURSIVE c AS (SELECT l_linestatus, l_quantity > 25 AS b, l_quantity + l_discount * 20 > 25 AS a, l_discount * 20 AS shift, l_tax > 0.07 AS x FROM lineitem),
+g AS (SELECT l_linestatus, count(*) FILTER (NOT x) AS n, count(*) FILTER (x) AS excluded, count(*) FILTER (NOT x AND NOT b AND a) AS false_to_true, avg(shift) FILTER (NOT x) AS m, median(shift) FILTER (NOT x) AS d FROM c GROUP BY 1), {_intervals('g', 'false_to_true', 'n')}
+SELECT l_linestatus, g.n, excluded, false_to_true, round(false_to_true / g.n, 9) AS rate, ci_low, ci_high, round(m, 6) AS mean_shift, round(d, 6) AS median_shift FROM g JOIN ci ON ci.k = false_to_true AND ci.n = g.n""")
+def negative_control(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantities as scores, moved up a little; high taxes are excluded."""
+    after = F.col("l_quantity") + F.col("l_discount") * 20
+    li = table(spark, sf_dir, "lineitem").select("l_linestatus", F.col("l_quantity").alias("s0"), after.alias("s1"), (F.col("l_quantity") > 25).alias("b"), (after > 25).alias("a"), (F.col("l_tax") > 0.07).alias("x"))
+    told = evaluate.control(li, ("l_linestatus",), "b", "a", "s0", "s1", F.col("x"))
+    return rounded(rounded(told, 6, "ci_low", "ci_high", "mean_shift", "median_shift"), 9, "rate")
+
+
+@query(_THRESHOLDS.replace("WITH", "WITH RECURSIVE", 1) + f""", p AS (SELECT l.l_linestatus, target, threshold, count(*) AS n, count(*) FILTER (l_extendedprice > threshold) AS detected FROM lineitem l JOIN t USING (l_linestatus) WHERE l_returnflag = 'R' GROUP BY ALL), {_intervals('p', 'detected', 'n')},
+v2 AS (SELECT l_linestatus, l_extendedprice AS x, count(*) FILTER (l_returnflag = 'R') AS p, count(*) FILTER (l_returnflag <> 'R') AS q FROM lineitem GROUP BY ALL),
+w AS (SELECT *, coalesce(sum(q) OVER (PARTITION BY l_linestatus ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM v2), u AS (SELECT l_linestatus, sum(p * (below + q / 2)) / nullif(sum(p) * sum(q), 0) AS auc FROM w GROUP BY 1)
+SELECT p.l_linestatus, target, p.n, detected, round(detected / p.n, 9) AS rate, ci_low, ci_high, CASE WHEN detected / p.n >= 0.8 THEN 'PASS' ELSE 'FAIL' END AS status, threshold, round(auc, 9) AS auc FROM p JOIN ci ON ci.k = detected AND ci.n = p.n JOIN u USING (l_linestatus)""")
+def pristine_detectability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem").select("l_linestatus", "l_extendedprice", (F.col("l_returnflag") == "R").alias("pos"))
+    told = evaluate.detectability(li, ("l_linestatus",), "l_extendedprice", "pos", _RATES)
+    return rounded(rounded(told, 6, "ci_low", "ci_high"), 9, "rate", "auc")
+
+
+@query(r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS a, replace(coalesce(text, ''), 'é', 'e' || chr(769)) AS b FROM documents)
+SELECT doc_id, concat_ws(',', CASE WHEN a <> nfc_normalize(a) OR b <> nfc_normalize(b) THEN 'NOT_NFC' END,
+CASE WHEN list_sort(regexp_extract_all(a, '[\p{Cf}\p{Co}\p{Mn}\p{Me}]')) <> list_sort(regexp_extract_all(b, '[\p{Cf}\p{Co}\p{Mn}\p{Me}]')) THEN 'MARKS_CHANGED' END) AS reasons FROM d""")
+def representation_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents against themselves with one accent taken apart."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("a"), F.replace(F.coalesce("text", F.lit("")), F.lit("é"), F.lit("e\u0301")).alias("b"))
+    return d.select("doc_id", F.concat_ws(",", reports.representation_reasons(F.col("a"), F.col("b"))).alias("reasons"))
+
+
+@query("""WITH e AS (SELECT CASE WHEN event_id % 5 = 1 THEN '{"b":1,"a":2}' WHEN event_id % 5 = 2 THEN '{"a":1,"a":2}' WHEN event_id % 5 = 3 THEN 'nope' WHEN event_id % 5 = 4 THEN '{"a":1}' ELSE '{"a":' || event_id || ',"b":"x"}' END AS raw FROM events)
+SELECT CASE WHEN raw = 'nope' THEN 'NOT_JSON' WHEN raw = '{"a":1}' THEN 'FIELDS_DIFFER' WHEN raw = '{"a":1,"a":2}' THEN 'DUPLICATE_KEY' WHEN raw = '{"b":1,"a":2}' THEN 'NOT_CANONICAL' END AS problem, count(*) AS n FROM e GROUP BY 1""")
+def json_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events written as JSON, four fifths of them wrong in some way."""
+    from .sources import files
+
+    kinds = F.col("event_id") % 5
+    raw = F.when(kinds == 1, '{"b":1,"a":2}').when(kinds == 2, '{"a":1,"a":2}').when(kinds == 3, "nope").when(kinds == 4, '{"a":1}').otherwise(F.concat(F.lit('{"a":'), F.col("event_id").cast("string"), F.lit(',"b":"x"}')))
+    told = files.checked_json(table(spark, sf_dir, "events").select(raw.alias("raw")), "raw", ["a", "b"], must_be_canonical=True)
+    return told.groupBy("problem").agg(F.count("*").alias("n"))
+
+
 # --- events ------------------------------------------------------------------------------------------
 
 

@@ -75,16 +75,20 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType, max_bytes: i
 
     Duplicate keys, missing or extra fields, size and, on demand, canonical form are checked by line.
     """
-    fields = schema.fieldNames()
+    lines = spark.read.text(path).select(F.col("value").alias("raw"))
+    checked = checked_json(lines, "raw", schema.fieldNames(), max_bytes, must_be_canonical)
+    return checked.withColumn("row", F.when(F.col("problem").isNull(), F.from_json("raw", schema, {"mode": "FAILFAST"})))
+
+
+def checked_json(df: DataFrame, column: str, fields: list[str] | None, max_bytes: int = 1 << 24, must_be_canonical: bool = False) -> DataFrame:
+    """(raw, problem) of a column of JSON objects: null where nothing is wrong; a null text is NOT_JSON."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            told = [check_json(x, fields, max_bytes, must_be_canonical) for x in b.column(0).to_pylist()]
+            told = ["NOT_JSON" if x is None else check_json(x, fields, max_bytes, must_be_canonical) for x in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(told, pa.string())], names=["raw", "problem"])
 
-    lines = spark.read.text(path).select(F.col("value").alias("raw"))
-    checked = lines.mapInArrow(run, "raw string, problem string")
-    return checked.withColumn("row", F.when(F.col("problem").isNull(), F.from_json("raw", schema, {"mode": "FAILFAST"})))
+    return df.select(F.col(column).alias("raw")).mapInArrow(run, "raw string, problem string")
 
 
 def write_csv(df: DataFrame, path: str) -> None:
