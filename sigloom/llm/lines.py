@@ -133,23 +133,24 @@ def _first_shared(a: str, b: str) -> Column:
     return F.shiftleft(F.get(shared, F.lit(0)), 31).bitwiseOR(F.coalesce(F.get(shared, F.lit(1)), F.get(shared, F.lit(0))))
 
 
-def _between(side: DataFrame, known: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+def _between(side: DataFrame, known: DataFrame, blocks: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) of members of one bucket that lie in different components and are near, block by block.
 
-    Members that are close to none of another component go first, so that texts come to few; and two lines
-    that meet in many buckets are compared in one.
+    Two lines that meet in many buckets are compared in one.  Members that are close to none of another
+    component go first, so that texts come to few.
     """
-    cut = in_blocks(side)
+    cut = in_blocks(side.join(blocks, "rep"))
 
-    def meet(rows: DataFrame, near: Column, how: str) -> DataFrame:
+    def meet(rows: DataFrame, how: str) -> DataFrame:
         x, y = (rows.select("key", "i", "j", *(F.col(c).alias(f"{s}_{c}") for c in rows.columns if c not in ("key", "i", "j"))) for s in "xy")
         same = (x["key"] == y["key"]) & (x["i"] == y["i"]) & (x["j"] == y["j"])
         apart = ((x["i"] == x["j"]) | (F.col("x_own") != F.col("y_own"))) & (F.col("x_root") != F.col("y_root") if how == "left_semi" else F.col("x_root") < F.col("y_root"))
-        return x.join(y, same & apart & (near if how == "left_semi" else near & (_first_shared("x_", "y_") == x["key"]) & _near("x_", "y_", similarity)), how)
+        near = _close("x_", "y_", similarity) & (_first_shared("x_", "y_") == x["key"])
+        return x.join(y, same & apart & (near if how == "left_semi" else near & _near("x_", "y_", similarity)), how)
 
-    some = scratch.keep(meet(cut, _close("x_", "y_", similarity), "left_semi"))
+    some = scratch.keep(meet(cut, "left_semi"))
     some = some.select("key", "i", "j", *(F.col(f"x_{c}").alias(c) for c in cut.columns if c not in ("key", "i", "j")))
-    both = meet(some.join(known.select("rep", "codes", "more", "blocks"), "rep"), _close("x_", "y_", similarity), "inner")
+    both = meet(some.join(known.select("rep", "codes", "more"), "rep"), "inner")
     return both.select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct()
 
 
@@ -195,12 +196,12 @@ def repeated_lines(
     found = lambda all_: F.transform("at", lambda a: F.struct(a["rep"].alias("rep"), told_of(F.element_at(all_, a["pos"] + 1)).alias("t")))
     rows = rows.select(F.explode(F.transform(F.array(F.split(F.lower("text"), "\n")), found)[0]).alias("l")).select("l.rep", "l.t.*")
     blocks = classes.select("rep", F.array_compact(F.array(*map(_block, range(BLOCKS)))).alias("blocks"))
-    known = scratch.keep(rows.join(blocks, "rep"))
+    known = scratch.keep(rows)
     members = scratch.keep(members.join(known.select("rep", *TRAITS), "rep"))
     roots = link_buckets(
         members,
         lambda pairs: _confirm(pairs, known, similarity),
-        lambda side: _between(side, known, similarity, scratch),
+        lambda side: _between(side, known, blocks, similarity, scratch),
         scratch,
         traits=TRAITS,
         close=lambda a, b: _close(a, b, similarity),
