@@ -239,7 +239,8 @@ def ambiguous(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Which tokens of the first text some best alignment matches, and another one doesn't or matches elsewhere.
 
     A cell lies on a best path if its costs from the beginning and from the end add up to the distance;
-    only diagonals that the distance reaches can hold one.
+    only diagonals that the distance reaches can hold one.  Memory grows with the square of the distance (8
+    bytes a cell of both tables: 200 MB at 5,000).
     """
     n, m = len(a), len(b)
     there, back = _reaches(a, b, 1 << 62), _reaches(a[::-1], b[::-1], 1 << 62)
