@@ -173,3 +173,50 @@ def test_gate_reasons_and_counterfactuals(spark):
     assert (got[1].survived, got[1].ratio) == (10, 1.0) and got[2][1:] == got[3][1:]
     assert (got[2].eligible, got[2].survived, got[2].unmapped, got[2].token_distance, got[2].char_distance) == (10, 7, 3, 1, 2)
     assert got[4].status == "NO_ELIGIBLE_OBSERVATIONS" and got[5].ambiguous == 2
+
+
+def masks(tokens, n=5, history=64):
+    """Whether each window's context tokens are new among those of the windows before."""
+    seen, out = {}, []
+    for p in range(len(tokens) - n + 1):
+        c = tuple(tokens[p : p + n - 1])
+        out.append(not (c in seen and p - seen[c] <= history))
+        seen[c] = p
+    return out
+
+
+def test_registered_pair_queries_by_full_tables(spark):
+    """Distance, ties, steps and survival of the supplied documents of up to 160 tokens, by plain Python."""
+    from sigloom import queries
+
+    data = "/root/testdata/sf0.001"
+    pairs = {r.pair: (list(r.a), list(r.b)) for r in queries._pairs(spark, data).collect() if len(r.a) <= 160}
+    aligned = {r.pair: r for r in queries.pair_alignment(spark, data).collect()}
+    lived = {r.pair: r for r in queries.observation_survival(spark, data).collect()}
+    some = 0
+    for k, (a, b) in pairs.items():
+        d, ties, ops = slow(a, b)
+        assert (aligned[k].distance, aligned[k].ties, aligned[k].steps) == (d, ties, len(ops))
+        if len(a) < 5:
+            assert k not in lived
+            continue
+        match, i, j = [None] * len(a), 0, 0
+        for op in ops:
+            if op == "M":
+                match[i] = j
+            i, j = i + (op != "I"), j + (op != "D")
+        old, new, counts = masks(a), masks(b), dict.fromkeys(("eligible", "survived", "newly_masked", "unmapped", "changed"), 0)
+        for p, ok in enumerate(old):
+            at = match[p : p + 5]
+            if not ok:
+                continue
+            counts["eligible"] += 1
+            if None in at:
+                counts["unmapped"] += 1
+            elif at != list(range(at[0], at[0] + 5)):
+                counts["changed"] += 1
+            else:
+                counts["survived" if at[0] < len(new) and new[at[0]] else "newly_masked"] += 1
+        assert {c: lived[k][c] for c in counts} == counts
+        some += d > 0
+    assert some > 20
