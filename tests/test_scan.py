@@ -88,3 +88,14 @@ def test_marked_ranges_and_identifiers(spark):
     assert [tuple(r) for r in got] == [(1, "USER_MARKED_ENTITY", 0, 4, "call"), (1, "IDENTIFIER", 5, 8, "foo"), (3, "NUMBER", 2, 3, "5"), (3, "PERCENTAGE", 2, 4, "5%")]
     kept = spans.protected(spans.raw_spans(df)).select("start", F.concat_ws("+", "kinds").alias("k")).collect()
     assert [tuple(r) for r in kept] == [(2, "NUMBER+PERCENTAGE")]
+
+
+def test_candidates_and_their_order(spark):
+    text = "The Version of VERSION 2, versioN and version at http://version.org"
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    rules = spark.createDataFrame([("v", "(?i)version"), ("n", "[0-9]")], "rule string, pattern string")
+    raw = spans.protected(spans.raw_spans(df, kinds=("URL",)))
+    told = spans.candidates(spans.rule_matches(df, rules), raw, precondition=F.col("rule") == "v").orderBy("start").collect()
+    assert [(r.value, r.reason, r.place) for r in told] == [
+        ("Version", None, 0), ("VERSION", "ALL_CAPS", None), ("2", "PRECONDITION", None), ("versioN", "UNSUPPORTED_CASE", None), ("version", None, 1), ("version", "PROTECTED_OVERLAP", None),
+    ]
