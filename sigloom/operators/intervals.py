@@ -40,7 +40,8 @@ def overlaps(a: DataFrame, b: DataFrame, keys: tuple[str, ...], width: int = BIN
     """Pairs of rows with equal keys whose intervals overlap; b's columns get the prefix ``b_``.
 
     Both sides are cut into bins, so the join is on keys and bin; a pair is told in the bin where the
-    overlap starts, that is once.
+    overlap starts, that is once.  Neither side is broadcast: the planner's sizes don't count what a
+    generator multiplies, so they are far too small for exploded tables.
     """
     bins = lambda df: F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("end") - 1) / width)))
     left = a.where("end > start")
@@ -50,7 +51,7 @@ def overlaps(a: DataFrame, b: DataFrame, keys: tuple[str, ...], width: int = BIN
     right = right.select(*keys, "bin_", *(F.col(c).alias(f"b_{c}") for c in b.columns if c not in keys))
     meet = (F.col("start") < F.col("b_end")) & (F.col("b_start") < F.col("end"))
     once = F.col("bin_") == F.floor(F.greatest("start", "b_start") / width)
-    return left.join(right, [*keys, "bin_"]).where(meet & once).drop("bin_")
+    return left.join(right.hint("merge"), [*keys, "bin_"]).where(meet & once).drop("bin_")
 
 
 def conflicts(df: DataFrame, keys: tuple[str, ...], id_: str = "id") -> DataFrame:
@@ -68,9 +69,9 @@ def covered_windows(spans: DataFrame, tokens: DataFrame, n: int, keys: tuple[str
 
 
 def eligible_coverage(coverage: DataFrame, eligible: DataFrame, keys: tuple[str, ...], id_: str = "id") -> DataFrame:
-    """Coverage without ineligible windows, merged again.  ``eligible`` has keys and pos."""
+    """Coverage without ineligible windows, merged again.  ``eligible`` has keys and pos; like in ``overlaps``, it is not broadcast."""
     each = coverage.select(*keys, id_, F.explode(F.sequence("start", F.col("end") - 1)).alias("pos"))
-    kept = each.join(eligible.select(*keys, "pos").distinct(), [*keys, "pos"], "left_semi")
+    kept = each.join(eligible.select(*keys, "pos").distinct().hint("merge"), [*keys, "pos"], "left_semi")
     return merged(kept.select(*keys, id_, F.col("pos").alias("start"), (F.col("pos") + 1).alias("end")), (*keys, id_))
 
 

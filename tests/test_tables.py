@@ -47,6 +47,17 @@ def test_span_to_window_coverage(spark):
     assert sorted((r.id, r.start, r.end) for r in intervals.eligible_coverage(cover, fit, ("doc",)).collect()) == [(0, 1, 2), (1, 7, 8)]
 
 
+def test_exploded_tables_are_not_broadcast(spark):
+    # Planned at the size of spark.range alone: without the exploded positions, which may be far beyond a driver's memory.
+    docs = spark.range(1000).withColumnRenamed("id", "doc")
+    words = docs.selectExpr("doc", "explode(sequence(0L, 99L)) AS pos").selectExpr("doc", "pos", "pos * 7 AS start", "pos * 7 + 6 AS end", "96L AS windows")
+    marks = docs.selectExpr("doc", "0 AS id", "5L AS start", "600L AS end")
+    fit = docs.selectExpr("doc", "explode(sequence(0L, 95L)) AS pos")
+    cover = intervals.covered_windows(marks, words, 5, ("doc",))
+    for df in (cover, intervals.eligible_coverage(marks, fit, ("doc",)), intervals.eligible_coverage(cover, fit, ("doc",))):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def slow_first(rows):
     a, b, out = {}, {}, {}
     for at, x, y in sorted(rows):
