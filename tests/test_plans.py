@@ -97,6 +97,34 @@ def test_holm_with_a_fixed_family(spark):
     assert got == {0.01: pytest.approx(0.05), 0.03: pytest.approx(0.12), 0.04: pytest.approx(0.12)}
 
 
+def test_sign_next_to_nought_is_free_of_the_order_of_rows(spark, tmp_path):
+    from fractions import Fraction
+
+    from sigloom import queries
+
+    rng, rows = random.Random(3), []
+    for k in range(60):
+        # Means of 0.05 but for what a double can't hold.
+        some = [rng.randrange(11) for _ in range(40 + k)]
+        cents = some + [10 - c for c in some]
+        rows += [("A" if k % 2 else "N", k, c / 100) for c in rng.sample(cents, len(cents))]
+    signs = [sum(Fraction(x) - Fraction(0.05) for _, s, x in rows if s == k) for k in range(60)]
+    want = {(f, sum(x > 0 for x in signs[i::2]), sum(x < 0 for x in signs[i::2])) for i, f in enumerate("NA")}
+    for i, some in enumerate((rows, sorted(rows, key=lambda r: r[2]), sorted(rows, key=lambda r: -r[2]))):
+        spark.createDataFrame(some, "l_returnflag string, l_suppkey long, l_discount double").coalesce(1).write.parquet(f"{tmp_path}/{i}/lineitem.parquet")
+        assert {(r.l_returnflag, r.up, r.down) for r in queries.sign_test(spark, f"{tmp_path}/{i}").collect()} == want
+
+
+def test_means_by_parts(spark):
+    rng = random.Random(4)
+    sets = [[rng.uniform(-3, 3) * 10.0 ** rng.randrange(-6, 6) for _ in range(50)] for _ in range(8)] + [[0.05], [-7.0, None], [None], [math.inf, 1.0], [math.nan], [1e300, 2.0]]
+    df = spark.createDataFrame([(k, x) for k, xs in enumerate(sets) for x in xs], "k int, x double")
+    got = {r.k: r.d for r in df.groupBy("k").agg(infer.mean_less("x", 0.05).alias("d")).collect()}
+    for k, xs in enumerate(sets[:8]):
+        assert got[k] == pytest.approx(math.fsum([*xs, *[-0.05] * 50]) / 50, rel=1e-9)
+    assert (got[8], got[9], got[10], got[11], got[13]) == (0.0, -7.05, None, math.inf, 5e299) and math.isnan(got[12])
+
+
 def test_generator_is_the_published_one():
     rng = infer.SplitMix64(0)
     assert [rng.next() for _ in range(2)] == [0xE220A8397B1DCDAF, 0x6E789E6AA1B965F4]
