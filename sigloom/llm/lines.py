@@ -32,38 +32,39 @@ PACKS, NONE = (BLOCKS + 1) // 2, (1 << 31) - 1
 SHORT = 3
 #: Characters that stand for words in edit distances: this many from U+4E00, in two texts by different bits.
 _FIRST, CHARACTERS = 0x4E00, 20_000
+#: Letters and digits of a lower-case line that is all ASCII.
+_PLAIN = "abcdefghijklmnopqrstuvwxyz0123456789"
 
 
 def words(lowered: Column) -> Column:
-    """A lower-case line's words: runs of letters and digits."""
-    return F.array_remove(F.split(lowered, r"[^\p{L}\p{N}]+"), "")
+    """A lower-case line's words: runs of letters and digits.
 
-
-def coded(w: Column) -> Column:
-    """A number for each word: 61 bits of a hash, behind a bit that is set for short words."""
-    return F.transform(w, lambda x: F.xxhash64(x).bitwiseAND(F.lit((1 << 61) - 1)).bitwiseOR(F.when(F.length(x) <= SHORT, F.lit(1 << 61)).otherwise(F.lit(0).cast("long"))))
+    A pattern is compiled for each line, and that of a plain list of characters compiles and matches fastest.
+    """
+    plain = F.octet_length(lowered) == F.length(lowered)
+    return F.array_remove(F.when(plain, F.split(lowered, f"[^{_PLAIN}]+")).otherwise(F.split(lowered, r"[^\p{L}\p{N}]+")), "")
 
 
-def _first_pairs(c: Column) -> Column:
-    """The first distinct codes, of 31 bits, of each word with the one behind it and of the last word alone."""
+def _pairs(w: Column) -> Column:
+    """Codes, of 31 bits, of each word with the one behind it and of the last word alone; those of two short words are the greatest."""
 
     def code(x: Column, y: Column) -> Column:
-        both_short = F.shiftright(x.bitwiseAND(F.coalesce(y, F.lit(0).cast("long"))), 31).cast("int").bitwiseAND(F.lit(1 << 30))
-        return F.hash(x, y).bitwiseAND(F.lit((1 << 30) - 1)).bitwiseOR(both_short)
+        both_short = (F.octet_length(x) <= SHORT) & (F.octet_length(y) <= SHORT)
+        return F.hash(x, y).bitwiseAND(F.lit((1 << 30) - 1)).bitwiseOR(F.when(both_short, F.lit(1 << 30)).otherwise(F.lit(0)))
 
-    pairs = F.sort_array(F.zip_with(c, F.slice(c, 2, F.size(c)), code))
-    return F.slice(F.array_distinct(F.slice(pairs, 1, 2 * BLOCKS)), 1, BLOCKS)
+    return F.zip_with(w, F.slice(w, 2, F.size(w)), code)
 
 
-def lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def lines(docs: DataFrame) -> DataFrame:
     """(doc_id, row, pos, h1, h2, n, p0 .. p3) of every line: a digest of its words, their number, its blocks, two in each p.
 
-    All is made inside the generator, once a line; columns beside it would be made again for each use.
+    Of the functions of arrays only the codes of pairs need a lambda, which is interpreted; the others are compiled.
     """
-    told = lambda c: F.struct(F.xxhash64(c).alias("h1"), F.hash(c).alias("h2"), F.size(c).alias("n"), F.when(F.size(c) >= 4, _first_pairs(c)).alias("first"))
-    each = F.transform(F.transform(F.split(F.lower("text"), "\n"), lambda line: coded(words(line))), told)
-    rows = docs.select("doc_id", "row", F.posexplode(each).alias("pos", "line")).select("doc_id", "row", "pos", "line.*").where(F.col("n") >= min_words)
-    return rows.select("doc_id", "row", "pos", "h1", "h2", "n", *(_packed(k).alias(f"p{k}") for k in range(PACKS)))
+    rows = docs.select("doc_id", "row", F.posexplode(F.split(F.lower("text"), "\n")).alias("pos", "line")).select("doc_id", "row", "pos", words(F.col("line")).alias("w"))
+    sorted_ = F.when(F.size("w") >= 4, F.sort_array(_pairs(F.col("w"))))
+    first = F.slice(F.array_distinct(F.slice(sorted_, 1, 2 * BLOCKS)), 1, BLOCKS)
+    told = rows.select("doc_id", "row", "pos", F.xxhash64("w").alias("h1"), F.hash("w").alias("h2"), F.size("w").alias("n"), first.alias("first"))
+    return told.select("doc_id", "row", "pos", "h1", "h2", "n", *(_packed(k).alias(f"p{k}") for k in range(PACKS)))
 
 
 def _packed(k: int) -> Column:
@@ -80,12 +81,15 @@ def _block(i: int) -> Column:
 
 
 def bucket_keys() -> Column:
-    """A key for each choice of two blocks; a line of fewer blocks, which repeats its words, takes each alone as well."""
+    """A key for each choice of two blocks; a line of fewer blocks, which repeats its words, takes each alone as well.
+
+    Keys of blocks that a line hasn't got are null.
+    """
     both = lambda i, j: F.shiftleft(F.col(f"c{i}"), 31).bitwiseOR(F.col(f"c{j}"))
     some = [both(i, j) for i, j in itertools.combinations(range(BLOCKS), AGREE)]
     few = F.col(f"c{BLOCKS - 1}").isNull() & (F.col("n") >= BLOCKS) | F.col("c3").isNull()
-    alone = [F.when(few, both(k, k)) for k in range(BLOCKS - 1)]
-    return F.array_compact(F.array(*some, *alone))
+    alone = [both(k, k) for k in range(BLOCKS - 1)]
+    return F.when(few, F.array(*some, *alone)).otherwise(F.array(*some))
 
 
 def _most(a: Column, b: Column, similarity: float) -> Column:
@@ -97,14 +101,14 @@ def _most(a: Column, b: Column, similarity: float) -> Column:
 TRAITS = ("n", "b0", "b1")
 
 
-def _traits(c: Column) -> Column:
+def _traits(c: Column) -> list[Column]:
     """What the comparison of two lines needs: two texts of a character a word, from different bits of the words' numbers,
     how many words there are, and 128 bits of which each word sets one."""
     nought = F.lit(0).cast("long")
     bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
     half = lambda k: F.aggregate(c, nought, lambda acc, x: F.when(x.bitwiseAND(F.lit(64)) == k, acc.bitwiseOR(bit(x))).otherwise(acc))
-    text = lambda by: F.decode(F.unhex(F.array_join(F.transform(c, lambda x: F.hex(F.shiftright(x, by) % CHARACTERS + _FIRST)), "")), "UTF-16BE")
-    return F.struct(F.size(c).alias("n"), half(0).alias("b0"), half(64).alias("b1"), text(8).alias("codes"), text(32).alias("more"))
+    text = lambda by: F.decode(F.unhex(F.array_join(F.transform(c, lambda x: F.hex(F.shiftrightunsigned(x, by) % CHARACTERS + _FIRST)), "")), "UTF-16BE")
+    return [F.size(c).alias("n"), half(0).alias("b0"), half(64).alias("b1"), text(8).alias("codes"), text(32).alias("more")]
 
 
 def _close(a: str, b: str, similarity: float) -> Column:
@@ -127,31 +131,30 @@ def _confirm(pairs: DataFrame, known: DataFrame, similarity: float) -> DataFrame
     return pairs.join(x, "a").join(y, "b").where(_near("a_", "b_", similarity)).select("a", "b")
 
 
-def _first_shared(a: str, b: str) -> Column:
-    """The key of the first two blocks that lines share, or of the only one: of all buckets where they meet, one."""
-    shared = F.array_intersect(f"{a}blocks", f"{b}blocks")
-    return F.shiftleft(F.get(shared, F.lit(0)), 31).bitwiseOR(F.coalesce(F.get(shared, F.lit(1)), F.get(shared, F.lit(0))))
+def shared_buckets(keys: DataFrame) -> DataFrame:
+    """The rows (key, rep) of buckets of several members; of the buckets with the same members, those of one.
+
+    Lines that share many blocks meet in many buckets, most of which hold no other lines.  Equal members
+    are told by their least, their number and the exclusive or of their hashes.  One exchange of ``keys`` serves
+    the counts as well as the rows; no bucket is gathered.
+    """
+    dealt = keys.repartition("key")
+    by = dealt.groupBy("key").agg(F.min("rep").alias("least"), F.count("*").alias("n_members"), F.bit_xor(F.xxhash64("rep")).alias("mark")).where("n_members > 1")
+    one = by.groupBy("least", "n_members", "mark").agg(F.min("key").alias("key")).select("key")
+    return dealt.join(one.hint("shuffle_hash"), "key").select("key", "rep")
 
 
-def _between(side: DataFrame, known: DataFrame, blocks: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+def _between(side: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) of members of one bucket that lie in different components and are near, block by block.
 
-    Two lines that meet in many buckets are compared in one.  Members that are close to none of another
-    component go first, so that texts come to few.
+    Pairs come by what is told without texts, each once, though it may meet in many buckets.
     """
-    cut = in_blocks(side.join(blocks, "rep"))
-
-    def meet(rows: DataFrame, how: str) -> DataFrame:
-        x, y = (rows.select("key", "i", "j", *(F.col(c).alias(f"{s}_{c}") for c in rows.columns if c not in ("key", "i", "j"))) for s in "xy")
-        same = (x["key"] == y["key"]) & (x["i"] == y["i"]) & (x["j"] == y["j"])
-        apart = ((x["i"] == x["j"]) | (F.col("x_own") != F.col("y_own"))) & (F.col("x_root") != F.col("y_root") if how == "left_semi" else F.col("x_root") < F.col("y_root"))
-        near = _close("x_", "y_", similarity) & (_first_shared("x_", "y_") == x["key"])
-        return x.join(y, same & apart & (near if how == "left_semi" else near & _near("x_", "y_", similarity)), how)
-
-    some = scratch.keep(meet(cut, "left_semi"))
-    some = some.select("key", "i", "j", *(F.col(f"x_{c}").alias(c) for c in cut.columns if c not in ("key", "i", "j")))
-    both = meet(some.join(known.select("rep", "codes", "more"), "rep"), "inner")
-    return both.select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct()
+    cut = in_blocks(side)
+    x, y = (cut.select("key", "i", "j", *(F.col(c).alias(f"{s}_{c}") for c in cut.columns if c not in ("key", "i", "j"))) for s in "xy")
+    same = (x["key"] == y["key"]) & (x["i"] == y["i"]) & (x["j"] == y["j"])
+    apart = ((x["i"] == x["j"]) | (F.col("x_own") != F.col("y_own"))) & (F.col("x_root") < F.col("y_root"))
+    met = x.join(y, same & apart & _close("x_", "y_", similarity))
+    return _confirm(met.select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct(), known, similarity)
 
 
 def repeated_lines(
@@ -173,46 +176,43 @@ def repeated_lines(
     """
     scratch = scratch or Scratch(spark)
     docs = df.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("row"), F.col(text).alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    told = scratch.keep(lines(docs, min_words))
+    every = scratch.keep(lines(docs))
     # One number that orders occurrences, so that sums by class need no sorting.
     place = F.shiftleft(F.col("pos").cast("long"), 31).bitwiseOR(F.col("row").bitwiseAND(F.lit((1 << 31) - 1)))
-    told = told.withColumn("place", place).withColumn("spot", (F.col("doc_id").cast("decimal(38,0)") * F.lit(1 << 62) + F.col("place")).cast("decimal(38,0)"))
+    told = every.where(F.col("n") >= min_words).withColumn("place", place).withColumn("spot", (F.col("doc_id").cast("decimal(38,0)") * F.lit(1 << 62) + F.col("place")).cast("decimal(38,0)"))
     packs = [f"p{k}" for k in range(PACKS)]
-    classes = told.groupBy("h1", "h2").agg(F.min("spot").alias("first"), F.count("*").alias("seen"), F.min_by("doc_id", "spot").alias("doc_id"), F.min_by("place", "spot").alias("place"), F.first("n").alias("n"), *[F.first(c).alias(c) for c in packs])
+    classes = told.groupBy("h1", "h2").agg(F.min("spot").alias("first"), F.count("*").alias("seen"), F.min_by("doc_id", "spot").alias("doc_id"), F.min_by("place", "spot").alias("place"), F.min("n").alias("n"), *[F.min(c).alias(c) for c in packs])
     classes = scratch.keep(classes.withColumn("rep", F.monotonically_increasing_id()))
     keys = classes.select("rep", "n", *(_block(i).alias(f"c{i}") for i in range(BLOCKS))).where("c0 IS NOT NULL").select("rep", F.explode(bucket_keys()).alias("key"))
-    # The table against itself, so that one exchange serves both sides.
-    shared = keys.alias("x").join(keys.alias("y"), F.expr("x.key = y.key AND x.rep <> y.rep"), "left_semi")
-    members = scratch.keep(shared.select("key", "rep"))
+    members = scratch.keep(shared_buckets(keys.where("key IS NOT NULL")))
     # The words of these classes, from the rows that hold their first occurrence.
     low = (1 << 31) - 1
     where = [F.shiftright("place", 31).cast("int").alias("pos"), F.col("place").bitwiseAND(F.lit(low)).alias("low")]
     places = members.select("rep").distinct().join(classes.select("rep", "doc_id", *where), "rep")
     at = places.groupBy("doc_id", "low").agg(F.collect_list(F.struct("pos", "rep")).alias("at"))
     # Rows that are equal tell the same of each class.
-    rows = docs.dropDuplicates(["doc_id", "row"]) if duplicates(docs) else docs
+    rows = docs.dropDuplicates(["doc_id", "row"]) if duplicates(every.where("pos = 0")) else docs
     rows = rows.withColumn("low", F.col("row").bitwiseAND(F.lit(low))).join(at.hint("shuffle_hash"), ["doc_id", "low"])
-    told_of = lambda line: F.transform(F.array(coded(words(line))), _traits)[0]
-    found = lambda all_: F.transform("at", lambda a: F.struct(a["rep"].alias("rep"), told_of(F.element_at(all_, a["pos"] + 1)).alias("t")))
-    rows = rows.select(F.explode(F.transform(F.array(F.split(F.lower("text"), "\n")), found)[0]).alias("l")).select("l.rep", "l.t.*")
-    blocks = classes.select("rep", F.array_compact(F.array(*map(_block, range(BLOCKS)))).alias("blocks"))
+    line = lambda all_: F.transform("at", lambda a: F.struct(a["rep"].alias("rep"), F.element_at(all_, a["pos"] + 1).alias("line")))
+    rows = rows.select(F.explode(F.transform(F.array(F.split(F.lower("text"), "\n")), line)[0]).alias("l")).select("l.rep", F.transform(words(F.col("l.line")), lambda x: F.xxhash64(x)).alias("c"))
+    rows = rows.select("rep", *_traits(F.col("c")))
     known = scratch.keep(rows)
     members = scratch.keep(members.join(known.select("rep", *TRAITS), "rep"))
     roots = link_buckets(
         members,
         lambda pairs: _confirm(pairs, known, similarity),
-        lambda side: _between(side, known, blocks, similarity, scratch),
+        lambda side: _between(side, known, similarity),
         scratch,
         traits=TRAITS,
         close=lambda a, b: _close(a, b, similarity),
     ).withColumnRenamed("node", "rep")
     # Of each group, the least occurrence over all its lines stays.
-    grouped = classes.select("rep", "h1", "h2", "first", "doc_id", F.shiftright("place", 31).cast("int").alias("pos"), "seen").join(roots, "rep", "left").where("seen > 1 OR root IS NOT NULL")
+    grouped = classes.select("rep", "h1", "h2", "first", "doc_id", "place", "seen").join(roots, "rep", "left").where("seen > 1 OR root IS NOT NULL")
     grouped = scratch.keep(grouped.withColumn("root", F.coalesce("root", "rep")))
-    stays = grouped.groupBy("root").agg(F.min("first").alias("stays"), F.min_by("doc_id", "first").alias("first_doc"), F.min_by("pos", "first").alias("first_pos"))
+    stays = grouped.groupBy("root").agg(F.min_by("doc_id", "first").alias("first_doc"), F.min_by("place", "first").alias("first_place"))
     fate = grouped.select("h1", "h2", "root").join(stays, "root").drop("root")
-    gone = told.select("doc_id", "row", "pos", "h1", "h2", "spot").join(fate, ["h1", "h2"]).where("spot <> stays")
-    return gone.select("doc_id", "row", "pos", "first_doc", "first_pos")
+    gone = told.select("doc_id", "row", "pos", "h1", "h2", "place").join(fate, ["h1", "h2"]).where("doc_id <> first_doc OR place <> first_place")
+    return gone.select("doc_id", "row", "pos", "first_doc", F.shiftright("first_place", 31).cast("int").alias("first_pos"))
 
 
 def duplicates(docs: DataFrame) -> bool:

@@ -220,6 +220,15 @@ def test_lines_at_the_least_similarity_are_found(spark):
     assert all((2 * k + 1, 2 * k) in got for k, n in enumerate(sizes) if n <= 14)
 
 
+def test_buckets_of_equal_members_are_one(spark):
+    """Three near lines meet in many buckets, and a fourth in some of them: each set of members comes once."""
+    keys = [(r, k) for k in range(10) for r in (1, 2, 3)] + [(r, k) for k in range(10, 15) for r in (1, 2, 3, 4)] + [(r, 100 + r) for r in range(5)]
+    got = collections.defaultdict(set)
+    for r in lines.shared_buckets(spark.createDataFrame(keys, "rep long, key long")).collect():
+        got[r.key].add(r.rep)
+    assert got == {0: {1, 2, 3}, 10: {1, 2, 3, 4}}
+
+
 def test_words_that_share_a_code_are_told_apart(spark, monkeypatch):
     monkeypatch.setattr(lines, "CHARACTERS", 251)
     texts = [" ".join(f"w{rng.randrange(400)}" if k else f"v{j}" for k in (0, 0, 0, 1, 1, 1) for j in range(5)) for rng in map(random.Random, range(40))]
