@@ -13,12 +13,14 @@ Majority bits of words in place of these blocks lose most near lines: see the RE
 
 from __future__ import annotations
 
+import functools
 import itertools
+import operator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, in_blocks, link_buckets, spare
+from .common import BLOCK, Scratch, in_blocks, link_buckets, spare
 
 #: Least edit similarity of the word sequences.
 SIMILARITY = 0.8
@@ -32,6 +34,10 @@ PACKS, NONE = (BLOCKS + 1) // 2, (1 << 31) - 1
 SHORT = 3
 #: Characters that stand for words in edit distances: this many from U+4E00, in two texts by different bits.
 _FIRST, CHARACTERS = 0x4E00, 20_000
+#: Members of a bucket up to which all are compared with each other.
+MANY = 128
+#: Longs of the bits by which lines of a larger bucket are told apart, a power of two.
+WIDE = 16
 #: Letters and digits of a lower-case line that is all ASCII.
 _PLAIN = "abcdefghijklmnopqrstuvwxyz0123456789"
 
@@ -144,17 +150,80 @@ def shared_buckets(keys: DataFrame) -> DataFrame:
     return dealt.join(one.hint("shuffle_hash"), "key").select("key", "rep")
 
 
-def _between(side: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of members of one bucket that lie in different components and are near, block by block.
+def _spread(told: DataFrame, known: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+    """The lines with ``rare``, their rarest words, and w0 .., ``WIDE`` longs of bits of which each word sets one.
 
-    Pairs come by what is told without texts, each once, though it may meet in many buckets.
+    An edit takes at most one word out of a line.  So of all words in one order, the first that two near lines
+    share stands behind at most so many others in either as edits are allowed: lines that share none of
+    that many words and one are far apart.  Ordered by how many lines have them, the words most lines share come last.
     """
-    cut = in_blocks(side)
-    x, y = (cut.select("key", "i", "j", *(F.col(c).alias(f"{s}_{c}") for c in cut.columns if c not in ("key", "i", "j"))) for s in "xy")
-    same = (x["key"] == y["key"]) & (x["i"] == y["i"]) & (x["j"] == y["j"])
-    apart = ((x["i"] == x["j"]) | (F.col("x_own") != F.col("y_own"))) & (F.col("x_root") < F.col("y_root"))
-    met = x.join(y, same & apart & _close("x_", "y_", similarity))
-    return _confirm(met.select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct(), known, similarity)
+    number = F.zip_with(F.split("codes", ""), F.split("more", ""), lambda x, y: F.xxhash64(x, y))
+    every = told.select("rep").join(known.select("rep", "codes", "more"), "rep").select("rep", F.explode(number).alias("word"))
+    # A word that a line repeats is another one each time.
+    times = F.explode(F.sequence(F.lit(1).cast("long"), F.col("count"))).alias("time")
+    again = every.groupBy("rep", "word").count().select("rep", "word", times)
+    words_ = scratch.keep(again.select("rep", F.when(F.col("time") == 1, F.col("word")).otherwise(F.xxhash64("word", "time")).alias("word")))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("word").bitwiseAND(F.lit(63)).cast("int"))
+    part = F.shiftright("word", 6).bitwiseAND(F.lit(WIDE - 1))
+    bits = [F.bit_or(F.when(part == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"w{k}") for k in range(WIDE)]
+    shared = words_.groupBy("word").agg(F.count("*").alias("seen"))
+    by = words_.join(shared, "word").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("seen", "word"))).alias("all_"), *bits)
+    rare = F.slice("all_", F.lit(1), _most(F.col("n"), F.col("n"), similarity) + 1)["word"].alias("rare")
+    out = scratch.keep(told.join(by, "rep").select(*told.columns, rare, *(f"w{k}" for k in range(WIDE))))
+    scratch.drop(words_)
+    return out
+
+
+def _between(side: DataFrame, known: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) of members of one bucket that lie in different components and are near.
+
+    Pairs of small buckets come by what is told without texts.
+    """
+    few = side.where(F.col("n_members") <= MANY)
+    x, y = (few.select("key", *(F.col(c).alias(f"{s}_{c}") for c in few.columns if c != "key")) for s in "xy")
+    met = x.join(y, (x["key"] == y["key"]) & (F.col("x_root") < F.col("y_root")) & _close("x_", "y_", similarity)).select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b"))
+    many = side.where(F.col("n_members") > MANY)
+    if many.limit(1).count():
+        met = met.unionByName(_in_large(many, known, similarity, scratch))
+    return _confirm(met.distinct(), known, similarity)
+
+
+def _in_large(side: DataFrame, known: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) of members of one large bucket that lie in different components and may be near.
+
+    They aren't met pair by pair: lines meet where they share one of their rarest words, and each pair once,
+    at the first of these.  A word's largest component meets the lines of others, but not itself.
+    """
+    told = side.groupBy("rep", "root", "n").agg(F.collect_list("key").alias("keys"))
+    told = _spread(told, known, similarity, scratch)
+    at = told.select("rep", "root", F.posexplode("rare").alias("place", "word"))
+    sizes = at.groupBy("word", "root").agg(F.count("*").alias("size")).groupBy("word")
+    by = sizes.agg(F.max_by("root", F.struct("size", "root")).alias("largest"), F.max("size").alias("n_largest"), F.sum("size").alias("n_all"), F.count("*").alias("n_roots"))
+    at = scratch.keep(at.join(by.where("n_roots > 1").drop("n_roots"), "word"))
+    some, rest = at.where("root = largest"), at.where("root <> largest")
+    cut = F.ceil(F.col("n_largest") / BLOCK)
+    dealt = some.select("word", "rep", "root", "place", F.pmod(F.xxhash64("rep"), cut).alias("i"))
+    rest_dealt = rest.select("word", "rep", "root", "place", F.explode(F.sequence(F.lit(0).cast("long"), cut - 1)).alias("i"))
+    others = in_blocks(rest.select("word", "rep", "root", "place", (F.col("n_all") - F.col("n_largest")).alias("n_members")))
+    each = ["n", "keys", "rare", *(f"w{k}" for k in range(WIDE))]
+
+    def full(rows: DataFrame, prefix: str) -> DataFrame:
+        all_ = rows.join(told.select("rep", *each), "rep")
+        return all_.select(*(F.col(c).alias(f"{prefix}{c}") for c in all_.columns))
+
+    most = _most(F.col("x_n"), F.col("y_n"), similarity)
+    changed = sum(F.bit_count(F.col(f"x_w{k}").bitwiseXOR(F.col(f"y_w{k}"))) for k in range(WIDE))
+    before = lambda c: F.slice(f"{c}_rare", F.lit(1), F.col(f"{c}_place"))
+    # What the longer line has more is edits that bring a word and take none.
+    more = F.abs(F.col("x_n") - F.col("y_n"))
+    near = (more <= most) & (changed <= 2 * most - more) & F.arrays_overlap("x_keys", "y_keys") & ~F.arrays_overlap(before("x"), before("y"))
+
+    def pairs(x: DataFrame, y: DataFrame, same: Column) -> DataFrame:
+        return full(x, "x_").join(full(y, "y_"), same & near).select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b"))
+
+    same = lambda *by: functools.reduce(operator.and_, (F.col(f"x_{c}") == F.col(f"y_{c}") for c in by))
+    apart = ((F.col("x_i") == F.col("x_j")) | (F.col("x_own") != F.col("y_own"))) & (F.col("x_root") < F.col("y_root"))
+    return pairs(rest_dealt, dealt, same("word", "i")).unionByName(pairs(others, others, same("word", "i", "j") & apart))
 
 
 def repeated_lines(
@@ -201,7 +270,7 @@ def repeated_lines(
     roots = link_buckets(
         members,
         lambda pairs: _confirm(pairs, known, similarity),
-        lambda side: _between(side, known, similarity),
+        lambda side: _between(side, known, similarity, scratch),
         scratch,
         traits=TRAITS,
         close=lambda a, b: _close(a, b, similarity),

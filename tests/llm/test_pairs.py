@@ -229,6 +229,25 @@ def test_buckets_of_equal_members_are_one(spark):
     assert got == {0: {1, 2, 3}, 10: {1, 2, 3, 4}}
 
 
+def test_lines_of_one_frame_do_not_meet_pair_by_pair(spark, monkeypatch):
+    """Lines with sixty words in common, two thirds of each, share buckets, but only the two near ones are compared."""
+    frame = " ".join(f"frame{k}" for k in range(60))
+    texts = [frame + "".join(f" w{k}x{i}" for i in range(30)) for k in range(60)]
+    texts.append(texts[7].replace("w7x3 ", "other "))
+    confirm, asked = lines._confirm, []
+
+    def counted(pairs, *more):
+        asked.append(pairs.count())
+        return confirm(pairs, *more)
+
+    monkeypatch.setattr(lines, "_confirm", counted)
+    monkeypatch.setattr(lines, "MANY", 8, raising=False)
+    got = {(r.doc_id, r.first_doc) for r in lines.repeated_lines(docs(spark, texts), spark).collect()}
+    assert got == {(60, 7)}
+    print("pairs", asked)
+    assert sum(asked[1:]) <= len(texts)
+
+
 def test_words_that_share_a_code_are_told_apart(spark, monkeypatch):
     monkeypatch.setattr(lines, "CHARACTERS", 251)
     texts = [" ".join(f"w{rng.randrange(400)}" if k else f"v{j}" for k in (0, 0, 0, 1, 1, 1) for j in range(5)) for rng in map(random.Random, range(40))]
