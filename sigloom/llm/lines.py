@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+import math
 import operator
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,6 +39,10 @@ _FIRST, CHARACTERS = 0x4E00, 20_000
 MANY = 128
 #: Longs of the bits by which lines of a larger bucket are told apart, a power of two.
 WIDE = 16
+#: Slots in which words of lines in larger buckets are counted, at least and at most, powers of two.
+SLOTS = (1 << 16, 1 << 20)
+#: Lines of larger buckets that a task splits into words.
+DEALT = 512
 #: Letters and digits of a lower-case line that is all ASCII.
 _PLAIN = "abcdefghijklmnopqrstuvwxyz0123456789"
 
@@ -156,21 +161,29 @@ def _spread(told: DataFrame, known: DataFrame, similarity: float, scratch: Scrat
     An edit takes at most one word out of a line.  So of all words in one order, the first that two near lines
     share stands behind at most so many others in either as edits are allowed: lines that share none of
     that many words and one are far apart.  Ordered by how many lines have them, the words most lines share come last.
+    Words are counted by slots of their numbers, so no word is looked up by a join: those of one slot count as
+    often as all of them together, which changes the order but for all lines alike.  Words that no other line
+    can have, the only ones of their slots, take their places but are left out.
     """
-    number = F.zip_with(F.split("codes", ""), F.split("more", ""), lambda x, y: F.xxhash64(x, y))
-    every = told.select("rep").join(known.select("rep", "codes", "more"), "rep").select("rep", F.explode(number).alias("word"))
-    # A word that a line repeats is another one each time.
-    times = F.explode(F.sequence(F.lit(1).cast("long"), F.col("count"))).alias("time")
-    again = every.groupBy("rep", "word").count().select("rep", "word", times)
-    words_ = scratch.keep(again.select("rep", F.when(F.col("time") == 1, F.col("word")).otherwise(F.xxhash64("word", "time")).alias("word")))
+    number = F.array_distinct(F.zip_with(F.split("codes", ""), F.split("more", ""), lambda x, y: F.xxhash64(x, y)))
+    sets = scratch.keep(told.select("rep").join(known.select("rep", "codes", "more"), "rep").select("rep", number.alias("words")))
+    size = sets.count()
+    # Each task gets as many lines, however many there are.
+    words_ = sets.repartition(max(1, math.ceil(size / DEALT)), "rep").select("rep", F.explode("words").alias("word"))
+    n_slots = min(max(SLOTS[0], 1 << size.bit_length()), SLOTS[1])
+    slot = F.shiftrightunsigned("word", 20).bitwiseAND(F.lit(n_slots - 1)).cast("int")
+    none = scratch.spark.range(n_slots).select(F.col("id").cast("int").alias("slot"), F.lit(0).cast("long").alias("seen"))
+    seen = words_.groupBy(slot.alias("slot")).agg(F.count("*").alias("seen")).unionByName(none).groupBy("slot").agg(F.sum("seen").alias("seen"))
+    seen = scratch.keep(seen.agg(F.sort_array(F.collect_list(F.struct("slot", "seen")))["seen"].alias("seen")))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("word").bitwiseAND(F.lit(63)).cast("int"))
     part = F.shiftright("word", 6).bitwiseAND(F.lit(WIDE - 1))
     bits = [F.bit_or(F.when(part == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"w{k}") for k in range(WIDE)]
-    shared = words_.groupBy("word").agg(F.count("*").alias("seen"))
-    by = words_.join(shared, "word").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("seen", "word"))).alias("all_"), *bits)
-    rare = F.slice("all_", F.lit(1), _most(F.col("n"), F.col("n"), similarity) + 1)["word"].alias("rare")
+    counted = words_.select("rep", "word", F.get(seen.scalar(), slot).alias("seen"))
+    by = counted.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("seen", "word"))).alias("all_"), *bits)
+    first = F.slice("all_", F.lit(1), _most(F.col("n"), F.col("n"), similarity) + 1)
+    rare = F.filter(first, lambda x: x["seen"] > 1)["word"].alias("rare")
     out = scratch.keep(told.join(by, "rep").select(*told.columns, rare, *(f"w{k}" for k in range(WIDE))))
-    scratch.drop(words_)
+    scratch.drop(sets, seen)
     return out
 
 
@@ -194,7 +207,7 @@ def _in_large(side: DataFrame, known: DataFrame, similarity: float, scratch: Scr
     They aren't met pair by pair: lines meet where they share one of their rarest words, and each pair once,
     at the first of these.  A word's largest component meets the lines of others, but not itself.
     """
-    told = side.groupBy("rep", "root", "n").agg(F.collect_list("key").alias("keys"))
+    told = scratch.keep(side.groupBy("rep", "root", "n").agg(F.collect_list("key").alias("keys")))
     told = _spread(told, known, similarity, scratch)
     at = told.select("rep", "root", F.posexplode("rare").alias("place", "word"))
     sizes = at.groupBy("word", "root").agg(F.count("*").alias("size")).groupBy("word")

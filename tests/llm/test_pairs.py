@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 
 import duckdb
@@ -9,6 +10,7 @@ import numpy as np
 import pytest
 import regex
 import xxhash
+from pyspark.sql import functions as F
 
 from sigloom.llm import ann, common, lines, neardup, passages, queries, topk
 from sigloom.llm.common import Scratch, components
@@ -248,6 +250,34 @@ def test_lines_of_one_frame_do_not_meet_pair_by_pair(spark, monkeypatch):
     assert sum(asked[1:]) <= len(texts)
 
 
+def test_words_of_large_buckets_are_counted_without_a_join(spark, monkeypatch):
+    """Near lines share one of their rarest words; words of one line alone aren't among these, and no join makes a row for each word."""
+    rng = random.Random(11)
+    frame = [f"frame{k}" for k in range(40)]
+    texts = [frame + [f"w{rng.randrange(40)}" for _ in range(14)] + [f"own{k}x{i}" for i in range(k % 4)] for k in range(40)]
+    texts += [[*t[:3], "other", *t[4:50], "more", *t[50:]] for t in texts[:20]]
+    numbers = collections.defaultdict(itertools.count(7).__next__)
+    code = lambda t: "".join(chr(0x4E00 + numbers[x]) for x in t)
+    known = spark.createDataFrame([(k, len(t), code(t), code(t)) for k, t in enumerate(texts)], "rep long, n int, codes string, more string")
+    plans = []
+
+    class Told(common.Scratch):
+        def keep(self, df, rows=None):
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+            return super().keep(df, rows)
+
+    told = lines._spread(known.select("rep", F.col("rep").alias("root"), "n"), known, lines.SIMILARITY, Told(spark))
+    rare = {r.rep: set(r.rare) for r in told.collect()}
+    held = collections.Counter(x for t in texts for x in set(t))
+    alone = spark.createDataFrame([(chr(0x4E00 + numbers[x]),) for x, n in held.items() if n == 1], "c string")
+    alone = {r[0] for r in alone.select(F.xxhash64("c", "c")).collect()}
+    assert len(rare) == len(texts) and alone and not alone & set().union(*rare.values())
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if distance(texts[i], texts[j]) <= int(max(len(texts[i]), len(texts[j])) * 0.2 + 1e-9):
+            assert rare[i] & rare[j]
+    assert plans and not [line for plan in plans for line in plan.split("\n") if "Join" in line and "word#" in line]
+
+
 def test_words_that_share_a_code_are_told_apart(spark, monkeypatch):
     monkeypatch.setattr(lines, "CHARACTERS", 251)
     texts = [" ".join(f"w{rng.randrange(400)}" if k else f"v{j}" for k in (0, 0, 0, 1, 1, 1) for j in range(5)) for rng in map(random.Random, range(40))]
