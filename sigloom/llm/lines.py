@@ -21,7 +21,7 @@ import operator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLOCK, Scratch, in_blocks, link_buckets, spare
+from .common import BLOCK, Scratch, components, in_blocks, link_buckets, spare, union_all
 
 #: Least edit similarity of the word sequences.
 SIMILARITY = 0.8
@@ -43,6 +43,8 @@ WIDE = 16
 SLOTS = (1 << 16, 1 << 20)
 #: Lines of larger buckets that a task splits into words.
 DEALT = 512
+#: Lines of a word that others meet first, and times as many that they meet next.
+HUBS, RISE = 32, 16
 #: Letters and digits of a lower-case line that is all ASCII.
 _PLAIN = "abcdefghijklmnopqrstuvwxyz0123456789"
 
@@ -188,36 +190,76 @@ def _spread(told: DataFrame, known: DataFrame, similarity: float, scratch: Scrat
 
 
 def _between(side: DataFrame, known: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
-    """The pairs (a, b) of members of one bucket that lie in different components and are near.
+    """Links (a, b) of members of one bucket that lie in different components, which leave no near ones apart.
 
-    Pairs of small buckets come by what is told without texts.
+    Pairs of small buckets come by what is told without texts, after the large ones have joined components.
     """
+    many = side.where(F.col("n_members") > MANY)
+    links = None
+    if many.limit(1).count():
+        links, joined = _in_large(many, known, similarity, scratch)
+        side = _moved(side, joined)
     few = side.where(F.col("n_members") <= MANY)
     x, y = (few.select("key", *(F.col(c).alias(f"{s}_{c}") for c in few.columns if c != "key")) for s in "xy")
     met = x.join(y, (x["key"] == y["key"]) & (F.col("x_root") < F.col("y_root")) & _close("x_", "y_", similarity)).select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b"))
-    many = side.where(F.col("n_members") > MANY)
-    if many.limit(1).count():
-        met = met.unionByName(_in_large(many, known, similarity, scratch))
-    return _confirm(met.distinct(), known, similarity)
+    found = _confirm(met.distinct(), known, similarity)
+    return found if links is None else found.unionByName(links)
 
 
-def _in_large(side: DataFrame, known: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
-    """The pairs (a, b) of members of one large bucket that lie in different components and may be near.
+def _moved(rows: DataFrame, joined: DataFrame) -> DataFrame:
+    """Rows whose components have been joined; ``joined`` has (node, root) of these."""
+    further = joined.select(F.col("node").alias("root"), F.col("root").alias("to"))
+    return rows.join(further, "root", "left").select(*(F.coalesce("to", "root").alias(c) if c == "root" else c for c in rows.columns))
 
-    They aren't met pair by pair: lines meet where they share one of their rarest words, and each pair once,
-    at the first of these.  A word's largest component meets the lines of others, but not itself.
+
+def _in_large(side: DataFrame, known: DataFrame, similarity: float, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) of members of one large bucket, one for each two components, and (node, root) of the components joined.
+
+    A line near to much of a component needs one link to it, not one to each of its members.  So lines first
+    meet some of those with whom they share a rare word, ``HUBS`` of each word, and components are
+    joined; then ``RISE`` times as many, while a word has so many lines.  A line near to more than a small part
+    of those of a word has met one of these by then.  At last all meet that are still apart, so no link that
+    joins two components is missed.
+    """
+    first = scratch.keep(side.groupBy("rep", "root", "n").agg(F.collect_list("key").alias("keys")))
+    told, hubs, links = _spread(first, known, similarity, scratch), HUBS, []
+    while hubs:
+        at, hubs = _shared_words(told, hubs, scratch)
+        pairs = _meet(told, at, similarity, hubs).distinct()
+        root = lambda c: told.select(F.col("rep").alias(c), F.col("root").alias(f"{c}_root"))  # noqa: E731, B023
+        ends = _confirm(pairs, known, similarity).join(root("a"), "a").join(root("b"), "b")
+        by = ends.groupBy(F.least("a_root", "b_root").alias("low"), F.greatest("a_root", "b_root").alias("high"))
+        links.append(scratch.keep(by.agg(F.min(F.struct("a", "b")).alias("l")).select("l.a", "l.b", "low", "high")))
+        hubs *= RISE
+        if hubs and links[-1].limit(1).count():
+            told = scratch.keep(_moved(told, components(links[-1], scratch, "low", "high")))
+    found = union_all(links).select("a", "b")
+    ends = [first.select(F.col("rep").alias(c), F.col("root").alias(f"{c}_root")) for c in ("a", "b")]
+    return found, components(found.join(ends[0], "a").join(ends[1], "b"), scratch, "a_root", "b_root")
+
+
+def _shared_words(told: DataFrame, hubs: int, scratch: Scratch) -> tuple[DataFrame, int]:
+    """(rep, root, place, word, largest, n_largest, n_all) of the rare words of several components, and ``hubs``.
+
+    Those of words with more than ``RISE * hubs`` lines; where there are none, all of them, and 0.
     """
-    told = scratch.keep(side.groupBy("rep", "root", "n").agg(F.collect_list("key").alias("keys")))
-    told = _spread(told, known, similarity, scratch)
     at = told.select("rep", "root", F.posexplode("rare").alias("place", "word"))
     sizes = at.groupBy("word", "root").agg(F.count("*").alias("size")).groupBy("word")
     by = sizes.agg(F.max_by("root", F.struct("size", "root")).alias("largest"), F.max("size").alias("n_largest"), F.sum("size").alias("n_all"), F.count("*").alias("n_roots"))
-    at = scratch.keep(at.join(by.where("n_roots > 1").drop("n_roots"), "word"))
-    some, rest = at.where("root = largest"), at.where("root <> largest")
-    cut = F.ceil(F.col("n_largest") / BLOCK)
-    dealt = some.select("word", "rep", "root", "place", F.pmod(F.xxhash64("rep"), cut).alias("i"))
-    rest_dealt = rest.select("word", "rep", "root", "place", F.explode(F.sequence(F.lit(0).cast("long"), cut - 1)).alias("i"))
-    others = in_blocks(rest.select("word", "rep", "root", "place", (F.col("n_all") - F.col("n_largest")).alias("n_members")))
+    by = scratch.keep(by.where("n_roots > 1").drop("n_roots"))
+    large = by.where(F.col("n_all") > hubs * RISE)
+    if large.limit(1).count():
+        return scratch.keep(at.join(large, "word")), hubs
+    return scratch.keep(at.join(by, "word")), 0
+
+
+def _meet(told: DataFrame, at: DataFrame, similarity: float, hubs: int) -> DataFrame:
+    """The pairs (a, b) of lines of different components that share a rare word and a bucket and may be near.
+
+    They aren't met bucket by bucket: lines meet where they share one of their rarest words, and each pair once,
+    at the first of these.  A word's largest component meets the lines of others, but not itself.
+    With ``hubs``, only pairs of which one is among about so many lines of the word, by a hash.
+    """
     each = ["n", "keys", "rare", *(f"w{k}" for k in range(WIDE))]
 
     def full(rows: DataFrame, prefix: str) -> DataFrame:
@@ -234,9 +276,19 @@ def _in_large(side: DataFrame, known: DataFrame, similarity: float, scratch: Scr
     def pairs(x: DataFrame, y: DataFrame, same: Column) -> DataFrame:
         return full(x, "x_").join(full(y, "y_"), same & near).select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b"))
 
+    def dealt(some: DataFrame, all_: DataFrame, n: str) -> tuple[DataFrame, DataFrame]:
+        cut = F.ceil(F.col(n) / BLOCK)
+        one = all_.select("word", "rep", "root", "place", F.pmod(F.xxhash64("rep"), cut).alias("i"))
+        return some.select("word", "rep", "root", "place", F.explode(F.sequence(F.lit(0).cast("long"), cut - 1)).alias("i")), one
+
     same = lambda *by: functools.reduce(operator.and_, (F.col(f"x_{c}") == F.col(f"y_{c}") for c in by))
+    if hubs:
+        of_word = F.pmod(F.xxhash64("rep", F.lit(hubs)), F.col("n_all")) < hubs
+        return pairs(*dealt(at.where(of_word), at, "n_all"), same("word", "i") & (F.col("x_root") != F.col("y_root")))
+    some, rest = at.where("root = largest"), at.where("root <> largest")
+    others = in_blocks(rest.select("word", "rep", "root", "place", (F.col("n_all") - F.col("n_largest")).alias("n_members")))
     apart = ((F.col("x_i") == F.col("x_j")) | (F.col("x_own") != F.col("y_own"))) & (F.col("x_root") < F.col("y_root"))
-    return pairs(rest_dealt, dealt, same("word", "i")).unionByName(pairs(others, others, same("word", "i", "j") & apart))
+    return pairs(*dealt(rest, some, "n_largest"), same("word", "i")).unionByName(pairs(others, others, same("word", "i", "j") & apart))
 
 
 def repeated_lines(

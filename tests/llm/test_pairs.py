@@ -278,6 +278,36 @@ def test_words_of_large_buckets_are_counted_without_a_join(spark, monkeypatch):
     assert plans and not [line for plan in plans for line in plan.split("\n") if "Join" in line and "word#" in line]
 
 
+def test_lines_near_to_all_of_a_component_meet_few_of_it(spark, monkeypatch):
+    """Lines that are near to every line of a component need one link to it: few are compared, and none is left apart."""
+    base = [f"frame{k}" for k in range(50)]
+    texts = [[*base[:k % 40], f"own{k}", *base[k % 40 + 1 :]] for k in range(300)]
+    texts += [[*base[:j], *(f"out{k}x{i}" for i in range(4)), *base[j + 4 :]] for k in range(30) for j in (k,)]
+    # Near to each other and to nothing else, and near to one line of the component alone.
+    other = [w if i % 4 else f"far{i}" for i, w in enumerate(base)]
+    texts += [[*other[:k], "own", *other[k + 1 :]] for k in range(3)] + [[f"lone{i}" if i in (45, 46, 47, 48, 49, 41, 42, 43, 44) else w for i, w in enumerate(texts[7])]]
+    numbers = collections.defaultdict(itertools.count(7).__next__)
+    code = lambda t: "".join(chr(0x4E00 + numbers[x]) for x in t)
+    known = spark.createDataFrame([(k, len(t), code(t), code(t)) for k, t in enumerate(texts)], "rep long, n int, codes string, more string")
+    start = [0 if k < 300 else k for k in range(len(texts))]
+    side = spark.createDataFrame([(1, k, len(t), 0, 0, start[k], len(texts)) for k, t in enumerate(texts)], "key long, rep long, n int, b0 long, b1 long, root long, n_members long")
+    confirm, asked = lines._confirm, []
+
+    def counted(pairs, *more):
+        asked.append(pairs.count())
+        return confirm(pairs, *more)
+
+    monkeypatch.setattr(lines, "_confirm", counted)
+    monkeypatch.setattr(lines, "HUBS", 8, raising=False)
+    found = [(r.a, r.b) for r in lines._between(side, known, lines.SIMILARITY, Scratch(spark)).collect()]
+    near = [(i, j) for j, b in enumerate(texts) for i, a in enumerate(texts[:j]) if start[i] != start[j] and distance(a, b) <= 10]
+    own = [(0, k) for k in range(300)]
+    print("pairs", len(near), asked, len(found))
+    assert set(found) <= set(near) and len(near) > 9000
+    assert groups_of(own + found, range(len(texts))) == groups_of(own + near, range(len(texts)))
+    assert sum(asked) <= len(near) / 8 and len(found) <= 2 * len(texts)
+
+
 def test_words_that_share_a_code_are_told_apart(spark, monkeypatch):
     monkeypatch.setattr(lines, "CHARACTERS", 251)
     texts = [" ".join(f"w{rng.randrange(400)}" if k else f"v{j}" for k in (0, 0, 0, 1, 1, 1) for j in range(5)) for rng in map(random.Random, range(40))]
