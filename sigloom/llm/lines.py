@@ -223,8 +223,9 @@ def _in_large(side: DataFrame, known: DataFrame, similarity: float, scratch: Scr
     """
     first = scratch.keep(side.groupBy("rep", "root", "n").agg(F.collect_list("key").alias("keys")))
     told, hubs, links = _spread(first, known, similarity, scratch), HUBS, []
+    spots = scratch.keep(told.select("rep", "root", F.posexplode("rare").alias("place", "word")))
     while hubs:
-        at, hubs = _shared_words(told, hubs, scratch)
+        at, hubs = _shared_words(spots, hubs, scratch)
         pairs = _meet(told, at, similarity, hubs).distinct()
         root = lambda c: told.select(F.col("rep").alias(c), F.col("root").alias(f"{c}_root"))  # noqa: E731, B023
         ends = _confirm(pairs, known, similarity).join(root("a"), "a").join(root("b"), "b")
@@ -232,25 +233,25 @@ def _in_large(side: DataFrame, known: DataFrame, similarity: float, scratch: Scr
         links.append(scratch.keep(by.agg(F.min(F.struct("a", "b")).alias("l")).select("l.a", "l.b", "low", "high")))
         hubs *= RISE
         if hubs and links[-1].limit(1).count():
-            told = scratch.keep(_moved(told, components(links[-1], scratch, "low", "high")))
+            joined = components(links[-1], scratch, "low", "high")
+            told, spots = scratch.keep(_moved(told, joined)), scratch.keep(_moved(spots, joined))
     found = union_all(links).select("a", "b")
     ends = [first.select(F.col("rep").alias(c), F.col("root").alias(f"{c}_root")) for c in ("a", "b")]
     return found, components(found.join(ends[0], "a").join(ends[1], "b"), scratch, "a_root", "b_root")
 
 
-def _shared_words(told: DataFrame, hubs: int, scratch: Scratch) -> tuple[DataFrame, int]:
-    """(rep, root, place, word, largest, n_largest, n_all) of the rare words of several components, and ``hubs``.
+def _shared_words(spots: DataFrame, hubs: int, scratch: Scratch) -> tuple[DataFrame, int]:
+    """Those of ``spots``, (rep, root, place, word), whose words several components have, with largest, n_largest and n_all, and ``hubs``.
 
-    Those of words with more than ``RISE * hubs`` lines; where there are none, all of them, and 0.
+    Only words with more than ``RISE * hubs`` lines, and ``hubs`` of one component; where there are none, all of them, and 0.
     """
-    at = told.select("rep", "root", F.posexplode("rare").alias("place", "word"))
-    sizes = at.groupBy("word", "root").agg(F.count("*").alias("size")).groupBy("word")
+    sizes = spots.groupBy("word", "root").agg(F.count("*").alias("size")).groupBy("word")
     by = sizes.agg(F.max_by("root", F.struct("size", "root")).alias("largest"), F.max("size").alias("n_largest"), F.sum("size").alias("n_all"), F.count("*").alias("n_roots"))
     by = scratch.keep(by.where("n_roots > 1").drop("n_roots"))
-    large = by.where(F.col("n_all") > hubs * RISE)
+    large = by.where((F.col("n_all") > hubs * RISE) & (F.col("n_largest") > hubs))
     if large.limit(1).count():
-        return scratch.keep(at.join(large, "word")), hubs
-    return scratch.keep(at.join(by, "word")), 0
+        return scratch.keep(spots.join(large, "word")), hubs
+    return scratch.keep(spots.join(by, "word")), 0
 
 
 def _meet(told: DataFrame, at: DataFrame, similarity: float, hubs: int) -> DataFrame:
@@ -258,7 +259,7 @@ def _meet(told: DataFrame, at: DataFrame, similarity: float, hubs: int) -> DataF
 
     They aren't met bucket by bucket: lines meet where they share one of their rarest words, and each pair once,
     at the first of these.  A word's largest component meets the lines of others, but not itself.
-    With ``hubs``, only pairs of which one is among about so many lines of the word, by a hash.
+    With ``hubs``, those of others meet only about so many lines of the word, by a hash.
     """
     each = ["n", "keys", "rare", *(f"w{k}" for k in range(WIDE))]
 
@@ -276,19 +277,20 @@ def _meet(told: DataFrame, at: DataFrame, similarity: float, hubs: int) -> DataF
     def pairs(x: DataFrame, y: DataFrame, same: Column) -> DataFrame:
         return full(x, "x_").join(full(y, "y_"), same & near).select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b"))
 
-    def dealt(some: DataFrame, all_: DataFrame, n: str) -> tuple[DataFrame, DataFrame]:
-        cut = F.ceil(F.col(n) / BLOCK)
+    def dealt(some: DataFrame, all_: DataFrame, n: Column) -> tuple[DataFrame, DataFrame]:
+        cut = F.ceil(n / BLOCK)
         one = all_.select("word", "rep", "root", "place", F.pmod(F.xxhash64("rep"), cut).alias("i"))
         return some.select("word", "rep", "root", "place", F.explode(F.sequence(F.lit(0).cast("long"), cut - 1)).alias("i")), one
 
     same = lambda *by: functools.reduce(operator.and_, (F.col(f"x_{c}") == F.col(f"y_{c}") for c in by))
+    some, rest = at.where("root = largest"), at.where("root <> largest")
+    n_rest = F.col("n_all") - F.col("n_largest")
     if hubs:
         of_word = F.pmod(F.xxhash64("rep", F.lit(hubs)), F.col("n_all")) < hubs
-        return pairs(*dealt(at.where(of_word), at, "n_all"), same("word", "i") & (F.col("x_root") != F.col("y_root")))
-    some, rest = at.where("root = largest"), at.where("root <> largest")
-    others = in_blocks(rest.select("word", "rep", "root", "place", (F.col("n_all") - F.col("n_largest")).alias("n_members")))
+        return pairs(*dealt(at.where(of_word), rest, n_rest), same("word", "i") & (F.col("x_root") != F.col("y_root")))
+    others = in_blocks(rest.select("word", "rep", "root", "place", n_rest.alias("n_members")))
     apart = ((F.col("x_i") == F.col("x_j")) | (F.col("x_own") != F.col("y_own"))) & (F.col("x_root") < F.col("y_root"))
-    return pairs(*dealt(rest, some, "n_largest"), same("word", "i")).unionByName(pairs(others, others, same("word", "i", "j") & apart))
+    return pairs(*dealt(rest, some, F.col("n_largest")), same("word", "i")).unionByName(pairs(others, others, same("word", "i", "j") & apart))
 
 
 def repeated_lines(
