@@ -138,8 +138,43 @@ def _near(a: str, b: str, similarity: float) -> Column:
     return far("codes") & far("more")
 
 
-def _confirm(pairs: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
+def _gathered(values: DataFrame, n: int, scratch: Scratch) -> DataFrame:
+    """One row with an array of ``n`` longs: by slot, the values of (slot, value), nought where there is none."""
+    none = scratch.spark.range(n).select(F.col("id").cast("int").alias("slot"), F.lit(0).cast("long").alias("value"))
+    every = values.unionByName(none).groupBy("slot").agg(F.sum("value").alias("value"))
+    return scratch.keep(every.agg(F.sort_array(F.collect_list(F.struct("slot", "value")))["value"].alias("all_")))
+
+
+def _slot(x: Column, n: int) -> Column:
+    """The slot of a hash, of ``n``, a power of two."""
+    return F.shiftrightunsigned(x, 20).bitwiseAND(F.lit(n - 1)).cast("int")
+
+
+def _bit(x: Column) -> Column:
+    """A long with the one bit that a hash's last six tell."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
+
+
+def _asked(pairs: DataFrame, n_pairs: int, known: DataFrame, scratch: Scratch) -> DataFrame:
+    """The lines that are ends of pairs, and few others: those whose bit one of the ends sets.
+
+    So texts of lines that no pair asks for aren't exchanged.  Bits are 64 to a slot; with more ends than these
+    can tell apart other lines come along, which costs time but changes nothing.
+    """
+    n = min(max(SLOTS[0], 1 << (n_pairs // 4).bit_length()), SLOTS[1])
+    ends = pairs.select(F.xxhash64("a").alias("h")).unionByName(pairs.select(F.xxhash64("b").alias("h")))
+    bits = _gathered(ends.groupBy(_slot(F.col("h"), n).alias("slot")).agg(F.bit_or(_bit(F.col("h"))).alias("value")), n, scratch)
+    h = F.xxhash64("rep")
+    return known.where(F.get(bits.scalar(), _slot(h, n)).bitwiseAND(_bit(h)) != 0)
+
+
+def _confirm(pairs: DataFrame, known: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) of lines that are near."""
+    pairs = scratch.keep(pairs.select("a", "b"))
+    n_pairs = pairs.count()
+    if not n_pairs:
+        return pairs
+    known = _asked(pairs, n_pairs, known, scratch)
     x, y = (known.select(F.col("rep").alias(c), *(F.col(f).alias(f"{c}_{f}") for f in ("n", "codes", "more"))) for c in ("a", "b"))
     return pairs.join(x, "a").join(y, "b").where(_near("a_", "b_", similarity)).select("a", "b")
 
@@ -173,11 +208,9 @@ def _spread(told: DataFrame, known: DataFrame, similarity: float, scratch: Scrat
     # Each task gets as many lines, however many there are.
     words_ = sets.repartition(max(1, math.ceil(size / DEALT)), "rep").select("rep", F.explode("words").alias("word"))
     n_slots = min(max(SLOTS[0], 1 << size.bit_length()), SLOTS[1])
-    slot = F.shiftrightunsigned("word", 20).bitwiseAND(F.lit(n_slots - 1)).cast("int")
-    none = scratch.spark.range(n_slots).select(F.col("id").cast("int").alias("slot"), F.lit(0).cast("long").alias("seen"))
-    seen = words_.groupBy(slot.alias("slot")).agg(F.count("*").alias("seen")).unionByName(none).groupBy("slot").agg(F.sum("seen").alias("seen"))
-    seen = scratch.keep(seen.agg(F.sort_array(F.collect_list(F.struct("slot", "seen")))["seen"].alias("seen")))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("word").bitwiseAND(F.lit(63)).cast("int"))
+    slot = _slot(F.col("word"), n_slots)
+    seen = _gathered(words_.groupBy(slot.alias("slot")).agg(F.count("*").alias("value")), n_slots, scratch)
+    bit = _bit(F.col("word"))
     part = F.shiftright("word", 6).bitwiseAND(F.lit(WIDE - 1))
     bits = [F.bit_or(F.when(part == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"w{k}") for k in range(WIDE)]
     counted = words_.select("rep", "word", F.get(seen.scalar(), slot).alias("seen"))
@@ -202,7 +235,7 @@ def _between(side: DataFrame, known: DataFrame, similarity: float, scratch: Scra
     few = side.where(F.col("n_members") <= MANY)
     x, y = (few.select("key", *(F.col(c).alias(f"{s}_{c}") for c in few.columns if c != "key")) for s in "xy")
     met = x.join(y, (x["key"] == y["key"]) & (F.col("x_root") < F.col("y_root")) & _close("x_", "y_", similarity)).select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b"))
-    found = _confirm(met.distinct(), known, similarity)
+    found = _confirm(met.distinct(), known, similarity, scratch)
     return found if links is None else found.unionByName(links)
 
 
@@ -228,7 +261,7 @@ def _in_large(side: DataFrame, known: DataFrame, similarity: float, scratch: Scr
         at, hubs = _shared_words(spots, hubs, scratch)
         pairs = _meet(told, at, similarity, hubs).distinct()
         root = lambda c: told.select(F.col("rep").alias(c), F.col("root").alias(f"{c}_root"))  # noqa: E731, B023
-        ends = _confirm(pairs, known, similarity).join(root("a"), "a").join(root("b"), "b")
+        ends = _confirm(pairs, known, similarity, scratch).join(root("a"), "a").join(root("b"), "b")
         by = ends.groupBy(F.least("a_root", "b_root").alias("low"), F.greatest("a_root", "b_root").alias("high"))
         links.append(scratch.keep(by.agg(F.min(F.struct("a", "b")).alias("l")).select("l.a", "l.b", "low", "high")))
         hubs *= RISE
@@ -310,7 +343,8 @@ def repeated_lines(
     Lines with equal words repeat each other; lines of four words and fewer are never near otherwise.
     An empty table gives no rows.
     """
-    scratch = scratch or Scratch(spark)
+    # What only these steps read goes when they are done, so that it and the last exchange of texts aren't on disk at once.
+    scratch, passing = scratch or Scratch(spark), Scratch(spark)
     docs = df.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("row"), F.col(text).alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
     every = scratch.keep(lines(docs))
     # One number that orders occurrences, so that sums by class need no sorting.
@@ -318,9 +352,9 @@ def repeated_lines(
     told = every.where(F.col("n") >= min_words).withColumn("place", place).withColumn("spot", (F.col("doc_id").cast("decimal(38,0)") * F.lit(1 << 62) + F.col("place")).cast("decimal(38,0)"))
     packs = [f"p{k}" for k in range(PACKS)]
     classes = told.groupBy("h1", "h2").agg(F.min("spot").alias("first"), F.count("*").alias("seen"), F.min_by("doc_id", "spot").alias("doc_id"), F.min_by("place", "spot").alias("place"), F.min("n").alias("n"), *[F.min(c).alias(c) for c in packs])
-    classes = scratch.keep(classes.withColumn("rep", F.monotonically_increasing_id()))
+    classes = passing.keep(classes.withColumn("rep", F.monotonically_increasing_id()))
     keys = classes.select("rep", "n", *(_block(i).alias(f"c{i}") for i in range(BLOCKS))).where("c0 IS NOT NULL").select("rep", F.explode(bucket_keys()).alias("key"))
-    members = scratch.keep(shared_buckets(keys.where("key IS NOT NULL")))
+    members = passing.keep(shared_buckets(keys.where("key IS NOT NULL")))
     # The words of these classes, from the rows that hold their first occurrence.
     low = (1 << 31) - 1
     where = [F.shiftright("place", 31).cast("int").alias("pos"), F.col("place").bitwiseAND(F.lit(low)).alias("low")]
@@ -332,19 +366,20 @@ def repeated_lines(
     line = lambda all_: F.transform("at", lambda a: F.struct(a["rep"].alias("rep"), F.element_at(all_, a["pos"] + 1).alias("line")))
     rows = rows.select(F.explode(F.transform(F.array(F.split(F.lower("text"), "\n")), line)[0]).alias("l")).select("l.rep", F.transform(words(F.col("l.line")), lambda x: F.xxhash64(x)).alias("c"))
     rows = rows.select("rep", *_traits(F.col("c")))
-    known = scratch.keep(rows)
-    members = scratch.keep(members.join(known.select("rep", *TRAITS), "rep"))
+    known = passing.keep(rows)
+    members = passing.keep(members.join(known.select("rep", *TRAITS), "rep"))
     roots = link_buckets(
         members,
-        lambda pairs: _confirm(pairs, known, similarity),
-        lambda side: _between(side, known, similarity, scratch),
-        scratch,
+        lambda pairs: _confirm(pairs, known, similarity, passing),
+        lambda side: _between(side, known, similarity, passing),
+        passing,
         traits=TRAITS,
         close=lambda a, b: _close(a, b, similarity),
     ).withColumnRenamed("node", "rep")
     # Of each group, the least occurrence over all its lines stays.
     grouped = classes.select("rep", "h1", "h2", "first", "doc_id", "place", "seen").join(roots, "rep", "left").where("seen > 1 OR root IS NOT NULL")
     grouped = scratch.keep(grouped.withColumn("root", F.coalesce("root", "rep")))
+    passing.remove(passing.root)
     stays = grouped.groupBy("root").agg(F.min_by("doc_id", "first").alias("first_doc"), F.min_by("place", "first").alias("first_place"))
     fate = grouped.select("h1", "h2", "root").join(stays, "root").drop("root")
     gone = told.select("doc_id", "row", "pos", "h1", "h2", "place").join(fate, ["h1", "h2"]).where("doc_id <> first_doc OR place <> first_place")

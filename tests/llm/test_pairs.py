@@ -308,6 +308,44 @@ def test_lines_near_to_all_of_a_component_meet_few_of_it(spark, monkeypatch):
     assert sum(asked) <= len(near) / 8 and len(found) <= 2 * len(texts)
 
 
+def exchanged(node):
+    """Rows that the exchanges of an executed plan have written."""
+    name = node.nodeName()
+    if name == "AdaptiveSparkPlan":
+        return exchanged(node.executedPlan())
+    if "QueryStage" in name:
+        return exchanged(node.plan())
+    own = node.metrics().apply("shuffleRecordsWritten").value() if name == "Exchange" else 0
+    return own + sum(exchanged(node.children().apply(i)) for i in range(node.children().size()))
+
+
+def test_texts_that_no_pair_asks_for_are_not_exchanged(spark):
+    """Of 3,000 lines five pairs are asked for: hardly more than their lines go through an exchange."""
+    text = lambda k: "".join(chr(0x4E00 + (k // 2 * 40 + i) % 20_000) for i in range(20)) + chr(0x4DFF - k % 2)
+    scratch = Scratch(spark)
+    known = scratch.keep(spark.createDataFrame([(k, 21, text(k), text(k)) for k in range(3000)], "rep long, n int, codes string, more string"))
+    pairs = spark.createDataFrame([(0, 1), (10, 11), (2998, 2999), (3, 2500), (8, 10)], "a long, b long")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        near = lines._confirm(pairs, known, lines.SIMILARITY, scratch)
+        assert {(r.a, r.b) for r in near.collect()} == {(0, 1), (10, 11), (2998, 2999)}
+        assert 0 < exchanged(near._jdf.queryExecution().executedPlan()) < 100
+        none = lines._confirm(pairs.limit(0), known, lines.SIMILARITY, scratch)
+        assert none.columns == ["a", "b"] and not none.collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_tables_of_steps_that_are_done_go(spark, tmp_path, monkeypatch):
+    """While lines are cut only the table of all lines and that of the repeated ones are left of those written."""
+    base = [" ".join(f"w{(7 * k + i) % 90}" for i in range(30)) for k in range(40)]
+    texts = ["\n".join((base[k], base[(k + 1) % 40] + " more")) for k in range(40)]
+    monkeypatch.setattr(common, "shared_dir", lambda _: f"file://{tmp_path}")
+    gone = lines.repeated_lines(docs(spark, texts), spark)
+    left = [p for d in tmp_path.iterdir() for p in d.iterdir()]
+    assert len(left) == 2 and gone.count() >= 40
+
+
 def test_words_that_share_a_code_are_told_apart(spark, monkeypatch):
     monkeypatch.setattr(lines, "CHARACTERS", 251)
     texts = [" ".join(f"w{rng.randrange(400)}" if k else f"v{j}" for k in (0, 0, 0, 1, 1, 1) for j in range(5)) for rng in map(random.Random, range(40))]
