@@ -39,7 +39,7 @@ _FIRST, CHARACTERS = 0x4E00, 20_000
 MANY = 128
 #: Longs of the bits by which lines of a larger bucket are told apart, a power of two.
 WIDE = 16
-#: Slots in which words of lines in larger buckets are counted, at least and at most, powers of two.
+#: Slots in which words of lines in larger buckets are counted, or ends of pairs set bits, at least and at most, powers of two.
 SLOTS = (1 << 16, 1 << 20)
 #: Lines of larger buckets that a task splits into words.
 DEALT = 512
